@@ -86,3 +86,126 @@ FROM ctx JOIN benchmark b ON b.item_id = ctx.qid
 def ask_prompt(spark, d):
     hits, bench = _hits(spark, d)
     return R.build_prompt(R.assemble_context(hits), bench)
+
+
+# ---------------------------------------------------------------- M1: pages
+from ..operators import pages as P  # noqa: E402
+from . import sqlfrag as S  # noqa: E402
+
+RUN_TS = 1717171717.5  # record timestamp (epoch seconds) used by registered queries
+
+
+def _pages(spark, d):
+    return table(spark, d, "pages")
+
+
+@register("page_hosts", sql=f"""
+SELECT {S.netloc('url')} AS host, count(*) AS n_pages FROM pages GROUP BY 1
+""")
+def page_hosts(spark, d):
+    return P.page_hosts(_pages(spark, d))
+
+
+@register("page_text", sql=S.PAGE_TEXT)
+def page_text(spark, d):
+    return P.page_text(_pages(spark, d))
+
+
+@register("extract_rejects")
+def extract_rejects(spark, d):
+    return P.extract_rejects(_pages(spark, d))
+
+
+@register("page_title_content", sql=f"""
+SELECT page_id, url, {S.nonempty(S.nodes('h', 'title'))}[1] AS title,
+       array_to_string({S.nonempty(S.nodes('h', 'p'))}, ' ') AS content
+FROM ({S.CLEAN_PAGES})
+""")
+def page_title_content(spark, d):
+    return P.page_title_content(_pages(spark, d))
+
+
+@register("page_links", sql=S.PAGE_LINKS)
+def page_links(spark, d):
+    return P.page_links(_pages(spark, d))
+
+
+@register("internal_links", sql=f"""
+WITH l AS (SELECT page_id, page_id // 4 AS batch_id, {S.netloc('url')} AS host, link,
+                  {S.netloc('link')} AS link_host
+           FROM ({S.PAGE_LINKS}) WHERE starts_with(link, 'http')),
+allowed AS (SELECT DISTINCT page_id // 4 AS batch_id, {S.netloc('url')} AS link_host FROM pages)
+SELECT page_id, batch_id, host, link, link_host FROM l
+WHERE EXISTS (SELECT 1 FROM allowed a WHERE a.batch_id = l.batch_id AND a.link_host = l.link_host)
+""")
+def internal_links(spark, d):
+    return P.internal_links(_pages(spark, d))
+
+
+_SQL_ROOT_LINKS = f"""
+WITH l AS (SELECT page_id, page_id // 4 AS batch_id, link,
+                  {S.root_domain(S.hostname('link'))} AS root_domain
+           FROM ({S.PAGE_LINKS})),
+s AS (SELECT batch_id, {S.root_domain(S.hostname('first_seed'))} AS start_root
+      FROM (SELECT page_id // 4 AS batch_id, arg_min(url, page_id) AS first_seed
+            FROM pages GROUP BY 1))
+SELECT page_id, batch_id, link, root_domain FROM l
+WHERE {{neg}} EXISTS (SELECT 1 FROM s WHERE s.batch_id = l.batch_id AND s.start_root = l.root_domain)
+"""
+
+
+@register("root_domain_links", sql=_SQL_ROOT_LINKS.format(neg=""))
+def root_domain_links(spark, d):
+    return P.root_domain_links(_pages(spark, d))
+
+
+@register("root_domain_skipped", sql=_SQL_ROOT_LINKS.format(neg="NOT"))
+def root_domain_skipped(spark, d):
+    return P.root_domain_links(_pages(spark, d), keep=False)
+
+
+@register("clean_urls", sql=r"""
+SELECT page_id, url,
+  CASE WHEN regexp_matches(url, '[?&]ref=[^&#]') THEN
+    regexp_extract(url, '^([^?#]*)', 1)
+    || CASE WHEN q <> '' THEN '?' || q ELSE '' END
+    || regexp_extract(url, '(#.*)$', 1)
+  ELSE url END AS clean_url
+FROM (SELECT page_id, url,
+        array_to_string(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'),
+                        lambda x: NOT starts_with(x, 'ref=') AND regexp_matches(x, '=.')), '&') AS q
+      FROM pages)
+""")
+def clean_urls(spark, d):
+    return P.clean_urls(_pages(spark, d), param="ref")
+
+
+@register("root_domains", sql=f"""
+SELECT page_id, {S.hostname('url')} AS hostname, {S.root_domain(S.hostname('url'))} AS root_domain
+FROM pages
+""")
+def root_domains(spark, d):
+    return P.root_domains(_pages(spark, d))
+
+
+@register("distinct_pages", sql="""
+SELECT regexp_replace(url, '#.*$', '') AS url_key, min(page_id) AS page_id FROM pages GROUP BY 1
+""")
+def distinct_pages(spark, d):
+    return P.distinct_pages(_pages(spark, d))
+
+
+_FIXED = 41 + len(repr(RUN_TS))
+_SQL_RECORDS = f"""
+SELECT page_id, host, url, content, {RUN_TS!r} AS timestamp,
+       CAST({_FIXED} + {S.json_len('url')} + {S.json_len('content')} AS BIGINT) AS record_size
+FROM ({S.PAGE_TEXT})
+"""
+
+
+@register("host_pages", sql=f"""
+SELECT host, count(*) AS n_records, CAST(sum(record_size) AS BIGINT) AS buffer_chars
+FROM ({_SQL_RECORDS}) GROUP BY host
+""")
+def host_pages(spark, d):
+    return P.host_pages(_pages(spark, d), RUN_TS)
