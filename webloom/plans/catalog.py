@@ -209,3 +209,161 @@ FROM ({_SQL_RECORDS}) GROUP BY host
 """)
 def host_pages(spark, d):
     return P.host_pages(_pages(spark, d), RUN_TS)
+
+
+# ---------------------------------------------------------------- M2: answer store
+from ..operators import answers as A  # noqa: E402
+from ..operators import freshness as FR  # noqa: E402
+from ..functions.text import normalise_answer  # noqa: E402
+from ..functions.urls import netloc as _netloc  # noqa: E402
+
+NOW = "2024-02-05 00:00:00"   # evaluation clock of the freshness queries
+FRESH_DAYS = 10               # max age used by the freshness queries
+
+_SQL_PAIRS = """
+pairs AS (SELECT u.conv_id * 100000 + a.turn AS answer_id, u.text AS question, a.text AS answer
+          FROM conversations u JOIN conversations a
+            ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+          WHERE u.role = 'user' AND a.role = 'assistant')
+"""
+
+
+def _pairs(spark, d):
+    return A.conversation_pairs(table(spark, d, "conversations"))
+
+
+@register("first_answer", sql="WITH " + _SQL_PAIRS + """
+SELECT question, CAST(min(answer_id) AS BIGINT) AS answer_id,
+       arg_min(answer, answer_id) AS answer FROM pairs GROUP BY question
+""")
+def first_answer(spark, d):
+    return A.first_per_question(_pairs(spark, d))
+
+
+@register("cache_lookup", sql="WITH " + _SQL_PAIRS + """,
+f AS (SELECT question, min(answer_id) AS answer_id, arg_min(answer, answer_id) AS answer
+      FROM pairs GROUP BY question),
+q AS (SELECT DISTINCT text AS question FROM conversations WHERE role = 'user')
+SELECT q.question, CAST(f.answer_id AS BIGINT) AS answer_id, f.answer
+FROM q LEFT JOIN f ON f.question = q.question
+""")
+def cache_lookup(spark, d):
+    conv = table(spark, d, "conversations")
+    qs = conv.where(F.col("role") == "user").select(F.col("text").alias("question"))
+    return A.cache_lookup(qs, _pairs(spark, d))
+
+
+@register("valid_answers", sql="WITH " + _SQL_PAIRS + """
+SELECT answer_id, question, answer FROM pairs WHERE answer IS NOT NULL AND answer <> ''
+""")
+def valid_answers(spark, d):
+    return A.valid_answers(_pairs(spark, d)).select("answer_id", "question", "answer")
+
+
+@register("answers_append", sql="WITH " + _SQL_PAIRS + """
+SELECT answer_id, question, answer, CAST(0.0 AS DOUBLE) AS confidence,
+       CAST(0 AS BIGINT) AS feedback_count, CAST(0.0 AS DOUBLE) AS feedback_sum,
+       CAST(0.0 AS DOUBLE) AS average_feedback
+FROM pairs WHERE answer IS NOT NULL AND answer <> ''
+""")
+def answers_append(spark, d):
+    rows = A.answer_rows(A.storable(_pairs(spark, d)), ts=NOW, id_col="answer_id")
+    return rows.drop("ts", "sources")
+
+
+@register("distinct_answers", sql=f"""
+SELECT DISTINCT {S.py_strip('lower(text)')} AS answer_norm FROM documents
+""")
+def distinct_answers(spark, d):
+    return (table(spark, d, "documents")
+            .select(normalise_answer(F.col("text")).alias("answer_norm")).distinct())
+
+
+@register("doc_sources", sql="SELECT DISTINCT source FROM documents")
+def doc_sources(spark, d):
+    return table(spark, d, "documents").select("source").distinct()
+
+
+@register("feedback_stats", sql="""
+SELECT user_id AS question, count(*) AS feedback_count,
+       CAST(round(sum(CAST(value AS DECIMAL(38,10))), 4) AS DOUBLE) AS feedback_sum,
+       round(CAST(sum(CAST(value AS DECIMAL(38,10))) AS DOUBLE) / count(*), 6) AS average_feedback
+FROM events GROUP BY user_id
+""")
+def feedback_stats(spark, d):
+    ev = table(spark, d, "events").select(F.col("user_id").alias("question"),
+                                          F.col("value").alias("rating"))
+    return A.feedback_stats(ev)
+
+
+def _conv_feedback(spark, d):
+    ev, conv = table(spark, d, "events"), table(spark, d, "conversations")
+    first_q = conv.where((F.col("turn") == 0) & (F.col("role") == "user")).select(
+        F.col("conv_id").alias("user_id"), F.col("text").alias("question"))
+    return ev.join(first_q, "user_id").select("question", F.col("value").alias("rating"))
+
+
+@register("feedback_confidence", sql="WITH " + _SQL_PAIRS + """,
+first AS (SELECT question, min(answer_id) AS answer_id FROM pairs GROUP BY question),
+fb AS (SELECT c.text AS question, count(*) AS n, CAST(sum(CAST(e.value AS DECIMAL(38,10))) AS DOUBLE) AS s
+       FROM events e JOIN conversations c ON c.conv_id = e.user_id AND c.turn = 0 AND c.role = 'user'
+       GROUP BY 1),
+rated AS (SELECT p.question, p.answer_id, p.answer, round(fb.s / fb.n, 6) AS score
+          FROM pairs p JOIN first f ON f.answer_id = p.answer_id JOIN fb ON fb.question = p.question),
+best AS (SELECT question, arg_min(answer, answer_id) AS answer, arg_min(score, answer_id) AS score
+         FROM rated GROUP BY question)
+SELECT q.question, best.answer, round(coalesce(best.score, 0.0), 6) AS confidence
+FROM (SELECT DISTINCT question FROM pairs) q LEFT JOIN best ON best.question = q.question
+""")
+def feedback_confidence(spark, d):
+    store = A.apply_feedback(_pairs(spark, d), _conv_feedback(spark, d))
+    return A.feedback_confidence(store)
+
+
+_SQL_LISTING = f"""
+listing AS (SELECT {S.netloc('p.url')} AS host, e.ts AS ts FROM events e
+            JOIN pages p ON p.page_id = e.user_id WHERE e.event_type = 'purchase'),
+fresh AS (SELECT DISTINCT host FROM listing
+          WHERE ts > TIMESTAMP '{NOW}' - INTERVAL {FRESH_DAYS + 1} DAY)
+"""
+
+
+def _listing(spark, d):
+    ev = table(spark, d, "events").where(F.col("event_type") == "purchase")
+    pg = table(spark, d, "pages")
+    return ev.join(pg.select(F.col("page_id").alias("user_id"), "url"), "user_id") \
+             .select(_netloc(F.col("url")).alias("host"), "ts")
+
+
+def _urls(spark, d):
+    return table(spark, d, "pages").select("page_id", "url", _netloc(F.col("url")).alias("host"))
+
+
+@register("fresh_hosts", sql=f"""
+SELECT user_id AS host, bool_or(ts > TIMESTAMP '{NOW}' - INTERVAL {FRESH_DAYS + 1} DAY) AS fresh
+FROM events WHERE event_type = 'purchase' AND ts IS NOT NULL GROUP BY user_id
+""")
+def fresh_hosts(spark, d):
+    ev = table(spark, d, "events").where(F.col("event_type") == "purchase")
+    return FR.fresh_hosts(ev.select(F.col("user_id").alias("host"), "ts"), NOW, FRESH_DAYS)
+
+
+@register("urls_fresh", sql="WITH " + _SQL_LISTING + f"""
+SELECT page_id, url, {S.netloc('url')} AS host FROM pages
+WHERE {S.netloc('url')} IN (SELECT host FROM fresh)
+""")
+def urls_fresh(spark, d):
+    return FR.split_urls(_urls(spark, d), _listing(spark, d), NOW, FRESH_DAYS)[0]
+
+
+@register("urls_stale", sql="WITH " + _SQL_LISTING + f"""
+SELECT page_id, url, {S.netloc('url')} AS host FROM pages
+WHERE {S.netloc('url')} NOT IN (SELECT host FROM fresh)
+""")
+def urls_stale(spark, d):
+    return FR.split_urls(_urls(spark, d), _listing(spark, d), NOW, FRESH_DAYS)[1]
+
+
+@register("url_batches", sql="SELECT page_id, url, page_id // 2 AS batch_id FROM pages")
+def url_batches(spark, d):
+    return P.seed_batches(table(spark, d, "pages").select("page_id", "url"), batch_size=2)
