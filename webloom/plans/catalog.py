@@ -367,3 +367,134 @@ def urls_stale(spark, d):
 @register("url_batches", sql="SELECT page_id, url, page_id // 2 AS batch_id FROM pages")
 def url_batches(spark, d):
     return P.seed_batches(table(spark, d, "pages").select("page_id", "url"), batch_size=2)
+
+
+# ---------------------------------------------------------------- M3: vectors, reconcile
+from ..operators import similarity as V  # noqa: E402
+from ..operators import reconcile as RC  # noqa: E402
+
+PAIR_T = 0.3       # whole-table neighbourhood threshold (0.85 gives only singletons here)
+GROUP_T = 0.15     # threshold inside the question groups
+N_QUESTIONS = 50   # embeddings form question groups by vec_id % 50
+
+_SQL_EMB = """
+a AS (SELECT vec_id % 50 AS question, vec_id AS id, label AS answer,
+             label / CAST(10.0 AS DOUBLE) AS confidence,
+             CAST(embedding AS DOUBLE[]) AS e,
+             sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS nrm
+      FROM embeddings)
+"""
+_COS = "CASE WHEN x.nrm * y.nrm > 0 THEN list_dot_product(x.e, y.e) / (x.nrm * y.nrm) ELSE 0.0 END"
+
+
+def _emb(spark, d):
+    return table(spark, d, "embeddings")
+
+
+def _emb_answers(spark, d):
+    e = _emb(spark, d)
+    return e.select((F.col("vec_id") % N_QUESTIONS).alias("question"),
+                    F.col("vec_id").alias("answer_id"), F.col("label").alias("answer"),
+                    (F.col("label") / F.lit(10.0)).alias("confidence"), "embedding")
+
+
+@register("knn_top4", sql="WITH " + _SQL_EMB + f"""
+SELECT qid, CAST(rank AS INTEGER) AS rank, did, sim FROM (
+  SELECT x.id AS qid, y.id AS did, round({_COS}, 6) AS sim,
+         row_number() OVER (PARTITION BY x.id ORDER BY round({_COS}, 6) DESC, y.id) AS rank
+  FROM a x, a y) WHERE rank <= 4
+""")
+def knn_top4(spark, d):
+    e = _emb(spark, d)
+    return V.knn(e, e, 4)
+
+
+@register("knn_top4_same_label", sql="WITH " + _SQL_EMB + f"""
+SELECT label, qid, CAST(rank AS INTEGER) AS rank, did, sim FROM (
+  SELECT x.answer AS label, x.id AS qid, y.id AS did, round({_COS}, 6) AS sim,
+         row_number() OVER (PARTITION BY x.id ORDER BY round({_COS}, 6) DESC, y.id) AS rank
+  FROM a x JOIN a y ON x.answer = y.answer) WHERE rank <= 4
+""")
+def knn_top4_same_label(spark, d):
+    e = _emb(spark, d)
+    return V.knn(e, e, 4, scope="label")
+
+
+_SQL_GLOBAL_PAIRS = "WITH " + _SQL_EMB + f""",
+p AS (SELECT x.id AS i, y.id AS j, {_COS} AS sim FROM a x, a y WHERE {_COS} >= {PAIR_T})
+"""
+
+
+def _global_pairs(spark, d):
+    return V.similarity_pairs(_emb(spark, d), PAIR_T)
+
+
+@register("similar_pairs", sql=_SQL_GLOBAL_PAIRS + "SELECT i, j, round(sim, 6) AS sim FROM p")
+def similar_pairs(spark, d):
+    return _global_pairs(spark, d).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
+@register("neighbour_counts", sql=_SQL_GLOBAL_PAIRS + "SELECT i, count(*) AS n FROM p GROUP BY i")
+def neighbour_counts(spark, d):
+    return RC.neighbour_counts(_global_pairs(spark, d))
+
+
+_SQL_GROUP_PAIRS = "WITH " + _SQL_EMB + f""",
+p AS (SELECT x.question, x.id AS i, y.id AS j FROM a x JOIN a y ON x.question = y.question
+      WHERE {_COS} >= {GROUP_T}),
+n AS (SELECT question, i, count(*) AS n FROM p GROUP BY 1, 2),
+b AS (SELECT question, i, n AS size FROM (
+        SELECT *, row_number() OVER (PARTITION BY question ORDER BY n DESC, i) AS r FROM n)
+      WHERE r = 1),
+m AS (SELECT p.question, b.size, a.answer, a.confidence FROM p
+      JOIN b ON b.question = p.question AND b.i = p.i
+      JOIN a ON a.id = p.j),
+v AS (SELECT question, answer FROM (
+        SELECT question, answer, row_number() OVER (PARTITION BY question ORDER BY count(*) DESC, answer) AS r
+        FROM m GROUP BY question, answer) WHERE r = 1),
+ba AS (SELECT v.question, v.answer, round(c.conf, 6) AS confidence, c.size FROM v
+       JOIN (SELECT question, avg(confidence) AS conf, any_value(size) AS size FROM m GROUP BY 1) c
+       ON c.question = v.question)
+"""
+
+
+def _group_pairs(spark, d):
+    return RC.neighbourhoods(_emb_answers(spark, d), GROUP_T)
+
+
+@register("clusters", sql=_SQL_GROUP_PAIRS + "SELECT question, i, j FROM p")
+def clusters(spark, d):
+    return _group_pairs(spark, d)
+
+
+@register("best_cluster", sql=_SQL_GROUP_PAIRS + "SELECT question, i, size FROM b")
+def best_cluster(spark, d):
+    return RC.best_cluster(_group_pairs(spark, d))
+
+
+def _best_answer(spark, d):
+    return RC.best_answer(_emb_answers(spark, d), _group_pairs(spark, d))
+
+
+@register("best_answer", sql=_SQL_GROUP_PAIRS + "SELECT question, answer, confidence, size FROM ba")
+def best_answer(spark, d):
+    return _best_answer(spark, d)
+
+
+@register("confident_answers", sql=_SQL_GROUP_PAIRS + """
+SELECT question, answer, confidence, size FROM ba WHERE confidence >= 0.6
+""")
+def confident_answers(spark, d):
+    return RC.confident(_best_answer(spark, d))
+
+
+@register("answer_sources", sql="""
+SELECT DISTINCT lang AS question, source FROM documents
+WHERE text IS NOT NULL AND text <> '' AND source IS NOT NULL
+""")
+def answer_sources(spark, d):
+    docs = table(spark, d, "documents")
+    per_host = docs.select(F.col("lang").alias("question"), F.col("text").alias("answer"),
+                           F.when(F.col("source").isNotNull(), F.array("source"))
+                           .otherwise(F.array().cast("array<string>")).alias("sources"))
+    return RC.answer_sources(per_host)
