@@ -79,7 +79,7 @@ PAIR_SCHEMA = "_scope {t}, i long, j long, sim double"
 
 
 def _pairs_fn(threshold: float):
-    def fn(key, lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+    def fn(key, lp, rp):
         if len(lp) == 0 or len(rp) == 0:
             return pd.DataFrame({"_scope": [], "i": [], "j": [], "sim": []})
         S = _cosine_block(lp, rp)
@@ -124,7 +124,7 @@ KNN_SCHEMA = "_scope {t}, qid long, did long, sim double"
 
 
 def _knn_fn(k: int):
-    def fn(key, qp: pd.DataFrame, cp: pd.DataFrame) -> pd.DataFrame:
+    def fn(key, qp, cp):
         if len(qp) == 0 or len(cp) == 0:
             return pd.DataFrame({"_scope": [], "qid": [], "did": [], "sim": []})
         S = _cosine_block(qp, cp)

@@ -498,3 +498,116 @@ def answer_sources(spark, d):
                            F.when(F.col("source").isNotNull(), F.array("source"))
                            .otherwise(F.array().cast("array<string>")).alias("sources"))
     return RC.answer_sources(per_host)
+
+
+# ---------------------------------------------------------------- M4: splitting, chunk files
+from ..operators import chunks as CH  # noqa: E402
+from ..sinks import chunkfiles as KF  # noqa: E402
+from ..sinks import store as ST  # noqa: E402
+from ..sources import chunkfiles as SF  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+
+ASSIGN_LIMIT = 20_000  # flush size for the registered chunk queries (hosts here are small)
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents")
+
+
+@register("doc_chunks")
+def doc_chunks(spark, d):
+    return CH.split_documents(_docs(spark, d))
+
+
+@register("chunk_counts")
+def chunk_counts(spark, d):
+    return CH.chunk_counts(CH.split_documents(_docs(spark, d)))
+
+
+@register("record_size", sql=f"""
+SELECT doc_id, CAST({_FIXED} + {S.json_len('source')} + {S.json_len('text')} AS BIGINT) AS record_size
+FROM documents
+""")
+def record_size(spark, d):
+    docs = _docs(spark, d)
+    return docs.select("doc_id", CH.record_size(F.col("source"), F.col("text"), RUN_TS).alias("record_size"))
+
+
+@register("chunk_assign", sql=f"""
+WITH RECURSIVE rec AS (
+  SELECT host, page_id, record_size AS size,
+         row_number() OVER (PARTITION BY host ORDER BY page_id) AS rn
+  FROM ({_SQL_RECORDS})),
+walk AS (
+  SELECT host, rn, page_id, CAST(0 AS BIGINT) AS chunk_no,
+         CASE WHEN size >= {ASSIGN_LIMIT} THEN 0 ELSE size END AS fill,
+         CASE WHEN size >= {ASSIGN_LIMIT} THEN 1 ELSE 0 END AS nxt
+  FROM rec WHERE rn = 1
+  UNION ALL
+  SELECT r.host, r.rn, r.page_id, w.nxt,
+         CASE WHEN w.fill + r.size >= {ASSIGN_LIMIT} THEN 0 ELSE w.fill + r.size END,
+         w.nxt + CASE WHEN w.fill + r.size >= {ASSIGN_LIMIT} THEN 1 ELSE 0 END
+  FROM walk w JOIN rec r ON r.host = w.host AND r.rn = w.rn + 1)
+SELECT host, page_id, chunk_no FROM walk
+""")
+def chunk_assign(spark, d):
+    recs = P.page_records(_pages(spark, d), RUN_TS)
+    return CH.assign_chunks(recs, ASSIGN_LIMIT).withColumnRenamed("ord", "page_id")
+
+
+def _written_page_chunks(spark, d):
+    recs = P.page_records(_pages(spark, d), RUN_TS)
+    assigned = CH.assign_chunks(recs, ASSIGN_LIMIT).withColumnRenamed("ord", "page_id")
+    recs = recs.join(assigned.drop("host"), "page_id")
+    path = scratch_path(spark, "page-chunks")
+    KF.write_chunk_files(recs, path)
+    return path
+
+
+@register("chunk_roundtrip", sql=f"""
+SELECT host, url, content, timestamp FROM ({_SQL_RECORDS})
+""")
+def chunk_roundtrip(spark, d):
+    path = _written_page_chunks(spark, d)
+    return SF.scan_chunks(spark, path).select("host", "url", "content", "timestamp")
+
+
+def _written_doc_chunks(spark, d):
+    docs = _docs(spark, d)
+    recs = docs.select(F.col("doc_id").alias("page_id"), F.col("source").alias("host"),
+                       F.col("source").alias("url"), F.col("text").alias("content"),
+                       F.lit(RUN_TS).alias("timestamp"),
+                       CH.record_size(F.col("source"), F.col("text"), RUN_TS).alias("record_size"))
+    assigned = CH.assign_chunks(recs).withColumnRenamed("ord", "page_id")
+    path = scratch_path(spark, "doc-chunks")
+    KF.write_chunk_files(recs.join(assigned.drop("host"), "page_id"), path)
+    return path
+
+
+@register("chunk_scan", sql="""
+SELECT source AS host, source AS url, text AS content FROM documents
+""")
+def chunk_scan(spark, d):
+    path = _written_doc_chunks(spark, d)
+    return SF.scan_chunks(spark, path).select("host", "url", "content")
+
+
+@register("chunk_rejects")
+def chunk_rejects(spark, d):
+    path = _written_doc_chunks(spark, d)
+    return SF.chunk_rejects(spark, path)
+
+
+@register("legacy_content", sql="SELECT text AS content FROM documents")
+def legacy_content(spark, d):
+    path = _written_doc_chunks(spark, d)
+    return SF.require_rows(SF.legacy_content(spark, path))
+
+
+@register("index_idempotent")
+def index_idempotent(spark, d):
+    chunks = CH.split_documents(_docs(spark, d))
+    path = scratch_path(spark, "index")
+    ST.append_index(chunks, path)
+    ST.append_index(chunks, path)   # a second load adds nothing
+    return spark.read.parquet(path)
