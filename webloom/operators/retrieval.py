@@ -27,53 +27,58 @@ def well_formed_documents(records: DataFrame, content_col: str = "content",
                     F.col(url_col).alias("source")))
 
 
-def term_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, token, tf)``: token counts per text (the lexical embedding)."""
-    return (df.select(F.col(id_col).alias("id"),
-                      F.explode(tokens(F.col(text_col))).alias("token"))
-            .groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf")))
+def term_rows(df: DataFrame, id_col: str, text_col: str, scope: str | None = None) -> DataFrame:
+    """``([scope,] id, token, tf)``: token counts per text (the lexical embedding)."""
+    keys = ([F.col(scope)] if scope else []) + [F.col(id_col).alias("id")]
+    out = (df.select(*keys, F.explode(tokens(F.col(text_col))).alias("token"))
+           .groupBy(*([scope] if scope else []), "id", "token")
+           .agg(F.count(F.lit(1)).alias("tf")))
+    return out
 
 
-def _norms(terms: DataFrame) -> DataFrame:
-    return terms.groupBy("id").agg(
+def _norms(terms: DataFrame, scope: str | None = None) -> DataFrame:
+    return terms.groupBy(*([scope] if scope else []), "id").agg(
         F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
 
 
 def lexical_scores(questions: DataFrame, corpus: DataFrame, *,
                    q_id: str, q_text: str, d_id: str, d_text: str,
-                   max_doc_freq: int | None = None) -> DataFrame:
-    """Cosine of token-count vectors for every (question, passage) sharing a token.
+                   scope: str | None = None, max_doc_freq: int | None = None,
+                   rounded: bool = True) -> DataFrame:
+    """Cosine of token-count vectors for every (question, passage) sharing a token
+    (and the same ``scope`` value when given: e.g. a host, or a question).
 
     ``max_doc_freq`` (off by default, changes results) drops tokens present in
     more passages than that before the join, bounding hot-token fan-out.
     """
-    qt = term_rows(questions, q_id, q_text)
-    dt = term_rows(corpus, d_id, d_text)
-    qn = _norms(qt).withColumnRenamed("id", "qid").withColumnRenamed("norm", "qnorm")
-    dn = _norms(dt).withColumnRenamed("id", "did").withColumnRenamed("norm", "dnorm")
+    sc = [scope] if scope else []
+    qt = term_rows(questions, q_id, q_text, scope)
+    dt = term_rows(corpus, d_id, d_text, scope)
+    qn = _norms(qt, scope).withColumnRenamed("id", "qid").withColumnRenamed("norm", "qnorm")
+    dn = _norms(dt, scope).withColumnRenamed("id", "did").withColumnRenamed("norm", "dnorm")
     if max_doc_freq is not None:
-        frequent = (dt.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-                    .where(F.col("df") > max_doc_freq).select("token"))
-        dt = dt.join(frequent, "token", "left_anti")
-    dots = (qt.select(F.col("id").alias("qid"), "token", F.col("tf").alias("qtf"))
-            .join(dt.select(F.col("id").alias("did"), "token", F.col("tf").alias("dtf")),
-                  "token")
-            .groupBy("qid", "did")
+        frequent = (dt.groupBy(*sc, "token").agg(F.count(F.lit(1)).alias("df"))
+                    .where(F.col("df") > max_doc_freq).select(*sc, "token"))
+        dt = dt.join(frequent, sc + ["token"], "left_anti")
+    dots = (qt.select(*sc, F.col("id").alias("qid"), "token", F.col("tf").alias("qtf"))
+            .join(dt.select(*sc, F.col("id").alias("did"), "token", F.col("tf").alias("dtf")),
+                  sc + ["token"])
+            .groupBy(*sc, "qid", "did")
             .agg(F.sum(F.col("qtf") * F.col("dtf")).alias("dot")))
-    return (dots.join(qn, "qid").join(dn, "did")
-            .select("qid", "did",
-                    F.round(F.col("dot") / (F.col("qnorm") * F.col("dnorm")), 6)
-                    .alias("sim")))
+    sim = F.col("dot") / (F.col("qnorm") * F.col("dnorm"))
+    return (dots.join(qn, sc + ["qid"]).join(dn, sc + ["did"])
+            .select(*sc, "qid", "did", (F.round(sim, 6) if rounded else sim).alias("sim")))
 
 
-def top_k(scores: DataFrame, k: int = C.TOP_K, *, by: str = "qid",
+def top_k(scores: DataFrame, k: int = C.TOP_K, *, by: str | list[str] = "qid",
           score: str = "sim", tie: str = "did") -> DataFrame:
     """Keep the k best rows per ``by`` (score desc, then ``tie`` asc) with ``rank``.
 
     ``row_number() <= k`` lets Spark insert a partial WindowGroupLimit before
     the shuffle, so at most k rows per key and map task cross the network.
     """
-    w = Window.partitionBy(by).orderBy(F.col(score).desc(), F.col(tie).asc())
+    w = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(
+        F.col(score).desc(), F.col(tie).asc())
     return (scores.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k))
 

@@ -505,7 +505,7 @@ from ..operators import chunks as CH  # noqa: E402
 from ..sinks import chunkfiles as KF  # noqa: E402
 from ..sinks import store as ST  # noqa: E402
 from ..sources import chunkfiles as SF  # noqa: E402
-from ..session import scratch_path  # noqa: E402
+from ..session import cut_lineage, scratch_path  # noqa: E402
 
 ASSIGN_LIMIT = 20_000  # flush size for the registered chunk queries (hosts here are small)
 
@@ -611,3 +611,62 @@ def index_idempotent(spark, d):
     ST.append_index(chunks, path)
     ST.append_index(chunks, path)   # a second load adds nothing
     return spark.read.parquet(path)
+
+
+# ---------------------------------------------------------------- M5: frontier
+from ..operators import frontier as FT  # noqa: E402
+
+REACH_MIN_QTY = 49   # supplier-part edges kept for the reachability query
+REACH_SEED = "s1"    # start node (supplier 1)
+
+
+def _supply_edges(spark, d):
+    li = table(spark, d, "lineitem").where(F.col("l_quantity") >= REACH_MIN_QTY)
+    s = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    p = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
+    return li.select(s.alias("src"), p.alias("dst")).unionByName(
+        li.select(p.alias("src"), s.alias("dst")))
+
+
+@register("reach_depth", sql=f"""
+WITH e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst
+           FROM lineitem WHERE l_quantity >= {REACH_MIN_QTY}
+           UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey
+           FROM lineitem WHERE l_quantity >= {REACH_MIN_QTY}),
+d0 AS (SELECT '{REACH_SEED}' AS node),
+d1 AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM d0)
+       AND dst NOT IN (SELECT node FROM d0)),
+d2 AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM d1)
+       AND dst NOT IN (SELECT node FROM d0 UNION SELECT node FROM d1)),
+d3 AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM d2)
+       AND dst NOT IN (SELECT node FROM d0 UNION SELECT node FROM d1 UNION SELECT node FROM d2))
+SELECT node, 0 AS depth, '{REACH_SEED}' AS seed FROM d0
+UNION ALL SELECT node, 1, '{REACH_SEED}' FROM d1
+UNION ALL SELECT node, 2, '{REACH_SEED}' FROM d2
+UNION ALL SELECT node, 3, '{REACH_SEED}' FROM d3
+""")
+def reach_depth(spark, d):
+    seeds = spark.range(1).select(F.lit(REACH_SEED).alias("node"), F.lit(REACH_SEED).alias("seed"))
+    return FT.reach(_supply_edges(spark, d), seeds, 3)
+
+
+# ---------------------------------------------------------------- M6: ask
+from ..operators import ask as AK  # noqa: E402
+
+
+def _passages(spark, d):
+    chunks = CH.split_documents(_docs(spark, d))
+    return chunks.select((F.col("doc_id") * F.lit(100000) + F.col("chunk_index")).alias("pid"),
+                         F.col("source").alias("host"), "source", "chunk")
+
+
+def _bench_questions(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"),
+                                               F.col("text").alias("question"))
+
+
+@register("ask")
+def ask(spark, d):
+    store = A.answer_rows(_pairs(spark, d), ts=NOW, id_col="answer_id")
+    index = cut_lineage(_passages(spark, d))   # the passage index, built once
+    return AK.ask(_bench_questions(spark, d), index, store, scope="host")
