@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from ..operators import retrieval as R
-from .registry import register
+from .registry import ORACLE_SQL, register
 
 # ---------------------------------------------------------------- M0: retrieval
 
@@ -670,3 +670,59 @@ def ask(spark, d):
     store = A.answer_rows(_pairs(spark, d), ts=NOW, id_col="answer_id")
     index = cut_lineage(_passages(spark, d))   # the passage index, built once
     return AK.ask(_bench_questions(spark, d), index, store, scope="host")
+
+
+# ---------------------------------------------------------------- M7: streaming
+from ..streaming import chunk_state as SS  # noqa: E402
+from ..streaming import feedback as SFB  # noqa: E402
+from ..streaming import ingest as SI  # noqa: E402
+
+STREAM_SLICES = 4   # the page-record stream arrives as 4 files in page order
+
+
+@register("stream_ingest")
+def stream_ingest(spark, d):
+    src = _written_doc_chunks(spark, d)
+    index = scratch_path(spark, "stream-index")
+    q = SI.ingest_chunk_files(spark, src, index, scratch_path(spark, "stream-ingest-ckpt"),
+                              files_per_batch=8)
+    q.awaitTermination()
+    return spark.read.parquet(index)
+
+
+@register("stream_chunk_assign", sql=ORACLE_SQL["chunk_assign"])
+def stream_chunk_assign(spark, d):
+    recs = P.page_records(_pages(spark, d), RUN_TS).select(
+        F.col("host"), F.col("page_id").alias("ord"), F.col("record_size").alias("size"))
+    src = scratch_path(spark, "record-stream")
+    recs = cut_lineage(recs)
+    bounds = recs.agg(F.min("ord"), F.max("ord")).first()
+    lo, hi = int(bounds[0]), int(bounds[1])
+    step = max(1, (hi - lo + STREAM_SLICES) // STREAM_SLICES)
+    for s in range(lo, hi + 1, step):   # one file per slice, oldest first = page order
+        (recs.where((F.col("ord") >= s) & (F.col("ord") < s + step)).coalesce(1)
+         .write.mode("append").parquet(src))
+    stream = (spark.readStream.schema("host string, ord long, size long")
+              .option("maxFilesPerTrigger", 1).parquet(src))
+    out = scratch_path(spark, "stream-chunks")
+
+    def batch(df, epoch_id):
+        df.write.mode("append").parquet(out)
+    q = (SS.assign_chunks_stream(stream, ASSIGN_LIMIT).writeStream.outputMode("append")
+         .foreachBatch(batch).option("checkpointLocation", scratch_path(spark, "stream-chunks-ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).select("host", F.col("ord").alias("page_id"), "chunk_no")
+
+
+@register("stream_feedback", sql=ORACLE_SQL["feedback_stats"])
+def stream_feedback(spark, d):
+    schema = table(spark, d, "events").schema
+    ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+          .option("maxFilesPerTrigger", 1).parquet(d))
+    stats = SFB.running_feedback(ev.select(F.col("user_id").alias("question"),
+                                           F.col("value").alias("rating")))
+    out = scratch_path(spark, "stream-feedback")
+    q = SFB.write_snapshot(stats, out, scratch_path(spark, "stream-feedback-ckpt"))
+    q.awaitTermination()
+    return spark.read.parquet(out)
