@@ -27,13 +27,33 @@ def well_formed_documents(records: DataFrame, content_col: str = "content",
                     F.col(url_col).alias("source")))
 
 
+def explode_tokens(df: DataFrame, keys: list, arr) -> DataFrame:
+    """One row per token occurrence.
+
+    ``explode_outer`` + a NULL filter rather than ``explode``: for ``explode``
+    Catalyst infers a ``size(array) > 0`` filter below the generator, which
+    evaluates the tokenising regex again for every row.
+    """
+    return (df.select(*keys, F.explode_outer(arr).alias("token"))
+            .where(F.col("token").isNotNull()))
+
+
 def term_rows(df: DataFrame, id_col: str, text_col: str, scope: str | None = None) -> DataFrame:
-    """``([scope,] id, token, tf)``: token counts per text (the lexical embedding)."""
-    keys = ([F.col(scope)] if scope else []) + [F.col(id_col).alias("id")]
-    out = (df.select(*keys, F.explode(tokens(F.col(text_col))).alias("token"))
-           .groupBy(*([scope] if scope else []), "id", "token")
-           .agg(F.count(F.lit(1)).alias("tf")))
-    return out
+    """``([scope,] id, token, tf)``: token counts per text (the lexical embedding).
+
+    Rows without an id (or scope) are dropped here, explicitly: the same
+    filters a join on these keys would infer, so every consumer of one term
+    table plans the identical subtree and Spark reuses its exchange instead
+    of tokenising the corpus again.
+    """
+    sc = [scope] if scope else []
+    keys = [F.col(c) for c in sc] + [F.col(id_col).alias("id")]
+    src = df.where(F.col(id_col).isNotNull())
+    for c in sc:
+        src = src.where(F.col(c).isNotNull())
+    return (explode_tokens(src, keys, tokens(F.col(text_col)))
+            .groupBy(*sc, "id", "token")
+            .agg(F.count(F.lit(1)).alias("tf")))
 
 
 def _norms(terms: DataFrame, scope: str | None = None) -> DataFrame:
