@@ -699,8 +699,12 @@ def stream_chunk_assign(spark, d):
     bounds = recs.agg(F.min("ord"), F.max("ord")).first()
     lo, hi = int(bounds[0]), int(bounds[1])
     step = max(1, (hi - lo + STREAM_SLICES) // STREAM_SLICES)
-    for s in range(lo, hi + 1, step):   # one file per slice, oldest first = page order
-        (recs.where((F.col("ord") >= s) & (F.col("ord") < s + step)).coalesce(1)
+    # slices are written one after another (older files = earlier pages); inside
+    # a slice each host's records land in one file, so a host's files arrive in
+    # page order one micro-batch at a time, and the state sorts within a batch
+    for s in range(lo, hi + 1, step):
+        (recs.where((F.col("ord") >= s) & (F.col("ord") < s + step))
+         .repartition("host").sortWithinPartitions("host", "ord")
          .write.mode("append").parquet(src))
     stream = (spark.readStream.schema("host string, ord long, size long")
               .option("maxFilesPerTrigger", 1).parquet(src))
