@@ -54,10 +54,10 @@ def test_assign_chunks_spark_matches_fold(spark):
             rows.append((h, o * 3 + 1, s))
         want[h] = CH.chunk_assign_reference(sizes, 700)
     df = spark.createDataFrame(rows, "host string, page_id long, record_size long")
-    for width in (1, 17, 1_000_000):
-        got = CH.assign_chunks(df, 700, block_width=width).orderBy("host", "ord").collect()
+    for width, fan in ((1, 2), (1, 3), (17, 2), (5, 64), (1_000_000, 64)):
+        got = CH.assign_chunks(df, 700, block_width=width, fan_out=fan).orderBy("host", "ord").collect()
         for h in want:
-            assert [r.chunk_no for r in got if r.host == h] == want[h], width
+            assert [r.chunk_no for r in got if r.host == h] == want[h], (width, fan)
 
 
 def test_batches(spark):

@@ -61,9 +61,18 @@ def record_size(url, content, timestamp: float):
 
 
 # ------------------------------------------------------------ chunk assignment
-SUMMARY_SCHEMA = ("host string, block long, total long, prefix array<long>, "
+# A block summary is the block's transfer function (entry fill -> exit fill,
+# flushes) in a bounded form:
+#   total     sum of the block's sizes,
+#   prefix    running sums of its first records, up to the first one reaching
+#             the limit: the only places where the first flush can happen,
+#   exit_fill, flushes  the exit fill and flush count when the first flush
+#             happens at that record.
+# Every summary, also of a concatenation of blocks, has at most
+# ``limit / min size + 1`` entries.
+SUMMARY_SCHEMA = ("host string, node long, total long, prefix array<long>, "
                   "exit_fill array<long>, flushes array<long>")
-ENTRY_SCHEMA = "host string, block long, entry_fill long, entry_chunk long"
+ENTRY_SCHEMA = "host string, node long, entry_fill long, entry_chunk long"
 ASSIGN_SCHEMA = "host string, ord long, chunk_no long"
 
 
@@ -87,38 +96,83 @@ def _tails(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     return exit_fill, flushes
 
 
-def _summary_fn(limit: int):
+def _apply(summary, fill: int, limit: int) -> tuple[int, int]:
+    """(exit fill, flushes) of a summarised run entered with ``fill``."""
+    total, prefix, ex, fl = summary
+    i = int(np.searchsorted(prefix, limit - fill, side="left"))
+    if i >= len(prefix):
+        return fill + int(total), 0
+    return int(ex[i]), int(fl[i])
+
+
+def _compose(a, b, limit: int):
+    """Summary of run ``a`` followed by run ``b``."""
+    ta, pa, xa, ka = a
+    tb, pb, xb, kb = b
+    xs, ks = [], []
+    for x, k in zip(xa, ka):
+        e, f = _apply(b, int(x), limit)
+        xs.append(e)
+        ks.append(int(k) + f)
+    prefix = list(pa)
+    if len(pa) == 0 or pa[-1] < limit:   # no flush inside a for an empty entry: b's heads count
+        for p, x, k in zip(pb, xb, kb):
+            prefix.append(int(ta) + int(p))
+            xs.append(int(x))
+            ks.append(int(k))
+            if int(ta) + int(p) >= limit:
+                break
+    return int(ta) + int(tb), np.asarray(prefix, dtype=np.int64), xs, ks
+
+
+def _block_summary_fn(limit: int):
     def fn(key, pdf):
         pdf = pdf.sort_values("ord")
         s = pdf["size"].to_numpy(dtype=np.int64)
         cum = np.cumsum(s)
         ex, fl = _tails(s, limit)
-        # candidate first flushes: records up to the first prefix reaching the limit
-        c = int(np.searchsorted(cum, limit, side="left")) + 1
-        c = min(c, len(s))
-        return pd.DataFrame({"host": [key[0]], "block": [key[1]], "total": [int(cum[-1])],
+        c = min(int(np.searchsorted(cum, limit, side="left")) + 1, len(s))
+        return pd.DataFrame({"host": [key[0]], "node": [key[1]], "total": [int(cum[-1])],
                              "prefix": [cum[:c].tolist()],
                              "exit_fill": [ex[1:c + 1].tolist()],
                              "flushes": [(1 + fl[1:c + 1]).tolist()]})
     return fn
 
 
-def _entry_fn(limit: int):
+def _rows(pdf):
+    pdf = pdf.sort_values("node")
+    return [(int(t), np.asarray(p, dtype=np.int64), list(x), list(k)) for t, p, x, k in
+            zip(pdf["total"], pdf["prefix"], pdf["exit_fill"], pdf["flushes"])], pdf["node"].to_numpy()
+
+
+def _merge_fn(limit: int):
+    """Up-sweep: the summary of a parent node from its children, in order."""
     def fn(key, pdf):
-        pdf = pdf.sort_values("block")
-        fill, chunk = 0, 0
+        runs, _ = _rows(pdf)
+        acc = runs[0]
+        for r in runs[1:]:
+            acc = _compose(acc, r, limit)
+        return pd.DataFrame({"host": [key[0]], "node": [key[1]], "total": [acc[0]],
+                             "prefix": [list(map(int, acc[1]))],
+                             "exit_fill": [list(map(int, acc[2]))],
+                             "flushes": [list(map(int, acc[3]))]})
+    return fn
+
+
+def _spread_fn(limit: int):
+    """Down-sweep: entry state of each child from its parent's entry state."""
+    def fn(key, pdf):
+        runs, nodes = _rows(pdf)
+        fill = int(pdf["entry_fill"].iloc[0])
+        chunk = int(pdf["entry_chunk"].iloc[0])
         fills, chunks = [], []
-        for prefix, ex, fl, total in zip(pdf["prefix"], pdf["exit_fill"], pdf["flushes"],
-                                         pdf["total"]):
+        for r in runs:
             fills.append(fill)
             chunks.append(chunk)
-            i = int(np.searchsorted(np.asarray(prefix), limit - fill, side="left"))
-            if i >= len(prefix):
-                fill += int(total)
-            else:
-                fill, chunk = int(ex[i]), chunk + int(fl[i])
-        return pd.DataFrame({"host": key[0], "block": pdf["block"].to_numpy(),
-                             "entry_fill": fills, "entry_chunk": chunks})
+            fill, f = _apply(r, fill, limit)
+            chunk += f
+        return pd.DataFrame({"host": key[0], "node": nodes, "entry_fill": fills,
+                             "entry_chunk": chunks})
     return fn
 
 
@@ -140,21 +194,59 @@ def _replay_fn(limit: int):
 
 def assign_chunks(records: DataFrame, limit: int = C.FLUSH_CHARS, *, host: str = "host",
                   ord_col: str = "page_id", size_col: str = "record_size",
-                  block_width: int = 1_000_000) -> DataFrame:
+                  block_width: int = 1_000_000, fan_out: int = 64) -> DataFrame:
     """``(host, ord, chunk_no)``: chunk number of every record of a host's
     ordered buffer that flushes after the record that brings it to ``limit``.
 
-    ``ord_col`` must be integral; blocks are ``ord div block_width`` so they
-    are contiguous in order and bounded by ``block_width`` rows.
+    Blocks are ``ord div block_width`` (``ord`` integral), so they are
+    contiguous in order and hold at most ``block_width`` records.  Block
+    summaries are combined up a tree of fan-out ``fan_out`` and entry states
+    come back down it: every group holds at most ``fan_out`` bounded summaries
+    or one block, whatever the size of the host.  Levels are cut with reliable
+    checkpoints.
     """
+    from ..session import cut_lineage
     slim = records.select(F.col(host).cast("string").alias("host"),
                           F.col(ord_col).cast("bigint").alias("ord"),
                           F.col(size_col).cast("bigint").alias("size"),
-                          F.floor(F.col(ord_col) / F.lit(block_width)).cast("bigint").alias("block"))
-    summaries = slim.groupBy("host", "block").applyInPandas(_summary_fn(limit), SUMMARY_SCHEMA)
-    entries = summaries.groupBy("host").applyInPandas(_entry_fn(limit), ENTRY_SCHEMA)
-    return (slim.join(entries, ["host", "block"])
-            .groupBy("host", "block").applyInPandas(_replay_fn(limit), ASSIGN_SCHEMA))
+                          F.floor(F.col(ord_col) / F.lit(block_width)).cast("bigint").alias("node"))
+    levels = [cut_lineage(slim.groupBy("host", "node")
+                          .applyInPandas(_block_summary_fn(limit), SUMMARY_SCHEMA))]
+    while True:   # up-sweep until every host has at most fan_out nodes
+        top = levels[-1]
+        widest = top.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if widest is None or widest <= fan_out:
+            break
+        parent = F.floor(F.col("node") / F.lit(fan_out)).cast("bigint")
+        levels.append(cut_lineage(
+            top.withColumn("child", F.col("node")).withColumn("node", parent)
+            .groupBy("host", "node").applyInPandas(
+                _merge_fn_ordered(limit), SUMMARY_SCHEMA)))
+    # down-sweep: hosts start empty; children get entries from their parent
+    entries = levels[-1].withColumn("entry_fill", F.lit(0).cast("bigint")) \
+                        .withColumn("entry_chunk", F.lit(0).cast("bigint")) \
+                        .withColumn("parent", F.lit(0).cast("bigint"))
+    entries = cut_lineage(entries.groupBy("host", "parent")
+                          .applyInPandas(_spread_fn(limit), ENTRY_SCHEMA))
+    for lower in reversed(levels[:-1]):
+        parent = F.floor(F.col("node") / F.lit(fan_out)).cast("bigint")
+        kids = lower.withColumn("parent", parent)
+        start = entries.select("host", F.col("node").alias("parent"), "entry_fill", "entry_chunk")
+        entries = cut_lineage(kids.join(start, ["host", "parent"])
+                              .groupBy("host", "parent").applyInPandas(_spread_fn(limit),
+                                                                       ENTRY_SCHEMA))
+    return (slim.join(entries, ["host", "node"])
+            .groupBy("host", "node").applyInPandas(_replay_fn(limit), ASSIGN_SCHEMA))
+
+
+def _merge_fn_ordered(limit: int):
+    """Up-sweep over children ordered by their own node id (``child``)."""
+    inner = _merge_fn(limit)
+
+    def fn(key, pdf):
+        kids = pdf.drop(columns=["node"]).rename(columns={"child": "node"})
+        return inner(key, kids)
+    return fn
 
 
 def chunk_assign_reference(sizes: list[int], limit: int) -> list[int]:
