@@ -50,3 +50,20 @@ def test_index_append_is_idempotent(spark, tmp_path):
     n1 = spark.read.parquet(p).count()
     ST.append_index(chunks, p)
     assert spark.read.parquet(p).count() == n1 == 2
+
+
+def test_seed_lists_keep_positions(spark, tmp_path):
+    from webloom.sources.seeds import read_seed_lists
+    (tmp_path / "s.json").write_text('["https://a.com/", "https://b.com/x", "https://a.com/"]')
+    rows = read_seed_lists(spark, str(tmp_path / "s.json")).orderBy("seq").collect()
+    assert [(r.seq, r.url) for r in rows] == [(0, "https://a.com/"), (1, "https://b.com/x"), (2, "https://a.com/")]
+
+
+def test_feed_sink(spark, tmp_path):
+    from webloom.operators.pages import page_title_content
+    from webloom.sinks.feed import write_feed
+    pages = spark.createDataFrame([(1, "http://a/", "<title>T</title><p>x</p>")],
+                                  "page_id long, url string, html string")
+    write_feed(page_title_content(pages), str(tmp_path / "feed"))
+    r = spark.read.json(str(tmp_path / "feed")).first()
+    assert (r.url, r.title, r.content) == ("http://a/", "T", "x")

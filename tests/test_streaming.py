@@ -26,3 +26,19 @@ def test_stream_ingest_equals_batch_index(spark):
     a = q["stream_ingest"](spark, SF001).select(*cols)
     b = q["index_idempotent"](spark, SF001).select(*cols)
     assert a.count() > 0 and _same(a, b)
+
+
+def test_stream_dedup_drops_repeats(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from webloom.streaming.dedup import distinct_pages_stream
+    src = str(tmp_path / "pages")
+    spark.createDataFrame([(1, "http://a/x#top"), (2, "http://a/x"), (3, "http://a/y")],
+                          "page_id long, url string").write.parquet(src)
+    stream = (spark.readStream.schema("page_id long, url string").parquet(src)
+              .withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp")))
+    out = str(tmp_path / "out")
+    q = (distinct_pages_stream(stream).writeStream.format("parquet")
+         .option("path", out).option("checkpointLocation", str(tmp_path / "ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sorted(r.url_key for r in spark.read.parquet(out).collect()) == ["http://a/x", "http://a/y"]

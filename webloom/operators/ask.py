@@ -39,15 +39,16 @@ def host_answers(questions: DataFrame, passages: DataFrame, k: int = C.TOP_K, *,
     """
     scores = R.lexical_scores(questions, passages, q_id="qid", q_text="question",
                               d_id="pid", d_text="chunk")
-    meta = passages.select(F.col("pid").alias("did"), "host", "source",
-                           F.col("chunk").alias("passage"))
-    scored = scores.join(meta, "did")
+    # rank on ids and host only; passage text joins the k winners afterwards
     if scope == "host":
+        scored = scores.join(passages.select(F.col("pid").alias("did"), "host"), "did")
         hits = R.top_k(scored, k, by=["qid", "host"])
     elif scope == "global":
-        hits = R.top_k(scored, k, by="qid").withColumn("host", F.lit("*"))
+        hits = R.top_k(scores, k, by="qid").withColumn("host", F.lit("*"))
     else:
         raise ValueError(f"unknown scope {scope!r}")
+    hits = hits.join(passages.select(F.col("pid").alias("did"), "source",
+                                     F.col("chunk").alias("passage")), "did")
     keys = ["qid", "host"]
     srcs = hits.groupBy(*keys).agg(F.array_sort(F.collect_set("source")).alias("sources"))
     if generator is None:

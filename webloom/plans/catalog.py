@@ -730,3 +730,26 @@ def stream_feedback(spark, d):
     q = SFB.write_snapshot(stats, out, scratch_path(spark, "stream-feedback-ckpt"))
     q.awaitTermination()
     return spark.read.parquet(out)
+
+
+from ..streaming import dedup as SD  # noqa: E402
+
+FETCHED_AT = "2024-02-01 00:00:00"  # fetch time stamped on the page stream
+
+
+@register("stream_distinct_pages", sql="""
+SELECT DISTINCT regexp_replace(url, '#.*$', '') AS url_key FROM pages
+""")
+def stream_distinct_pages(spark, d):
+    schema = table(spark, d, "pages").schema
+    pages = (spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet")
+             .parquet(d).withColumn("fetched_at", F.lit(FETCHED_AT).cast("timestamp")))
+    out = scratch_path(spark, "stream-distinct-pages")
+
+    def batch(df, epoch_id):
+        df.write.mode("append").parquet(out)
+    q = (SD.distinct_pages_stream(pages).writeStream.outputMode("append").foreachBatch(batch)
+         .option("checkpointLocation", scratch_path(spark, "stream-distinct-pages-ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(out).select("url_key")
