@@ -197,7 +197,7 @@ def distinct_pages(spark, d):
 
 _FIXED = 41 + len(repr(RUN_TS))
 _SQL_RECORDS = f"""
-SELECT page_id, host, url, content, {RUN_TS!r} AS timestamp,
+SELECT page_id, host, url, content, CAST({RUN_TS!r} AS DOUBLE) AS timestamp,
        CAST({_FIXED} + {S.json_len('url')} + {S.json_len('content')} AS BIGINT) AS record_size
 FROM ({S.PAGE_TEXT})
 """
