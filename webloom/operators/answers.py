@@ -53,13 +53,13 @@ def valid_answers(results: DataFrame, answer_col: str = "answer") -> DataFrame:
     return results.where(F.col(answer_col).isNotNull() & (F.col(answer_col) != ""))
 
 
-def answer_rows(results: DataFrame, ts: Column | str, confidence: Column | float = 0.0,
+def answer_rows(results: DataFrame, ts, confidence: Column | float = 0.0,
                 id_col: str | None = None) -> DataFrame:
     """Rows to append to the store with default metadata and one run timestamp.
 
     Nothing is de-duplicated: storing twice appends twice.
     """
-    tsc = F.lit(ts).cast("timestamp") if isinstance(ts, str) else ts
+    tsc = ts if isinstance(ts, Column) else F.lit(ts).cast("timestamp")
     conf = F.lit(float(confidence)) if isinstance(confidence, (int, float)) else confidence
     sources = F.col("sources") if "sources" in results.columns else F.array().cast("array<string>")
     rid = (F.col(id_col) if id_col else

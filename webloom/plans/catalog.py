@@ -111,7 +111,12 @@ def page_text(spark, d):
     return P.page_text(_pages(spark, d))
 
 
-@register("extract_rejects")
+@register("extract_rejects", sql=f"""
+SELECT page_id, url, CASE WHEN html IS NULL THEN 'ValueError: no html' ELSE 'no text' END AS reason
+FROM (SELECT p.page_id, p.url, p.html, t.content FROM pages p
+      LEFT JOIN ({S.PAGE_TEXT}) t ON t.page_id = p.page_id)
+WHERE html IS NULL OR content IS NULL
+""")
 def extract_rejects(spark, d):
     return P.extract_rejects(_pages(spark, d))
 
@@ -592,7 +597,10 @@ def chunk_scan(spark, d):
     return SF.scan_chunks(spark, path).select("host", "url", "content")
 
 
-@register("chunk_rejects")
+@register("chunk_rejects", sql="""
+SELECT CAST(NULL AS VARCHAR) AS host, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS raw
+WHERE false
+""")
 def chunk_rejects(spark, d):
     path = _written_doc_chunks(spark, d)
     return SF.chunk_rejects(spark, path)
