@@ -31,7 +31,7 @@ hitp AS (SELECT hits.*, d.text AS passage, d.source AS source
 
 
 def _hits(spark, d):
-    bench, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    bench, docs = table(spark, d, "benchmark"), table(spark, d, "documents", spread=True)
     return R.attach_passages(R.lexical_top_k(bench, docs), docs), bench
 
 
@@ -50,12 +50,12 @@ SELECT id, token, count(*) AS tf FROM (
   FROM documents) GROUP BY id, token
 """)
 def doc_terms(spark, d):
-    return R.term_rows(table(spark, d, "documents"), "doc_id", "text")
+    return R.term_rows(table(spark, d, "documents", spread=True), "doc_id", "text")
 
 
 @register("lexical_top4", sql="WITH " + _SQL_TERMS + "SELECT qid, rank, did, sim FROM hits")
 def lexical_top4(spark, d):
-    return R.lexical_top_k(table(spark, d, "benchmark"), table(spark, d, "documents"))
+    return R.lexical_top_k(table(spark, d, "benchmark"), table(spark, d, "documents", spread=True))
 
 
 @register("retrieved_sources", sql="WITH " + _SQL_TERMS + """
@@ -96,7 +96,7 @@ RUN_TS = 1717171717.5  # record timestamp (epoch seconds) used by registered que
 
 
 def _pages(spark, d):
-    return table(spark, d, "pages")
+    return table(spark, d, "pages", spread=True)
 
 
 @register("page_hosts", sql=f"""
@@ -280,7 +280,7 @@ def answers_append(spark, d):
 SELECT DISTINCT {S.py_strip('lower(text)')} AS answer_norm FROM documents
 """)
 def distinct_answers(spark, d):
-    return (table(spark, d, "documents")
+    return (table(spark, d, "documents", spread=True)
             .select(normalise_answer(F.col("text")).alias("answer_norm")).distinct())
 
 
@@ -516,7 +516,7 @@ ASSIGN_LIMIT = 20_000  # flush size for the registered chunk queries (hosts here
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return table(spark, d, "documents", spread=True)
 
 
 @register("doc_chunks")

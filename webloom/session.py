@@ -53,8 +53,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of a path through the cluster's Hadoop file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False,
+          bytes_per_task: int = 8 << 20) -> DataFrame:
+    """Read a driver table.
+
+    ``spread=True`` is for inputs followed by CPU-heavy per-row work
+    (tokenising, HTML parsing, splitting): when the input is so small that it
+    cannot give every core a split of ``bytes_per_task`` (e.g. one Parquet row
+    group read by one task), it is round-robin repartitioned to the default
+    parallelism.  Large inputs are left alone: they already have many splits,
+    and reshuffling them would only add network traffic.
+    """
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    df = spark.read.parquet(path)
+    if spread:
+        cores = spark.sparkContext.defaultParallelism
+        if input_bytes(spark, path) < cores * bytes_per_task:
+            df = df.repartition(cores)
+    return df
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
