@@ -71,3 +71,12 @@ def test_split_documents_job(spark):
                                  "doc_id long, text string, source string")
     got = CH.split_documents(docs).orderBy("doc_id", "chunk_index").collect()
     assert [(r.doc_id, r.chunk_index, len(r.chunk)) for r in got] == [(1, 0, 1000), (1, 1, 1000), (1, 2, 900), (3, 0, 2)]
+
+
+def test_split_count_is_observed(spark):
+    from pyspark.sql import Observation
+    docs = spark.createDataFrame([(1, "a" * 2500, "s"), (2, "hi", "t")],
+                                 "doc_id long, text string, source string")
+    obs = Observation("split_metrics")
+    CH.split_documents(docs, observation=obs).write.format("noop").mode("overwrite").save()
+    assert obs.get == {"splits": 4}

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.metrics import observed
 from ..functions.splitter import split_text
 from ..functions.text import json_string_length
 
@@ -30,8 +31,12 @@ CHUNK_SCHEMA = "doc_id long, source string, chunk_index int, chunk string"
 
 def split_documents(docs: DataFrame, chunk_size: int = C.CHUNK_SIZE,
                     chunk_overlap: int = C.CHUNK_OVERLAP, *, id_col: str = "doc_id",
-                    text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(doc_id, source, chunk_index, chunk)``: each whole text split, 1 -> n rows."""
+                    text_col: str = "text", source_col: str = "source",
+                    observation=None) -> DataFrame:
+    """``(doc_id, source, chunk_index, chunk)``: each whole text split, 1 -> n rows.
+
+    Pass a ``pyspark.sql.Observation`` to collect the number of splits
+    generated while the job runs (``{"splits": n}``)."""
     def job(batches):
         for pdf in batches:
             ids, srcs, idx, chunks = [], [], [], []
@@ -47,7 +52,7 @@ def split_documents(docs: DataFrame, chunk_size: int = C.CHUNK_SIZE,
                                 "chunk": pd.Series(chunks, dtype=object)})
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"),
                       F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    return src.mapInPandas(job, CHUNK_SCHEMA)
+    return observed(src.mapInPandas(job, CHUNK_SCHEMA), observation, "splits")
 
 
 def chunk_counts(chunks: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import html as H
+from ..functions.metrics import observed
 from ..functions.text import json_string_length, py_strip
 from ..functions.urls import (drop_query_param_col, hostname, netloc, resolve_link,
                               root_domain, strip_fragment)
@@ -93,11 +94,13 @@ def page_title_content(pages: DataFrame, method: str = "parser") -> DataFrame:
                          F.array_join("paras", " ").alias("content"))
 
 
-def page_links(pages: DataFrame, method: str = "parser") -> DataFrame:
-    """One row per ``a[href]`` (duplicates kept) with the href resolved."""
+def page_links(pages: DataFrame, method: str = "parser", observation=None) -> DataFrame:
+    """One row per ``a[href]`` (duplicates kept) with the href resolved.
+    An ``Observation`` collects the number of links found (``{"links": n}``)."""
     parsed = parse_pages(pages, method).where(F.col("error").isNull())
-    return (parsed.select("page_id", "url", F.explode("hrefs").alias("href"))
-            .withColumn("link", resolve_link(F.col("url"), F.col("href"))))
+    links = (parsed.select("page_id", "url", F.explode("hrefs").alias("href"))
+             .withColumn("link", resolve_link(F.col("url"), F.col("href"))))
+    return observed(links, observation, "links")
 
 
 def page_hosts(pages: DataFrame) -> DataFrame:
