@@ -30,6 +30,8 @@ def write_chunk_files(records: DataFrame, path: str, *, host: str = "host",
                       chunk: str = "chunk_no", batch: str | None = None,
                       order: str = "page_id", mode: str = "overwrite") -> None:
     payloads = chunk_payloads(records, host=host, chunk=chunk, batch=batch, order=order)
-    (payloads.repartition(host).sortWithinPartitions(host, chunk)
+    # spread by (host, chunk): a host with a large share of the records is
+    # written by many tasks, each file holding whole chunks in chunk order
+    (payloads.repartition(host, chunk).sortWithinPartitions(host, chunk)
      .select(F.col(host).alias("host"), "payload")
      .write.mode(mode).partitionBy("host").text(path))
