@@ -9,8 +9,8 @@ pair is ever materialised, and a scope holding a large share of the rows is
 spread over many block pairs instead of one task.
 
 The number of blocks per scope comes from a grouped count (a distributed
-aggregate joined back on the scope key), so block sizes stay bounded whatever
-the skew.  Self-similarity uses only blocks ``lb <= rb`` and mirrors the
+aggregate joined back on the scope key; for the whole table, a scalar count),
+so block sizes stay bounded whatever the skew.  Self-similarity uses only blocks ``lb <= rb`` and mirrors the
 result.
 """
 from __future__ import annotations
@@ -55,6 +55,31 @@ def _block_counts(df: DataFrame, block_rows: int, name: str) -> DataFrame:
                         F.greatest(F.lit(1), F.ceil(F.col(f"{name}_n") / F.lit(block_rows))).cast("int")))
 
 
+def _counter(counts: list[tuple[DataFrame, str]], block_rows: int, scoped: bool):
+    """A function attaching ``<name>_n`` / ``<name>_nb`` of every (table, name).
+
+    Scoped: an equi-join with the per-scope counts.  Unscoped: each count is
+    one scalar (a distributed count, taken once), attached as a literal, so
+    no join on a constant key (a cross join) is ever planned.
+    """
+    if scoped:
+        tables = [_block_counts(src, block_rows, name) for src, name in counts]
+
+        def attach(df: DataFrame) -> DataFrame:
+            for t in tables:
+                df = df.join(t, _SCOPE)
+            return df
+        return attach
+    sizes = [(name, src.count()) for src, name in counts]
+
+    def attach_lit(df: DataFrame) -> DataFrame:
+        for name, n in sizes:
+            df = (df.withColumn(f"{name}_n", F.lit(n).cast("bigint"))
+                  .withColumn(f"{name}_nb", F.lit(max(1, -(-n // block_rows))).cast("int")))
+        return df
+    return attach_lit
+
+
 def _block_of(nb: str) -> Column:
     return F.pmod(F.xxhash64("id"), F.col(nb)).cast("int")
 
@@ -102,8 +127,8 @@ def similarity_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "vec
     self pairs included (neighbourhoods, not transitive).  Returns
     ``(scope?, i, j, sim)`` with ``sim`` unrounded."""
     base = _prep(vectors, id_col, vec_col, scope)
-    counts = _block_counts(base, block_rows, "l")
-    rows = base.join(counts, _SCOPE).withColumn("_b", _block_of("l_nb"))
+    rows = _counter([(base, "l")], block_rows, scope is not None)(base) \
+        .withColumn("_b", _block_of("l_nb"))
     left = (rows.withColumn("rb", F.explode(F.sequence(F.col("_b"), F.col("l_nb") - 1)))
             .select(_SCOPE, F.col("_b").alias("lb"), "rb", "id", "vec",
                     F.col("l_n").alias("_n")))
@@ -147,12 +172,11 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 4, *,
     ``sim`` rounded to 6 places and ranked (sim desc, did asc)."""
     q = _prep(queries, q_id, vec_col, scope)
     c = _prep(corpus, d_id, vec_col, scope)
-    qc, cc = _block_counts(q, block_rows, "q"), _block_counts(c, block_rows, "c")
-    nb = qc.join(cc, _SCOPE)
-    qrows = (q.join(nb, _SCOPE).withColumn("qb", _block_of("q_nb"))
+    attach = _counter([(q, "q"), (c, "c")], block_rows, scope is not None)
+    qrows = (attach(q).withColumn("qb", _block_of("q_nb"))
              .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("c_nb") - 1)))
              .select(_SCOPE, "qb", "cb", "id", "vec"))
-    crows = (c.join(nb, _SCOPE).withColumn("cb", _block_of("c_nb"))
+    crows = (attach(c).withColumn("cb", _block_of("c_nb"))
              .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_nb") - 1)))
              .select(_SCOPE, "qb", "cb", "id", "vec"))
     cand = (qrows.groupBy(_SCOPE, "qb", "cb").cogroup(crows.groupBy(_SCOPE, "qb", "cb"))
