@@ -43,3 +43,10 @@ def test_fresh_split_pushes_the_time_predicate(spark):
 def test_scans_read_only_needed_columns(spark):
     plan = _physical(E.queries()["page_hosts"](spark, SF001))
     assert "ReadSchema: struct<url:string>" in plan
+
+
+def test_no_registered_query_plans_a_cross_join_or_row_python_udf(spark):
+    for name, build in E.queries().items():
+        plan = _physical(build(spark, SF001))
+        for op in FORBIDDEN + ("BatchEvalPython",):
+            assert op not in plan, (name, op)
