@@ -702,28 +702,33 @@ def stream_ingest(spark, d):
 def stream_chunk_assign(spark, d):
     recs = P.page_records(_pages(spark, d), RUN_TS).select(
         F.col("host"), F.col("page_id").alias("ord"), F.col("record_size").alias("size"))
-    src = scratch_path(spark, "record-stream")
     recs = cut_lineage(recs)
     bounds = recs.agg(F.min("ord"), F.max("ord")).first()
     lo, hi = int(bounds[0]), int(bounds[1])
     step = max(1, (hi - lo + STREAM_SLICES) // STREAM_SLICES)
-    # slices are written one after another (older files = earlier pages); inside
-    # a slice each host's records land in one file, so a host's files arrive in
-    # page order one micro-batch at a time, and the state sorts within a batch
-    for s in range(lo, hi + 1, step):
+    src, out = scratch_path(spark, "record-stream"), scratch_path(spark, "stream-chunks")
+
+    def write_slice(s):
         (recs.where((F.col("ord") >= s) & (F.col("ord") < s + step))
-         .repartition("host").sortWithinPartitions("host", "ord")
          .write.mode("append").parquet(src))
-    stream = (spark.readStream.schema("host string, ord long, size long")
-              .option("maxFilesPerTrigger", 1).parquet(src))
-    out = scratch_path(spark, "stream-chunks")
 
     def batch(df, epoch_id):
         df.write.mode("append").parquet(out)
+    # records arrive slice by slice in page order: each slice is fully
+    # processed before the next one is written, so order holds by construction
+    starts = list(range(lo, hi + 1, step))
+    write_slice(starts[0])
+    stream = spark.readStream.schema("host string, ord long, size long").parquet(src)
     q = (SS.assign_chunks_stream(stream, ASSIGN_LIMIT).writeStream.outputMode("append")
          .foreachBatch(batch).option("checkpointLocation", scratch_path(spark, "stream-chunks-ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+         .start())
+    try:
+        q.processAllAvailable()
+        for s in starts[1:]:
+            write_slice(s)
+            q.processAllAvailable()
+    finally:
+        q.stop()
     return spark.read.parquet(out).select("host", F.col("ord").alias("page_id"), "chunk_no")
 
 
