@@ -685,7 +685,7 @@ from ..streaming import chunk_state as SS  # noqa: E402
 from ..streaming import feedback as SFB  # noqa: E402
 from ..streaming import ingest as SI  # noqa: E402
 
-STREAM_SLICES = 4   # the page-record stream arrives as 4 files in page order
+STREAM_SLICES = 2   # the page-record stream arrives in 2 slices in page order (state crosses a batch)
 
 
 @register("stream_ingest")
@@ -719,9 +719,10 @@ def stream_chunk_assign(spark, d):
     starts = list(range(lo, hi + 1, step))
     write_slice(starts[0])
     stream = spark.readStream.schema("host string, ord long, size long").parquet(src)
-    q = (SS.assign_chunks_stream(stream, ASSIGN_LIMIT).writeStream.outputMode("append")
-         .foreachBatch(batch).option("checkpointLocation", scratch_path(spark, "stream-chunks-ckpt"))
-         .start())
+    with state_partitions(spark):
+        q = (SS.assign_chunks_stream(stream, ASSIGN_LIMIT).writeStream.outputMode("append")
+             .foreachBatch(batch).option("checkpointLocation", scratch_path(spark, "stream-chunks-ckpt"))
+             .start())
     try:
         q.processAllAvailable()
         for s in starts[1:]:
@@ -740,12 +741,14 @@ def stream_feedback(spark, d):
     stats = SFB.running_feedback(ev.select(F.col("user_id").alias("question"),
                                            F.col("value").alias("rating")))
     out = scratch_path(spark, "stream-feedback")
-    q = SFB.write_snapshot(stats, out, scratch_path(spark, "stream-feedback-ckpt"))
+    with state_partitions(spark):
+        q = SFB.write_snapshot(stats, out, scratch_path(spark, "stream-feedback-ckpt"))
     q.awaitTermination()
     return spark.read.parquet(out)
 
 
 from ..streaming import dedup as SD  # noqa: E402
+from ..streaming import state_partitions  # noqa: E402
 
 FETCHED_AT = "2024-02-01 00:00:00"  # fetch time stamped on the page stream
 
@@ -761,8 +764,9 @@ def stream_distinct_pages(spark, d):
 
     def batch(df, epoch_id):
         df.write.mode("append").parquet(out)
-    q = (SD.distinct_pages_stream(pages).writeStream.outputMode("append").foreachBatch(batch)
-         .option("checkpointLocation", scratch_path(spark, "stream-distinct-pages-ckpt"))
-         .trigger(availableNow=True).start())
+    with state_partitions(spark):
+        q = (SD.distinct_pages_stream(pages).writeStream.outputMode("append").foreachBatch(batch)
+             .option("checkpointLocation", scratch_path(spark, "stream-distinct-pages-ckpt"))
+             .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out).select("url_key")

@@ -2,3 +2,23 @@
 feedback statistics.  All use ``availableNow`` triggers in tests and the
 registered queries, checkpoints under the shared checkpoint folder, and
 idempotent or overwrite sinks so a replayed micro-batch changes nothing."""
+
+from contextlib import contextmanager
+
+
+@contextmanager
+def state_partitions(spark, n: int | None = None):
+    """Start a stateful stream with ``n`` state partitions (default: the
+    cluster's parallelism, capped by the session's shuffle partitions).
+
+    A stateful query fixes its partition count in its checkpoint when it
+    first starts; the session setting is restored afterwards.
+    """
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    want = n or min(int(old), spark.sparkContext.defaultParallelism)
+    spark.conf.set(key, str(want))
+    try:
+        yield want
+    finally:
+        spark.conf.set(key, old)
