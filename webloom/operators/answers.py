@@ -2,9 +2,10 @@
 ``feedback`` table, combined at read time.
 
 "First answer of a question" is the earliest ``(ts, answer_id)``; it is taken
-with a ``min`` over a struct, a hash aggregate with map-side partial
-aggregation, so a question holding a large share of the rows costs one row per
-map task in the shuffle rather than one sorted partition.
+with a ``min`` over a struct: an aggregate with map-side partial aggregation
+(sort-based when the payload carries strings), so a question holding a large
+share of the rows costs one row per map task in the shuffle rather than one
+window partition sorted in a single task.
 """
 from __future__ import annotations
 
