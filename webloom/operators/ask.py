@@ -106,8 +106,11 @@ def ask(questions: DataFrame, passages: DataFrame, cache: DataFrame | None = Non
     # candidates feed four consumers: materialise once (reliable checkpoint)
     cand = cut_lineage(A.valid_answers(host_answers(todo, passages, k, scope=scope,
                                                     generator=generator)))
-    pairs = lexical_neighbourhoods(cand.select("qid", "answer_id", "answer"), threshold)
-    won = RC.best_answer(cand, pairs, question="qid")
+    # ties between equally large neighbourhoods go to the lowest host name
+    pairs = (lexical_neighbourhoods(cand.select("qid", "answer_id", "answer"), threshold)
+             .join(cand.select("qid", F.col("answer_id").alias("i"),
+                               F.col("host").alias("i_host")), ["qid", "i"]))
+    won = RC.best_answer(cand, pairs, question="qid", order_col="i_host")
     srcs = (cand.select("qid", F.explode("sources").alias("source")).distinct()
             .groupBy("qid").agg(F.array_sort(F.collect_list("source")).alias("sources")))
     fresh = (todo.join(won.drop("size"), "qid", "left").join(srcs, "qid", "left")

@@ -29,18 +29,25 @@ def neighbour_counts(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return pairs.groupBy(*keys, "i").agg(F.count(F.lit(1)).alias("n"))
 
 
-def best_cluster(pairs: DataFrame, question: str = "question") -> DataFrame:
-    """``(question, i, size)`` of the largest neighbourhood, lowest i on ties."""
-    counts = neighbour_counts(pairs, (question,))
-    best = counts.groupBy(question).agg(F.min(F.struct((-F.col("n")).alias("neg"), "i")).alias("b"))
+def best_cluster(pairs: DataFrame, question: str = "question",
+                 order_col: str | None = None) -> DataFrame:
+    """``(question, i, size)`` of the largest neighbourhood.
+
+    Ties go to the lowest ``order_col`` of i when given (a column of
+    ``pairs``, constant per i, e.g. the answering host), else the lowest i.
+    """
+    keys = (question,) + ((order_col,) if order_col else ())
+    counts = neighbour_counts(pairs, keys)
+    rank = [(-F.col("n")).alias("neg")] + ([F.col(order_col)] if order_col else []) + ["i"]
+    best = counts.groupBy(question).agg(F.min(F.struct(*rank)).alias("b"))
     return best.select(question, F.col("b.i").alias("i"), (-F.col("b.neg")).alias("size"))
 
 
 def best_answer(answers: DataFrame, pairs: DataFrame, *, question: str = "question",
                 answer_id: str = "answer_id", answer: str = "answer",
-                confidence: str = "confidence") -> DataFrame:
+                confidence: str = "confidence", order_col: str | None = None) -> DataFrame:
     """``(question, answer, confidence, size)`` from the winning neighbourhood."""
-    best = best_cluster(pairs, question)
+    best = best_cluster(pairs, question, order_col)
     members = (pairs.join(best.select(question, "i", "size"), [question, "i"])
                .select(question, "size", F.col("j").alias(answer_id))
                .join(answers.select(question, answer_id, answer, confidence),
@@ -48,11 +55,13 @@ def best_answer(answers: DataFrame, pairs: DataFrame, *, question: str = "questi
     votes = members.groupBy(question, answer).agg(F.count(F.lit(1)).alias("votes"))
     mode = votes.groupBy(question).agg(
         F.min(F.struct((-F.col("votes")).alias("neg"), F.col(answer).alias("a"))).alias("m"))
-    conf = members.groupBy(question).agg(F.avg(F.col(confidence).cast("double")).alias("conf"),
+    # exact decimal mean, rounded half-up: no dependence on summation order or
+    # on how an engine rounds a binary double that lies on a half
+    conf = members.groupBy(question).agg(F.avg(F.col(confidence).cast("decimal(30,12)")).alias("conf"),
                                          F.first("size").alias("size"))
     return (mode.join(conf, question)
             .select(question, F.col("m.a").alias(answer),
-                    F.round("conf", 6).alias(confidence), "size"))
+                    F.round("conf", 6).cast("double").alias(confidence), "size"))
 
 
 def answer_sources(answers: DataFrame, *, question: str = "question",

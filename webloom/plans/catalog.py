@@ -770,3 +770,57 @@ def stream_distinct_pages(spark, d):
              .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(out).select("url_key")
+
+
+# ---------------------------------------------------------------- ask over whole documents
+_SQL_ASK_DOCS = "WITH " + _SQL_TERMS + r""",
+sh AS (SELECT s.qid, s.did, s.sim, d.source AS host, d.text AS passage
+       FROM scored s JOIN documents d ON d.doc_id = s.did),
+hr AS (SELECT *, row_number() OVER (PARTITION BY qid, host ORDER BY sim DESC, did) AS hrank FROM sh),
+cand AS (SELECT qid, host, passage AS answer, sim AS confidence FROM hr
+         WHERE hrank = 1 AND passage IS NOT NULL AND passage <> ''),
+srcs AS (SELECT qid, list_sort(list(DISTINCT host)) AS sources FROM cand GROUP BY qid),
+aterm AS (SELECT qid, host, token, count(*) AS tf FROM (
+         SELECT qid, host, unnest(regexp_extract_all(lower(answer), '[\p{L}]+')) AS token FROM cand)
+       GROUP BY qid, host, token),
+an AS (SELECT qid, host, sqrt(sum(tf * tf)) AS norm FROM aterm GROUP BY qid, host),
+ad AS (SELECT a.qid, a.host AS i, b.host AS j, sum(a.tf * b.tf) AS dot
+       FROM aterm a JOIN aterm b ON a.qid = b.qid AND a.token = b.token GROUP BY a.qid, a.host, b.host),
+pairs AS (SELECT ad.qid, ad.i, ad.j FROM ad
+            JOIN an x ON x.qid = ad.qid AND x.host = ad.i
+            JOIN an y ON y.qid = ad.qid AND y.host = ad.j
+          WHERE ad.dot / (x.norm * y.norm) >= 0.85
+          UNION
+          SELECT qid, min(host), min(host) FROM cand GROUP BY qid HAVING count(*) = 1),
+nc AS (SELECT qid, i, count(*) AS n FROM pairs GROUP BY qid, i),
+bc AS (SELECT qid, i FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, i) AS r FROM nc)
+       WHERE r = 1),
+mem AS (SELECT p.qid, c.answer, c.confidence FROM pairs p
+        JOIN bc ON bc.qid = p.qid AND bc.i = p.i
+        JOIN cand c ON c.qid = p.qid AND c.host = p.j),
+vote AS (SELECT qid, answer FROM (
+           SELECT qid, answer, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, answer) AS r
+           FROM mem GROUP BY qid, answer) WHERE r = 1),
+conf AS (SELECT qid, CAST((2 * sum(CAST(round(confidence * 1000000) AS BIGINT)) + count(*))
+                          // (2 * count(*)) AS DOUBLE) / 1000000 AS confidence
+         FROM mem GROUP BY qid)
+SELECT b.item_id AS qid, b.text AS question,
+       coalesce(vote.answer, 'No valid answers found.') AS answer,
+       coalesce(srcs.sources, CAST([] AS VARCHAR[])) AS sources,
+       coalesce(conf.confidence, 0.0) AS confidence,
+       false AS cached,
+       coalesce(conf.confidence, 0.0) >= 0.6 AS confident
+FROM benchmark b
+LEFT JOIN vote ON vote.qid = b.item_id
+LEFT JOIN conf ON conf.qid = b.item_id
+LEFT JOIN srcs ON srcs.qid = b.item_id
+"""
+
+
+@register("ask_documents", sql=_SQL_ASK_DOCS)
+def ask_documents(spark, d):
+    """The whole ask pass with each document one passage and its source the host."""
+    docs = table(spark, d, "documents", spread=True)
+    passages = docs.select(F.col("doc_id").alias("pid"), F.col("source").alias("host"), "source",
+                           F.col("text").alias("chunk"))
+    return AK.ask(_bench_questions(spark, d), passages, None, scope="host")
