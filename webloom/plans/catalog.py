@@ -90,7 +90,7 @@ def ask_prompt(spark, d):
 
 # ---------------------------------------------------------------- M1: pages
 from ..operators import pages as P  # noqa: E402
-from . import sqlfrag as S  # noqa: E402
+from . import sql_snippets as S  # noqa: E402
 
 RUN_TS = 1717171717.5  # record timestamp (epoch seconds) used by registered queries
 
