@@ -824,3 +824,25 @@ def ask_documents(spark, d):
     passages = docs.select(F.col("doc_id").alias("pid"), F.col("source").alias("host"), "source",
                            F.col("text").alias("chunk"))
     return AK.ask(_bench_questions(spark, d), passages, None, scope="host")
+
+
+@register("ask_global", sql="WITH " + _SQL_TERMS + """,
+top1 AS (SELECT qid, passage AS answer, sim AS confidence FROM hitp
+         WHERE rank = 1 AND passage IS NOT NULL AND passage <> ''),
+srcs AS (SELECT h.qid, list_sort(list(DISTINCT h.source)) AS sources FROM hitp h
+         WHERE h.qid IN (SELECT qid FROM top1) GROUP BY h.qid)
+SELECT b.item_id AS qid, b.text AS question,
+       coalesce(top1.answer, 'No valid answers found.') AS answer,
+       coalesce(srcs.sources, CAST([] AS VARCHAR[])) AS sources,
+       coalesce(top1.confidence, 0.0) AS confidence,
+       false AS cached,
+       coalesce(top1.confidence, 0.0) >= 0.6 AS confident
+FROM benchmark b LEFT JOIN top1 ON top1.qid = b.item_id LEFT JOIN srcs ON srcs.qid = b.item_id
+""")
+def ask_global(spark, d):
+    """The ask pass with the reference's global retrieval: all hosts share the
+    4 nearest documents, so the hosts' answers coincide."""
+    docs = table(spark, d, "documents", spread=True)
+    passages = docs.select(F.col("doc_id").alias("pid"), F.col("source").alias("host"), "source",
+                           F.col("text").alias("chunk"))
+    return AK.ask(_bench_questions(spark, d), passages, None, scope="global")
