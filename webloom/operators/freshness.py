@@ -15,21 +15,27 @@ from pyspark.sql import functions as F
 from .. import constants as C
 
 
-def _cutoff(now: str | dt.datetime, max_age_days: int):
-    now_ts = F.lit(now).cast("timestamp") if isinstance(now, str) else F.lit(now)
+def _cutoff(listing: DataFrame, ts: str, now: str | dt.datetime, max_age_days: int):
+    """``now - (max_age + 1) days`` in the listing's own timestamp type (wall-clock
+    ``timestamp_ntz`` or instant ``timestamp``), so no session-zone conversion
+    enters the comparison."""
+    kind = listing.schema[ts].dataType.simpleString()
+    now_ts = F.lit(now).cast(kind)
     return now_ts - F.make_dt_interval(F.lit(max_age_days + 1))
 
 
 def fresh_hosts(listing: DataFrame, now, max_age_days: int = C.MAX_AGE_DAYS,
                 host: str = "host", ts: str = "ts") -> DataFrame:
     """``(host, fresh)`` for every host that has at least one timed object."""
+    cut = _cutoff(listing, ts, now, max_age_days)
     return (listing.where(F.col(ts).isNotNull())
-            .groupBy(host).agg(F.bool_or(F.col(ts) > _cutoff(now, max_age_days)).alias("fresh")))
+            .groupBy(host).agg(F.bool_or(F.col(ts) > cut).alias("fresh")))
 
 
 def fresh_host_set(listing: DataFrame, now, max_age_days: int = C.MAX_AGE_DAYS,
                    host: str = "host", ts: str = "ts") -> DataFrame:
-    return listing.where(F.col(ts) > _cutoff(now, max_age_days)).select(host).distinct()
+    cut = _cutoff(listing, ts, now, max_age_days)
+    return listing.where(F.col(ts) > cut).select(host).distinct()
 
 
 def split_urls(urls: DataFrame, listing: DataFrame, now, max_age_days: int = C.MAX_AGE_DAYS,
