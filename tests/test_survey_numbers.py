@@ -25,3 +25,14 @@ def test_question_answer_pairs_and_hits(spark):
     q = E.queries()
     assert q["first_answer"](spark, SF01).count() == 233
     assert q["lexical_top4"](spark, SF01).count() == 160
+
+
+def test_freshness_does_not_depend_on_session_time_zone(spark):
+    key = "spark.sql.session.timeZone"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "America/New_York")
+    try:
+        rows = E.queries()["fresh_hosts"](spark, SF01).groupBy("fresh").count().collect()
+        assert {r.fresh: r["count"] for r in rows} == {True: 140, False: 10}
+    finally:
+        spark.conf.set(key, old)
