@@ -43,3 +43,24 @@ def test_ask_global_scope_and_generator(spark):
     r = ask(qs, _passages(spark), None, scope="global", generator=upper_generator).first()
     assert r.answer == "BLUE WHALES" and r.sources[0] == "h3/a"
     assert r.confidence > 0
+
+
+def test_fresh_first_flow(spark):
+    from webloom.operators.ask import answers_to_store_after_flow, ask_fresh_first
+    now = dt.datetime(2024, 2, 1)
+    passages = spark.createDataFrame(
+        [(1, "fresh.com", "fresh.com/a", "red fox"), (2, "stale.com", "stale.com/a", "blue whale swims"),
+         (3, "fresh.com", "fresh.com/b", "green leaf")],
+        "pid long, host string, source string, chunk string")
+    listing = spark.createDataFrame([("fresh.com", now - dt.timedelta(days=2)),
+                                     ("stale.com", now - dt.timedelta(days=90))], "host string, ts timestamp")
+    qs = spark.createDataFrame([(1, "red fox"), (2, "blue whale"), (3, "in store")],
+                               "qid long, question string")
+    store = A.answer_rows(spark.createDataFrame([("in store", "kept")], "question string, answer string"),
+                          ts="2024-01-01 00:00:00")
+    out = {r.qid: r for r in ask_fresh_first(qs, passages, listing, now, store).collect()}
+    assert (out[1].stage, out[1].answer, out[1].confident) == ("fresh", "red fox", True)
+    assert (out[2].stage, out[2].answer) == ("all", "blue whale swims")
+    assert (out[3].stage, out[3].answer) == ("cache", "kept")
+    stored = answers_to_store_after_flow(spark.createDataFrame(list(out.values())), now)
+    assert [r.question for r in stored.collect()] == ["blue whale"]

@@ -127,3 +127,39 @@ def answers_to_store(final: DataFrame, ts) -> DataFrame:
     """Newly computed answers worth caching (not cached ones, not the sentinel)."""
     new = final.where(~F.col("cached") & (F.col("answer") != C.NO_VALID_ANSWERS))
     return A.answer_rows(new, ts, confidence=F.col("confidence"))
+
+
+def ask_fresh_first(questions: DataFrame, passages: DataFrame, listing: DataFrame, now,
+                    cache: DataFrame | None = None, *, max_age_days: int = C.MAX_AGE_DAYS,
+                    k: int = C.TOP_K, scope: str = "global",
+                    threshold: float = C.SIMILARITY_THRESHOLD, gate: float = C.CONFIDENCE_GATE,
+                    generator: Generator | None = None) -> DataFrame:
+    """The full question flow with freshness, one row per question plus ``stage``.
+
+    * ``cache``: answered from the store;
+    * ``fresh``: answered from the passages of fresh hosts only and confident
+      enough to return early (such answers are not stored);
+    * ``all``: every other question, answered over all hosts' passages (where
+      the stale hosts would have been fetched again); these are the ones to store.
+
+    ``listing`` is ``(host, ts)`` of stored objects; freshness as in
+    ``operators.freshness``.  Both passes are the same DataFrame operator over
+    different passage sets; nothing is looped per question.
+    """
+    from .freshness import fresh_host_set
+    fresh = fresh_host_set(listing, now, max_age_days)
+    first = ask(questions, passages.join(fresh, "host", "left_semi"), cache, k=k, scope=scope,
+                threshold=threshold, gate=gate, generator=generator)
+    early = first.where(F.col("cached") | F.col("confident")).withColumn(
+        "stage", F.when(F.col("cached"), F.lit("cache")).otherwise(F.lit("fresh")))
+    rest = questions.join(early.select("qid"), "qid", "left_anti")
+    second = ask(rest, passages, None, k=k, scope=scope, threshold=threshold, gate=gate,
+                 generator=generator).withColumn("stage", F.lit("all"))
+    return early.unionByName(second)
+
+
+def answers_to_store_after_flow(final: DataFrame, ts) -> DataFrame:
+    """From ``ask_fresh_first``: only second-pass answers are stored (not
+    cached ones, not early confident returns, not the sentinel)."""
+    new = final.where((F.col("stage") == "all") & (F.col("answer") != C.NO_VALID_ANSWERS))
+    return A.answer_rows(new, ts, confidence=F.col("confidence"))
