@@ -46,3 +46,12 @@ def test_title_content_variant(spark):
 def test_internal_links_plan_is_semi_join(spark):
     plan = P.internal_links(table(spark, SF01, "pages"))._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_entities_parser_equals_native(spark):
+    html = ("<title>a&amp b</title><p>x&am y &amp;lt; z&nbsp;w &copy &quot;q&quot;</p>"
+            "<h1>&middot;&amp;amp;</h1>")
+    pages = spark.createDataFrame([(1, "http://a/", html)], "page_id long, url string, html string")
+    a = P.page_text(pages, "parser").first().content
+    b = P.page_text(pages, "native").first().content
+    assert a == b == 'a& b x&am y &lt; z w © "q" ·&amp;'

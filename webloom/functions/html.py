@@ -97,10 +97,11 @@ def page_text_from_nodes(nodes: dict[str, list[str]]) -> str:
 
 
 # ----------------------------------------------------------------- native form
-# fixed values: entity spellings decoded by the native form (&amp; last)
-NATIVE_ENTITIES = [("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"),
-                   ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"),
-                   ("&amp;", "&")]
+# fixed values: character references decoded by the native form, as regex
+# patterns (the named ones are HTML5 legacy names, valid without ';'), &amp last
+NATIVE_ENTITIES = [("&quot;?", '"'), ("&#39;", "'"), ("&lt;?", "<"), ("&gt;?", ">"),
+                   ("&nbsp;?", "\u00a0"), ("&copy;?", "\u00a9"), ("&middot;?", "\u00b7"),
+                   ("&amp;?", "&")]
 RAW_BLOCKS = "(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 
 
@@ -109,8 +110,10 @@ def strip_raw_blocks(html: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
-    for ent, ch in NATIVE_ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
+    """Decode the references of ``NATIVE_ENTITIES`` once each, left to right
+    (``&amp;lt;`` -> ``&lt;``), with or without the closing ``;``."""
+    for pattern, ch in NATIVE_ENTITIES:
+        c = F.regexp_replace(c, pattern, ch)
     return c
 
 

@@ -21,9 +21,10 @@ def py_strip(x: str) -> str:
 
 
 def decode(x: str) -> str:
-    for ent, ch in [("&quot;", '"'), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"),
-                    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]:
-        x = f"replace({x}, '{ent}', '{ch}')"
+    for pat, ch in [("&quot;?", '"'), ("&#39;", "''"), ("&lt;?", "<"), ("&gt;?", ">"),
+                    ("&nbsp;?", "\u00a0"), ("&copy;?", "\u00a9"), ("&middot;?", "\u00b7"),
+                    ("&amp;?", "&")]:
+        x = f"regexp_replace({x}, '{pat}', '{ch}', 'g')"
     return x
 
 
