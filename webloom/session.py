@@ -35,9 +35,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None for a Spark Connect client."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 - Connect sessions expose no SparkContext
+        return None
+
+
+def parallelism(spark: SparkSession) -> int:
+    sc = _context(spark)
+    if sc is not None:
+        return sc.defaultParallelism
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only if unset."""
-    sc = spark.sparkContext
+    sc = _context(spark)
+    if sc is None:   # Connect: the server's configured folder
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -54,11 +71,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def input_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of a path through the cluster's Hadoop file system."""
-    jvm = spark.sparkContext._jvm
+def input_bytes(spark: SparkSession, path: str) -> int | None:
+    """Total size of a path through the cluster's Hadoop file system (None
+    when the session gives no access to it)."""
+    sc = _context(spark)
+    if sc is None:
+        return None
+    jvm = sc._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
     return int(fs.getContentSummary(p).getLength())
 
 
@@ -76,8 +97,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False,
     path = os.path.join(sf_dir, f"{name}.parquet")
     df = spark.read.parquet(path)
     if spread:
-        cores = spark.sparkContext.defaultParallelism
-        if input_bytes(spark, path) < cores * bytes_per_task:
+        cores = parallelism(spark)
+        size = input_bytes(spark, path)
+        if size is not None and size < cores * bytes_per_task:
             df = df.repartition(cores)
     return df
 
@@ -103,8 +125,8 @@ def ship_package(spark: SparkSession) -> None:
     ships its code.
     """
     import zipfile
-    sc = spark.sparkContext
-    app = sc.applicationId
+    sc = _context(spark)
+    app = sc.applicationId if sc is not None else f"connect-{id(spark)}"
     if app in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
@@ -115,5 +137,8 @@ def ship_package(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(base, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(out)
+    if sc is not None:
+        sc.addPyFile(out)
+    else:
+        spark.addArtifacts(out, pyfile=True)
     _SHIPPED.add(app)

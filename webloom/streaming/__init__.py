@@ -16,7 +16,8 @@ def state_partitions(spark, n: int | None = None):
     """
     key = "spark.sql.shuffle.partitions"
     old = spark.conf.get(key)
-    want = n or min(int(old), spark.sparkContext.defaultParallelism)
+    from ..session import parallelism
+    want = n or min(int(old), parallelism(spark))
     spark.conf.set(key, str(want))
     try:
         yield want
