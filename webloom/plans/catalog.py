@@ -714,22 +714,19 @@ def stream_chunk_assign(spark, d):
 
     def batch(df, epoch_id):
         df.write.mode("append").parquet(out)
-    # records arrive slice by slice in page order: each slice is fully
-    # processed before the next one is written, so order holds by construction
-    starts = list(range(lo, hi + 1, step))
-    write_slice(starts[0])
-    stream = spark.readStream.schema("host string, ord long, size long").parquet(src)
-    with state_partitions(spark):
-        q = (SS.assign_chunks_stream(stream, ASSIGN_LIMIT).writeStream.outputMode("append")
-             .foreachBatch(batch).option("checkpointLocation", scratch_path(spark, "stream-chunks-ckpt"))
-             .start())
-    try:
-        q.processAllAvailable()
-        for s in starts[1:]:
-            write_slice(s)
-            q.processAllAvailable()
-    finally:
-        q.stop()
+    # records arrive slice by slice in page order.  Each slice is written, then
+    # processed by an availableNow run that resumes the same checkpoint (state
+    # included) and stops; no run is active while a slice is being written, so
+    # a listing can never see half of a slice.
+    ckpt = scratch_path(spark, "stream-chunks-ckpt")
+    for s in range(lo, hi + 1, step):
+        write_slice(s)
+        stream = spark.readStream.schema("host string, ord long, size long").parquet(src)
+        with state_partitions(spark):
+            q = (SS.assign_chunks_stream(stream, ASSIGN_LIMIT).writeStream.outputMode("append")
+                 .foreachBatch(batch).option("checkpointLocation", ckpt)
+                 .trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.parquet(out).select("host", F.col("ord").alias("page_id"), "chunk_no")
 
 
