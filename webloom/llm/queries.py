@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import repeats
+from . import repeats, tokens
 from .tables import read_table
 
 QUERIES = {}
@@ -37,3 +37,8 @@ FROM d LEFT JOIN s USING (doc_id)
 """)
 def op10_substring_dedup(spark, d):
     return repeats.remove_repeats(read_table(spark, d, "documents"))
+
+
+@_register("op9_token_output")
+def op9_token_output(spark, d):
+    return tokens.token_output(read_table(spark, d, "documents"))
