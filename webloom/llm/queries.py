@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import jaccard, repeats, tokens
+from . import decontaminate, jaccard, repeats, tokens
 from .tables import read_table
 
 QUERIES = {}
@@ -67,3 +67,9 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS c FROM r GROUP BY v)
 """)
 def op5_jaccard_join(spark, d):
     return jaccard.jaccard_classes(read_table(spark, d, "documents"))
+
+
+@_register("op1_decontamination")
+def op1_decontamination(spark, d):
+    found = decontaminate.leaks(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
+    return found.drop("th")

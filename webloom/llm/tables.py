@@ -57,7 +57,7 @@ class Bloom:
 
     def __init__(self, bits: int = 1 << 26):
         self.bits = bits
-        self.primes = (_prime_below(bits - 1), _prime_below(bits - 12345))
+        self.primes = (_prime_below(bits - 1), _prime_below(bits - bits // 16))
         self.words = np.zeros((bits + 63) // 64, np.int64)
 
     def build(self, keys: DataFrame, column: str) -> "Bloom":
