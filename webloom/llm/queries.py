@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, repeats, tokens
+from . import decontaminate, jaccard, quality, repeats, tokens
 from .tables import read_table
 
 QUERIES = {}
@@ -73,3 +73,8 @@ def op5_jaccard_join(spark, d):
 def op1_decontamination(spark, d):
     found = decontaminate.leaks(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
     return found.drop("th")
+
+
+@_register("op4_quality")
+def op4_quality(spark, d):
+    return quality.scored(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
