@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, quality, repeats, tokens
+from . import decontaminate, jaccard, quality, repeats, tokens, toxicity
 from .tables import read_table
 
 QUERIES = {}
@@ -78,3 +78,8 @@ def op1_decontamination(spark, d):
 @_register("op4_quality")
 def op4_quality(spark, d):
     return quality.scored(read_table(spark, d, "documents"), read_table(spark, d, "labels"))
+
+
+@_register("op8_toxicity")
+def op8_toxicity(spark, d):
+    return toxicity.scored(read_table(spark, d, "documents"), read_table(spark, d, "labels")).drop("passages")
