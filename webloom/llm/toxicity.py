@@ -4,7 +4,8 @@
    label.  A word's log-odds has a Dirichlet prior centred on its 4-byte
    prefix, a prefix's one centred on all words, so that rare words lean on
    their family and chance words on nothing.  Words and prefixes whose log-odds
-   are ``z`` standard errors above 0 form the lexicon (the ``lexicon`` largest).
+   are ``least_odds`` and ``z`` standard errors or more form the lexicon (the
+   ``lexicon`` surest).
 2. Every word of every text scores its log-odds, words outside the lexicon a
    little less than 0 (what their absence from toxic text says).  A linear scan
    finds all maximal-scoring segments (Ruzzo and Tompa, 1999): disjoint
@@ -106,7 +107,7 @@ class Lexicon:
         return (lo + hi) / 2
 
 
-def learn_lexicon(counts: DataFrame, z: float, strength: float, lexicon: int) -> Lexicon:
+def learn_lexicon(counts: DataFrame, z: float, least: float, strength: float, lexicon: int) -> Lexicon:
     """Log-odds with Dirichlet priors, on Spark; the bounded lexicon comes back."""
     total = counts.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     t, c = max(total.t or 0, 1), max(total.c or 0, 1)
@@ -125,7 +126,7 @@ def learn_lexicon(counts: DataFrame, z: float, strength: float, lexicon: int) ->
     own = counts.where("toxic > 0").join(family, "prefix").withColumn("key", F.col("word"))
     share = ((F.col("ft") - F.col("toxic") + strength * everywhere)
              / (F.col("ft") - F.col("toxic") + F.col("fc") - F.col("clean") + strength))
-    found = scored(own, share).unionByName(families).where((F.col("z") >= z) & (F.col("odds") > 1))
+    found = scored(own, share).unionByName(families).where((F.col("z") >= z) & (F.col("odds") >= least))
     rows = found.orderBy(F.desc("z"), "key").limit(lexicon).toArrow()
     keys, score = rows["key"].to_numpy().view(np.uint64), np.minimum(rows["odds"].to_numpy(), 8.0)
     order = np.argsort(keys)
@@ -186,21 +187,24 @@ def scan(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.mapInArrow(job, _SCAN)
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = 20_000, z: float = 4.0, strength: float = 5.0,
-           lexicon: int = 50_000, expect: float = 0.05) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, sample: int = 20_000, z: float = 4.5, least_odds: float = 3.0,
+           strength: float = 5.0, lexicon: int = 50_000, expect: float = 0.05) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, n_passages, passages."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(3, 1))
     truth = clean_labels(labels, "toxic")
     picked = bounded_sample(base.where("NOT held_out").select("doc_id").join(truth, "doc_id"), sample).distinct()
-    counts = materialise(word_counts(base.where("NOT held_out").join(picked, "doc_id")), "word-counts")
-    lex = learn_lexicon(counts, z, strength, lexicon)
+    # copies of one text count once: they are one piece of evidence
+    rows = base.where("NOT held_out").join(picked, "doc_id").withColumn("th", F.xxhash64("text")).dropDuplicates(["th"])
+    counts = materialise(word_counts(rows), "word-counts")
+    lex = learn_lexicon(counts, z, least_odds, strength, lexicon)
     table = materialise(scan(base, lex), "toxic-passages")
     train = table.where("NOT held_out").join(truth, "doc_id")
     decay = lex.decay()
-    # K: clean passages seen, against n exp(-lambda S) summed over them
-    clean = train.where("label = 0").agg(F.sum("n_words").alias("n"), F.sum(F.aggregate(
-        "passages", F.lit(0.0), lambda a, p: a + F.exp(p.score * decay))).alias("e")).first()
-    k = max(clean.e or 0.0, 1.0) / max(clean.n or 0, 1)
+    # K: clean passages seen above the least score of a word (a count, which a few wrong labels move little)
+    least = float(lex.score.min()) if len(lex.score) else 1.0
+    clean = train.where("label = 0").agg(F.sum("n_words").alias("n"), F.sum(F.size(F.filter(
+        "passages", lambda p: p.score >= least - 1e-9))).alias("e")).first()
+    k = max(clean.e or 0, 1) / max(clean.n or 0, 1) * math.exp(min(decay * least, 600))
     chance = lambda p: F.log(F.lit(k) * F.greatest(F.col("n_words"), F.lit(1))) - p.score * decay
     real = F.filter("passages", lambda p: chance(p) <= math.log(expect))
     marked = table.select("doc_id", "held_out", "n_words", real.alias("passages"))
