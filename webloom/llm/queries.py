@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, quality, repeats, tokens, toxicity
+from . import decontaminate, jaccard, quality, repeats, shards, tokens, toxicity
 from .tables import read_table
 
 QUERIES = {}
@@ -83,3 +83,12 @@ def op4_quality(spark, d):
 @_register("op8_toxicity")
 def op8_toxicity(spark, d):
     return toxicity.scored(read_table(spark, d, "documents"), read_table(spark, d, "labels")).drop("passages")
+
+
+@_register("op7_sharding")
+def op7_sharding(spark, d):
+    rows = shards.shuffle(read_table(spark, d, "documents"), shards=40)
+    text = F.coalesce("text", F.lit(""))
+    return rows.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"),
+                       F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+                       F.lit(None).cast("int").alias("grown_shard"))
