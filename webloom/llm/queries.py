@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, quality, repeats, shards, tokens, toxicity
+from . import decontaminate, jaccard, quality, repeats, revisits, shards, tokens, toxicity
 from .tables import read_table
 
 QUERIES = {}
@@ -92,3 +92,52 @@ def op7_sharding(spark, d):
     return rows.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"),
                        F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+_SQL_CAPTURES = r"""
+WITH c AS (
+  SELECT page_id * 6 AS record_id, url, page_id AS m, 'response' AS kind, md5(coalesce(html, '')) AS etag, NULL AS modified,
+         strlen(html)::VARCHAR AS length, page_id::VARCHAR AS d, 'a' AS server, NULL AS expires, NULL AS ctype, sha1(html) AS payload
+  FROM pages
+  UNION ALL
+  SELECT page_id * 6 + 1, regexp_replace(url, '[#?].*$', '') || '#again', page_id + 100000, 'revisit',
+         CASE WHEN page_id % 7 = 0 THEN 'changed' ELSE md5(coalesce(html, '')) END, NULL, '0', (page_id + 100000)::VARCHAR,
+         NULL, NULL, NULL, NULL FROM pages
+  UNION ALL
+  SELECT page_id * 6 + 2, url || CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END || 'utm_id=1', page_id + 200000, 'revisit',
+         NULL, NULL, NULL, NULL, NULL, 'never', NULL, NULL FROM pages
+  UNION ALL
+  SELECT page_id * 6 + 3, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || '/', page_id,
+         CASE WHEN page_id % 10 = 0 THEN 'response' ELSE 'revisit' END, NULL, 'day ' || (page_id // 500)::VARCHAR, NULL,
+         page_id::VARCHAR, NULL, NULL, CASE WHEN page_id % 10 = 0 THEN 'text/html' ELSE 'none' END,
+         CASE WHEN page_id % 10 = 0 THEN sha1(regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || '/') END FROM pages),
+r AS (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM c),
+q AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^([^/?]*)', 1)), ':(80|443)$', ''), '^(www|m)\.', '')
+             || regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS base,
+             list_filter(list_sort(string_split(regexp_extract(rest, '\?(.*)$', 1), '&')),
+                         lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)')) AS args FROM r),
+k AS (SELECT *, base || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END AS url_key FROM q),
+f AS (SELECT *, last_value(CASE WHEN kind = 'response' THEN record_id END IGNORE NULLS) OVER (
+             PARTITION BY url_key ORDER BY m, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rid FROM k),
+j AS (SELECT n.record_id, n.url_key, n.m, s.record_id AS sid, s.payload AS spayload,
+             n.etag AS e1, s.etag AS e2, n.modified AS m1, s.modified AS m2, s.length AS length, s.ctype AS ctype,
+             coalesce(n.d, s.d) AS d, coalesce(n.server, s.server) AS server, coalesce(n.expires, s.expires) AS expires,
+             n.etag AS ne, s.etag AS se
+      FROM f n LEFT JOIN c s ON s.record_id = n.rid WHERE n.kind = 'revisit'),
+t AS (SELECT *, CASE WHEN sid IS NULL THEN 'no_earlier_response' WHEN e1 = e2 THEN 'resolved' WHEN e1 <> e2 THEN 'validator_mismatch'
+                     WHEN m1 = m2 THEN 'resolved' WHEN m1 <> m2 THEN 'validator_mismatch' ELSE 'no_validator' END AS status FROM j)
+SELECT record_id, url_key, 1600000000 + 60 * m AS seconds, status, CASE WHEN status = 'resolved' THEN sid END AS response_id,
+       CASE WHEN status = 'resolved' THEN array_to_string(list_sort(list_filter([
+         'etag: ' || coalesce('W/' || ne, se), 'last-modified: ' || coalesce(m1, m2), 'content-length: ' || length,
+         'content-type: ' || ctype, 'date: ' || d, 'server: ' || server, 'expires: ' || expires], lambda h: h IS NOT NULL)),
+         chr(10)) END AS headers,
+       CASE WHEN status = 'resolved' THEN spayload END AS payload
+FROM t
+"""
+
+
+@_register("op2_warc_revisits", sql=_SQL_CAPTURES)
+def op2_warc_revisits(spark, d):
+    out = revisits.resolve(revisits.captures(read_table(spark, d, "pages")))
+    return out.select("record_id", "url_key", F.unix_seconds("ts").alias("seconds"), "status", "response_id",
+                      revisits.header_lines(F.col("headers")).alias("headers"), "payload")
