@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, quality, repeats, revisits, shards, tokens, toxicity
+from . import decontaminate, jaccard, quality, repeats, revisits, rules, shards, tokens, toxicity
 from .tables import read_table
 
 QUERIES = {}
@@ -141,3 +141,33 @@ def op2_warc_revisits(spark, d):
     out = revisits.resolve(revisits.captures(read_table(spark, d, "pages")))
     return out.select("record_id", "url_key", F.unix_seconds("ts").alias("seconds"), "status", "response_id",
                       revisits.header_lines(F.col("headers")).alias("headers"), "payload")
+
+
+@_register("op3_quality_rules", sql=f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_SQL_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, i, w[i:i + 7] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM p),
+c AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM g WHERE n > 1) GROUP BY 1),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+m AS (
+  SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!]', '', 'g')) AS n_marks,
+         len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+         len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_same
+  FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+f AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    (n_words < 20)::INT + 2 * (n_repeat_words * 100 > n_words * 30)::INT + 4 * (n_dup_lines * 100 > n_lines * 60)::INT
+    + 8 * (n_symbols * 100 > n_words * 25)::INT + 16 * (word_chars < n_words * 2)::INT + 32 * (word_chars > n_words * 20)::INT
+    + 64 * (n_upper * 100 > word_chars * 30)::INT + 128 * (n_marks * 100 > n_words * 25)::INT
+    + 256 * (n_same * 100 > n_words * 25)::INT AS failed
+  FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       (failed & {rules.mask(rules.POLICIES["v2"])}) = 0 AS kept, failed::BIGINT AS failed
+FROM f
+""")
+def op3_quality_rules(spark, d):
+    entries = rules.ledger(read_table(spark, d, "documents"))
+    return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                          (~rules.passes("base")).alias("base_failed"), rules.passes("v2").alias("kept"), "failed")

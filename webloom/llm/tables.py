@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import gc
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +31,26 @@ def release(spark: SparkSession) -> None:
         pass
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Whole texts cross to Python in batches of ``rows`` (the default of 10,000
+    holds several copies of some 30 MB in each task); restored afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back: what
     follows re-reads files instead of recomputing when an executor is lost."""
     spark = df.sparkSession
     path, schema = scratch_path(spark, name), df.schema
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     del df
     release(spark)
     return spark.read.schema(schema).parquet(path)
@@ -62,9 +77,10 @@ class Bloom:
 
     def build(self, keys: DataFrame, column: str) -> "Bloom":
         probes = F.explode(F.array(*[F.pmod(F.col(column), F.lit(p)) for p in self.primes]))
-        rows = (keys.select(probes.alias("p"))
-                .groupBy(F.shiftright("p", 6).cast("int").alias("w"))
-                .agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("b")).toArrow())
+        with small_batches(keys.sparkSession):
+            rows = (keys.select(probes.alias("p"))
+                    .groupBy(F.shiftright("p", 6).cast("int").alias("w"))
+                    .agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int)))").alias("b")).toArrow())
         self.words[rows["w"].to_numpy()] = rows["b"].to_numpy()
         return self
 
