@@ -1,8 +1,7 @@
 """N-gram Jaccard join by vertical partitioning (operator 5).
 
-Documents are sets of word n-grams in one global order: rare n-grams first
-(by the power of two of their count in a fixed-size table of hashed counts
-over the whole corpus), then by hash.
+Documents are sets of word n-grams in one global order, rare n-grams first
+(see ``Order``).
 
 1. Equal sets are one class (a 128-bit hash of the set).
 2. Prefix filter: two sets of Jaccard ``num/den`` or more share an n-gram of
@@ -33,15 +32,15 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .tables import Bloom, materialise, release
+from .tables import Bloom, materialise, release, small_batches
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _NO_ID = 1 << 62
 
 
-def grams(w: W.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+def grams(w: W.Words, n: int, h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams of a slice and the document of each."""
-    h = w.hashes()
+    h = w.hashes() if h is None else h
     start = w.starts_of(n)
     acc = np.zeros(len(start), np.uint64)
     for i in range(n):
@@ -52,74 +51,86 @@ def grams(w: W.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Order:
-    """The global order of n-grams: a 63-bit key, rare n-grams first."""
+    """The global order of n-grams, as 63-bit keys.
+
+    Two fixed-size tables of hashed counts over the whole corpus, one of
+    n-grams and one of words, rank an n-gram by the power of two by which its
+    count is above the mean (common passages go last), then by the product of
+    its words' counts (rare words go first), then by hash.
+    """
 
     CHUNK = 1 << 14
 
     def __init__(self, buckets: int):
-        self.buckets = buckets
-        self.level = np.zeros(buckets, np.uint8)
-        self.weight = np.zeros(32)
+        self.level = np.zeros(buckets, np.uint8)          # of n-grams: 0 up to the mean, at most 15
+        self.log2 = np.zeros(max(buckets // 4, self.CHUNK), np.float32)   # of word counts
 
-    def bucket(self, g: np.ndarray) -> np.ndarray:
-        return (g & np.uint64(self.buckets - 1)).astype(np.int64)
+    @staticmethod
+    def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+        return (h & np.uint64(buckets - 1)).view(np.int64)
 
     def learn(self, docs: DataFrame, n: int) -> "Order":
-        """Counts of all n-grams of all documents; each task sends its counts
-        in chunks, each chunk is summed as it streams in."""
-        size, chunk, bucket = self.buckets, self.CHUNK, self.bucket
+        """Count all words and n-grams of all documents; each task sends its
+        counts in chunks, each chunk is summed as it streams in."""
+        size, words, chunk, bucket = len(self.level), len(self.log2), self.CHUNK, self._bucket
 
         def count(batches):
-            total = np.zeros(size, np.int64)
+            total = np.zeros(size + words, np.int32)
             for b in batches:
                 for _lo, _hi, raw, off in W.slices(b["text"]):
-                    total += np.bincount(bucket(grams(W.segment(raw, off, W.ASCII_LOWER), n)[0]), minlength=size)
-            for i in range(0, size, chunk):
-                part = total[i:i + chunk]
+                    w = W.segment(raw, off, W.ASCII_LOWER)
+                    h = w.hashes()
+                    for at in (bucket(grams(w, n, h)[0], size), bucket(h, words) + size):
+                        at.sort()
+                        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else at
+                        total[at[first]] += np.diff(np.append(first, len(at))).astype(np.int32)
+            for i, part in enumerate(total.reshape(-1, chunk)):
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i // chunk], pa.int32()), pa.array([part.tobytes()], pa.binary())],
+                    kind = np.uint16 if part.max() < 1 << 16 else np.int32
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary())],
                                                      ["chunk", "counts"])
 
         def add(batches):
             sums: dict[int, np.ndarray] = {}
             for b in batches:
                 for i, raw in zip(b["chunk"].to_pylist(), b["counts"].to_pylist()):
-                    part = np.frombuffer(raw, np.int64)
+                    part = np.frombuffer(raw, np.uint16 if len(raw) == 2 * chunk else np.int32).astype(np.int64)
                     sums[i] = sums[i] + part if i in sums else part
             for i, part in sums.items():
-                level = np.minimum(np.log2(np.maximum(part, 1)).astype(np.uint8), 31)
-                mass = np.bincount(level, weights=part, minlength=32)
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([level.tobytes()], pa.binary()),
-                                                  pa.array([mass.tolist()], pa.list_(pa.float64()))], ["chunk", "level", "mass"])
-
-        rows = (docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition("chunk")
-                .mapInArrow(add, "chunk int, level binary, mass array<double>").collect())
-        for r in rows:       # buckets / CHUNK rows: the table has one size at any input
-            self.level[r.chunk * chunk:(r.chunk + 1) * chunk] = np.frombuffer(r.level, np.uint8)
-            self.weight += np.array(r.mass)
+                log2 = np.log2(np.maximum(part, 1)).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([int(part.sum())]), pa.array([log2.tobytes()], pa.binary())],
+                                                 ["chunk", "total", "log2"])
+
+        with small_batches(docs.sparkSession):
+            rows = (docs.select("text").mapInArrow(count, "chunk int, counts binary").repartition("chunk")
+                    .mapInArrow(add, "chunk int, total long, log2 binary").collect())
+        logs, total = np.zeros(size + words, np.float32), 0
+        for r in rows:       # a row for each CHUNK buckets: the tables have one size at any input
+            logs[r.chunk * chunk:(r.chunk + 1) * chunk] = np.frombuffer(r.log2, np.float32)
+            total += r.total if r.chunk * chunk < size else 0
+        usual = np.log2(max(total / size, 1.0)) + 0.5
+        self.level = np.clip(np.ceil(logs[:size] - usual), 0, 15).astype(np.uint8)
+        self.log2 = logs[size:]
         return self
 
-    def keys(self, g: np.ndarray) -> np.ndarray:
-        return ((self.level[self.bucket(g)].astype(np.uint64) << np.uint64(58)) | (g >> np.uint64(6))).view(np.int64)
-
-    def pivots(self, fragments: int) -> np.ndarray:
-        """Keys that cut the order into fragments of about equal weight."""
-        total, out = max(self.weight.sum(), 1.0), []
-        before = np.cumsum(self.weight) - self.weight
-        for i in range(1, fragments):
-            at = total * i / fragments
-            level = int(np.searchsorted(before, at, "right")) - 1
-            share = min((at - before[level]) / max(self.weight[level], 1.0), 1.0)
-            out.append((level << 58) + int(share * ((1 << 58) - 1)))
-        return np.array(out, np.int64)
+    def keys(self, w: W.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(key, document) of each n-gram of a slice."""
+        h = w.hashes()
+        g, doc = grams(w, n, h)
+        start, log2 = w.starts_of(n), self.log2[self._bucket(h, len(self.log2))]
+        rarity = np.zeros(len(g), np.float32)
+        for i in range(n):
+            rarity[:len(start)] += log2[start + i]
+        rank = self.level[self._bucket(g, len(self.level))].astype(np.uint64) << np.uint64(5) | np.minimum(rarity / n, 31).astype(np.uint64)
+        return (rank << np.uint64(54) | g >> np.uint64(10)).view(np.int64), doc
 
 
 def _sets(column: pa.Array, n: int, order: Order):
     """(row, ordered keys, 16-byte set hash) of each text with words."""
     for lo, hi, raw, off in W.slices(column):
-        g, doc = grams(W.segment(raw, off, W.ASCII_LOWER), n)
+        keys, doc = order.keys(W.segment(raw, off, W.ASCII_LOWER), n)
         by = np.argsort(doc, kind="stable")
-        keys, ends = order.keys(g)[by], np.searchsorted(doc[by], np.arange(hi - lo + 1))
+        keys, ends = keys[by], np.searchsorted(doc[by], np.arange(hi - lo + 1))
         for d in range(hi - lo):
             if ends[d] < ends[d + 1]:
                 k = np.unique(keys[ends[d]:ends[d + 1]])
@@ -133,14 +144,23 @@ def _describe(docs: DataFrame, n: int, order: Order, num: int, den: int) -> Data
 
     def job(batches):
         for b in batches:
-            size, node, prefix = np.zeros(b.num_rows, np.int64), [None] * b.num_rows, [None] * b.num_rows
+            size, node, prefix, probes = np.zeros(b.num_rows, np.int64), *([None] * b.num_rows for _ in range(3))
             for row, k, h in _sets(b["text"], n, shared.value):
                 size[row], node[row] = len(k), h
                 prefix[row] = k[:len(k) - -(-num * len(k) // den) + 1]
+                probes[row] = k[h[0] % 64::64]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["code"], pa.array(size), pa.array(node, pa.binary()),
-                                              pa.array(prefix, pa.list_(pa.int64()))],
-                                             ["doc_id", "code", "n", "node", "prefix"])
-    return docs.mapInArrow(job, "doc_id long, code long, n long, node binary, prefix array<long>")
+                                              pa.array(prefix, pa.list_(pa.int64())), pa.array(probes, pa.list_(pa.int64()))],
+                                             ["doc_id", "code", "n", "node", "prefix", "probes"])
+    return docs.mapInArrow(job, "doc_id long, code long, n long, node binary, prefix array<long>, probes array<long>")
+
+
+def _pivots(sets: DataFrame, fragments: int) -> np.ndarray:
+    """Keys that cut the global order into fragments of about equal weight,
+    from every 64th key of each set."""
+    at = [i / fragments for i in range(1, fragments)]
+    found = sets.select(F.explode("probes").alias("k")).agg(F.percentile_approx("k", at, 1000).alias("q")).first().q
+    return np.array(found or [0] * (fragments - 1), np.int64)
 
 
 def _candidates(classes: DataFrame, shared_grams: Bloom) -> DataFrame:
@@ -161,10 +181,9 @@ def _candidates(classes: DataFrame, shared_grams: Bloom) -> DataFrame:
     return classes.select("prefix", "node", "n").mapInArrow(job, "token long, node binary, n long, pos long")
 
 
-def _segments(docs: DataFrame, n: int, order: Order, wanted: Bloom, fragments: int) -> DataFrame:
+def _segments(docs: DataFrame, n: int, order: Order, wanted: Bloom, pivots: np.ndarray) -> DataFrame:
     """(node, fragment, keys) of the wanted representatives, read from their texts."""
-    spark = docs.sparkSession
-    shared, pivots = spark.sparkContext.broadcast((order, wanted)), order.pivots(fragments)
+    shared = docs.sparkSession.sparkContext.broadcast((order, wanted))
 
     def job(batches):
         ranks, bloom = shared.value
@@ -184,18 +203,33 @@ def _segments(docs: DataFrame, n: int, order: Order, wanted: Bloom, fragments: i
 
 
 def _links(pairs: DataFrame, segments: DataFrame, fragments: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, na, nb) whose overlap, summed over the fragments, is enough."""
-    each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
-    of = lambda s: segments.select(F.col("node").alias(s), "fragment", F.col("keys").alias(f"keys_{s}"))
-    partial = (each.join(of("a"), ["a", "fragment"]).join(of("b"), ["b", "fragment"])
-               .select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("keys_a", "keys_b")).alias("i")))
-    once = partial.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("i").alias("i"))   # rows that repeat a text
-    return (once.groupBy("a", "b", "na", "nb").agg(F.sum("i").alias("i"))
-            .where(F.col("i") * den >= num * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b"))
+    """Pairs (a, b, na, nb) whose overlap, summed over the fragments, is enough.
+
+    The fragment of the rarest n-grams goes first: what it leaves possible
+    drops the pairs that met by chance before the other fragments are joined.
+    """
+    of = lambda rows, s: rows.select(F.col("node").alias(s), "fragment", F.col("keys").alias(f"keys_{s}"))
+    key = ["a", "b", "na", "nb"]
+    none = F.array().cast("array<long>")
+    sides = [F.coalesce(F.col(f"keys_{s}"), none) for s in "ab"]
+    overlap = F.size(F.array_intersect(*sides))
+    rare = segments.where("fragment = 0")
+    head = (pairs.join(of(rare, "a").drop("fragment"), "a", "left").join(of(rare, "b").drop("fragment"), "b", "left")
+            .select(*key, overlap.alias("i"), F.size(sides[0]).alias("sa"), F.size(sides[1]).alias("sb"))
+            .groupBy(*key).agg(F.max("i").alias("first"), F.max("sa").alias("sa"), F.max("sb").alias("sb")))   # rows that repeat a text
+    most = F.col("first") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb"))
+    open_ = materialise(head.where(most * (den + num) >= num * (F.col("na") + F.col("nb"))).select(*key, "first"), "open")
+    each = open_.withColumn("fragment", F.explode(F.sequence(F.lit(1), F.lit(fragments - 1))))
+    partial = (each.join(of(segments, "a"), ["a", "fragment"]).join(of(segments, "b"), ["b", "fragment"])
+               .select(*key, "fragment", overlap.alias("i"))
+               .groupBy(*key, "fragment").agg(F.max("i").alias("i")))
+    total = (partial.select(*key, "i").unionByName(open_.withColumnRenamed("first", "i"))
+             .groupBy(*key).agg(F.sum("i").alias("i")))
+    return total.where(F.col("i") * den >= num * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
 def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, fragments: int = 8,
-                    buckets: int = 1 << 20, bits: int = 1 << 27) -> DataFrame:
+                    buckets: int = 1 << 22, bits: int = 1 << 26) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (see module docstring)."""
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("code"), "text")
@@ -209,7 +243,12 @@ def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
             F.min_by("prefix", "key").alias("prefix")), "classes")
     several = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     cand = materialise(_candidates(classes, Bloom(bits).build(several, "token")), "candidates")
-    hubs = cand.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("pos", "node", "n")).alias("h")).where("c > 1")
+    # n-grams with the same classes make the same pairs: the first of them is enough, as it is
+    # the first one (of those) that any two of its classes share
+    members = [F.expr(f"bit_xor(xxhash64(node, {seed}))").alias(f"m{seed}") for seed in (1, 2)]
+    hubs = cand.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("pos", "node", "n")).alias("h"), *members).where("c > 1")
+    hubs = materialise(hubs.groupBy("c", "m1", "m2").agg(F.min(F.struct("token", "h")).alias("t"))
+                       .select("t.token", "c", "t.h"), "hubs")
     both = (cand.join(hubs, "token").select("token", "c", *(F.col(x).alias(f"{x}_x") for x in ("node", "n", "pos")),
                                             *(F.col(f"h.{x}").alias(f"{x}_y") for x in ("node", "n", "pos"))))
     enough = (F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) * (den + num)
@@ -218,12 +257,16 @@ def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     pair = [F.when(first, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y")).alias(a) for c, a in (("node", "a"), ("n", "na"))] + [
         F.when(first, F.col(f"{c}_y")).otherwise(F.col(f"{c}_x")).alias(a) for c, a in (("node", "b"), ("n", "nb"))]
     star = materialise(both.where(enough & (F.col("node_x") != F.col("node_y"))).select(*pair).distinct(), "star-pairs")
-    # texts that any pair may need: those of hub pairs, and of n-grams in three classes or more
-    wide = cand.join(hubs.where("c > 2").select("token"), "token", "left_semi").select("node")
-    nodes = star.select(F.col("a").alias("node")).union(star.select("b")).union(wide).distinct()
-    wanted = Bloom(bits).build(classes.join(nodes, "node", "left_semi").select("code"), "code")
-    segments = materialise(_segments(keyed, n, order, wanted, fragments), "segments")
-    links = materialise(_links(star, segments, fragments, num, den), "star-links")
+    pivots = _pivots(sets, fragments)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that are links, their texts read again."""
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = Bloom(bits).build(classes.join(nodes, "node", "left_semi").select("code"), "code")
+        segments = materialise(_segments(keyed, n, order, wanted, pivots), "segments")
+        return materialise(_links(pairs, segments, fragments, num, den), "verified")
+
+    links = verified(star)
     label = materialise(components(links), "star-components")
     # what the hubs left apart: pairs across components, by the same n-grams and bounds
     some = (cand.join(hubs.where("c > 2").select("token"), "token")
@@ -233,8 +276,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     x, y = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "comp"))) for s in "xy")
     rest = (x.join(y, "token").where((F.col("comp_x") != F.col("comp_y")) & (F.col("node_x") < F.col("node_y")) & enough)
             .select(*pair).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti"))
-    more = _links(materialise(rest, "open-pairs"), segments, fragments, num, den)
-    comps = components(links.union(more))
+    comps = components(links.union(verified(materialise(rest, "open-pairs"))))
     found = classes.select("node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = found.groupBy("comp").agg(F.min("rep").alias("component_id"))
     by_node = found.join(smallest, "comp").select("node", "component_id")
