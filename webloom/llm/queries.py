@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, quality, repeats, revisits, rules, shards, tokens, toxicity
+from . import decontaminate, jaccard, mixing, quality, repeats, revisits, rules, shards, tokens, toxicity
 from .tables import read_table
 
 QUERIES = {}
@@ -171,3 +171,12 @@ def op3_quality_rules(spark, d):
     entries = rules.ledger(read_table(spark, d, "documents"))
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                           (~rules.passes("base")).alias("base_failed"), rules.passes("v2").alias("kept"), "failed")
+
+
+#: Shares of the mixture's expected tokens.
+TARGET = {"clean": 0.93, "toxic": 0.05, "low": 0.02}
+
+
+@_register("op6_soft_mixing")
+def op6_soft_mixing(spark, d):
+    return mixing.rates(read_table(spark, d, "documents"), read_table(spark, d, "labels"), TARGET)
