@@ -228,9 +228,9 @@ def _links(pairs: DataFrame, segments: DataFrame, fragments: int, num: int, den:
     return total.where(F.col("i") * den >= num * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
-def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, fragments: int = 8,
-                    buckets: int = 1 << 22, bits: int = 1 << 26) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (see module docstring)."""
+def _components(docs: DataFrame, n: int, num: int, den: int, fragments: int, buckets: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with doc_id, code, n, node; components with node, component_id and
+    the code of the row that stands for the component)."""
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("code"), "text")
     order = Order(buckets).learn(keyed, n)
@@ -277,10 +277,31 @@ def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     rest = (x.join(y, "token").where((F.col("comp_x") != F.col("comp_y")) & (F.col("node_x") < F.col("node_y")) & enough)
             .select(*pair).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti"))
     comps = components(links.union(verified(materialise(rest, "open-pairs"))))
-    found = classes.select("node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    smallest = found.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    by_node = found.join(smallest, "comp").select("node", "component_id")
+    found = classes.select("node", "rep", "code").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    smallest = found.groupBy("comp").agg(F.min("rep").alias("component_id"), F.min_by("code", "rep").alias("first"))
     release(spark)
+    return sets, found.join(smallest, "comp").select("node", "component_id", "first")
+
+
+def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, fragments: int = 8,
+                    buckets: int = 1 << 22, bits: int = 1 << 26) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (see module docstring)."""
+    sets, comps = _components(docs, n, num, den, fragments, buckets, bits)
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("component_id") < _NO_ID, F.col("component_id")))
-    return sets.select("doc_id", "n", "node").join(by_node, "node", "left").select(
+    return sets.select("doc_id", "n", "node").join(comps, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, fragments: int = 8,
+                buckets: int = 1 << 22, bits: int = 1 << 26) -> DataFrame:
+    """The documents without their near copies, all columns kept: of each
+    component the row of smallest doc_id stays, and every row without words;
+    rows that repeat both doc_id and text are one."""
+    sets, comps = _components(docs, n, num, den, fragments, buckets, bits)
+    stay = (sets.select("code", "n", "node").join(comps, "node", "left")
+            .where((F.col("n") == 0) | (F.col("code") == F.col("first"))).select(F.col("code").alias("stay_code")).distinct())
+    code = "code"
+    while code in docs.columns:
+        code += "_"
+    rows = docs.withColumn(code, F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    return rows.join(stay, F.col(code) == F.col("stay_code"), "left_semi").dropDuplicates([code]).drop(code)
