@@ -64,3 +64,30 @@ def test_fresh_first_flow(spark):
     assert (out[3].stage, out[3].answer) == ("cache", "kept")
     stored = answers_to_store_after_flow(spark.createDataFrame(list(out.values())), now)
     assert [r.question for r in stored.collect()] == ["blue whale"]
+
+
+def test_repeated_store_rows_answer_once(spark):
+    qs = spark.createDataFrame([(1, "cached question")], "qid long, question string")
+    row = A.answer_rows(spark.createDataFrame([("cached question", "stored answer")], "question string, answer string"),
+                        ts="2024-01-01 00:00:00", confidence=0.9)
+    out = ask(qs, _passages(spark), row.union(row).union(row), scope="host").collect()
+    assert [(r.answer, r.confidence, r.cached) for r in out] == [("stored answer", 0.9, True)]
+
+
+def test_sentinels_and_failures_neither_vote_nor_get_stored(spark):
+    qs = spark.createDataFrame([(1, "red fox"), (2, "blue whales")], "qid long, question string")
+    texts = {"h1": C.NO_INFORMATION_ANSWER, "h2": "a true answer", "h3": C.PIPELINE_ERROR_ANSWER}
+
+    def generator(prompts):
+        def job(batches):
+            for pdf in batches:
+                yield pd.DataFrame({"qid": pdf["qid"], "host": pdf["host"], "answer": [texts[h] for h in pdf["host"]]})
+        return prompts.mapInPandas(job, "qid long, host string, answer string")
+
+    out = {r.qid: r for r in ask(qs, _passages(spark), None, scope="host", generator=generator).collect()}
+    assert out[1].answer == "a true answer" and out[2].answer == C.NO_VALID_ANSWERS
+    stored = answers_to_store(spark.createDataFrame(list(out.values())), dt.datetime(2024, 2, 1))
+    assert [r.answer for r in stored.collect()] == ["a true answer"]
+    status = A.answer_status(F.col("a"))
+    rows = spark.createDataFrame([(x,) for x in [None, "", "x", C.NO_INFORMATION_ANSWER, C.PIPELINE_ERROR_ANSWER]], "a string")
+    assert [r.s for r in rows.select(status.alias("s")).collect()] == ["error", "empty", "ok", "no_information", "error"]

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from webloom.sinks import chunkfiles as KF
@@ -49,7 +50,17 @@ def test_index_append_is_idempotent(spark, tmp_path):
     ST.append_index(chunks, p)
     n1 = spark.read.parquet(p).count()
     ST.append_index(chunks, p)
-    assert spark.read.parquet(p).count() == n1 == 2
+    # equal passages of two documents are two rows
+    assert spark.read.parquet(p).count() == n1 == 3
+
+
+def test_an_unreadable_index_is_an_error(spark, tmp_path):
+    chunks = spark.createDataFrame([(1, "s", 0, "x")], "doc_id long, source string, chunk_index int, chunk string")
+    bad = tmp_path / "index"
+    bad.mkdir()
+    (bad / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):  # noqa: B017
+        ST.append_index(chunks, str(bad))
 
 
 def test_seed_lists_keep_positions(spark, tmp_path):

@@ -60,6 +60,15 @@ def test_assign_chunks_spark_matches_fold(spark):
             assert [r.chunk_no for r in got if r.host == h] == want[h], (width, fan)
 
 
+def test_records_without_a_host_are_a_host_of_their_own(spark):
+    rows = [(None if i % 3 else "a", i, 400) for i in range(12)]
+    df = spark.createDataFrame(rows, "host string, page_id long, record_size long")
+    for fan in (2, 64):
+        got = CH.assign_chunks(df, 1000, block_width=2, fan_out=fan).orderBy("ord").collect()
+        assert [r.chunk_no for r in got if r.host is None] == CH.chunk_assign_reference([400] * 8, 1000)
+        assert [r.chunk_no for r in got if r.host == "a"] == CH.chunk_assign_reference([400] * 4, 1000)
+
+
 def test_batches(spark):
     df = spark.createDataFrame([(i, f"u{i}") for i in range(5)], "page_id long, url string")
     assert [r.batch_id for r in seed_batches(df, 2).orderBy("page_id").collect()] == [0, 0, 1, 1, 2]

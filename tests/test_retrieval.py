@@ -1,17 +1,32 @@
 from webloom.operators import retrieval as R
 
 
-def test_lexical_scores_and_frequent_token_pruning(spark):
+def test_lexical_scores(spark):
     q = spark.createDataFrame([(1, "the fox")], "item_id long, text string")
     d = spark.createDataFrame([(10, "the fox"), (11, "the cat"), (12, "the dog"), (13, "fox fox")],
                               "doc_id long, text string")
     full = {r.did: r.sim for r in R.lexical_scores(q, d, q_id="item_id", q_text="text",
                                                    d_id="doc_id", d_text="text").collect()}
     assert full[10] == 1.0 and full[11] == 0.5 and full[13] == round(2 / (2 ** 0.5 * 2), 6)
-    # "the" occurs in 3 passages: with max_doc_freq=2 it no longer links anything
-    pruned = {r.did for r in R.lexical_scores(q, d, q_id="item_id", q_text="text", d_id="doc_id",
-                                              d_text="text", max_doc_freq=2).collect()}
-    assert pruned == {10, 13}
+
+
+def test_question_blocks_change_nothing(spark):
+    q = spark.createDataFrame([(i, f"the fox {i % 3}x y{i}") for i in range(9)] + [(None, "the")], "item_id long, text string")
+    d = spark.createDataFrame([(i, f"fox the the x y{i}", f"h{i % 2}") for i in range(7)] + [(None, "fox", "h"), (9, None, None)],
+                              "doc_id long, text string, host string")
+    kw = dict(q_id="item_id", q_text="text", d_id="doc_id", d_text="text", carry=("host",))
+    one = sorted(map(tuple, R.lexical_scores(q, d, **kw).collect()))
+    assert one == sorted(map(tuple, R.lexical_scores(q, d, block_terms=5, **kw).collect())) and len(one) == 63
+
+
+def test_corpus_is_exchanged_once(spark):
+    q = spark.createDataFrame([(1, "the fox")], "item_id long, text string")
+    d = spark.createDataFrame([(10, "the fox"), (11, "the cat")], "doc_id long, text string")
+    s = R.lexical_scores(q, d, q_id="item_id", q_text="text", d_id="doc_id", d_text="text")
+    s.collect()
+    plan = s._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "hashpartitioning(did" not in plan and "hashpartitioning(qid" not in plan
+    assert sum("hashpartitioning(doc_id" in ln for ln in plan.splitlines()) == 1
 
 
 def test_top_k_ties_break_on_id(spark):

@@ -33,7 +33,7 @@ def test_chunk_counts(spark):
 
 
 def test_index_idempotent(spark):
-    want = sorted({(s, i, hashlib.md5(c.encode()).hexdigest()) for _, s, i, c in _brute_chunks()})
-    got = sorted((r.source, r.chunk_index, r.chunk_md5) for r in
+    want = sorted({(d, s, i, hashlib.md5(c.encode()).hexdigest()) for d, s, i, c in _brute_chunks()})
+    got = sorted((r.doc_id, r.source, r.chunk_index, r.chunk_md5) for r in
                  E.queries()["index_idempotent"](spark, SF001).collect())
     assert got == want

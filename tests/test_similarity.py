@@ -78,3 +78,11 @@ def test_knn_multi_block_equals_single_block(spark):
     assert a.exceptAll(b).count() == 0
     plan = b._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in plan and "Join Cross" not in plan
+
+
+def test_scoped_knn_ranks_each_scope(spark):
+    from webloom.operators import similarity as V
+    q = spark.createDataFrame([(1, "h1", [1.0, 0.0]), (1, "h2", [1.0, 0.0])], "vec_id long, host string, embedding array<double>")
+    c = spark.createDataFrame([(i, f"h{i % 2 + 1}", [1.0, i / 10]) for i in range(12)], "vec_id long, host string, embedding array<double>")
+    got = sorted((r.host, r["rank"], r.did) for r in V.knn(q, c, 2, scope="host").collect())
+    assert got == [("h1", 1, 0), ("h1", 2, 2), ("h2", 1, 1), ("h2", 2, 3)]

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as C
+
 ANSWER_COLUMNS = ("answer_id", "question", "answer", "sources", "ts", "confidence",
                   "feedback_count", "feedback_sum", "average_feedback")
 
@@ -19,7 +21,8 @@ ANSWER_COLUMNS = ("answer_id", "question", "answer", "sources", "ts", "confidenc
 def conversation_pairs(conversations: DataFrame) -> DataFrame:
     """A user turn followed by an assistant turn -> one stored answer.
 
-    ``answer_id = conv_id * 100000 + assistant turn``; ``ts`` grows with it.
+    ``answer_id`` is the struct (conv_id, assistant turn), which orders answers;
+    ``ts`` grows with the conversation.
     An equi-join on (conv_id, turn) rather than a window per conversation, so
     a long conversation is not one task.
     """
@@ -27,10 +30,9 @@ def conversation_pairs(conversations: DataFrame) -> DataFrame:
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
     a = conversations.where(F.col("role") == "assistant").select(
         "conv_id", "turn", F.col("text").alias("answer"))
-    aid = (F.col("conv_id") * F.lit(100000) + F.col("turn")).cast("bigint")
     return (u.join(a, ["conv_id", "turn"])
-            .select(aid.alias("answer_id"), "question", "answer", "conv_id",
-                    F.timestamp_seconds(F.lit(1704067200) + aid).alias("ts")))
+            .select(F.struct("conv_id", "turn").alias("answer_id"), "question", "answer", "conv_id",
+                    F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id")).alias("ts")))
 
 
 def first_per_question(answers: DataFrame, cols: tuple[str, ...] = ("answer_id", "answer"),
@@ -43,15 +45,28 @@ def first_per_question(answers: DataFrame, cols: tuple[str, ...] = ("answer_id",
             .select(key, *[F.col("best")[c].alias(c) for c in cols]))
 
 
-def cache_lookup(questions: DataFrame, answers: DataFrame, key: str = "question") -> DataFrame:
-    """Exact-match lookup: the first stored answer per asked question, NULL on a miss."""
-    firsts = first_per_question(answers, ("answer_id", "answer"), key)
+def cache_lookup(questions: DataFrame, answers: DataFrame, key: str = "question",
+                 cols: tuple[str, ...] = ("answer_id", "answer")) -> DataFrame:
+    """Exact-match lookup: the first stored answer per asked question, NULL on a miss.
+    Everything wanted of it travels in the aggregate: answer ids may repeat."""
+    firsts = first_per_question(answers, cols, key)
     return questions.select(key).distinct().join(firsts, key, "left")
 
 
+SENTINELS = (C.NO_INFORMATION_ANSWER, C.PIPELINE_ERROR_ANSWER, C.NO_VALID_ANSWERS)
+
+
+def answer_status(answer: Column) -> Column:
+    """``ok``, ``no_information``, ``error`` (also NULL) or ``empty``."""
+    return (F.when(answer.isNull() | (answer == C.PIPELINE_ERROR_ANSWER), "error")
+            .when(answer.isin(C.NO_INFORMATION_ANSWER, C.NO_VALID_ANSWERS), "no_information")
+            .when(answer == "", "empty").otherwise("ok"))
+
+
 def valid_answers(results: DataFrame, answer_col: str = "answer") -> DataFrame:
-    """Results that carry a non-empty answer (failures have NULL answers)."""
-    return results.where(F.col(answer_col).isNotNull() & (F.col(answer_col) != ""))
+    """Results that carry an answer: failures have NULL or sentinel texts,
+    which neither vote nor get stored."""
+    return results.where(answer_status(F.col(answer_col)) == "ok")
 
 
 def answer_rows(results: DataFrame, ts, confidence: Column | float = 0.0,
@@ -65,7 +80,7 @@ def answer_rows(results: DataFrame, ts, confidence: Column | float = 0.0,
     sources = F.col("sources") if "sources" in results.columns else F.array().cast("array<string>")
     rid = (F.col(id_col) if id_col else
            F.xxhash64("question", "answer", F.to_json(sources), tsc))
-    return results.select(rid.cast("bigint").alias("answer_id"), "question", "answer",
+    return results.select(rid.alias("answer_id"), "question", "answer",
                           sources.alias("sources"), tsc.alias("ts"),
                           conf.cast("double").alias("confidence"),
                           F.lit(0).cast("bigint").alias("feedback_count"),

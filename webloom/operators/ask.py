@@ -31,18 +31,17 @@ Generator = Callable[[DataFrame], DataFrame]
 
 def host_answers(questions: DataFrame, passages: DataFrame, k: int = C.TOP_K, *,
                  scope: str = "global", generator: Generator | None = None) -> DataFrame:
-    """``(qid, host, answer_id, answer, confidence, sources)`` per question and host.
+    """``(qid, host, answer_id, answer, confidence, sources, status)`` per question and host.
 
     ``questions``: ``(qid, question)``; ``passages``: ``(pid, host, source, chunk)``.
     ``scope="global"`` ranks all passages for every host (so all hosts agree);
     ``scope="host"`` ranks each host's own passages.
     """
     scores = R.lexical_scores(questions, passages, q_id="qid", q_text="question",
-                              d_id="pid", d_text="chunk")
+                              d_id="pid", d_text="chunk", carry=("host",) if scope == "host" else ())
     # rank on ids and host only; passage text joins the k winners afterwards
     if scope == "host":
-        scored = scores.join(passages.select(F.col("pid").alias("did"), "host"), "did")
-        hits = R.top_k(scored, k, by=["qid", "host"])
+        hits = R.top_k(scores, k, by=["qid", "host"])
     elif scope == "global":
         hits = R.top_k(scores, k, by="qid").withColumn("host", F.lit("*"))
     else:
@@ -64,8 +63,10 @@ def host_answers(questions: DataFrame, passages: DataFrame, k: int = C.TOP_K, *,
                              "human")
         best = hits.where(F.col("rank") == 1).select(*keys, F.col("sim").alias("confidence"))
         top = generator(prompts).join(best, keys)
+    # a host whose generation failed (NULL or a sentinel text) keeps its row and its status
     return (top.join(srcs, keys)
-            .withColumn("answer_id", F.xxhash64("host")))
+            .withColumn("answer_id", F.xxhash64("host"))
+            .withColumn("status", A.answer_status(F.col("answer"))))
 
 
 def lexical_neighbourhoods(answers: DataFrame, threshold: float = C.SIMILARITY_THRESHOLD,
@@ -91,9 +92,9 @@ def ask(questions: DataFrame, passages: DataFrame, cache: DataFrame | None = Non
     per question.  Cached questions are answered from the store and skip the rest."""
     qs = questions.select("qid", "question")
     if cache is not None:
-        hit = (A.cache_lookup(qs, cache).where(F.col("answer").isNotNull())
-               .join(cache.select("answer_id", *[c for c in ("sources", "confidence")
-                                                 if c in cache.columns]), "answer_id", "left"))
+        # one row for each question, however often the append-only store repeats an answer
+        payload = ("answer", *[c for c in ("sources", "confidence") if c in cache.columns])
+        hit = A.cache_lookup(qs, cache, cols=payload).where(F.col("answer").isNotNull())
         cached = qs.join(hit, "question").select(
             "qid", "question", "answer",
             (F.col("sources") if "sources" in cache.columns
@@ -125,7 +126,7 @@ def ask(questions: DataFrame, passages: DataFrame, cache: DataFrame | None = Non
 
 def answers_to_store(final: DataFrame, ts) -> DataFrame:
     """Newly computed answers worth caching (not cached ones, not the sentinel)."""
-    new = final.where(~F.col("cached") & (F.col("answer") != C.NO_VALID_ANSWERS))
+    new = A.valid_answers(final.where(~F.col("cached")))
     return A.answer_rows(new, ts, confidence=F.col("confidence"))
 
 
@@ -161,5 +162,5 @@ def ask_fresh_first(questions: DataFrame, passages: DataFrame, listing: DataFram
 def answers_to_store_after_flow(final: DataFrame, ts) -> DataFrame:
     """From ``ask_fresh_first``: only second-pass answers are stored (not
     cached ones, not early confident returns, not the sentinel)."""
-    new = final.where((F.col("stage") == "all") & (F.col("answer") != C.NO_VALID_ANSWERS))
+    new = A.valid_answers(final.where(F.col("stage") == "all"))
     return A.answer_rows(new, ts, confidence=F.col("confidence"))

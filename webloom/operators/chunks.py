@@ -237,13 +237,19 @@ def assign_chunks(records: DataFrame, limit: int = C.FLUSH_CHARS, *, host: str =
         parent = F.floor(F.col("node") / F.lit(fan_out)).cast("bigint")
         kids = lower.withColumn("parent", parent)
         start = entries.select("host", F.col("node").alias("parent"), "entry_fill", "entry_chunk")
-        entries = cut_lineage(kids.join(start, ["host", "parent"])
+        entries = cut_lineage(_same(kids, start, "host", "parent")
                               .groupBy("host", "parent").applyInPandas(_spread_fn(limit),
                                                                        ENTRY_SCHEMA))
-    return (slim.join(entries, ["host", "node"])
+    return (_same(slim, entries, "host", "node")
             .groupBy("host", "node").applyInPandas(_replay_fn(limit), ASSIGN_SCHEMA))
 
 
+def _same(left: DataFrame, right: DataFrame, host: str, node: str) -> DataFrame:
+    """Join on host (records without one, NULL, are a host of their own) and node."""
+    renamed = right.withColumnsRenamed({host: "_h", node: "_n"})
+    return left.join(renamed, left[host].eqNullSafe(F.col("_h")) & (left[node] == F.col("_n"))).drop("_h", "_n")
+
+
 def _merge_fn_ordered(limit: int):
     """Up-sweep over children ordered by their own node id (``child``)."""
     inner = _merge_fn(limit)

@@ -1,10 +1,10 @@
 """Lexical retrieval: term rows, cosine scoring through a token equi-join, top-k.
 
 The default embedder needs no model: a text becomes rows ``(id, token, tf)``,
-so similarity of a question to a passage is a shuffle equi-join on ``token``
-followed by a partially aggregated sum per (question, passage).  No dense
-vectors and no pairwise product are ever materialised; pairs that share no
-token never meet.
+so similarity of a question to a passage is an equi-join on ``token`` followed
+by a sum per (question, passage), both inside the passage's partition.  No
+dense vectors and no pairwise product are ever materialised; pairs that share
+no token never meet.
 """
 from __future__ import annotations
 
@@ -38,19 +38,21 @@ def explode_tokens(df: DataFrame, keys: list, arr) -> DataFrame:
             .where(F.col("token").isNotNull()))
 
 
-def term_rows(df: DataFrame, id_col: str, text_col: str, scope: str | None = None) -> DataFrame:
-    """``([scope,] id, token, tf)``: token counts per text (the lexical embedding).
+def term_rows(df: DataFrame, id_col: str, text_col: str, scope: str | None = None,
+              carry: tuple[str, ...] = ()) -> DataFrame:
+    """``([scope,] [carry...,] id, token, tf)``: token counts per text (the lexical
+    embedding), with the columns of ``carry`` that depend on the id.
 
     Rows without an id (or scope) are dropped here, explicitly: the same
     filters a join on these keys would infer, so every consumer of one term
     table plans the identical subtree and Spark reuses its exchange instead
     of tokenising the corpus again.
     """
-    sc = [scope] if scope else []
+    sc = [*([scope] if scope else []), *carry]
     keys = [F.col(c) for c in sc] + [F.col(id_col).alias("id")]
     src = df.where(F.col(id_col).isNotNull())
-    for c in sc:
-        src = src.where(F.col(c).isNotNull())
+    if scope:
+        src = src.where(F.col(scope).isNotNull())
     return (explode_tokens(src, keys, tokens(F.col(text_col)))
             .groupBy(*sc, "id", "token")
             .agg(F.count(F.lit(1)).alias("tf")))
@@ -61,33 +63,52 @@ def _norms(terms: DataFrame, scope: str | None = None) -> DataFrame:
         F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
 
 
+def _scoped_scores(questions: DataFrame, corpus: DataFrame, q_id: str, q_text: str, d_id: str,
+                   d_text: str, scope: str) -> DataFrame:
+    """Unrounded scores within a scope: an equi-join of term rows on (scope, token)."""
+    qt, dt = term_rows(questions, q_id, q_text, scope), term_rows(corpus, d_id, d_text, scope)
+    qn = _norms(qt, scope).withColumnsRenamed({"id": "qid", "norm": "qnorm"})
+    dn = _norms(dt, scope).withColumnsRenamed({"id": "did", "norm": "dnorm"})
+    dots = (qt.select(scope, F.col("id").alias("qid"), "token", F.col("tf").alias("qtf"))
+            .join(dt.select(scope, F.col("id").alias("did"), "token", F.col("tf").alias("dtf")),
+                  [scope, "token"])
+            .groupBy(scope, "qid", "did").agg(F.sum(F.col("qtf") * F.col("dtf")).alias("dot")))
+    return (dots.join(qn, [scope, "qid"]).join(dn, [scope, "did"])
+            .select(scope, "qid", "did", (F.col("dot") / (F.col("qnorm") * F.col("dnorm"))).alias("sim")))
+
+
 def lexical_scores(questions: DataFrame, corpus: DataFrame, *,
                    q_id: str, q_text: str, d_id: str, d_text: str,
-                   scope: str | None = None, max_doc_freq: int | None = None,
-                   rounded: bool = True) -> DataFrame:
+                   scope: str | None = None, carry: tuple[str, ...] = (),
+                   block_terms: int = 1_000_000, rounded: bool = True) -> DataFrame:
     """Cosine of token-count vectors for every (question, passage) sharing a token
-    (and the same ``scope`` value when given: e.g. a host, or a question).
-
-    ``max_doc_freq`` (off by default, changes results) drops tokens present in
-    more passages than that before the join, bounding hot-token fan-out.
+    (and the same ``scope`` value when given: e.g. a question).  Columns of
+    ``carry`` go along with the passage.
+
+    The corpus is partitioned by passage once, as text; counting its terms,
+    its norms, and the sums of products per (question, passage) then need no
+    further exchange, because the question terms come to it by broadcast.
+    They are counted first and sent in blocks of questions of about
+    ``block_terms`` term rows, so the broadcast is bounded whatever their number.
     """
-    sc = [scope] if scope else []
-    qt = term_rows(questions, q_id, q_text, scope)
-    dt = term_rows(corpus, d_id, d_text, scope)
-    qn = _norms(qt, scope).withColumnRenamed("id", "qid").withColumnRenamed("norm", "qnorm")
-    dn = _norms(dt, scope).withColumnRenamed("id", "did").withColumnRenamed("norm", "dnorm")
-    if max_doc_freq is not None:
-        frequent = (dt.groupBy(*sc, "token").agg(F.count(F.lit(1)).alias("df"))
-                    .where(F.col("df") > max_doc_freq).select(*sc, "token"))
-        dt = dt.join(frequent, sc + ["token"], "left_anti")
-    dots = (qt.select(*sc, F.col("id").alias("qid"), "token", F.col("tf").alias("qtf"))
-            .join(dt.select(*sc, F.col("id").alias("did"), "token", F.col("tf").alias("dtf")),
-                  sc + ["token"])
-            .groupBy(*sc, "qid", "did")
-            .agg(F.sum(F.col("qtf") * F.col("dtf")).alias("dot")))
+    if scope:
+        scores = _scoped_scores(questions, corpus, q_id, q_text, d_id, d_text, scope)
+        return scores.withColumn("sim", F.round("sim", 6)) if rounded else scores
+    qt = term_rows(questions, q_id, q_text)
+    asked = (qt.join(_norms(qt).withColumnRenamed("norm", "qnorm"), "id")
+             .select(F.col("id").alias("qid"), "token", F.col("tf").alias("qtf"), "qnorm"))
+    blocks = max(1, -(-asked.count() // block_terms))
+    dt = term_rows(corpus.select(d_id, d_text, *carry).repartition(d_id), d_id, d_text, carry=carry)
+    squares = F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(*carry, "id"))
+    dt = dt.select(*carry, F.col("id").alias("did"), "token", F.col("tf").alias("dtf"), F.sqrt(squares).alias("dnorm"))
+    out = None
+    for b in range(blocks):
+        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        part = (dt.join(F.broadcast(mine), "token").groupBy("qid", "qnorm", *carry, "did", "dnorm")
+                .agg(F.sum(F.col("qtf") * F.col("dtf")).alias("dot")))
+        out = part if out is None else out.unionByName(part)
     sim = F.col("dot") / (F.col("qnorm") * F.col("dnorm"))
-    return (dots.join(qn, sc + ["qid"]).join(dn, sc + ["did"])
-            .select(*sc, "qid", "did", (F.round(sim, 6) if rounded else sim).alias("sim")))
+    return out.select(*carry, "qid", "did", (F.round(sim, 6) if rounded else sim).alias("sim"))
 
 
 def top_k(scores: DataFrame, k: int = C.TOP_K, *, by: str | list[str] = "qid",
@@ -105,11 +126,9 @@ def top_k(scores: DataFrame, k: int = C.TOP_K, *, by: str | list[str] = "qid",
 
 def lexical_top_k(questions: DataFrame, corpus: DataFrame, k: int = C.TOP_K, *,
                   q_id: str = "item_id", q_text: str = "text",
-                  d_id: str = "doc_id", d_text: str = "text",
-                  max_doc_freq: int | None = None) -> DataFrame:
+                  d_id: str = "doc_id", d_text: str = "text") -> DataFrame:
     """``(qid, rank, did, sim)`` for the k nearest passages of each question."""
-    s = lexical_scores(questions, corpus, q_id=q_id, q_text=q_text,
-                       d_id=d_id, d_text=d_text, max_doc_freq=max_doc_freq)
+    s = lexical_scores(questions, corpus, q_id=q_id, q_text=q_text, d_id=d_id, d_text=d_text)
     return top_k(s, k).select("qid", "rank", "did", "sim")
 
 

@@ -182,6 +182,6 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 4, *,
     cand = (qrows.groupBy(_SCOPE, "qb", "cb").cogroup(crows.groupBy(_SCOPE, "qb", "cb"))
             .applyInPandas(_knn_fn(k), KNN_SCHEMA.format(t=_scope_type(queries, scope)))
             .withColumn("sim", F.round("sim", 6)))
-    best = top_k(cand, k, by="qid")
+    best = top_k(cand, k, by=[_SCOPE, "qid"] if scope else "qid")
     cols = ([F.col(_SCOPE).alias(scope)] if scope else []) + ["qid", "rank", "did", "sim"]
     return best.select(*cols)

@@ -226,10 +226,13 @@ NOW = "2024-02-05 00:00:00"   # evaluation clock of the freshness queries
 FRESH_DAYS = 10               # max age used by the freshness queries
 
 _SQL_PAIRS = """
-pairs AS (SELECT u.conv_id * 100000 + a.turn AS answer_id, u.text AS question, a.text AS answer
+pairs AS (SELECT a.conv_id AS conv_id, a.turn AS turn, u.text AS question, a.text AS answer
           FROM conversations u JOIN conversations a
             ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
-          WHERE u.role = 'user' AND a.role = 'assistant')
+          WHERE u.role = 'user' AND a.role = 'assistant'),
+firsts AS (SELECT question, conv_id, turn, answer FROM (
+             SELECT *, row_number() OVER (PARTITION BY question ORDER BY conv_id, turn, answer) AS r FROM pairs)
+           WHERE r = 1)
 """
 
 
@@ -237,43 +240,45 @@ def _pairs(spark, d):
     return A.conversation_pairs(table(spark, d, "conversations"))
 
 
+def _flat(answers):
+    """Answer ids as their two columns."""
+    return answers.select("answer_id.conv_id", "answer_id.turn", *[c for c in answers.columns if c != "answer_id"])
+
+
 @register("first_answer", sql="WITH " + _SQL_PAIRS + """
-SELECT question, CAST(min(answer_id) AS BIGINT) AS answer_id,
-       arg_min(answer, answer_id) AS answer FROM pairs GROUP BY question
+SELECT question, conv_id, turn, answer FROM firsts
 """)
 def first_answer(spark, d):
-    return A.first_per_question(_pairs(spark, d))
+    return _flat(A.first_per_question(_pairs(spark, d)))
 
 
 @register("cache_lookup", sql="WITH " + _SQL_PAIRS + """,
-f AS (SELECT question, min(answer_id) AS answer_id, arg_min(answer, answer_id) AS answer
-      FROM pairs GROUP BY question),
 q AS (SELECT DISTINCT text AS question FROM conversations WHERE role = 'user')
-SELECT q.question, CAST(f.answer_id AS BIGINT) AS answer_id, f.answer
-FROM q LEFT JOIN f ON f.question = q.question
+SELECT q.question, f.conv_id, f.turn, f.answer
+FROM q LEFT JOIN firsts f ON f.question = q.question
 """)
 def cache_lookup(spark, d):
     conv = table(spark, d, "conversations")
     qs = conv.where(F.col("role") == "user").select(F.col("text").alias("question"))
-    return A.cache_lookup(qs, _pairs(spark, d))
+    return _flat(A.cache_lookup(qs, _pairs(spark, d)))
 
 
 @register("valid_answers", sql="WITH " + _SQL_PAIRS + """
-SELECT answer_id, question, answer FROM pairs WHERE answer IS NOT NULL AND answer <> ''
+SELECT conv_id, turn, question, answer FROM pairs WHERE answer IS NOT NULL AND answer <> ''
 """)
 def valid_answers(spark, d):
-    return A.valid_answers(_pairs(spark, d)).select("answer_id", "question", "answer")
+    return _flat(A.valid_answers(_pairs(spark, d)).select("answer_id", "question", "answer"))
 
 
 @register("answers_append", sql="WITH " + _SQL_PAIRS + """
-SELECT answer_id, question, answer, CAST(0.0 AS DOUBLE) AS confidence,
+SELECT conv_id, turn, question, answer, CAST(0.0 AS DOUBLE) AS confidence,
        CAST(0 AS BIGINT) AS feedback_count, CAST(0.0 AS DOUBLE) AS feedback_sum,
        CAST(0.0 AS DOUBLE) AS average_feedback
 FROM pairs WHERE answer IS NOT NULL AND answer <> ''
 """)
 def answers_append(spark, d):
     rows = A.answer_rows(A.storable(_pairs(spark, d)), ts=NOW, id_col="answer_id")
-    return rows.drop("ts", "sources")
+    return _flat(rows.drop("ts", "sources"))
 
 
 @register("distinct_answers", sql=f"""
@@ -303,20 +308,17 @@ def feedback_stats(spark, d):
 
 def _conv_feedback(spark, d):
     ev, conv = table(spark, d, "events"), table(spark, d, "conversations")
-    first_q = conv.where((F.col("turn") == 0) & (F.col("role") == "user")).select(
+    asked = conv.where(F.col("role") == "user").select(
         F.col("conv_id").alias("user_id"), F.col("text").alias("question"))
-    return ev.join(first_q, "user_id").select("question", F.col("value").alias("rating"))
+    return ev.join(asked, "user_id").select("question", F.col("value").alias("rating"))
 
 
 @register("feedback_confidence", sql="WITH " + _SQL_PAIRS + """,
-first AS (SELECT question, min(answer_id) AS answer_id FROM pairs GROUP BY question),
 fb AS (SELECT c.text AS question, count(*) AS n, CAST(sum(CAST(e.value AS DECIMAL(38,10))) AS DOUBLE) AS s
-       FROM events e JOIN conversations c ON c.conv_id = e.user_id AND c.turn = 0 AND c.role = 'user'
+       FROM events e JOIN conversations c ON c.conv_id = e.user_id AND c.role = 'user'
        GROUP BY 1),
-rated AS (SELECT p.question, p.answer_id, p.answer, round(fb.s / fb.n, 6) AS score
-          FROM pairs p JOIN first f ON f.answer_id = p.answer_id JOIN fb ON fb.question = p.question),
-best AS (SELECT question, arg_min(answer, answer_id) AS answer, arg_min(score, answer_id) AS score
-         FROM rated GROUP BY question)
+best AS (SELECT f.question, f.answer, round(fb.s / fb.n, 6) AS score
+         FROM firsts f JOIN fb ON fb.question = f.question)
 SELECT q.question, best.answer, round(coalesce(best.score, 0.0), 6) AS confidence
 FROM (SELECT DISTINCT question FROM pairs) q LEFT JOIN best ON best.question = q.question
 """)
@@ -327,14 +329,14 @@ def feedback_confidence(spark, d):
 
 _SQL_LISTING = f"""
 listing AS (SELECT {S.netloc('p.url')} AS host, e.ts AS ts FROM events e
-            JOIN pages p ON p.page_id = e.user_id WHERE e.event_type = 'purchase'),
+            JOIN pages p ON p.page_id = e.user_id),
 fresh AS (SELECT DISTINCT host FROM listing
           WHERE ts > TIMESTAMP '{NOW}' - INTERVAL {FRESH_DAYS + 1} DAY)
 """
 
 
 def _listing(spark, d):
-    ev = table(spark, d, "events").where(F.col("event_type") == "purchase")
+    ev = table(spark, d, "events")
     pg = table(spark, d, "pages")
     return ev.join(pg.select(F.col("page_id").alias("user_id"), "url"), "user_id") \
              .select(_netloc(F.col("url")).alias("host"), "ts")
@@ -346,10 +348,10 @@ def _urls(spark, d):
 
 @register("fresh_hosts", sql=f"""
 SELECT user_id AS host, bool_or(ts > TIMESTAMP '{NOW}' - INTERVAL {FRESH_DAYS + 1} DAY) AS fresh
-FROM events WHERE event_type = 'purchase' AND ts IS NOT NULL GROUP BY user_id
+FROM events WHERE ts IS NOT NULL GROUP BY user_id
 """)
 def fresh_hosts(spark, d):
-    ev = table(spark, d, "events").where(F.col("event_type") == "purchase")
+    ev = table(spark, d, "events")
     return FR.fresh_hosts(ev.select(F.col("user_id").alias("host"), "ts"), NOW, FRESH_DAYS)
 
 
@@ -378,12 +380,12 @@ def url_batches(spark, d):
 from ..operators import similarity as V  # noqa: E402
 from ..operators import reconcile as RC  # noqa: E402
 
-PAIR_T = 0.3       # whole-table neighbourhood threshold (0.85 gives only singletons here)
+PAIR_T = 0.3       # neighbourhood threshold (0.85 gives only singletons here)
 GROUP_T = 0.15     # threshold inside the question groups
-N_QUESTIONS = 50   # embeddings form question groups by vec_id % 50
+GROUP_SIZE = 10    # embeddings form question groups by vec_id div 10
 
 _SQL_EMB = """
-a AS (SELECT vec_id % 50 AS question, vec_id AS id, label AS answer,
+a AS (SELECT vec_id // 10 AS question, vec_id AS id, label AS answer,
              label / CAST(10.0 AS DOUBLE) AS confidence,
              CAST(embedding AS DOUBLE[]) AS e,
              sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS nrm
@@ -398,20 +400,30 @@ def _emb(spark, d):
 
 def _emb_answers(spark, d):
     e = _emb(spark, d)
-    return e.select((F.col("vec_id") % N_QUESTIONS).alias("question"),
+    return e.select(F.floor(F.col("vec_id") / GROUP_SIZE).alias("question"),
                     F.col("vec_id").alias("answer_id"), F.col("label").alias("answer"),
                     (F.col("label") / F.lit(10.0)).alias("confidence"), "embedding")
 
 
-@register("knn_top4", sql="WITH " + _SQL_EMB + f"""
+@register("knn_top4", sql="WITH " + _SQL_EMB + f""",
+m AS (SELECT label, list(v ORDER BY k) AS e FROM (
+        SELECT label, k, CAST(sum(CAST(v AS DECIMAL(38,12))) AS DOUBLE) / count(*) AS v FROM (
+          SELECT label, generate_subscripts(embedding, 1) AS k, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+        GROUP BY label, k) GROUP BY label),
+q AS (SELECT label AS id, e, sqrt(list_dot_product(e, e)) AS nrm FROM m)
 SELECT qid, CAST(rank AS INTEGER) AS rank, did, sim FROM (
   SELECT x.id AS qid, y.id AS did, round({_COS}, 6) AS sim,
          row_number() OVER (PARTITION BY x.id ORDER BY round({_COS}, 6) DESC, y.id) AS rank
-  FROM a x, a y) WHERE rank <= 4
+  FROM q x, a y) WHERE rank <= 4
 """)
 def knn_top4(spark, d):
+    """The vectors nearest to each label's mean vector: few queries against the whole table."""
     e = _emb(spark, d)
-    return V.knn(e, e, 4)
+    parts = e.select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("k", "v"))
+    mean = F.sum(F.col("v").cast("decimal(38,12)")).cast("double") / F.count(F.lit(1))
+    means = (parts.groupBy("label", "k").agg(mean.alias("v")).groupBy("label")
+             .agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("embedding")))
+    return V.knn(means.select(F.col("label").cast("bigint").alias("vec_id"), "embedding"), e, 4)
 
 
 @register("knn_top4_same_label", sql="WITH " + _SQL_EMB + f"""
@@ -425,13 +437,26 @@ def knn_top4_same_label(spark, d):
     return V.knn(e, e, 4, scope="label")
 
 
+@register("knn_top4_group", sql="WITH " + _SQL_EMB + f"""
+SELECT question, qid, CAST(rank AS INTEGER) AS rank, did, sim FROM (
+  SELECT x.question AS question, x.id AS qid, y.id AS did, round({_COS}, 6) AS sim,
+         row_number() OVER (PARTITION BY x.id ORDER BY round({_COS}, 6) DESC, y.id) AS rank
+  FROM a x JOIN a y ON x.question = y.question) WHERE rank <= 4
+""")
+def knn_top4_group(spark, d):
+    e = _emb(spark, d).withColumn("question", F.floor(F.col("vec_id") / GROUP_SIZE))
+    return V.knn(e, e, 4, scope="question")
+
+
 _SQL_GLOBAL_PAIRS = "WITH " + _SQL_EMB + f""",
-p AS (SELECT x.id AS i, y.id AS j, {_COS} AS sim FROM a x, a y WHERE {_COS} >= {PAIR_T})
+p AS (SELECT x.id AS i, y.id AS j, {_COS} AS sim FROM a x JOIN a y ON x.question = y.question WHERE {_COS} >= {PAIR_T})
 """
 
 
 def _global_pairs(spark, d):
-    return V.similarity_pairs(_emb(spark, d), PAIR_T)
+    """The reference compares the answers of one question: pairs keep to their group."""
+    scoped = _emb(spark, d).withColumn("question", F.floor(F.col("vec_id") / GROUP_SIZE))
+    return V.similarity_pairs(scoped, PAIR_T, scope="question")
 
 
 @register("similar_pairs", sql=_SQL_GLOBAL_PAIRS + "SELECT i, j, round(sim, 6) AS sim FROM p")
@@ -624,12 +649,11 @@ def index_idempotent(spark, d):
 # ---------------------------------------------------------------- M5: frontier
 from ..operators import frontier as FT  # noqa: E402
 
-REACH_MIN_QTY = 49   # supplier-part edges kept for the reachability query
 REACH_SEED = "s1"    # start node (supplier 1)
 
 
 def _supply_edges(spark, d):
-    li = table(spark, d, "lineitem").where(F.col("l_quantity") >= REACH_MIN_QTY)
+    li = table(spark, d, "lineitem").where("l_suppkey IS NOT NULL AND l_partkey IS NOT NULL")
     s = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
     p = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     return li.select(s.alias("src"), p.alias("dst")).unionByName(
@@ -638,9 +662,8 @@ def _supply_edges(spark, d):
 
 @register("reach_depth", sql=f"""
 WITH e AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst
-           FROM lineitem WHERE l_quantity >= {REACH_MIN_QTY}
-           UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey
-           FROM lineitem WHERE l_quantity >= {REACH_MIN_QTY}),
+           FROM lineitem
+           UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem),
 d0 AS (SELECT '{REACH_SEED}' AS node),
 d1 AS (SELECT DISTINCT dst AS node FROM e WHERE src IN (SELECT node FROM d0)
        AND dst NOT IN (SELECT node FROM d0)),
@@ -664,7 +687,7 @@ from ..operators import ask as AK  # noqa: E402
 
 def _passages(spark, d):
     chunks = CH.split_documents(_docs(spark, d))
-    return chunks.select((F.col("doc_id") * F.lit(100000) + F.col("chunk_index")).alias("pid"),
+    return chunks.select(F.struct("doc_id", "chunk_index").alias("pid"),
                          F.col("source").alias("host"), "source", "chunk")
 
 

@@ -27,6 +27,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.webloom.spread", str(os.cpu_count() if cores == "*" else cores))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -71,37 +72,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def input_bytes(spark: SparkSession, path: str) -> int | None:
-    """Total size of a path through the cluster's Hadoop file system (None
-    when the session gives no access to it)."""
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, asked of the cluster's Hadoop file system."""
     sc = _context(spark)
-    if sc is None:
-        return None
-    jvm = sc._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
+    if sc is None:      # Connect: only the reader can tell
+        return bool(spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                    .option("ignoreMissingFiles", "true").load(path.rstrip("/") + "*").limit(1).count())
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False,
-          bytes_per_task: int = 8 << 20) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """Read a driver table.
 
-    ``spread=True`` is for inputs followed by CPU-heavy per-row work
-    (tokenising, HTML parsing, splitting): when the input is so small that it
-    cannot give every core a split of ``bytes_per_task`` (e.g. one Parquet row
-    group read by one task), it is round-robin repartitioned to the default
-    parallelism.  Large inputs are left alone: they already have many splits,
-    and reshuffling them would only add network traffic.
+    ``spread=True`` marks inputs followed by CPU-heavy per-row work
+    (tokenising, HTML parsing, splitting).  Where the session sets
+    ``spark.webloom.spread`` to a number (``local_session`` does: its tables are
+    single row groups, one task each), these are dealt out over that many
+    tasks; elsewhere the scan's own splits are used, at any size.
     """
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    df = spark.read.parquet(path)
-    if spread:
-        cores = parallelism(spark)
-        size = input_bytes(spark, path)
-        if size is not None and size < cores * bytes_per_task:
-            df = df.repartition(cores)
-    return df
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    n = spark.conf.get("spark.webloom.spread", None) if spread else None
+    return df.repartition(int(n)) if n else df
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-INDEX_KEY = ("source", "chunk_index", "chunk_md5")
+from ..session import path_exists
+
+INDEX_KEY = ("doc_id", "source", "chunk_index", "chunk_md5")
 
 
 def append_answers(rows: DataFrame, path: str) -> None:
@@ -13,23 +14,19 @@ def append_answers(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
-def _existing(df: DataFrame, path: str) -> DataFrame | None:
-    try:
-        return df.sparkSession.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
-def append_index(chunks: DataFrame, path: str) -> int:
-    """Idempotent append of passages keyed by (source, chunk_index, md5(chunk)).
+def append_index(chunks: DataFrame, path: str) -> None:
+    """Idempotent append of passages keyed by document, source, chunk number
+    and md5(chunk).
 
     Passages already present (or repeated in the input) are not added again,
-    so loading the same documents twice leaves the index unchanged.  Returns
-    nothing useful beyond the write; the caller reads the index back.
+    so loading the same documents twice leaves the index unchanged; equal
+    passages of different documents are all kept.  An index that exists but
+    cannot be read is an error, not an empty index.
     """
+    spark = chunks.sparkSession
     keyed = chunks.withColumn("chunk_md5", F.md5("chunk")).dropDuplicates(list(INDEX_KEY))
-    old = _existing(chunks, path)
-    if old is not None:
-        keyed = keyed.join(old.select(*INDEX_KEY), list(INDEX_KEY), "left_anti")
+    if path_exists(spark, path):
+        old = spark.read.parquet(path).select(*INDEX_KEY).alias("o")
+        same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in INDEX_KEY]
+        keyed = keyed.alias("n").join(old, same, "left_anti")
     keyed.write.mode("append").parquet(path)
-    return 0

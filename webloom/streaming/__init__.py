@@ -8,18 +8,19 @@ from contextlib import contextmanager
 
 @contextmanager
 def state_partitions(spark, n: int | None = None):
-    """Start a stateful stream with ``n`` state partitions (default: the
-    cluster's parallelism, capped by the session's shuffle partitions).
+    """Start a stateful stream with ``n`` state partitions; without ``n`` the
+    session's shuffle partitions hold and nothing is changed.
 
     A stateful query fixes its partition count in its checkpoint when it
     first starts; the session setting is restored afterwards.
     """
     key = "spark.sql.shuffle.partitions"
     old = spark.conf.get(key)
-    from ..session import parallelism
-    want = n or min(int(old), parallelism(spark))
-    spark.conf.set(key, str(want))
+    if n is None:
+        yield int(old)
+        return
+    spark.conf.set(key, str(n))
     try:
-        yield want
+        yield n
     finally:
         spark.conf.set(key, old)
