@@ -91,3 +91,18 @@ def test_sentinels_and_failures_neither_vote_nor_get_stored(spark):
     status = A.answer_status(F.col("a"))
     rows = spark.createDataFrame([(x,) for x in [None, "", "x", C.NO_INFORMATION_ANSWER, C.PIPELINE_ERROR_ANSWER]], "a string")
     assert [r.s for r in rows.select(status.alias("s")).collect()] == ["error", "empty", "ok", "no_information", "error"]
+
+
+def test_registered_flow(spark):
+    """Every question once; the store's answers come first and are not stored again."""
+    import __spark_entry__ as E
+    from conftest import SF001
+    out = {r.qid: r for r in E.queries()["ask_fresh_first"](spark, SF001).collect()}
+    bench = {r.item_id: r.text for r in spark.read.parquet(f"{SF001}/benchmark.parquet").collect()}
+    assert set(out) == set(bench)
+    assert {q for q, r in out.items() if r.stage == "cache"} == {q for q in bench if q % 5 == 0}
+    assert all(out[q].answer == f"stored {q}" for q in bench if q % 5 == 0)
+    stages = {r.stage for r in out.values()}
+    assert stages == {"cache", "fresh", "all"} and all(r.confident for r in out.values() if r.stage == "fresh")
+    stored = {r.question: r.answer for r in E.queries()["answers_after_flow"](spark, SF001).collect()}
+    assert stored == {r.question: r.answer for r in out.values() if r.stage == "all" and r.answer != C.NO_VALID_ANSWERS}

@@ -78,3 +78,15 @@ def test_feed_sink(spark, tmp_path):
     write_feed(page_title_content(pages), str(tmp_path / "feed"))
     r = spark.read.json(str(tmp_path / "feed")).first()
     assert (r.url, r.title, r.content) == ("http://a/", "T", "x")
+
+
+def test_json_arrays_on_several_lines(spark, tmp_path):
+    d = tmp_path / "feeds"
+    d.mkdir()
+    (d / "a.json").write_text('[\n  {"url": "u1", "content": "x\\ny",\n   "timestamp": 1.5},\n  {"url": "u2"}\n]\n')
+    (d / "b.json").write_text('[{"url": "u3", "content": "z", "timestamp": 2.0}]')
+    (d / "c.json").write_text('[{"url": "u4", "content')
+    rows = SF.load_json_arrays(spark, str(d)).collect()
+    good = sorted((r.url, r.content, r.timestamp) for r in rows if r.reject is None)
+    assert good == [("u1", "x\ny", 1.5), ("u2", None, None), ("u3", "z", 2.0)]
+    assert [r.reject[:6] for r in rows if r.reject is not None] == ['[{"url']

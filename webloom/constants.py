@@ -29,6 +29,3 @@ NO_INFORMATION_ANSWER = "I don't have enough information to answer this question
 PIPELINE_ERROR_ANSWER = "An error occurred while processing your question."
 NO_VALID_ANSWERS = "No valid answers found."
 ESCAPED_FRAGMENT_PARAM = "_escaped_fragment_"
-
-# --- fixed values: page text selectors, in output order ------------------
-TEXT_SELECTORS = ["title", "p", "h1", "h2", "h3", "h4", "h5", "h6"]

@@ -55,13 +55,14 @@ def urljoin_udf(base: pd.Series, ref: pd.Series) -> pd.Series:
 
 
 def resolve_link(base: Column, href: Column) -> Column:
-    """``urljoin(base, href)``; root-relative hrefs on http(s) bases stay JVM-side."""
+    """``urljoin(base, href)``; root-relative hrefs on http(s) bases are joined JVM-side."""
     fast = (base.rlike("^https?://")
             & href.rlike("^/([^/]|$)")
             & ~href.rlike("(^|/)\\.\\.?(/|$|[?#])")
             & ~href.rlike("[\\x00-\\x20]"))
+    # the UDF sees all rows of the plan, so the fast ones come to it as NULL
     return F.when(fast, F.concat(F.regexp_extract(base, SCHEME_AUTHORITY, 1), href)) \
-            .otherwise(urljoin_udf(base, href))
+            .otherwise(urljoin_udf(F.when(~fast, base), F.when(~fast, href)))
 
 
 # ------------------------------------------------------- query parameter drop
@@ -94,4 +95,4 @@ def drop_query_param_col(url: Column, param: str = C.ESCAPED_FRAGMENT_PARAM) ->
     # URLs that cannot carry the parameter are returned unchanged JVM-side
     # (a percent-encoded key could decode to it, so those go to Python too)
     mentions = (F.instr(url, param) > 0) | (F.instr(url, "%") > 0)
-    return F.when(mentions, _drop(url)).otherwise(url)
+    return F.when(mentions, _drop(F.when(mentions, url))).otherwise(url)

@@ -18,8 +18,9 @@ ANSWER_COLUMNS = ("answer_id", "question", "answer", "sources", "ts", "confidenc
                   "feedback_count", "feedback_sum", "average_feedback")
 
 
-def conversation_pairs(conversations: DataFrame) -> DataFrame:
-    """A user turn followed by an assistant turn -> one stored answer.
+def conversation_pairs(conversations: DataFrame, unanswered: bool = False) -> DataFrame:
+    """A user turn followed by an assistant turn -> one stored answer (with
+    ``unanswered``, also user turns without one, their answer NULL).
 
     ``answer_id`` is the struct (conv_id, assistant turn), which orders answers;
     ``ts`` grows with the conversation.
@@ -30,7 +31,7 @@ def conversation_pairs(conversations: DataFrame) -> DataFrame:
         "conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
     a = conversations.where(F.col("role") == "assistant").select(
         "conv_id", "turn", F.col("text").alias("answer"))
-    return (u.join(a, ["conv_id", "turn"])
+    return (u.join(a, ["conv_id", "turn"], "left" if unanswered else "inner")
             .select(F.struct("conv_id", "turn").alias("answer_id"), "question", "answer", "conv_id",
                     F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id")).alias("ts")))
 

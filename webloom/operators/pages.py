@@ -143,12 +143,9 @@ def root_domain_links(pages: DataFrame, batch_size: int = C.URL_BATCH_SIZE,
              .withColumn("link", drop_query_param_col(F.col("link")))
              .withColumn("link_host", hostname(F.col("link")))
              .withColumn("root_domain", root_domain(F.col("link_host"))))
-    cond = ["batch_id"]
-    matched = links.join(start.withColumnRenamed("start_root", "root_domain"),
-                         cond + ["root_domain"], "left_semi")
-    if keep:
-        return matched.select("page_id", "batch_id", "link", "root_domain")
-    return (links.join(matched.select("page_id", "link").distinct(), ["page_id", "link"], "left_anti")
+    # the start root of each batch comes once; both outputs are one filter on it
+    same = F.col("root_domain") == F.col("start_root")
+    return (links.join(start, "batch_id").where(same if keep else ~F.coalesce(same, F.lit(False)))
             .select("page_id", "batch_id", "link", "root_domain"))
 
 

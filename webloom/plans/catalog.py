@@ -37,11 +37,12 @@ def _hits(spark, d):
 
 @register("docs_wellformed", sql="""
 SELECT doc_id, text AS page_content, source FROM documents
-WHERE text IS NOT NULL AND source IS NOT NULL
+WHERE text IS NOT NULL AND source IS NOT NULL AND lang <> 'fr'
 """)
 def docs_wellformed(spark, d):
-    return R.well_formed_documents(table(spark, d, "documents"), "text", "source",
-                                   keep=("doc_id",))
+    """Records whose URL is missing (here: those in French) are not documents."""
+    docs = table(spark, d, "documents").withColumn("source", F.when(F.col("lang") != "fr", F.col("source")))
+    return R.well_formed_documents(docs, "text", "source", keep=("doc_id",))
 
 
 @register("doc_terms", sql="""
@@ -91,6 +92,8 @@ def ask_prompt(spark, d):
 # ---------------------------------------------------------------- M1: pages
 from ..operators import pages as P  # noqa: E402
 from . import sql_snippets as S  # noqa: E402
+from ..session import cut_lineage, scratch_path  # noqa: E402
+from ..sinks import store as ST  # noqa: E402
 
 RUN_TS = 1717171717.5  # record timestamp (epoch seconds) used by registered queries
 
@@ -200,6 +203,14 @@ def distinct_pages(spark, d):
     return P.distinct_pages(_pages(spark, d))
 
 
+@register("distinct_links", sql=f"""
+SELECT regexp_replace(link, '#.*$', '') AS url_key, min(page_id) AS page_id FROM ({S.PAGE_LINKS}) GROUP BY 1
+""")
+def distinct_links(spark, d):
+    """The pages that links lead to, each once."""
+    return P.distinct_pages(P.page_links(_pages(spark, d)).select("page_id", F.col("link").alias("url")))
+
+
 _FIXED = 41 + len(repr(RUN_TS))
 _SQL_RECORDS = f"""
 SELECT page_id, host, url, content, CAST({RUN_TS!r} AS DOUBLE) AS timestamp,
@@ -267,7 +278,8 @@ def cache_lookup(spark, d):
 SELECT conv_id, turn, question, answer FROM pairs WHERE answer IS NOT NULL AND answer <> ''
 """)
 def valid_answers(spark, d):
-    return _flat(A.valid_answers(_pairs(spark, d)).select("answer_id", "question", "answer"))
+    asked = A.conversation_pairs(table(spark, d, "conversations"), unanswered=True)
+    return _flat(A.valid_answers(asked).select("answer_id", "question", "answer"))
 
 
 @register("answers_append", sql="WITH " + _SQL_PAIRS + """
@@ -277,8 +289,21 @@ SELECT conv_id, turn, question, answer, CAST(0.0 AS DOUBLE) AS confidence,
 FROM pairs WHERE answer IS NOT NULL AND answer <> ''
 """)
 def answers_append(spark, d):
-    rows = A.answer_rows(A.storable(_pairs(spark, d)), ts=NOW, id_col="answer_id")
-    return _flat(rows.drop("ts", "sources"))
+    asked = A.conversation_pairs(table(spark, d, "conversations"), unanswered=True)
+    path = scratch_path(spark, "answers")
+    ST.append_answers(A.answer_rows(A.storable(asked), ts=NOW, id_col="answer_id"), path)
+    return _flat(spark.read.parquet(path).drop("ts", "sources"))
+
+
+@register("first_document", sql="""
+SELECT source AS question, doc_id, text AS answer FROM (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r = 1
+""")
+def first_document(spark, d):
+    """The first answer where every question has many: each source's first document."""
+    docs = table(spark, d, "documents").select(F.col("source").alias("question"), F.col("doc_id").alias("answer_id"),
+                                               F.col("text").alias("answer"))
+    return A.first_per_question(docs).withColumnRenamed("answer_id", "doc_id")
 
 
 @register("distinct_answers", sql=f"""
@@ -533,9 +558,7 @@ def answer_sources(spark, d):
 # ---------------------------------------------------------------- M4: splitting, chunk files
 from ..operators import chunks as CH  # noqa: E402
 from ..sinks import chunkfiles as KF  # noqa: E402
-from ..sinks import store as ST  # noqa: E402
 from ..sources import chunkfiles as SF  # noqa: E402
-from ..session import cut_lineage, scratch_path  # noqa: E402
 
 ASSIGN_LIMIT = 20_000  # flush size for the registered chunk queries (hosts here are small)
 
@@ -866,3 +889,31 @@ def ask_global(spark, d):
     passages = docs.select(F.col("doc_id").alias("pid"), F.col("source").alias("host"), "source",
                            F.col("text").alias("chunk"))
     return AK.ask(_bench_questions(spark, d), passages, None, scope="global")
+
+
+# ---------------------------------------------------------------- the whole question flow
+def _flow(spark, d):
+    """Cache, then fresh hosts, then all hosts: sources are hosts, an event is
+    an object of the host its user id points to, the store repeats its rows."""
+    docs = table(spark, d, "documents", spread=True)
+    passages = docs.select(F.col("doc_id").alias("pid"), F.col("source").alias("host"), "source", F.col("text").alias("chunk"))
+    listing = table(spark, d, "events").select(
+        F.concat(F.lit("src"), (F.col("user_id") % 40).cast("string")).alias("host"), "ts")
+    bench = _bench_questions(spark, d)
+    known = bench.where(F.col("qid") % 5 == 0).select(
+        "question", F.concat(F.lit("stored "), F.col("qid").cast("string")).alias("answer"))
+    store = A.answer_rows(known.union(known), ts=NOW, confidence=0.9)
+    return AK.ask_fresh_first(bench, passages, listing, NOW, store, max_age_days=FRESH_DAYS, scope="host")
+
+
+@register("ask_fresh_first")
+def ask_fresh_first(spark, d):
+    return _flow(spark, d)
+
+
+@register("answers_after_flow")
+def answers_after_flow(spark, d):
+    """What the flow stores, written through the answer store and read back."""
+    path = scratch_path(spark, "flow-answers")
+    ST.append_answers(AK.answers_to_store_after_flow(_flow(spark, d), NOW), path)
+    return spark.read.parquet(path)

@@ -1,9 +1,9 @@
 """Session helpers.
 
 The library never creates a session on its own; operators take DataFrames.
-`local_session` is for tests and the bench.  `checkpoint_dir` reads the
-cluster's shared checkpoint folder from the session and only falls back to a
-fresh scratch folder when none is configured (local runs).
+`local_session` is for tests and the bench.  `ensure_checkpoint_dir` reads the
+cluster's shared checkpoint folder from the session; where none is configured
+it takes a folder on the cluster's default file system.
 """
 from __future__ import annotations
 
@@ -60,8 +60,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="webloom-ckpt-")
+    if not conf_dir:     # the cluster's default file system, not this machine's temp folder
+        fs = sc._jvm.org.apache.hadoop.fs.FileSystem.get(sc._jsc.hadoopConfiguration())
+        conf_dir = f"{fs.getUri().toString().rstrip('/')}/tmp/webloom-{sc.applicationId}"
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 

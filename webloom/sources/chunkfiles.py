@@ -40,6 +40,14 @@ def legacy_content(spark: SparkSession, path: str) -> DataFrame:
     return scan_chunks(spark, path).select("content")
 
 
+def load_json_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """``(url, content, timestamp, reject)``: records of files that are each one
+    JSON array, on however many lines.  A file that does not parse is one row
+    whose ``reject`` holds its text."""
+    return (spark.read.schema(f"{RECORD_DDL}, reject string").option("multiLine", "true")
+            .option("columnNameOfCorruptRecord", "reject").json(path))
+
+
 def require_rows(df: DataFrame, what: str = "documents") -> DataFrame:
     """Fail like the legacy loader when nothing was loaded."""
     if df.isEmpty():
