@@ -95,6 +95,15 @@ class _Model:
 
     def learn(self, x: np.ndarray, hit2: np.ndarray) -> None:
         hit1 = x == self.q1
+        if self.step % 2 == 0:
+            self._count(hit1, hit2)
+        self.order2[self.h2] = _next(self.e2, hit2, x)
+        self.order1[self.p1] = _next(self.e1, hit1, x)
+        self.fresh.append(x)
+        self.step += 1
+
+    def _count(self, hit1: np.ndarray, hit2: np.ndarray) -> None:
+        """What each cell's predictions were worth (every other step tells enough)."""
         cell = self.cell
         seen = np.bincount(cell, minlength=128)
         right = np.bincount(cell[hit2], minlength=128)
@@ -106,18 +115,18 @@ class _Model:
         only1 = np.bincount(cell[hit1 & ~hit2], minlength=128)
         self.seenb += seen - right
         self.rightb += only1
-        # weights: the mean gradient of the lanes in each set (sums stay below 2^53, so they are exact)
+        if self.step % 4 == 0:
+            self._adjust(cell, seen, hit2)
+
+    def _adjust(self, cell: np.ndarray, seen: np.ndarray, hit2: np.ndarray) -> None:
+        """Weights: the mean gradient of the lanes in each set (sums stay below 2^53, so they are exact)."""
         err = (hit2.astype(np.int64) << 12) - self.p
         by_cell = np.bincount(cell, weights=err, minlength=128).astype(np.int64)
         in0 = np.bincount(cell, weights=err * self.in0, minlength=128).astype(np.int64)
-        n = np.maximum(np.bincount(_SET, weights=seen, minlength=16).astype(np.int64), 1) * 640
+        n = np.maximum(np.bincount(_SET, weights=seen, minlength=16).astype(np.int64), 1) * 160
         for i, g in enumerate((by_cell * self.st2, by_cell * self.st1, in0)):
             self.weights[:, i] += np.bincount(_SET, weights=g, minlength=16).astype(np.int64) // n
         np.clip(self.weights, -1 << 18, 1 << 18, out=self.weights)
-        self.order2[self.h2] = _next(self.e2, hit2, x)
-        self.order1[self.p1] = _next(self.e1, hit1, x)
-        self.fresh.append(x)
-        self.step += 1
 
 
 #: Added to an entry's confidence k: after a miss (k becomes k // 2), after a hit.
@@ -147,14 +156,12 @@ def encode(ids: np.ndarray, vocabulary: int = 49408) -> bytes:
     model = _Model(vocabulary)
     # 16 bits leave at the top when the range falls below 2^32; carries are settled at the end
     low, rng = np.zeros(lanes, _U), np.full(lanes, 1 << 48, _U)
-    room = 4 * steps + 3
-    out, first = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room
-    at = first.copy()
+    owners, words = [], []
 
     def flush(which: np.ndarray) -> None:
-        v, to = low.take(which), at.take(which)
-        out[to] = v >> _U(32)
-        at[which] = to + 1
+        v = low.take(which)
+        owners.append(which.astype(np.uint16))
+        words.append((v >> _U(32)).astype(np.uint32))
         low[which] = (v & _LOW32) << _U(16)
         rng[which] = rng.take(which) << _U(16)
 
@@ -186,10 +193,13 @@ def encode(ids: np.ndarray, vocabulary: int = 49408) -> bytes:
         p1, p2 = x, p1
     for _ in range(3):
         flush(np.arange(lanes))
-    counts, out = at - first, out.reshape(lanes, room)
-    for k in range(int(counts.max()) - 1, 0, -1):    # carries run towards the front
-        out[:, k - 1] += out[:, k] >> 16
-    body = out[np.arange(room) < counts[:, None]].astype("<u2").tobytes()   # the low 16 bits
+    owner = np.concatenate(owners)
+    counts = np.bincount(owner, minlength=lanes)
+    out = np.concatenate(words)[np.argsort(owner, kind="stable")]
+    while (carry := out >> 16).any():                # carries run towards the front
+        out &= 0xFFFF
+        out[:-1] += carry[1:]
+    body = out.astype("<u2").tobytes()
     sizes = zlib.compress(counts.astype("<u4").tobytes())
     return _HEAD.pack(MAGIC, n, lanes, zlib.crc32(ids.tobytes()), vocabulary, len(sizes)) + sizes + body
 
@@ -203,7 +213,7 @@ def decode(block: bytes) -> np.ndarray:
         raise ValueError("not a token block")
     try:
         counts = np.frombuffer(zlib.decompress(block[_HEAD.size:_HEAD.size + size]), "<u4").astype(np.int64)
-        words = np.frombuffer(block, "<u2", offset=_HEAD.size + size).astype(_U)
+        words = np.frombuffer(block, "<u2", offset=_HEAD.size + size)
     except (zlib.error, ValueError) as e:
         raise ValueError("damaged token block") from e
     if lanes != lanes_for(n) or len(counts) != lanes or int(counts.min()) < 3 or int(counts.sum()) != len(words):
@@ -212,13 +222,13 @@ def decode(block: bytes) -> np.ndarray:
     at = np.cumsum(counts) - counts
     code = np.zeros(lanes, _U)
     for _ in range(3):
-        code = (code << _U(16)) | words[at]
+        code = (code << _U(16)) | words[at].astype(_U)
         at += 1
     rng = np.full(lanes, 1 << 48, _U)
 
     def refill(which: np.ndarray) -> None:
         to = at.take(which)
-        code[which] = (code.take(which) << _U(16)) | words.take(to, mode="clip")
+        code[which] = (code.take(which) << _U(16)) | words.take(to, mode="clip").astype(_U)
         at[which] = to + 1
         rng[which] = rng.take(which) << _U(16)
 
@@ -240,7 +250,10 @@ def decode(block: bytes) -> np.ndarray:
         e = np.flatnonzero(esc)
         if len(e):
             r, c = rng.take(e) // _U(model.total), code.take(e)
-            got = np.searchsorted(model.cum, np.minimum(c // r, _U(model.total - 1)).astype(np.int32), "right") - 1
+            v = np.minimum(c // r, _U(model.total - 1)).astype(np.int32)
+            by = np.argsort(v)                                # a search in order stays in the cache
+            got = np.empty(len(e), np.int64)
+            got[by] = np.searchsorted(model.cum, v[by], "right") - 1
             a, b = model.cum.take(got).astype(np.int64), model.cum.take(got + 1).astype(np.int64)
             code[e] = c - r * a.view(_U)
             rng[e] = r * (b - a).view(_U)

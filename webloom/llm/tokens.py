@@ -16,8 +16,10 @@ document is never cut, so memory is bounded by a block or the longest document.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,17 @@ from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 
 from . import idcoder
+from . import words as W
 from .tables import materialise
 
 END_ID = 2
 _DIRECTORY = struct.Struct("<4sIII")   # magic, documents, bytes of the directory, crc32 of the directory
-#: ASCII characters that end a run of letters and take no part in contractions
-#: or special tokens, so that a word may be tokenised before and after them.
-_TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+def byte_symbols() -> list[str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for
+    themselves, the other bytes for 256, 257, ... in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return [chr(b if b in printable else 256 + others.index(b)) for b in range(256)]
 
 
 def default_tokenizer() -> str:
@@ -41,73 +47,176 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordCache(dict):
-    """Ids (as little-endian bytes) of white-space separated words.
+_SEP, _LETTER, _MARK, _OTHER = 0, 1, 2, 3
+#: Pieces that go straight to the vocabulary's merges.
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
-    The vocabulary's pre-tokeniser never joins across white space, so a text's
-    ids are its words' ids one after another.  A word's ASCII case and its
-    closing punctuation are split off before the tokenizer is asked, which
-    sees each remaining word once for each ``limit`` words (the cache then
-    starts afresh, which bounds memory and changes nothing else).
-    """
 
-    def __init__(self, path: str, limit: int = 400_000):
+def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class of each byte, and the byte with ASCII case folded."""
+    kind = np.full(256, _OTHER, np.uint8)
+    kind[33:127] = _MARK
+    kind[list(b"'<0123456789")] = _OTHER      # contractions, special tokens, single digits
+    kind[65:91] = kind[97:123] = _LETTER
+    kind[[32, 9, 10, 11, 12, 13]] = _SEP
+    fold = np.arange(256, dtype=np.uint8)
+    fold[65:91] += 32
+    return kind, fold
+
+
+_KIND, _FOLD = _byte_tables()
+
+
+def units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(folded bytes, begin, end, document) of the pieces of a slice that can be
+    tokenised one by one.
+
+    The pre-tokeniser never joins across white space, and it cuts between
+    letters and punctuation.  A word of unaccented and Latin-1 letters and of
+    ASCII punctuation is cut there and its case folded, which is all that
+    normalisation does to it; any other word (digits, apostrophes, special
+    tokens, other scripts) is one piece, unchanged.
+    """
+    kind, data = _KIND[raw], _FOLD[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3) if len(raw) else np.zeros(0, np.int64)
+    after = raw[lead + 1]
+    letter = (after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)
+    lead, after = lead[letter], after[letter]
+    kind[lead] = kind[lead + 1] = _LETTER
+    data[lead + 1] = after + np.where(after <= 0x9E, 0x20, 0).astype(np.uint8)
+    n = len(raw)
+    inside = np.zeros(n + 2, bool)
+    inside[1:-1] = kind != _SEP
+    begins, ends = inside[1:] & ~inside[:-1], inside[:-1] & ~inside[1:]
+    cut = offsets[(offsets > 0) & (offsets < n)]
+    begins[cut] = inside[1:][cut]
+    ends[cut] = inside[:-1][cut]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    others = np.zeros(n + 1, np.int32)
+    np.cumsum(kind == _OTHER, out=others[1:])
+    whole = np.flatnonzero(others[last] > others[first])
+    if len(whole):                                   # these stay as they are
+        size = last[whole] - first[whole]
+        at = np.repeat(first[whole] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        data[at] = raw[at]
+        kind[at] = _OTHER
+    inner = np.flatnonzero((kind[1:] != kind[:-1]) & inside[2:-1] & inside[1:-2]) + 1 if n > 1 else first[:0]
+    inner = inner[~begins[inner]]
+    begin, end = np.sort(np.concatenate([first, inner])), np.sort(np.concatenate([last, inner]))
+    return data, begin, end, np.searchsorted(offsets, begin, "right") - 1
+
+
+class UnitTable:
+    """Ids of pieces, by 64-bit hash and length, kept between the tasks of a
+    worker.  Lookups are array operations; a piece is tokenised once for each
+    ``limit`` pieces (the table then starts afresh, which bounds memory and
+    changes nothing else)."""
+
+    def __init__(self, path: str, slots: int = 1 << 21, limit: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.slots, self.limit = Tokenizer.from_file(path), slots, limit
+        self.merges, self.symbols = self.tokenizer.model.tokenize, byte_symbols()
         self.mark = self.tokenizer.token_to_id("<|endoftext|>")
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, words: list[str]) -> None:
-        """Tokenise words together, kept apart by a special token."""
-        plain = [w for w in words if "<|" not in w]
-        for at in range(0, len(plain), 500):
-            some = plain[at:at + 500]
-            ids = np.array(self.tokenizer.encode("<|endoftext|>".join(some), add_special_tokens=False).ids, "<u4")
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.entry = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
+        self.known: dict[int, int] = {}
+        self.size, self.first = np.zeros(self.limit + 1, np.int32), np.zeros(self.limit + 1, np.int64)
+        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+
+    def _tokenise(self, pieces: list[bytes]) -> list[list[int]]:
+        out: list = [None] * len(pieces)
+        rest = []
+        for i, piece in enumerate(pieces):
+            if _KIND[piece[0]] == _LETTER or piece[0] == 0xC3:
+                text = piece.decode()
+                if _LETTERS.fullmatch(text):
+                    if not text.isascii():
+                        text = "".join([self.symbols[b] for b in piece])
+                    out[i] = [t.id for t in self.merges(text)]
+                    continue
+            if b"<|" in piece:
+                out[i] = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
+            else:
+                rest.append(i)
+        for at in range(0, len(rest), 500):       # together, kept apart by a special token
+            some = rest[at:at + 500]
+            ids = np.array(self.tokenizer.encode("<|endoftext|>".join(pieces[i].decode() for i in some),
+                                                 add_special_tokens=False).ids, np.uint32)
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) != len(some) - 1:
-                raise RuntimeError("the tokenizer joined or lost words")
-            raw, ends = ids.tobytes(), [*cuts.tolist(), len(ids)]
-            begin = 0
-            for w, end in zip(some, ends):
-                self.parts[w] = raw[4 * begin:4 * end]
-                begin = end + 1
-        for w in words:
-            if "<|" in w:
-                self.parts[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-
-    @staticmethod
-    def _split(word: str) -> tuple[str, str]:
-        base = word.rstrip(_TAIL)
-        if not base or not base[-1].isalpha():
-            base = word
-        return (base.lower() if base.isascii() else base), word[len(base):]
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        # space and line feed only: what else is white space is left to the tokenizer
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for ws in words for w in ws if w not in self}
-        if new:
-            if len(self) + len(new) > self.limit:
-                self.clear()
-                self.parts.clear()
-                new = {w for ws in words for w in ws}
-            split = {w: self._split(w) for w in new}
-            self._encode(list({p for pair in split.values() for p in pair if p and p not in self.parts}))
-            for w, (base, tail) in split.items():
-                self[w] = (self.parts[base] if base else b"") + (self.parts[tail] if tail else b"")
-        get = self.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
-
-
-_CACHES: dict[str, WordCache] = {}
-
-
-def word_cache(path: str) -> WordCache:
-    """One cache for each worker process, kept between its tasks."""
-    if path not in _CACHES:
-        _CACHES[path] = WordCache(path)
-    return _CACHES[path]
+                raise RuntimeError("the tokenizer joined or lost pieces")
+            flat, begin = ids.tolist(), 0
+            for i, stop in zip(some, [*cuts.tolist(), len(ids)]):
+                out[i] = flat[begin:stop]
+                begin = stop + 1
+        return out
+
+    def _add(self, h: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+        """Entries of new pieces, and of those only pushed out of their slots."""
+        hs = h.tolist()
+        entries = np.array([self.known.get(x, -1) for x in hs], np.int64)
+        new = np.flatnonzero(entries < 0)
+        if len(new):
+            ids = self._tokenise([pieces[i] for i in new])
+            n = len(self.known)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+            while self.used + len(flat) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+            self.pool[self.used:self.used + len(flat)] = flat
+            entries[new] = np.arange(n, n + len(new))
+            self.size[n:n + len(new)], self.first[n:n + len(new)] = size, self.used + np.cumsum(size) - size
+            self.used += len(flat)
+            self.known.update(zip((hs[i] for i in new.tolist()), entries[new].tolist()))
+        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
+        taken = self.keys[slot] != 0
+        slot[taken] = ((h[taken] >> np.uint64(32)) & np.uint64(self.slots - 1)).astype(np.int64)
+        self.keys[slot], self.entry[slot] = h, entries
+        return entries
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        one = (h & np.uint64(self.slots - 1)).astype(np.int64)
+        found = np.where(self.keys.take(one) == h, self.entry.take(one), -1)
+        miss = np.flatnonzero(found < 0)
+        two = ((h[miss] >> np.uint64(32)) & np.uint64(self.slots - 1)).astype(np.int64)
+        found[miss] = np.where(self.keys.take(two) == h[miss], self.entry.take(two), -1)
+        return found
+
+    def ids(self, raw: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a slice, ids for each text), the end id included."""
+        data, begin, stop, doc = units(raw, offsets)
+        h = W.spans_hash(W.prefix(data, W.BYTES_A), begin, stop, W.BYTES_A) | np.uint64(1)
+        entry = self._find(h)
+        miss = np.flatnonzero(entry < 0)
+        if len(miss):
+            u, at, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
+            if len(self.known) + len(u) > self.limit:
+                self.limit = max(self.limit, len(u) * 4)
+                self._clear()
+                return self.ids(raw, offsets, end)
+            text = data.tobytes()
+            pieces = [text[p:q] for p, q in zip(begin[miss[at]].tolist(), stop[miss[at]].tolist())]
+            entry[miss] = self._add(u, pieces)[inverse]
+        size, first = self.size[entry].astype(np.int64), self.first[entry]
+        total, n = int(size.sum()), len(offsets) - 1
+        before = np.cumsum(size) - size
+        step = np.arange(total)
+        out = np.full(total + n, end, np.uint32)
+        out[step + np.repeat(doc, size)] = self.pool[np.repeat(first - before, size) + step]
+        return out, np.bincount(doc, weights=size, minlength=n).astype(np.int64) + 1
+
+
+_TABLES: dict[str, UnitTable] = {}
+
+
+def unit_table(path: str) -> UnitTable:
+    """One table for each worker process."""
+    if path not in _TABLES:
+        _TABLES[path] = UnitTable(path)
+    return _TABLES[path]
 
 
 def pack(doc_ids: list, counts: list[int], ids: np.ndarray) -> bytes:
@@ -132,27 +241,30 @@ def unpack(block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 def _encoder(path: str | None, block_ids: int):
     def job(batches):
-        cache = word_cache(path or default_tokenizer())
+        table = unit_table(path or default_tokenizer())
         part = TaskContext.get().partitionId()
-        end = np.array([END_ID], "<u4").tobytes()
         docs, counts, held, size, start, number = [], [], [], 0, 0, 0
 
         def block():
-            ids = np.frombuffer(b"".join(held), "<u4")
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([start], pa.int64()),
-                 pa.array([len(ids)], pa.int64()), pa.array([len(docs)], pa.int32()),
-                 pa.array([pack(docs, counts, ids)], pa.binary())],
+                 pa.array([size], pa.int64()), pa.array([len(docs)], pa.int32()),
+                 pa.array([pack(docs, counts, np.concatenate(held))], pa.binary())],
                 ["part", "block", "start", "n_ids", "n_docs", "data"])
 
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                rows = b.slice(lo, 256)
-                for doc, ids in zip(rows["doc_id"].to_pylist(), cache.texts([t or "" for t in rows["text"].to_pylist()])):
-                    docs.append(doc)
-                    held.append(ids + end)
-                    counts.append(len(ids) // 4 + 1)
-                    size += counts[-1]
+            for lo, hi, raw, off in W.slices(b["text"]):
+                ids, n = table.ids(raw, off, END_ID)
+                names, cut = b["doc_id"].slice(lo, hi - lo).to_pylist(), np.cumsum(n)
+                at = 0
+                while at < hi - lo:        # as many documents as fill the block
+                    done = int(cut[at - 1]) if at else 0
+                    to = min(int(np.searchsorted(cut, done + block_ids - size)) + 1, hi - lo)
+                    docs += names[at:to]
+                    counts += n[at:to].tolist()
+                    held.append(ids[done:int(cut[to - 1])])
+                    size += len(held[-1])
+                    at = to
                     if size >= block_ids:
                         yield block()
                         start, number = start + size, number + 1
@@ -162,7 +274,7 @@ def _encoder(path: str | None, block_ids: int):
     return job
 
 
-def write_blocks(docs: DataFrame, tokenizer: str | None = None, block_ids: int = 1 << 19,
+def write_blocks(docs: DataFrame, tokenizer: str | None = None, block_ids: int = 1 << 20,
                  partitions: int | None = None) -> DataFrame:
     """Write the documents as blocks, in ascending doc_id order (part, block),
     to the shared folder; returns the table of what was written."""
