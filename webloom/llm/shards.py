@@ -97,7 +97,7 @@ def exact_sizes(total: int, parts: int) -> np.ndarray:
 
 
 def shuffle(docs: DataFrame, shards: int = 40, seed: int = 7, block_rows: int = 1 << 16,
-            part_rows: int = 1 << 20) -> DataFrame:
+            part_rows: int = 1 << 17) -> DataFrame:
     """All columns of ``docs`` with ``shard`` and ``slot`` (gapless from 0)."""
     spark = docs.sparkSession
     at = "row_at"
