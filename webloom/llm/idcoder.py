@@ -74,28 +74,33 @@ class _Model:
             np.cumsum(freq, out=self.cum[1:])
             self.total = int(self.cum[-1])
             self.st0 = _STRETCH.take(np.minimum(freq * 4096 // self.total, 4095))
-        # what depends on the 128 cells alone
-        self.st2 = _STRETCH[(self.right2 * 4096 + 512) // (self.seen2 + 1)][_K2]
-        self.st1 = _STRETCH[(self.right1 * 4096 + 512) // (self.seen1 + 1)][_C1]
-        w = self.weights[_SET]
-        base = w[:, 0] * self.st2 + w[:, 1] * self.st1
-        pb = np.clip((self.rightb * 65536 + 8192) // (self.seenb + 1), 256, 64000)
-        pb[_C1 >= 8] = 0                                      # both predict the same id
+        if self.step % 4 == 1 or not self.step:               # the step before has counted
+            self._cells()
         self.p1, self.h2 = p1, (p1 * 40503 + p2 * 2654435 + (p2 >> 3)) & ((1 << _HASH2) - 1)
         self.e2, self.e1 = self.order2.take(self.h2, mode="clip"), self.order1.take(p1, mode="clip")
         self.q2, self.q1 = self.e2 >> 3, self.e1 >> 3
         self.cell = ((self.e2 & 7) << 4) + (self.e1 & 7) + ((self.q1 == self.q2) << 3)
         self.in0 = self.st0.take(self.q2, mode="clip")
-        dot = (base.take(self.cell, mode="clip") + w[:, 2].take(self.cell, mode="clip") * self.in0) >> 16
+        dot = (self.base.take(self.cell, mode="clip") + self.slope.take(self.cell, mode="clip") * self.in0) >> 16
         self.p = _SQUASH.take(dot + 2047, mode="clip")
         f2 = np.minimum(self.p << 4, 65536 - 2 * _ESCAPE)
-        self.f1 = ((65536 - _ESCAPE - f2) * pb.take(self.cell, mode="clip")) >> 16
+        self.f1 = ((65536 - _ESCAPE - f2) * self.pb.take(self.cell, mode="clip")) >> 16
         self.start2 = 65536 - f2                              # order 2 lies above this
         self.start1 = self.start2 - self.f1                   # the escape lies below this
 
+    def _cells(self) -> None:
+        """What depends on the 128 cells alone: the mixture without its order-0
+        input, that input's weight, the order-1 prediction's share of the rest."""
+        self.st2 = _STRETCH[(self.right2 * 4096 + 512) // (self.seen2 + 1)][_K2]
+        self.st1 = _STRETCH[(self.right1 * 4096 + 512) // (self.seen1 + 1)][_C1]
+        w = self.weights[_SET]
+        self.base, self.slope = w[:, 0] * self.st2 + w[:, 1] * self.st1, w[:, 2].copy()
+        self.pb = np.clip((self.rightb * 65536 + 8192) // (self.seenb + 1), 256, 64000)
+        self.pb[_C1 >= 8] = 0                                 # both predict the same id
+
     def learn(self, x: np.ndarray, hit2: np.ndarray) -> None:
         hit1 = x == self.q1
-        if self.step % 2 == 0:
+        if self.step % 4 == 0:
             self._count(hit1, hit2)
         self.order2[self.h2] = _next(self.e2, hit2, x)
         self.order1[self.p1] = _next(self.e1, hit1, x)
@@ -103,7 +108,7 @@ class _Model:
         self.step += 1
 
     def _count(self, hit1: np.ndarray, hit2: np.ndarray) -> None:
-        """What each cell's predictions were worth (every other step tells enough)."""
+        """What each cell's predictions were worth (every fourth step tells enough)."""
         cell = self.cell
         seen = np.bincount(cell, minlength=128)
         right = np.bincount(cell[hit2], minlength=128)
@@ -115,8 +120,7 @@ class _Model:
         only1 = np.bincount(cell[hit1 & ~hit2], minlength=128)
         self.seenb += seen - right
         self.rightb += only1
-        if self.step % 4 == 0:
-            self._adjust(cell, seen, hit2)
+        self._adjust(cell, seen, hit2)
 
     def _adjust(self, cell: np.ndarray, seen: np.ndarray, hit2: np.ndarray) -> None:
         """Weights: the mean gradient of the lanes in each set (sums stay below 2^53, so they are exact)."""

@@ -107,8 +107,8 @@ def units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class UnitTable:
-    """Ids of pieces, by 64-bit hash and length, kept between the tasks of a
-    worker.  Lookups are array operations; a piece is tokenised once for each
+    """Ids of pieces, by a 64-bit hash of bytes and length, kept between the
+    tasks of a worker.  Lookups are array operations; a piece is tokenised once for each
     ``limit`` pieces (the table then starts afresh, which bounds memory and
     changes nothing else)."""
 
