@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from webloom.plans import ORACLE_SQL
 
 from conftest import SF001
 
@@ -39,7 +40,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF001)
     got = _canon(df.columns, [tuple(r) for r in df.collect()])
