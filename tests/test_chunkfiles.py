@@ -90,3 +90,13 @@ def test_json_arrays_on_several_lines(spark, tmp_path):
     good = sorted((r.url, r.content, r.timestamp) for r in rows if r.reject is None)
     assert good == [("u1", "x\ny", 1.5), ("u2", None, None), ("u3", "z", 2.0)]
     assert [r.reject[:6] for r in rows if r.reject is not None] == ['[{"url']
+
+
+def test_hosts_of_empty_name_and_without_one_stay_apart(spark, tmp_path):
+    recs = spark.createDataFrame([(0, "", "u0", "a"), (1, None, "u1", "b"), (2, "h", "u2", "c")],
+                                 "page_id long, host string, url string, content string")
+    recs = recs.withColumns({"timestamp": F.lit(1.0), "chunk_no": F.lit(0)})
+    path = str(tmp_path / "chunks")
+    KF.write_chunk_files(recs, path)
+    assert {(r.host, r.url) for r in SF.scan_chunks(spark, path).collect()} == {("", "u0"), (None, "u1"), ("h", "u2")}
+    assert [r.url for r in SF.scan_chunks(spark, path, hosts=[""]).collect()] == ["u0"]

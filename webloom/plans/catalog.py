@@ -758,8 +758,8 @@ def stream_chunk_assign(spark, d):
         (recs.where((F.col("ord") >= s) & (F.col("ord") < s + step))
          .write.mode("append").parquet(src))
 
-    def batch(df, epoch_id):
-        df.write.mode("append").parquet(out)
+    def batch(df, epoch_id):     # a replayed epoch writes its own folder again
+        df.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
     # records arrive slice by slice in page order.  Each slice is written, then
     # processed by an availableNow run that resumes the same checkpoint (state
     # included) and stops; no run is active while a slice is being written, so
@@ -805,8 +805,8 @@ def stream_distinct_pages(spark, d):
              .parquet(d).withColumn("fetched_at", F.lit(FETCHED_AT).cast("timestamp")))
     out = scratch_path(spark, "stream-distinct-pages")
 
-    def batch(df, epoch_id):
-        df.write.mode("append").parquet(out)
+    def batch(df, epoch_id):     # a replayed epoch writes its own folder again
+        df.write.mode("overwrite").parquet(f"{out}/epoch={epoch_id}")
     with state_partitions(spark):
         q = (SD.distinct_pages_stream(pages).writeStream.outputMode("append").foreachBatch(batch)
              .option("checkpointLocation", scratch_path(spark, "stream-distinct-pages-ckpt"))

@@ -12,6 +12,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Folder name of the host of empty name (a page whose URL has no authority):
+#: a partition folder cannot tell an empty value from NULL.
+EMPTY_HOST = "(empty)"
+
 
 def chunk_payloads(records: DataFrame, *, host: str = "host", chunk: str = "chunk_no",
                    batch: str | None = None, order: str = "page_id") -> DataFrame:
@@ -33,5 +37,5 @@ def write_chunk_files(records: DataFrame, path: str, *, host: str = "host",
     # spread by (host, chunk): a host with a large share of the records is
     # written by many tasks, each file holding whole chunks in chunk order
     (payloads.repartition(host, chunk).sortWithinPartitions(host, chunk)
-     .select(F.col(host).alias("host"), "payload")
+     .select(F.when(F.col(host) == "", EMPTY_HOST).otherwise(F.col(host)).alias("host"), "payload")
      .write.mode(mode).partitionBy("host").text(path))

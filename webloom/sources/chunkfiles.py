@@ -10,14 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.chunkfiles import EMPTY_HOST
+
 RECORD_DDL = "url string, content string, timestamp double"
 _ARRAY = f"array<struct<{RECORD_DDL.replace(' string', ': string').replace(' double', ': double')}>>"
 
 
 def _lines(spark: SparkSession, path: str, hosts: list[str] | None) -> DataFrame:
     df = spark.read.format("text").schema("value string, host string").load(path)
-    if hosts is not None:
-        df = df.where(F.col("host").isin(hosts))  # partition pruning on host=
+    if hosts is not None:    # partition pruning on host=
+        df = df.where(F.col("host").isin([h or EMPTY_HOST for h in hosts]))
+    df = df.withColumn("host", F.when(F.col("host") == EMPTY_HOST, "").otherwise(F.col("host")))
     return df.withColumn("records", F.from_json("value", _ARRAY, {"mode": "PERMISSIVE"}))
 
 
