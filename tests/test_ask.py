@@ -106,3 +106,15 @@ def test_registered_flow(spark):
     assert stages == {"cache", "fresh", "all"} and all(r.confident for r in out.values() if r.stage == "fresh")
     stored = {r.question: r.answer for r in E.queries()["answers_after_flow"](spark, SF001).collect()}
     assert stored == {r.question: r.answer for r in out.values() if r.stage == "all" and r.answer != C.NO_VALID_ANSWERS}
+
+
+def test_dense_retrieval_by_an_embedder(spark):
+    qs = spark.createDataFrame([(1, "blue whales"), (2, "fox red")], "qid long, question string")
+
+    def letters(texts):
+        count = [F.length("text") - F.length(F.translate("text", c, "")) for c in "abcdefghijklmnopqrstuvwxyz"]
+        return texts.select("id", F.array(*[c.cast("double") for c in count]).alias("embedding"))
+
+    out = {r.qid: r for r in ask(qs, _passages(spark), None, scope="global", embedder=letters).collect()}
+    assert out[1].answer == "blue whales swim deep" and 0 < out[1].confidence < 1
+    assert out[2].answer == "the red fox jumps"

@@ -25,25 +25,41 @@ from ..session import cut_lineage
 from . import answers as A
 from . import reconcile as RC
 from . import retrieval as R
+from . import similarity as V
 
 Generator = Callable[[DataFrame], DataFrame]
+#: ``(id, text)`` to ``(id, embedding array<double>)``, e.g. a ``mapInPandas`` model call.
+Embedder = Callable[[DataFrame], DataFrame]
+
+
+def dense_hits(questions: DataFrame, passages: DataFrame, k: int, embedder: Embedder) -> DataFrame:
+    """``(qid, rank, did, sim)``: the k passages nearest to each question by the
+    cosine of the embedder's vectors (exact, in blocks of vectors; ``pid`` is a bigint)."""
+    qs = embedder(questions.select(F.col("qid").alias("id"), F.col("question").alias("text")))
+    ps = embedder(passages.select(F.col("pid").alias("id"), F.col("chunk").alias("text")))
+    return V.knn(qs, ps, k, q_id="id", d_id="id")
 
 
 def host_answers(questions: DataFrame, passages: DataFrame, k: int = C.TOP_K, *,
-                 scope: str = "global", generator: Generator | None = None) -> DataFrame:
+                 scope: str = "global", generator: Generator | None = None,
+                 embedder: Embedder | None = None) -> DataFrame:
     """``(qid, host, answer_id, answer, confidence, sources, status)`` per question and host.
 
     ``questions``: ``(qid, question)``; ``passages``: ``(pid, host, source, chunk)``.
     ``scope="global"`` ranks all passages for every host (so all hosts agree);
-    ``scope="host"`` ranks each host's own passages.
+    ``scope="host"`` ranks each host's own passages.  With an ``embedder``
+    (global scope) passages are ranked by dense vectors instead of terms.
     """
-    scores = R.lexical_scores(questions, passages, q_id="qid", q_text="question",
+    if embedder is not None and scope != "global":
+        raise ValueError("an embedder ranks all passages: use the global scope")
+    scores = None if embedder else R.lexical_scores(questions, passages, q_id="qid", q_text="question",
                               d_id="pid", d_text="chunk", carry=("host",) if scope == "host" else ())
     # rank on ids and host only; passage text joins the k winners afterwards
     if scope == "host":
         hits = R.top_k(scores, k, by=["qid", "host"])
     elif scope == "global":
-        hits = R.top_k(scores, k, by="qid").withColumn("host", F.lit("*"))
+        best_k = dense_hits(questions, passages, k, embedder) if embedder else R.top_k(scores, k, by="qid")
+        hits = best_k.withColumn("host", F.lit("*"))
     else:
         raise ValueError(f"unknown scope {scope!r}")
     hits = hits.join(passages.select(F.col("pid").alias("did"), "source",
@@ -87,7 +103,8 @@ def lexical_neighbourhoods(answers: DataFrame, threshold: float = C.SIMILARITY_T
 
 def ask(questions: DataFrame, passages: DataFrame, cache: DataFrame | None = None, *,
         k: int = C.TOP_K, scope: str = "global", threshold: float = C.SIMILARITY_THRESHOLD,
-        gate: float = C.CONFIDENCE_GATE, generator: Generator | None = None) -> DataFrame:
+        gate: float = C.CONFIDENCE_GATE, generator: Generator | None = None,
+        embedder: Embedder | None = None) -> DataFrame:
     """``(qid, question, answer, sources, confidence, cached, confident)``, one row
     per question.  Cached questions are answered from the store and skip the rest."""
     qs = questions.select("qid", "question")
@@ -106,7 +123,7 @@ def ask(questions: DataFrame, passages: DataFrame, cache: DataFrame | None = Non
         cached, todo = None, qs
     # candidates feed four consumers: materialise once (reliable checkpoint)
     cand = cut_lineage(A.valid_answers(host_answers(todo, passages, k, scope=scope,
-                                                    generator=generator)))
+                                                    generator=generator, embedder=embedder)))
     # ties between equally large neighbourhoods go to the lowest host name
     pairs = (lexical_neighbourhoods(cand.select("qid", "answer_id", "answer"), threshold)
              .join(cand.select("qid", F.col("answer_id").alias("i"),
