@@ -166,8 +166,9 @@ def ask_fresh_first(questions: DataFrame, passages: DataFrame, listing: DataFram
     """
     from .freshness import fresh_host_set
     fresh = fresh_host_set(listing, now, max_age_days)
-    first = ask(questions, passages.join(fresh, "host", "left_semi"), cache, k=k, scope=scope,
-                threshold=threshold, gate=gate, generator=generator)
+    # read three times below: computed once
+    first = cut_lineage(ask(questions, passages.join(fresh, "host", "left_semi"), cache, k=k, scope=scope,
+                            threshold=threshold, gate=gate, generator=generator))
     early = first.where(F.col("cached") | F.col("confident")).withColumn(
         "stage", F.when(F.col("cached"), F.lit("cache")).otherwise(F.lit("fresh")))
     rest = questions.join(early.select("qid"), "qid", "left_anti")
