@@ -97,3 +97,41 @@ def test_empty_tables(spark):
     assert leaks(none_d, i, bits=1 << 12).collect() == []
     assert leaks(d, none_i, bits=1 << 12).collect() == []
     assert without_leaks(d, none_i, bits=1 << 12).count() == d.count()
+
+
+def test_dense_edits_match_brute_force(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghé") for _ in range(r.randint(4, 7)))
+    items = [(i, " ".join(word() for _ in range(15 + i % 6 if i < 18 else 8))) for i in range(20)]
+    docs = []
+    for i, t in items:
+        for every in (2, 3, 4, 5):
+            for edit in (lambda x: [word()], lambda x: [], lambda x: [x, word()], lambda x: [word(), word()]):
+                copy = [y for k, x in enumerate(t.split()) for y in (edit(x) if k % every == every - 1 else [x])]
+                docs.append((len(docs), " ".join([word() for _ in range(40)] + copy + [word() for _ in range(40)])))
+        docs.append((len(docs), " ".join(f"{x} {word()}" for x in t.split())))
+    d, i = frames(spark, docs, items)
+    got = {(x.doc_id, x.item_id): round(x.score, 9) for x in leaks(d, i, bits=1 << 16).collect()}
+    scores = {(n, m): plain_sw(tokens(s), tokens(t))[0] / (2 * len(tokens(s))) for n, t in docs for m, s in items}
+    want = {k: round(v, 9) for k, v in scores.items() if v >= 0.5}
+    assert got == want
+    assert len(want) > 200
+
+
+def test_every_leak_has_its_seeds():
+    """Most that an alignment scores which has fewer seeds than a leak needs, by its item's words."""
+    from webloom.llm.decontaminate import _DOC, _ITEM
+    gaps = [(d, e) for d in range(4) for e in range(5)]
+    shared = {((s[1] - 1, s[2] - s[1] - 1), (t[1] - 1, t[2] - t[1] - 1)) for s in _ITEM for t in _DOC}
+    longest, most = 40, 7
+    best = {(1, None, 0): 2}                     # (item words, gap before the last match, seeds): score
+    for n in range(2, longest + 1):
+        for gap in gaps:
+            for (_, last, k), score in [(x, y) for x, y in best.items() if x[0] == n - 1 - gap[0]]:
+                k += last is not None and ((last[0], gap[0]), (last[1], gap[1])) in shared
+                if k < most:
+                    best[n, gap, k] = max(best.get((n, gap, k), 0), score + 2 - max(gap))
+    for n in range(8, longest + 1):
+        need = max(-(-2 * n // 9) - 2, 1)
+        assert need <= most
+        assert max(s for (m, _, k), s in best.items() if m <= n and k < need) < n

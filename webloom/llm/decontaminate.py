@@ -1,16 +1,31 @@
-"""Benchmark decontamination (operator 1): rare n-gram seeds, then Smith-Waterman.
-
-1. Every n-gram of every test item is counted over all documents.
-2. An item's seeds are its rarest n-grams: of each ``spread`` consecutive ones
-   the one the corpus has least often (a run of n + spread - 1 words that a
-   document shares with an item always holds a seed; nothing is dropped for
-   being frequent).
-3. The words around a document's seed hits are its passages; seeds join them
-   to test items.
-4. Each (passage, item) pair is aligned word by word (match +2, mismatch -1,
-   gap -1).  Its score is the best local alignment's, over that of the item
-   with itself: 1 for a verbatim copy, less with each edit.  Pairs of
-   ``threshold`` or more are leaks.
+"""Benchmark decontamination (operator 1): gapped three-word seeds, then Smith-Waterman.
+
+1. An item's seeds are all its triples of words in the places (0, 1, 2),
+   (0, 1, 3) and (0, 2, 3); nothing is dropped for being frequent or rare.
+2. A document's triples have up to two words between; the words around those
+   that are seeds are its passages, and seeds join them to test items.
+3. Pairs of a passage and an item with as many common seeds as a leak must
+   have (below) are aligned word by word (match +2, mismatch -1, gap -1).  The
+   score is the best local alignment's, over that of the item with itself: 1
+   for a verbatim copy, less with each edit.  Pairs of ``threshold`` or more
+   are leaks.
+
+No leak is missed.  Let an alignment match m of an item's L words, leave out E
+at the item's ends, and have d words of the item and e of the document between
+two matches, which costs max(d, e); v = max(d, e) + d.  As L = m + E + sum d,
+a score of 2 m - sum max(d, e) >= L (threshold 0.5) says sum v <= m - E.  Two
+neighbouring gaps with v + v' <= 2 have a seed as their three matches (see
+_ITEM and _DOC).  All others have v + v' >= 3; the sum of v + v' over the
+m - 2 neighbouring gaps is at most 2 (m - E), so that at least
+m - 2 - 2 (m - E) / 3 of them are seeds.  As sum d <= sum v / 2, L is at most
+(3 m + E) / 2, and so the seeds are at least 2 L / 9 - 2.  For L < 14, at least
+one: without any, sum v >= 3 * floor((m - 1) / 2), which leaves m <= 3 (then
+L <= 6), m = 4 (L <= 6), or m = 6 and L <= 8, whose one alignment of eight
+words has seeds (gaps of one word in the item and two in the document).  The
+alignment spans at most m + sum e <= (3 - 2 * threshold) L words of the
+document, which is what passages take in on each side of a seed.  For
+thresholds below 0.5 or items of fewer than eight words every single word is a
+seed.
 
 Test items and documents meet through shuffled joins; only a fixed-size Bloom
 filter of n-grams is broadcast, so neither side's size is bounded.
@@ -23,6 +38,8 @@ Empty tables give no rows; other columns are ignored.
 """
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,72 +52,64 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _grams(w: W.Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, first word of each n-gram, hash of each n-gram)."""
-    h = w.hashes()
-    start = w.starts_of(n)
-    acc = np.zeros(len(start), np.uint64)
-    for i in range(n):
-        acc = acc * _C + h[start + i]
-    return h, start, W.as_long(W.mix(acc))
+#: Places of a seed's words in an item and in a document, in the order of their first word.
+_ITEM = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+_DOC = _ITEM + ((0, 2, 4), (0, 1, 4), (0, 3, 4))
+_WORD = ((0,),)
 
 
-def item_grams(items: DataFrame, n: int, min_words: int) -> DataFrame:
-    """(item_id, th, pos, gram, words) of all items long enough."""
+def _grams(w: W.Words, shapes: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word hashes, first word of each gram, hash of each gram) of all shapes."""
+    h = w.hashes()
+    starts, grams = [], []
+    for shape in shapes:
+        start = w.starts_of(shape[-1] + 1)
+        acc = np.zeros(len(start), np.uint64)
+        for i in shape:
+            acc = acc * _C + h[start + i]
+        starts.append(start)
+        grams.append(W.as_long(W.mix(acc)))
+    return h, np.concatenate(starts), np.concatenate(grams)
+
+
+def seeds(items: DataFrame, shapes: tuple, min_words: int) -> DataFrame:
+    """(item_id, th, gram, times, need): the grams of all items long enough, how
+    often each occurs there, and how many a leak of the item shares at least."""
     def job(batches):
         for b in batches:
             for lo, hi, raw, off in W.slices(b["text"]):
                 w = W.segment(raw, off, W.LETTERS)
-                _h, start, g = _grams(w, n)
+                _h, start, g = _grams(w, shapes)
                 doc = w.doc_of(start)
                 k = np.flatnonzero(w.counts[doc] >= min_words) if len(doc) else doc
-                ids = b["item_id"].slice(lo, hi - lo)
-                th = b["th"].slice(lo, hi - lo)
+                need = -(-2 * w.counts // 9) - 2 if shapes is not _WORD else np.ones(w.n_docs, np.int64)
+                of = pa.array(doc[k])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(doc[k])), th.take(pa.array(doc[k])), pa.array((start - w.first[doc])[k].astype(np.int32)),
-                     pa.array(g[k])], ["item_id", "th", "pos", "gram"])
-    return items.mapInArrow(job, "item_id long, th long, pos int, gram long")
+                    [b["item_id"].slice(lo, hi - lo).take(of), b["th"].slice(lo, hi - lo).take(of), pa.array(g[k]),
+                     pa.array(np.maximum(need, 1)[doc[k]].astype(np.int64))], ["item_id", "th", "gram", "need"])
+    rows = items.mapInArrow(job, "item_id long, th long, gram long, need long")
+    return rows.groupBy("item_id", "th", "gram", "need").agg(F.count(F.lit(1)).alias("times"))
 
 
-def _counts(docs: DataFrame, bloom: Bloom, n: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
-
-    def job(batches):
-        for b in batches:
-            for _lo, _hi, raw, off in W.slices(b["text"]):
-                g = _grams(W.segment(raw, off, W.LETTERS), n)[2]
-                u, c = np.unique(g[shared.value.has(g)], return_counts=True)
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(c)], ["gram", "c"])
-    return docs.select("text").mapInArrow(job, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-
-
-def seeds(items: DataFrame, docs: DataFrame, n: int, spread: int, min_words: int, bits: int) -> DataFrame:
-    """(item_id, th, gram): the rarest n-grams of each item (the hash breaks ties)."""
-    grams = materialise(item_grams(items, n, min_words), "item-grams")
-    counts = _counts(docs, Bloom(bits).build(grams, "gram"), n)
-    ranked = grams.join(counts, "gram", "left").withColumn(
-        "rank", F.struct(F.coalesce("c", F.lit(0)).alias("c"), "gram"))
-    # every run of `spread` n-grams of an item keeps its smallest rank
-    runs = ranked.select("item_id", "th", "pos", "rank", F.explode(F.sequence(
-        F.greatest(F.col("pos") - (spread - 1), F.lit(0)), F.col("pos"))).alias("run"))
-    return (runs.groupBy("item_id", "th", "run").agg(F.min("rank").alias("r"))
-            .select("item_id", "th", F.col("r.gram").alias("gram")).distinct())
-
-
-def _passages(docs: DataFrame, bloom: Bloom, n: int, around: int) -> DataFrame:
-    """(doc_id, th, first, words, grams): words around seed hits, hits closer
-    than twice ``around`` words together."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
+def _passages(docs: DataFrame, bloom: Bloom, shapes: tuple, around: int, only: Bloom | None = None) -> DataFrame:
+    """(doc_id, th, first, grams) of the words around seed hits, hits closer than
+    twice ``around`` words together; with ``only``, a filter of texts by th,
+    (doc_id, th, first, words) of the same passages of these texts."""
+    shared = docs.sparkSession.sparkContext.broadcast((bloom, only))
+    n = max(shape[-1] for shape in shapes) + 1
 
     def job(batches):
+        bloom, only = shared.value
         for b in batches:
+            if only is not None:
+                b = b.filter(pa.array(only.has(b["th"].to_numpy())))
             for lo, hi, raw, off in W.slices(b["text"]):
                 w = W.segment(raw, off, W.LETTERS)
-                h, start, g = _grams(w, n)
-                k = np.flatnonzero(shared.value.has(g)) if len(g) else np.zeros(0, np.int64)
+                h, start, g = _grams(w, shapes)
+                k = np.flatnonzero(bloom.has(g)) if len(g) else np.zeros(0, np.int64)
                 if not len(k):
                     continue
+                k = k[np.argsort(start[k], kind="stable")]
                 at, doc = start[k], w.doc_of(start[k])
                 new = np.ones(len(k), bool)
                 new[1:] = (doc[1:] != doc[:-1]) | (np.diff(at) > 2 * around)
@@ -110,13 +119,14 @@ def _passages(docs: DataFrame, bloom: Bloom, n: int, around: int) -> DataFrame:
                 first = np.maximum(at[begin] - around, w.first[d])
                 last = np.minimum(at[end - 1] + n + around, w.first[d + 1])
                 hl = W.as_long(h)
+                values = ([np.unique(g[k[p:q]]) for p, q in zip(begin, end)] if only is None
+                          else [hl[p:q] for p, q in zip(first, last)])
                 yield pa.RecordBatch.from_arrays(
                     [b["doc_id"].slice(lo, hi - lo).take(pa.array(d)), b["th"].slice(lo, hi - lo).take(pa.array(d)),
-                     pa.array((first - w.first[d]).astype(np.int32)),
-                     pa.array([hl[p:q] for p, q in zip(first, last)], pa.list_(pa.int64())),
-                     pa.array([np.unique(g[k[p:q]]) for p, q in zip(begin, end)], pa.list_(pa.int64()))],
-                    ["doc_id", "th", "first", "words", "grams"])
-    return docs.mapInArrow(job, "doc_id long, th long, first int, words array<long>, grams array<long>")
+                     pa.array((first - w.first[d]).astype(np.int32)), pa.array(values, pa.list_(pa.int64()))],
+                    ["doc_id", "th", "first", out])
+    out = "grams" if only is None else "words"
+    return docs.mapInArrow(job, f"doc_id long, th long, first int, {out} array<long>")
 
 
 def smith_waterman(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -184,22 +194,27 @@ def _sequences(items: DataFrame) -> DataFrame:
     return items.mapInArrow(job, "item_id long, th long, item array<long>")
 
 
-def leaks(docs: DataFrame, items: DataFrame, n: int = 3, spread: int = 3, threshold: float = 0.5,
-          min_words: int = 8, bits: int = 1 << 23) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_words: int = 8,
+          bits: int = 1 << 23) -> DataFrame:
     """(doc_id, th, item_id, score, start_word, end_word): the best alignment of
     each leaked item in each document; th is the text's 64-bit hash."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("th"), "text").distinct()
-    marks = materialise(seeds(items, docs, n, spread, min_words, bits), "seeds")
+    of_item, of_doc = (_ITEM, _DOC) if threshold >= 0.5 and min_words >= 8 else (_WORD, _WORD)
+    marks = materialise(seeds(items, of_item, min_words), "seeds")
     texts = materialise(_sequences(items), "item-words")
     longest = texts.agg(F.max(F.size("item"))).first()[0] or 0
-    # half as much again as the longest item, for insertions
-    around = longest + longest // 2
-    passages = materialise(_passages(docs, Bloom(bits).build(marks, "gram"), n, around), "passages")
-    keyed = passages.withColumn("p", F.xxhash64("doc_id", "th", "first"))
-    pairs = (keyed.select("doc_id", "th", "first", "p", F.explode("grams").alias("gram"))
-             .join(marks.select(F.col("item_id"), F.col("th").alias("ith"), "gram"), "gram")
-             .select("doc_id", "th", "first", "p", "item_id", "ith").distinct())
+    # the most words of a document that an alignment spans
+    around = math.ceil(max(3 - 2 * threshold, 1) * longest)
+    bloom, p = Bloom(bits).build(marks, "gram"), F.xxhash64("doc_id", "th", "first").alias("p")
+    pairs = (_passages(docs, bloom, of_doc, around).select("doc_id", "th", "first", p, F.explode("grams").alias("gram"))
+             .join(marks.select("item_id", F.col("th").alias("ith"), "gram", "times", "need"), "gram")
+             .groupBy("doc_id", "th", "first", "p", "item_id", "ith").agg(F.sum("times").alias("common"), F.max("need").alias("need"))
+             .where("common >= need").drop("common", "need"))
+    pairs = materialise(pairs, "pairs")
+    # words are written for the texts that have a pair, which a second pass over the documents reads again
+    passages = _passages(docs, bloom, of_doc, around, Bloom(bits).build(pairs, "th"))
+    keyed = materialise(passages.select("doc_id", "th", "first", "words", p), "passages")
     t = texts.select("item_id", F.col("th").alias("ith"), "item")
     with_item = pairs.alias("p").join(t.alias("t"), F.col("p.item_id").eqNullSafe(F.col("t.item_id"))
                                       & (F.col("p.ith") == F.col("t.ith"))).select("p.*", "t.item")
