@@ -29,6 +29,29 @@ def test_stream_ingest_equals_batch_index(spark):
     assert a.count() > 0 and _same(a, b)
 
 
+def test_stream_ingest_keeps_every_document(spark):
+    q = E.queries()
+    cols = ["doc_id", "source", "chunk_index", "chunk"]
+    a = q["stream_ingest"](spark, SF001).select(*cols)
+    b = q["index_idempotent"](spark, SF001).select(*cols)
+    assert a.count() > 0 and _same(a, b)
+
+
+def test_stream_ingest_copies_of_one_source(spark, tmp_path):
+    from webloom.sinks.chunkfiles import write_chunk_files
+    from webloom.streaming.ingest import ingest_chunk_files
+    recs = spark.createDataFrame([(1, "h", "u", "same", 1.0, 0), (2, "h", "u", "same", 1.0, 0), (3, "h", "u", "other", 1.0, 1)],
+                                 "page_id long, host string, url string, content string, timestamp double, chunk_no long")
+    for doc, want in (("page_id", 3), (None, 2)):
+        src, index = str(tmp_path / f"chunks-{doc}"), str(tmp_path / f"index-{doc}")
+        write_chunk_files(recs, src, doc=doc)
+        ingest_chunk_files(spark, src, index, str(tmp_path / f"ckpt-{doc}")).awaitTermination()
+        rows = spark.read.parquet(index)
+        assert rows.count() == want
+        if doc:
+            assert sorted(r.doc_id for r in rows.collect()) == [1, 2, 3]
+
+
 def test_stream_dedup_drops_repeats(spark, tmp_path):
     from pyspark.sql import functions as F
     from webloom.streaming.dedup import distinct_pages_stream

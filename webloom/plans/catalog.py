@@ -633,7 +633,7 @@ def _written_doc_chunks(spark, d):
                        CH.record_size(F.col("source"), F.col("text"), RUN_TS).alias("record_size"))
     assigned = CH.assign_chunks(recs).withColumnRenamed("ord", "page_id")
     path = scratch_path(spark, "doc-chunks")
-    KF.write_chunk_files(recs.join(assigned.drop("host"), "page_id"), path)
+    KF.write_chunk_files(recs.join(assigned.drop("host"), "page_id"), path, doc="page_id")
     return path
 
 

@@ -18,13 +18,14 @@ EMPTY_HOST = "(empty)"
 
 
 def chunk_payloads(records: DataFrame, *, host: str = "host", chunk: str = "chunk_no",
-                   batch: str | None = None, order: str = "page_id") -> DataFrame:
+                   batch: str | None = None, order: str = "page_id", doc: str | None = None) -> DataFrame:
     """``(host, [batch_id,] chunk_no, payload)``: one JSON array per chunk,
-    records in buffer order.  A chunk is bounded by the flush size plus one
+    records in buffer order, with the ids of column ``doc`` as their
+    ``doc_id`` where one is named.  A chunk is bounded by the flush size plus one
     record, so collecting it is bounded by construction."""
     keys = [host] + ([batch] if batch else []) + [chunk]
     rec = F.struct(F.col(order).alias("_o"),
-                   F.struct("url", "content", "timestamp").alias("r"))
+                   F.struct("url", "content", "timestamp", *([F.col(doc).alias("doc_id")] if doc else [])).alias("r"))
     return (records.groupBy(*keys)
             .agg(F.array_sort(F.collect_list(rec)).alias("_rs"))
             .select(*keys, F.to_json(F.transform("_rs", lambda x: x["r"])).alias("payload")))
@@ -32,8 +33,8 @@ def chunk_payloads(records: DataFrame, *, host: str = "host", chunk: str = "chun
 
 def write_chunk_files(records: DataFrame, path: str, *, host: str = "host",
                       chunk: str = "chunk_no", batch: str | None = None,
-                      order: str = "page_id", mode: str = "overwrite") -> None:
-    payloads = chunk_payloads(records, host=host, chunk=chunk, batch=batch, order=order)
+                      order: str = "page_id", doc: str | None = None, mode: str = "overwrite") -> None:
+    payloads = chunk_payloads(records, host=host, chunk=chunk, batch=batch, order=order, doc=doc)
     # spread by (host, chunk): a host with a large share of the records is
     # written by many tasks, each file holding whole chunks in chunk order
     (payloads.repartition(host, chunk).sortWithinPartitions(host, chunk)
