@@ -86,3 +86,19 @@ def test_scoped_knn_ranks_each_scope(spark):
     c = spark.createDataFrame([(i, f"h{i % 2 + 1}", [1.0, i / 10]) for i in range(12)], "vec_id long, host string, embedding array<double>")
     got = sorted((r.host, r["rank"], r.did) for r in V.knn(q, c, 2, scope="host").collect())
     assert got == [("h1", 1, 0), ("h1", 2, 2), ("h2", 1, 1), ("h2", 2, 3)]
+
+
+def test_knn_of_every_hundredth_row(spark):
+    import numpy as np
+    import __spark_entry__ as E
+    rows = table(spark, SF01, "embeddings").select("vec_id", "embedding").collect()
+    ids = np.array([r.vec_id for r in rows])
+    m = np.array([r.embedding for r in rows], np.float64)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    want = set()
+    for q in np.flatnonzero(ids % 100 == 0):
+        sim = np.round(m @ m[q], 6)
+        best = np.lexsort((ids, -sim))[:4]
+        want |= {(ids[q], k + 1, ids[i]) for k, i in enumerate(best)}
+    got = {(r.qid, r.rank, r.did) for r in E.queries()["knn_top4_rows"](spark, SF01).collect()}
+    assert got == want and len(got) == 4 * (ids % 100 == 0).sum() > 4

@@ -451,6 +451,18 @@ def knn_top4(spark, d):
     return V.knn(means.select(F.col("label").cast("bigint").alias("vec_id"), "embedding"), e, 4)
 
 
+@register("knn_top4_rows", sql="WITH " + _SQL_EMB + f"""
+SELECT qid, CAST(rank AS INTEGER) AS rank, did, sim FROM (
+  SELECT x.id AS qid, y.id AS did, round({_COS}, 6) AS sim,
+         row_number() OVER (PARTITION BY x.id ORDER BY round({_COS}, 6) DESC, y.id) AS rank
+  FROM a x, a y WHERE x.id % 100 = 0) WHERE rank <= 4
+""")
+def knn_top4_rows(spark, d):
+    """The vectors nearest to each row whose vec_id is divisible by 100: a hundredth of the table against all of it."""
+    e = _emb(spark, d)
+    return V.knn(e.where(F.col("vec_id") % 100 == 0), e, 4)
+
+
 @register("knn_top4_same_label", sql="WITH " + _SQL_EMB + f"""
 SELECT label, qid, CAST(rank AS INTEGER) AS rank, did, sim FROM (
   SELECT x.answer AS label, x.id AS qid, y.id AS did, round({_COS}, 6) AS sim,
@@ -494,6 +506,11 @@ def neighbour_counts(spark, d):
     return RC.neighbour_counts(_global_pairs(spark, d))
 
 
+# the same two by the name of their scope, the question's group
+register("similar_pairs_group", sql=ORACLE_SQL["similar_pairs"])(similar_pairs)
+register("neighbour_counts_group", sql=ORACLE_SQL["neighbour_counts"])(neighbour_counts)
+
+
 _SQL_GROUP_PAIRS = "WITH " + _SQL_EMB + f""",
 p AS (SELECT x.question, x.id AS i, y.id AS j FROM a x JOIN a y ON x.question = y.question
       WHERE {_COS} >= {GROUP_T}),
