@@ -18,12 +18,15 @@ COLUMNS = {
     "op8_toxicity": {"doc_id", "held_out", "score", "predicted"},
     "op9_token_output": {"doc_id", "start", "n_tokens", "ids_crc32"},
     "op10_substring_dedup": {"doc_id", "n_words", "n_removed", "kept_sha256"},
+    "op11_fill_in_middle": {"doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"},
+    "op12_packing": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
+    "op13_importance_resampling": {"doc_id", "n_features", "weight", "score", "rank"},
 }
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 
 
 def test_each_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and set(ORACLE_SQL) <= set(E.oracle_sql())
 
 
@@ -34,7 +37,7 @@ def test_whole_tables(spark, name):
     assert COLUMNS.get(name, set()) <= set(df.columns)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in FORBIDDEN)
-    if name not in ("op1_decontamination", "op2_warc_revisits"):
+    if name not in ("op1_decontamination", "op2_warc_revisits", "op12_packing"):
         assert len(rows) == spark.read.parquet(f"{SF001}/documents.parquet").count()
     if name in ORACLE_SQL:
         con = duckdb.connect()

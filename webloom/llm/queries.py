@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, mixing, quality, repeats, revisits, rules, shards, tokens, toxicity
+from . import (decontaminate, fim, importance, jaccard, mixing, packing, quality, repeats, revisits, rules, shards,
+               tokens, toxicity)
 from .tables import read_table
 
 QUERIES = {}
@@ -180,3 +181,36 @@ TARGET = {"clean": 0.93, "toxic": 0.05, "low": 0.02}
 @_register("op6_soft_mixing")
 def op6_soft_mixing(spark, d):
     return mixing.rates(read_table(spark, d, "documents"), read_table(spark, d, "labels"), TARGET)
+
+
+@_register("op11_fill_in_middle", sql="""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                  sha256('1:' || doc_id::VARCHAR) AS h FROM documents),
+h AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS c1, ('0x' || h[9:16])::BIGINT % (n + 1) AS c2,
+             ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4 FROM d),
+f AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+             CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain'
+                  WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, t[1:a] AS prefix, t[a + 1:b] AS middle, t[b + 1:] AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+""")
+def op11_fill_in_middle(spark, d):
+    out = fim.transform(read_table(spark, d, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@_register("op12_packing")
+def op12_packing(spark, d):
+    return packing.pack(read_table(spark, d, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@_register("op13_importance_resampling")
+def op13_importance_resampling(spark, d):
+    return importance.resample(read_table(spark, d, "documents"), read_table(spark, d, "benchmark")).drop("n_words")
