@@ -16,7 +16,6 @@ document is never cut, so memory is bounded by a block or the longest document.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from itertools import chain
@@ -48,8 +47,6 @@ def default_tokenizer() -> str:
 
 
 _SEP, _LETTER, _MARK, _OTHER = 0, 1, 2, 3
-#: Pieces that go straight to the vocabulary's merges.
-_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -67,9 +64,9 @@ def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
 _KIND, _FOLD = _byte_tables()
 
 
-def units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(folded bytes, begin, end, document) of the pieces of a slice that can be
-    tokenised one by one.
+def units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(folded bytes, begin, end, document, all letters?) of the pieces of a slice
+    that can be tokenised one by one.
 
     The pre-tokeniser never joins across white space, and it cuts between
     letters and punctuation.  A word of unaccented and Latin-1 letters and of
@@ -102,42 +99,40 @@ def units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         kind[at] = _OTHER
     inner = np.flatnonzero((kind[1:] != kind[:-1]) & inside[2:-1] & inside[1:-2]) + 1 if n > 1 else first[:0]
     inner = inner[~begins[inner]]
-    begin, end = np.sort(np.concatenate([first, inner])), np.sort(np.concatenate([last, inner]))
-    return data, begin, end, np.searchsorted(offsets, begin, "right") - 1
+    begins[inner] = ends[inner] = True
+    begin = np.flatnonzero(begins)
+    return data, begin, np.flatnonzero(ends), np.searchsorted(offsets, begin, "right") - 1, kind[begin] == _LETTER
 
 
 class UnitTable:
     """Ids of pieces, by a 64-bit hash of bytes and length, kept between the
-    tasks of a worker.  Lookups are array operations; a piece is tokenised once for each
-    ``limit`` pieces (the table then starts afresh, which bounds memory and
-    changes nothing else)."""
+    tasks of a worker.  Lookups are array operations on an open-addressed table; a piece is
+    tokenised once for each ``limit`` pieces (the table then starts afresh, which bounds
+    memory and changes nothing else)."""
 
-    def __init__(self, path: str, slots: int = 1 << 21, limit: int = 700_000):
+    def __init__(self, path: str, slots: int = 1 << 21, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer, self.slots, self.limit = Tokenizer.from_file(path), slots, limit
-        self.merges, self.symbols = self.tokenizer.model.tokenize, byte_symbols()
+        self.merges, self.symbols = self.tokenizer.model.tokenize, "".join(byte_symbols())
         self.mark = self.tokenizer.token_to_id("<|endoftext|>")
         self._clear()
 
     def _clear(self) -> None:
+        while self.slots < 2 * self.limit:
+            self.slots *= 2
         self.keys, self.entry = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
-        self.known: dict[int, int] = {}
-        self.size, self.first = np.zeros(self.limit + 1, np.int32), np.zeros(self.limit + 1, np.int64)
-        self.pool, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.size, self.first = np.zeros(self.limit, np.int32), np.zeros(self.limit, np.int64)
+        self.pool, self.used, self.known = np.zeros(1 << 20, np.uint32), 0, 0
 
-    def _tokenise(self, pieces: list[bytes]) -> list[list[int]]:
+    def _tokenise(self, pieces: list[bytes], letters: list[bool]) -> list[list[int]]:
         out: list = [None] * len(pieces)
         rest = []
-        for i, piece in enumerate(pieces):
-            if _KIND[piece[0]] == _LETTER or piece[0] == 0xC3:
-                text = piece.decode()
-                if _LETTERS.fullmatch(text):
-                    if not text.isascii():
-                        text = "".join([self.symbols[b] for b in piece])
-                    out[i] = [t.id for t in self.merges(text)]
-                    continue
-            if b"<|" in piece:
+        for i, (piece, only_letters) in enumerate(zip(pieces, letters)):
+            if only_letters:                          # straight to the vocabulary's merges
+                text = piece.decode("latin-1")
+                out[i] = [t.id for t in self.merges(text if text.isascii() else text.translate(self.symbols))]
+            elif b"<|" in piece:
                 out[i] = self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
             else:
                 rest.append(i)
@@ -154,52 +149,61 @@ class UnitTable:
                 begin = stop + 1
         return out
 
-    def _add(self, h: np.ndarray, pieces: list[bytes]) -> np.ndarray:
-        """Entries of new pieces, and of those only pushed out of their slots."""
-        hs = h.tolist()
-        entries = np.array([self.known.get(x, -1) for x in hs], np.int64)
-        new = np.flatnonzero(entries < 0)
-        if len(new):
-            ids = self._tokenise([pieces[i] for i in new])
-            n = len(self.known)
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
-            self.pool[self.used:self.used + len(flat)] = flat
-            entries[new] = np.arange(n, n + len(new))
-            self.size[n:n + len(new)], self.first[n:n + len(new)] = size, self.used + np.cumsum(size) - size
-            self.used += len(flat)
-            self.known.update(zip((hs[i] for i in new.tolist()), entries[new].tolist()))
-        slot = (h & np.uint64(self.slots - 1)).astype(np.int64)
-        taken = self.keys[slot] != 0
-        slot[taken] = ((h[taken] >> np.uint64(32)) & np.uint64(self.slots - 1)).astype(np.int64)
-        self.keys[slot], self.entry[slot] = h, entries
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64(self.slots - 1)).astype(np.int64)
+
+    def _add(self, h: np.ndarray, pieces: list[bytes], letters: list[bool]) -> np.ndarray:
+        """Entries of new pieces (distinct hashes)."""
+        ids = self._tokenise(pieces, letters)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        self.pool[self.used:self.used + len(flat)] = flat
+        entries = np.arange(self.known, self.known + len(ids))
+        self.size[entries], self.first[entries] = size, self.used + np.cumsum(size) - size
+        self.used += len(flat)
+        self.known += len(ids)
+        todo, slot = np.arange(len(h)), self._slot(h)
+        while len(todo):                             # into the next free slot
+            free = self.keys.take(slot) == 0
+            self.keys[slot[free]] = h[todo[free]]
+            in_place = self.keys.take(slot) == h[todo]       # where several want one slot, one has it
+            self.entry[slot[in_place]] = entries[todo[in_place]]
+            todo, slot = todo[~in_place], slot[~in_place] + 1 & self.slots - 1
         return entries
 
     def _find(self, h: np.ndarray) -> np.ndarray:
-        one = (h & np.uint64(self.slots - 1)).astype(np.int64)
-        found = np.where(self.keys.take(one) == h, self.entry.take(one), -1)
-        miss = np.flatnonzero(found < 0)
-        two = ((h[miss] >> np.uint64(32)) & np.uint64(self.slots - 1)).astype(np.int64)
-        found[miss] = np.where(self.keys.take(two) == h[miss], self.entry.take(two), -1)
+        """Entries of pieces, -1 for those not known."""
+        slot = self._slot(h)
+        key = self.keys.take(slot)
+        found = np.where(key == h, self.entry.take(slot), -1)
+        todo = np.flatnonzero((key != h) & (key != 0))
+        slot = slot[todo]
+        while len(todo):
+            slot = slot + 1 & self.slots - 1
+            key = self.keys.take(slot)
+            same = key == h[todo]
+            found[todo[same]] = self.entry.take(slot[same])
+            on = ~same & (key != 0)
+            todo, slot = todo[on], slot[on]
         return found
 
     def ids(self, raw: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a slice, ids for each text), the end id included."""
-        data, begin, stop, doc = units(raw, offsets)
+        data, begin, stop, doc, letters = units(raw, offsets)
         h = W.spans_hash(W.prefix(data, W.BYTES_A), begin, stop, W.BYTES_A) | np.uint64(1)
         entry = self._find(h)
         miss = np.flatnonzero(entry < 0)
         if len(miss):
             u, at, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
-            if len(self.known) + len(u) > self.limit:
+            if self.known + len(u) > self.limit:
                 self.limit = max(self.limit, len(u) * 4)
                 self._clear()
                 return self.ids(raw, offsets, end)
             text = data.tobytes()
             pieces = [text[p:q] for p, q in zip(begin[miss[at]].tolist(), stop[miss[at]].tolist())]
-            entry[miss] = self._add(u, pieces)[inverse]
+            entry[miss] = self._add(u, pieces, letters[miss[at]].tolist())[inverse]
         size, first = self.size[entry].astype(np.int64), self.first[entry]
         total, n = int(size.sum()), len(offsets) - 1
         before = np.cumsum(size) - size
@@ -274,7 +278,7 @@ def _encoder(path: str | None, block_ids: int):
     return job
 
 
-def write_blocks(docs: DataFrame, tokenizer: str | None = None, block_ids: int = 1 << 20,
+def write_blocks(docs: DataFrame, tokenizer: str | None = None, block_ids: int = 1 << 21,
                  partitions: int | None = None) -> DataFrame:
     """Write the documents as blocks, in ascending doc_id order (part, block),
     to the shared folder; returns the table of what was written."""
