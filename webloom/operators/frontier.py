@@ -21,7 +21,8 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int | None = C.CRAWL_DE
           src: str = "src", dst: str = "dst", node: str = "node",
           seed: str = "seed") -> DataFrame:
     """``(node, depth, seed)`` of every node within ``max_depth`` hops."""
-    e = edges.select(F.col(src).alias("_src"), F.col(dst).alias("_dst")).distinct()
+    # every round joins the same edges: computed once, already dealt out by the join key
+    e = cut_lineage(edges.select(F.col(src).alias("_src"), F.col(dst).alias("_dst")).distinct().repartition("_src"))
     frontier = cut_lineage(seeds.groupBy(F.col(node).alias("node"))
                            .agg(F.min(seed).alias("seed")).withColumn("depth", F.lit(0)))
     visited = frontier

@@ -231,7 +231,7 @@ def host_pages(spark, d):
 from ..operators import answers as A  # noqa: E402
 from ..operators import freshness as FR  # noqa: E402
 from ..functions.text import normalise_answer  # noqa: E402
-from ..functions.urls import netloc as _netloc  # noqa: E402
+from ..functions.urls import hostname, netloc as _netloc, root_domain, strip_fragment  # noqa: E402
 
 NOW = "2024-02-05 00:00:00"   # evaluation clock of the freshness queries
 FRESH_DAYS = 10               # max age used by the freshness queries
@@ -721,6 +721,98 @@ def reach_depth(spark, d):
     return FT.reach(_supply_edges(spark, d), seeds, 3)
 
 
+# ---------------------------------------------------------------- M5b: the crawl as one job
+from ..operators import crawl as CW  # noqa: E402
+
+# The links of the pages table name no page of it.  A link is therefore answered, like a
+# redirect, by the page whose id is the link's md5 (first 8 digits) modulo the table's size.
+_SQL_SITE = f"""
+site AS (SELECT regexp_replace(url, '#.*$', '') AS key, min(page_id) AS page_id FROM pages GROUP BY 1),
+links AS (SELECT page_id, link, ('0x' || md5(link)[1:8])::BIGINT % (SELECT max(page_id) + 1 FROM pages) AS target_id
+          FROM ({S.PAGE_LINKS})),
+edges AS (SELECT DISTINCT s.key AS src, {{place}} AS place, regexp_replace(p.url, '#.*$', '') AS target
+          FROM links l JOIN site s ON s.page_id = l.page_id JOIN pages p ON p.page_id = l.target_id WHERE {{keep}})
+"""
+
+
+def _answered(spark, d):
+    pages = table(spark, d, "pages")
+    n = pages.agg(F.max("page_id")).first()[0]
+    target = pages.select(F.col("page_id").alias("target_id"), F.col("url").alias("target"))
+
+    def follow(links):
+        h = F.conv(F.substring(F.md5("link"), 1, 8), 16, 10).cast("bigint")
+        return links.withColumn("target_id", h % F.lit((n or 0) + 1)).join(target, "target_id").drop("target_id")
+    return follow
+
+
+def _crawl_step(n):
+    seen = " UNION ALL ".join(f"SELECT batch_id, url FROM d{i}" for i in range(n))
+    return f"""d{n} AS (SELECT f.batch_id, e.target AS url, min(f.seed_host) AS seed_host
+      FROM d{n - 1} f JOIN edges e ON e.src = f.url
+      JOIN allowed a ON a.batch_id = f.batch_id AND a.place = e.place
+      WHERE (f.batch_id, e.target) NOT IN ({seen}) GROUP BY 1, 2)"""
+
+
+_SQL_CRAWL = "WITH RECURSIVE " + _SQL_SITE.format(place=S.netloc("link"), keep="starts_with(link, 'http')") + f""",
+allowed AS (SELECT DISTINCT page_id // 4 AS batch_id, {S.netloc('url')} AS place FROM pages),
+d0 AS (SELECT page_id // 4 AS batch_id, regexp_replace(url, '#.*$', '') AS url, min({S.netloc('url')}) AS seed_host
+       FROM pages GROUP BY 1, 2),
+{_crawl_step(1)}, {_crawl_step(2)}, {_crawl_step(3)},
+visited AS (""" + " UNION ALL ".join(f"SELECT batch_id, url, seed_host, {i} AS depth FROM d{i}" for i in range(4)) + ")\n"
+
+
+def _crawled(spark, d):
+    """Every page is a seed, four to a batch, as in ``internal_links``."""
+    seeds = P.seed_batches(table(spark, d, "pages").select(F.col("page_id").alias("seq"), "url"), seq_col="seq")
+    return CW.crawl(_pages(spark, d), seeds, follow=_answered(spark, d))
+
+
+@register("crawl_frontier", sql=_SQL_CRAWL + "SELECT batch_id, url, seed_host, depth FROM visited")
+def crawl_frontier(spark, d):
+    return _crawled(spark, d).visited
+
+
+@register("crawl_chunks", sql=_SQL_CRAWL + f""",
+rec AS (SELECT v.batch_id, v.seed_host AS host, v.depth, r.url, r.content, r.record_size AS size,
+               row_number() OVER (PARTITION BY v.batch_id, v.seed_host ORDER BY v.depth, r.url) AS rn
+        FROM visited v JOIN site s ON s.key = v.url JOIN ({_SQL_RECORDS}) r ON r.page_id = s.page_id),
+walk AS (
+  SELECT batch_id, host, rn, 0::BIGINT AS chunk_no, CASE WHEN size >= {ASSIGN_LIMIT} THEN 0 ELSE size END AS fill,
+         CASE WHEN size >= {ASSIGN_LIMIT} THEN 1 ELSE 0 END AS nxt FROM rec WHERE rn = 1
+  UNION ALL
+  SELECT r.batch_id, r.host, r.rn, w.nxt, CASE WHEN w.fill + r.size >= {ASSIGN_LIMIT} THEN 0 ELSE w.fill + r.size END,
+         w.nxt + CASE WHEN w.fill + r.size >= {ASSIGN_LIMIT} THEN 1 ELSE 0 END
+  FROM walk w JOIN rec r ON r.batch_id = w.batch_id AND r.host = w.host AND r.rn = w.rn + 1)
+SELECT batch_id, host, chunk_no, url, content FROM walk JOIN rec USING (batch_id, host, rn)
+""")
+def crawl_chunks(spark, d):
+    """Records under their seed's host, in chunk files by host, batch and chunk number, read back."""
+    path = scratch_path(spark, "crawl-chunks")
+    CW.write_crawl(CW.crawl_records(_crawled(spark, d), RUN_TS), path, ASSIGN_LIMIT)
+    rows = SF.scan_chunks(spark, path, keys=("batch_id", "chunk_no"))
+    return rows.select("batch_id", "host", "chunk_no", "url", "content")
+
+
+@register("crawl_fixpoint", sql="WITH RECURSIVE " + _SQL_SITE.format(place=S.root_domain(S.hostname("link")), keep="true") + f""",
+seeds AS (SELECT min(page_id) AS batch_id, {S.root_domain(S.hostname('url'))} AS place FROM pages GROUP BY 2),
+reached(batch_id, url) AS (
+  SELECT batch_id, regexp_replace(url, '#.*$', '') FROM seeds JOIN pages ON page_id = batch_id
+  UNION
+  SELECT r.batch_id, e.target FROM reached r JOIN edges e ON e.src = r.url
+  JOIN seeds s ON s.batch_id = r.batch_id AND s.place = e.place)
+SELECT r.batch_id, r.url AS url_key, t.title, t.content
+FROM reached r JOIN site s ON s.key = r.url JOIN ({ORACLE_SQL['page_title_content']}) t ON t.page_id = s.page_id
+""")
+def crawl_fixpoint(spark, d):
+    """A crawl of each root domain from its first page, over all its hosts, until nothing new is found."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    first = (pages.groupBy(root_domain(hostname(F.col("url")))).agg(F.min("page_id").alias("page_id")).select("page_id"))
+    seeds = pages.join(first, "page_id").select(F.col("page_id").alias("batch_id"), F.col("page_id").alias("seq"), "url")
+    done = CW.crawl(_pages(spark, d), seeds, max_depth=None, rule="root_domain", follow=_answered(spark, d))
+    return CW.feed(done).select("batch_id", strip_fragment(F.col("url")).alias("url_key"), "title", "content")
+
+
 # ---------------------------------------------------------------- M6: ask
 from ..operators import ask as AK  # noqa: E402
 

@@ -33,10 +33,15 @@ def chunk_payloads(records: DataFrame, *, host: str = "host", chunk: str = "chun
 
 def write_chunk_files(records: DataFrame, path: str, *, host: str = "host",
                       chunk: str = "chunk_no", batch: str | None = None,
-                      order: str = "page_id", doc: str | None = None, mode: str = "overwrite") -> None:
+                      order: str = "page_id", doc: str | None = None, mode: str = "overwrite",
+                      layout: tuple[str, ...] = ("host",)) -> None:
+    """``layout`` names the folders: by host (many chunks a file), or by host, batch and
+    chunk number (one chunk a file, its number in the path)."""
     payloads = chunk_payloads(records, host=host, chunk=chunk, batch=batch, order=order, doc=doc)
     # spread by (host, chunk): a host with a large share of the records is
     # written by many tasks, each file holding whole chunks in chunk order
-    (payloads.repartition(host, chunk).sortWithinPartitions(host, chunk)
-     .select(F.when(F.col(host) == "", EMPTY_HOST).otherwise(F.col(host)).alias("host"), "payload")
-     .write.mode(mode).partitionBy("host").text(path))
+    keys = {"host": F.when(F.col(host) == "", EMPTY_HOST).otherwise(F.col(host)), "chunk_no": F.col(chunk),
+            "batch_id": F.col(batch) if batch else None}
+    (payloads.repartition(host, *([batch] if batch else []), chunk).sortWithinPartitions(host, chunk)
+     .select(*[keys[k].alias(k) for k in layout], "payload")
+     .write.mode(mode).partitionBy(*layout).text(path))

@@ -16,18 +16,20 @@ RECORD_DDL = "url string, content string, timestamp double"
 _ARRAY = f"array<struct<{RECORD_DDL.replace(' string', ': string').replace(' double', ': double')}>>"
 
 
-def _lines(spark: SparkSession, path: str, hosts: list[str] | None) -> DataFrame:
-    df = spark.read.format("text").schema("value string, host string").load(path)
+def _lines(spark: SparkSession, path: str, hosts: list[str] | None, keys: tuple[str, ...] = ()) -> DataFrame:
+    df = spark.read.format("text").schema(", ".join(["value string, host string", *[f"{k} long" for k in keys]])).load(path)
     if hosts is not None:    # partition pruning on host=
         df = df.where(F.col("host").isin([h or EMPTY_HOST for h in hosts]))
     df = df.withColumn("host", F.when(F.col("host") == EMPTY_HOST, "").otherwise(F.col("host")))
     return df.withColumn("records", F.from_json("value", _ARRAY, {"mode": "PERMISSIVE"}))
 
 
-def scan_chunks(spark: SparkSession, path: str, hosts: list[str] | None = None) -> DataFrame:
-    """``(host, url, content, timestamp, ts)``: every record of every readable chunk."""
-    df = _lines(spark, path, hosts).where(F.col("records").isNotNull())
-    return (df.select("host", F.inline("records"))
+def scan_chunks(spark: SparkSession, path: str, hosts: list[str] | None = None,
+                keys: tuple[str, ...] = ()) -> DataFrame:
+    """``(host, *keys, url, content, timestamp, ts)``: every record of every readable chunk;
+    ``keys`` are the further folder names of the files' layout (``batch_id``, ``chunk_no``)."""
+    df = _lines(spark, path, hosts, keys).where(F.col("records").isNotNull())
+    return (df.select("host", *keys, F.inline("records"))
             .withColumn("ts", F.timestamp_micros((F.col("timestamp") * 1e6).cast("bigint"))))
 
 
