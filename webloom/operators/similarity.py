@@ -145,6 +145,40 @@ def similarity_pairs(vectors: DataFrame, threshold: float, *, id_col: str = "vec
     return out.drop(_SCOPE)
 
 
+def _meeting(queries: DataFrame, corpus: DataFrame, q_id: str, d_id: str, vec_col: str,
+             scope: str | None, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Query and corpus rows, each once for every (query block, corpus block) it takes part in."""
+    q = _prep(queries, q_id, vec_col, scope)
+    c = _prep(corpus, d_id, vec_col, scope)
+    attach = _counter([(q, "q"), (c, "c")], block_rows, scope is not None)
+    qrows = (attach(q).withColumn("qb", _block_of("q_nb"))
+             .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("c_nb") - 1)))
+             .select(_SCOPE, "qb", "cb", "id", "vec"))
+    crows = (attach(c).withColumn("cb", _block_of("c_nb"))
+             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_nb") - 1)))
+             .select(_SCOPE, "qb", "cb", "id", "vec"))
+    return qrows, crows
+
+
+def matches(queries: DataFrame, corpus: DataFrame, threshold: float, *, q_id: str = "vec_id",
+            d_id: str = "vec_id", vec_col: str = "embedding", scope: str,
+            block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """``(scope, i, j, sim)``: query ``i`` and corpus row ``j`` of one scope with
+    cosine >= threshold, ``sim`` unrounded."""
+    left, right = _meeting(queries, corpus, q_id, d_id, vec_col, scope, block_rows)
+
+    def fn(key, qp, cp):
+        if len(qp) == 0 or len(cp) == 0:
+            return pd.DataFrame({"_scope": [], "i": [], "j": [], "sim": []})
+        S = _cosine_block(qp, cp)
+        ii, jj = np.nonzero(S >= threshold)
+        return pd.DataFrame({"_scope": _key_col(key[0], len(ii)), "i": qp["id"].to_numpy()[ii],
+                             "j": cp["id"].to_numpy()[jj], "sim": S[ii, jj]})
+    out = (left.groupBy(_SCOPE, "qb", "cb").cogroup(right.groupBy(_SCOPE, "qb", "cb"))
+           .applyInPandas(fn, PAIR_SCHEMA.format(t=_scope_type(queries, scope))))
+    return out.withColumnRenamed(_SCOPE, scope)
+
+
 KNN_SCHEMA = "_scope {t}, qid long, did long, sim double"
 
 
@@ -170,15 +204,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = 4, *,
     """Exact k nearest corpus rows (cosine; L2 order for unit vectors) per query,
     within the same scope when given.  ``(scope?, qid, rank, did, sim)``,
     ``sim`` rounded to 6 places and ranked (sim desc, did asc)."""
-    q = _prep(queries, q_id, vec_col, scope)
-    c = _prep(corpus, d_id, vec_col, scope)
-    attach = _counter([(q, "q"), (c, "c")], block_rows, scope is not None)
-    qrows = (attach(q).withColumn("qb", _block_of("q_nb"))
-             .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("c_nb") - 1)))
-             .select(_SCOPE, "qb", "cb", "id", "vec"))
-    crows = (attach(c).withColumn("cb", _block_of("c_nb"))
-             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_nb") - 1)))
-             .select(_SCOPE, "qb", "cb", "id", "vec"))
+    qrows, crows = _meeting(queries, corpus, q_id, d_id, vec_col, scope, block_rows)
     cand = (qrows.groupBy(_SCOPE, "qb", "cb").cogroup(crows.groupBy(_SCOPE, "qb", "cb"))
             .applyInPandas(_knn_fn(k), KNN_SCHEMA.format(t=_scope_type(queries, scope)))
             .withColumn("sim", F.round("sim", 6)))

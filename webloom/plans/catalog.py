@@ -485,30 +485,65 @@ def knn_top4_group(spark, d):
     return V.knn(e, e, 4, scope="question")
 
 
-_SQL_GLOBAL_PAIRS = "WITH " + _SQL_EMB + f""",
+_SQL_SCOPED_PAIRS = "WITH " + _SQL_EMB + f""",
 p AS (SELECT x.id AS i, y.id AS j, {_COS} AS sim FROM a x JOIN a y ON x.question = y.question WHERE {_COS} >= {PAIR_T})
 """
 
 
-def _global_pairs(spark, d):
+def _scoped_pairs(spark, d):
     """The reference compares the answers of one question: pairs keep to their group."""
     scoped = _emb(spark, d).withColumn("question", F.floor(F.col("vec_id") / GROUP_SIZE))
     return V.similarity_pairs(scoped, PAIR_T, scope="question")
 
 
-@register("similar_pairs", sql=_SQL_GLOBAL_PAIRS + "SELECT i, j, round(sim, 6) AS sim FROM p")
+@register("similar_pairs_group", sql=_SQL_SCOPED_PAIRS + "SELECT i, j, round(sim, 6) AS sim FROM p")
+def similar_pairs_group(spark, d):
+    return _scoped_pairs(spark, d).select("i", "j", F.round("sim", 6).alias("sim"))
+
+
+@register("neighbour_counts_group", sql=_SQL_SCOPED_PAIRS + "SELECT i, count(*) AS n FROM p GROUP BY i")
+def neighbour_counts_group(spark, d):
+    return RC.neighbour_counts(_scoped_pairs(spark, d))
+
+
+# whole table: the rows whose vec_id is divisible by 100 against all rows
+from ..operators import vector_index as VI  # noqa: E402
+
+_SQL_TABLE_PAIRS = "WITH " + _SQL_EMB + f""",
+p AS (SELECT x.id AS i, y.id AS j, {_COS} AS sim FROM a x, a y WHERE x.id % 100 = 0 AND {_COS} >= {PAIR_T})
+"""
+PROBES = 44     # of 64 lists; the vectors of the test tables have no structure, so neighbours lie in many lists
+
+
+def _indexed(spark, d):
+    e = _emb(spark, d)
+    return e.where(F.col("vec_id") % 100 == 0), VI.build(e, scratch_path(spark, "vector-index"))
+
+
+def _table_pairs(spark, d):
+    return VI.within(*_indexed(spark, d), PAIR_T)
+
+
+@register("similar_pairs", sql=_SQL_TABLE_PAIRS + "SELECT i, j, round(sim, 6) AS sim FROM p")
 def similar_pairs(spark, d):
-    return _global_pairs(spark, d).select("i", "j", F.round("sim", 6).alias("sim"))
+    return _table_pairs(spark, d).select("i", "j", F.round("sim", 6).alias("sim"))
 
 
-@register("neighbour_counts", sql=_SQL_GLOBAL_PAIRS + "SELECT i, count(*) AS n FROM p GROUP BY i")
+@register("neighbour_counts", sql=_SQL_TABLE_PAIRS + "SELECT i, count(*) AS n FROM p GROUP BY i")
 def neighbour_counts(spark, d):
-    return RC.neighbour_counts(_global_pairs(spark, d))
+    return RC.neighbour_counts(_table_pairs(spark, d))
+
+
+@register("knn_index_exact", sql=ORACLE_SQL["knn_top4_rows"])
+def knn_index_exact(spark, d):
+    """Through the index with every list probed."""
+    return VI.nearest(*_indexed(spark, d), 4)
 
 
-# the same two by the name of their scope, the question's group
-register("similar_pairs_group", sql=ORACLE_SQL["similar_pairs"])(similar_pairs)
-register("neighbour_counts_group", sql=ORACLE_SQL["neighbour_counts"])(neighbour_counts)
+@register("knn_index_top4")
+def knn_index_top4(spark, d):
+    """Through the index, approximate (tests measure the recall)."""
+    return VI.nearest(*_indexed(spark, d), 4, PROBES)
 
 
 _SQL_GROUP_PAIRS = "WITH " + _SQL_EMB + f""",
