@@ -81,3 +81,55 @@ def test_without_labels_or_rows(spark):
     l = spark.createDataFrame(labels, "doc_id long, toxic int")
     assert scored(d, l.limit(0)).where("predicted = 1").count() == 0
     assert scored(d.limit(0), l).count() == 0
+
+
+@pytest.mark.parametrize("sf,least", [("sf0.01", 0.88), ("sf0.1", 0.9)])
+def test_held_out_rows_of_the_given_labels(spark, sf, least):
+    """At sf0.01, 18 toxic rows are held out, two of which (850, 881) hold no word that toxic rows favour."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/{sf}/{name}.parquet")
+    rows = scored(read("documents"), read("labels")).join(read("labels"), "doc_id").where("held_out").collect()
+    caught = [r.predicted for r in rows if r.toxic == 1]
+    alone = [1 - r.predicted for r in rows if r.toxic == 0]
+    assert np.mean(caught) >= least and np.mean(alone) >= 0.97
+
+
+def plain_lexicon(train, strength, z, least):
+    """{word or prefix: log-odds} of (text, label) rows, by dictionaries."""
+    import math
+    import re
+    from collections import Counter
+    split = lambda t: set(re.findall(rb"[0-9a-z\x80-\xff]+", (t or "").encode().lower()))
+    n = {0: Counter(), 1: Counter()}
+    for text, label in train:
+        n[label].update(split(text))
+    t, c = max(sum(n[1].values()), 1), max(sum(n[0].values()), 1)
+    fam = {y: Counter() for y in n}
+    for y in n:
+        for w, k in n[y].items():
+            fam[y][w[:4]] += k
+
+    def entry(toxic, clean, share):
+        a, b = toxic + strength * share, clean + strength * (1 - share)
+        odds = math.log(a / b) - math.log(t / c)
+        return odds if odds >= least and odds / math.sqrt(1 / a + 1 / b) >= z else None
+    base, out = t / (t + c), {}
+    for p in set(fam[0]) | set(fam[1]):
+        out["prefix", p] = entry(fam[1][p], fam[0][p], base)
+    for w in n[1]:
+        ft, fc = fam[1][w[:4]] - n[1][w], fam[0][w[:4]] - n[0][w]
+        out["word", w] = entry(n[1][w], n[0][w], (ft + strength * base) / (ft + fc + strength))
+    return sorted(round(min(v, 8.0), 9) for v in out.values() if v is not None)
+
+
+def test_lexicons_by_dictionaries(spark):
+    from webloom.llm.toxicity import FOLDS, learn_lexicons, word_counts
+    docs, labels = corpus(500)
+    truth = dict(labels)
+    rows = [(t, truth[i], i // 6 % FOLDS) for i, t in docs if i in truth]
+    counts = word_counts(spark.createDataFrame(rows, "text string, label int, fold int"))
+    grid = ((1.0, 2.0, 1.0), (5.0, 2.0, 0.5))
+    for view, entries in enumerate(learn_lexicons(counts, grid)):
+        train = [(t, y) for t, y, f in rows if f != view]
+        for (strength, z, least), lex in zip(grid, entries):
+            want = plain_lexicon(train, strength, z, least)
+            assert np.allclose(sorted(lex.score), want) and len(want) > 0
