@@ -221,18 +221,19 @@ def scan(docs: DataFrame, lexicons: list[list[Lexicon]]) -> DataFrame:
     return docs.select("doc_id", "held_out", "label", "view", "text").mapInArrow(job, _SCAN)
 
 
-def with_evidence(table: DataFrame, lexicons: list[list[Lexicon]], expect: float) -> DataFrame:
+def with_evidence(table: DataFrame, labelled: DataFrame, lexicons: list[list[Lexicon]], expect: float) -> DataFrame:
     """Scanned rows with their significant passages only, and ``evidence``.
 
-    K is counted on the scanned clean rows of each entry, above the least score of a word (a
-    count, which a few wrong labels move little)."""
+    K is counted on the clean ones of ``labelled`` scanned training rows of each entry, above the
+    least score of a word (a count, which a few wrong labels move little)."""
     spark = table.sparkSession
     known = spark.createDataFrame(
         [(v, e, lex.decay(), float(lex.score.min()) if len(lex.score) else 1.0) for v, entries in enumerate(lexicons)
          for e, lex in enumerate(entries)], "view int, entry int, decay double, least double")
-    table = table.join(F.broadcast(known), ["view", "entry"])         # one row a lexicon
+    known = F.broadcast(known)                                        # one row a lexicon
+    table, labelled = table.join(known, ["view", "entry"]), labelled.join(known, ["view", "entry"])
     seen = F.size(F.filter("passages", lambda p: p.score >= F.col("least") - 1e-9))
-    clean = {r.entry: r for r in table.where("label = 0 AND NOT held_out").groupBy("entry").agg(
+    clean = {r.entry: r for r in labelled.where("label = 0").groupBy("entry").agg(
         F.sum("n_words").alias("n"), F.sum(seen).alias("e")).collect()}
     rate = F.lit(1.0)
     for e, r in clean.items():
@@ -275,22 +276,22 @@ def scored(docs: DataFrame, labels: DataFrame, sample: int = 20_000, grid=GRID,
     """Per row: doc_id, held_out, score, predicted, n_passages, passages."""
     base = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(3, 1)))
     truth = clean_labels(labels, "toxic").select("doc_id", F.col("label").cast("int").alias("label")).where("label IN (0, 1)")
-    picked = bounded_sample(base.where("NOT held_out").select("doc_id").join(truth, "doc_id"), sample).select("doc_id").distinct()
     fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
     train = materialise(base.where("NOT held_out").join(truth, "doc_id").withColumn("fold", fold), "labelled")
     # copies of one text count once: they are one piece of evidence
-    rows = train.join(picked, "doc_id").withColumn("th", F.xxhash64("text")).dropDuplicates(["th"])
+    rows = bounded_sample(train, sample).withColumn("th", F.xxhash64("text")).dropDuplicates(["th"])
     lexicons = learn_lexicons(materialise(word_counts(rows), "word-counts"), grid)
     tried = materialise(scan(train.withColumn("view", F.col("fold")), lexicons), "tried")
-    cuts = best_cuts(with_evidence(tried, lexicons, expect))
+    cuts = best_cuts(with_evidence(tried, tried, lexicons, expect))
     if not cuts:
         best, cut = 0, math.inf
     else:
         best = max(cuts, key=lambda e: (round(cuts[e][0], 9), e))
         cut = cuts[best][1]
     chosen = [[entries[best]] for entries in lexicons]
-    whole = base.join(truth, "doc_id", "left").withColumn("view", F.lit(FOLDS))
-    marked = with_evidence(materialise(scan(whole, chosen), "toxic-passages"), chosen, expect)
+    whole = base.withColumn("label", F.lit(None).cast("int")).withColumn("view", F.lit(FOLDS))
+    table = materialise(scan(whole, chosen), "toxic-passages")
+    marked = with_evidence(table, table.where("NOT held_out").drop("label").join(truth, "doc_id"), chosen, expect)
     if math.isinf(cut):
         score = F.lit(0.0)
     else:
