@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from webloom.llm.decontaminate import leaks, smith_waterman, without_leaks
 
@@ -49,6 +50,7 @@ def corpus():
                 copy[k:k + 1] = r.choice([[], [word()], [word(), word()]])
             w[len(w) // 3:len(w) // 3] = [x.upper() if i % 8 else x + "," for x in copy]
         docs.append((i, " ".join(w)))
+    docs += [(80, "he says it is TOO short, to tell."), (81, "too short not to tell"), (82, "too short to")]
     docs += [(70, None), (71, ""), (None, items[3][1]), (5, items[4][1]), (5, items[4][1]), (72, (items[5][1] + " ") * 30)]
     return docs, items
 
@@ -66,9 +68,9 @@ def test_matches_brute_force(spark):
     for doc, t in docs:
         for item, s in items:
             a = tokens(s)
-            if len(a) >= 8:
+            if a:
                 score = plain_sw(a, tokens(t))[0] / (2 * len(a))
-                if score >= 0.5:
+                if score >= (0.5 if len(a) >= 8 else 1):
                     want[doc, item] = max(want.get((doc, item), 0), round(score, 9))
     assert got == want
     assert len(want) >= 15
@@ -87,6 +89,8 @@ def test_spans_and_clean_documents(spark):
     kept = without_leaks(d, i, bits=1 << 16)
     assert kept.columns == d.columns
     left = [x.doc_id for x in kept.collect()]
+    assert 80 not in left and 81 in left and 82 in left
+    assert 80 in [x.doc_id for x in without_leaks(d, i, min_words=8).collect()]
     assert 1 in left and 70 in left and 71 in left and 0 not in left and None not in left
     assert left.count(5) == 1
 
@@ -135,3 +139,39 @@ def test_every_leak_has_its_seeds():
         need = max(-(-2 * n // 9) - 2, 1)
         assert need <= most
         assert max(s for (m, _, k), s in best.items() if m <= n and k < need) < n
+
+
+def zipf_corpus(n_docs=300, n_items=40, length=40):
+    """Texts of which 45 % are function words of Zipf frequency."""
+    r = random.Random(8)
+    function = [f"f{k}" for k in range(22)]
+    weights = [1 / (k + 1) for k in range(22)]
+
+    def word():
+        return r.choices(function, weights)[0] if r.random() < 0.45 else "w%d" % r.randrange(4000)
+    items = [(i, " ".join(word() for _ in range(length))) for i in range(n_items)]
+    docs = [[word() for _ in range(r.randint(50, 250))] for _ in range(n_docs)]
+    for i in range(0, n_docs, 10):
+        copy = items[i // 10 % n_items][1].split()
+        for k in r.sample(range(length), length // 6):
+            copy[k] = word()
+        docs[i][20:20] = copy
+    return [(i, " ".join(w)) for i, w in enumerate(docs)], items
+
+
+def test_rare_seeds_are_complete_and_few(spark):
+    from webloom.llm import decontaminate as D
+    docs, items = zipf_corpus()
+    d, i = frames(spark, docs, items)
+    got = {(x.doc_id, x.item_id) for x in leaks(d, i).collect()}
+    assert got == {(n, m) for n, t in docs for m, s in items if plain_sw(tokens(s), tokens(t))[0] >= 40} and len(got) >= 30
+    # rows of the join of document grams with all item grams, and with the rarest only
+    base = d.select("doc_id", "text")
+    texts = D._sequences(i.select("item_id", F.xxhash64("text").alias("th"), "text"))
+    marks = D.grams_of_items(texts, D._ITEM).cache()
+    counts = D.gram_counts(base, D.sized(marks.count(), None).build(marks, "gram"), D._DOC).cache()
+    rare = D.rarest(marks, counts)
+    rows = lambda x: x.join(counts, "gram").agg(F.sum("n")).first()[0]
+    assert rows(rare) * 4 <= rows(marks)
+    per_item = marks.groupBy("item_id").agg(F.sum("times").alias("g"), F.max("need").alias("need")).collect()
+    assert {(r.g, r.need) for r in per_item} == {(3 * 40 - 8, 7)}

@@ -1,14 +1,18 @@
-"""Benchmark decontamination (operator 1): gapped three-word seeds, then Smith-Waterman.
+"""Benchmark decontamination (operator 1): rare n-gram seeds, then Smith-Waterman.
 
-1. An item's seeds are all its triples of words in the places (0, 1, 2),
-   (0, 1, 3) and (0, 2, 3); nothing is dropped for being frequent or rare.
+1. An item's n-grams are all its triples of words in the places (0, 1, 2),
+   (0, 1, 3) and (0, 2, 3).  A leak shares at least ``need`` of the item's G (below), so it
+   shares one of any G - need + 1 of them.  How often each occurs in the documents is
+   counted, and the G - need + 1 rarest are the item's seeds.
 2. A document's triples have up to two words between; the words around those
    that are seeds are its passages, and seeds join them to test items.
-3. Pairs of a passage and an item with as many common seeds as a leak must
-   have (below) are aligned word by word (match +2, mismatch -1, gap -1).  The
-   score is the best local alignment's, over that of the item with itself: 1
-   for a verbatim copy, less with each edit.  Pairs of ``threshold`` or more
-   are leaks.
+3. Pairs of a passage and an item with ``need`` common n-grams are aligned word by
+   word (match +2, mismatch -1, gap -1).  The score is the best local alignment's, over
+   that of the item with itself: 1 for a verbatim copy, less with each edit.  Pairs of
+   ``threshold`` or more are leaks.
+
+An item of fewer than eight words has its whole word sequence as its one seed, and is
+found where it stands verbatim; ``min_words`` leaves out items of fewer words than that.
 
 No leak is missed.  Let an alignment match m of an item's L words, leave out E
 at the item's ends, and have d words of the item and e of the document between
@@ -23,101 +27,148 @@ one: without any, sum v >= 3 * floor((m - 1) / 2), which leaves m <= 3 (then
 L <= 6), m = 4 (L <= 6), or m = 6 and L <= 8, whose one alignment of eight
 words has seeds (gaps of one word in the item and two in the document).  The
 alignment spans at most m + sum e <= (3 - 2 * threshold) L words of the
-document, which is what passages take in on each side of a seed.  For
-thresholds below 0.5 or items of fewer than eight words every single word is a
-seed.
+document, which is what passages take in on each side of a seed (the seeds of
+longer items take in more: there is a filter for each doubling).  For thresholds
+below 0.5 every single word is an n-gram, and one of them is needed.
 
-Test items and documents meet through shuffled joins; only a fixed-size Bloom
-filter of n-grams is broadcast, so neither side's size is bounded.
+Test items and documents meet through shuffled joins; only Bloom filters of
+n-grams, sized by counted keys up to a bound, are broadcast, so neither side's size is bounded.
 
 Defined results: words are runs of ASCII letters, digits and non-ASCII bytes,
-A-Z lower-cased; null or empty texts and items have none; items of fewer than
-``min_words`` words are too common to tell and are skipped.  Rows that repeat a
+A-Z lower-cased; null or empty texts and items have none.  Rows that repeat a
 doc_id or item_id, or have none, are reported by that id (equal rows once).
 Empty tables give no rows; other columns are ignored.
 """
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as SparkWindow
 from pyspark.sql import functions as F
 
 from . import words as W
 from .tables import Bloom, materialise
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+SHORT = 8                # items of fewer words are looked up whole
+_MOST_BITS = 1 << 27     # bound of a filter; beyond it, more rows pass
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
-#: Places of a seed's words in an item and in a document, in the order of their first word.
+#: Places of an n-gram's words in an item and in a document, in the order of their first word.
 _ITEM = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 _DOC = _ITEM + ((0, 2, 4), (0, 1, 4), (0, 3, 4))
 _WORD = ((0,),)
 
 
+def _hash(h: np.ndarray, start: np.ndarray, shape: tuple) -> np.ndarray:
+    acc = np.zeros(len(start), np.uint64)
+    for i in shape:
+        acc = acc * _C + h[start + i]
+    return W.as_long(W.mix(acc))
+
+
 def _grams(w: W.Words, shapes: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, first word of each gram, hash of each gram) of all shapes."""
     h = w.hashes()
-    starts, grams = [], []
-    for shape in shapes:
-        start = w.starts_of(shape[-1] + 1)
-        acc = np.zeros(len(start), np.uint64)
-        for i in shape:
-            acc = acc * _C + h[start + i]
-        starts.append(start)
-        grams.append(W.as_long(W.mix(acc)))
-    return h, np.concatenate(starts), np.concatenate(grams)
-
-
-def seeds(items: DataFrame, shapes: tuple, min_words: int) -> DataFrame:
-    """(item_id, th, gram, times, need): the grams of all items long enough, how
-    often each occurs there, and how many a leak of the item shares at least."""
+    starts = [w.starts_of(shape[-1] + 1) for shape in shapes]
+    return h, np.concatenate(starts), np.concatenate([_hash(h, at, shape) for at, shape in zip(starts, shapes)])
+
+
+def _sequence_grams(words: np.ndarray, shapes: tuple) -> np.ndarray:
+    """The grams of one sequence of word hashes."""
+    h = words.view(np.uint64)
+    return np.concatenate([_hash(h, np.arange(max(len(h) - shape[-1], 0)), shape) for shape in shapes])
+
+
+def _needed(size: int) -> int:
+    """How many of its grams a leak of an item of ``size`` words shares at least."""
+    return max(-(-2 * size // 9) - 2, 1)
+
+
+def _whole(size: int) -> tuple:
+    return (tuple(range(size)),)
+
+
+def grams_of_items(texts: DataFrame, shapes: tuple) -> DataFrame:
+    """(item_id, th, gram, need, size, times): the grams of all items of ``(item_id, th, item)``."""
     def job(batches):
         for b in batches:
-            for lo, hi, raw, off in W.slices(b["text"]):
-                w = W.segment(raw, off, W.LETTERS)
-                _h, start, g = _grams(w, shapes)
-                doc = w.doc_of(start)
-                k = np.flatnonzero(w.counts[doc] >= min_words) if len(doc) else doc
-                need = -(-2 * w.counts // 9) - 2 if shapes is not _WORD else np.ones(w.n_docs, np.int64)
-                of = pa.array(doc[k])
+            for i, item in enumerate(b["item"]):
+                words = np.asarray(item.values, np.int64)
+                if not len(words):
+                    continue
+                whole = shapes is not _WORD and len(words) < SHORT
+                g, n = np.unique(_sequence_grams(words, _whole(len(words)) if whole else shapes), return_counts=True)
+                need = 1 if whole or shapes is _WORD else _needed(len(words))
+                same = pa.array(np.full(len(g), i))
                 yield pa.RecordBatch.from_arrays(
-                    [b["item_id"].slice(lo, hi - lo).take(of), b["th"].slice(lo, hi - lo).take(of), pa.array(g[k]),
-                     pa.array(np.maximum(need, 1)[doc[k]].astype(np.int64))], ["item_id", "th", "gram", "need"])
-    rows = items.mapInArrow(job, "item_id long, th long, gram long, need long")
-    return rows.groupBy("item_id", "th", "gram", "need").agg(F.count(F.lit(1)).alias("times"))
+                    [b["item_id"].take(same), b["th"].take(same), pa.array(g), pa.array(np.full(len(g), need)),
+                     pa.array(np.full(len(g), len(words))), pa.array(n)], ["item_id", "th", "gram", "need", "size", "times"])
+    return texts.mapInArrow(job, "item_id long, th long, gram long, need long, size long, times long")
+
+
+def gram_counts(docs: DataFrame, bloom: Bloom, shapes: tuple) -> DataFrame:
+    """(gram, n): how often the filter's grams (and a few others) occur in the documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(bloom)
+
+    def job(batches):
+        bloom = shared.value
+        for b in batches:
+            for _lo, _hi, raw, off in W.slices(b["text"]):
+                g = _grams(W.segment(raw, off, W.LETTERS), shapes)[2]
+                u, n = np.unique(g[bloom.has(g)] if len(g) else g, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], ["gram", "n"])
+    return docs.select("text").mapInArrow(job, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
 
+def rarest(marks: DataFrame, counts: DataFrame) -> DataFrame:
+    """The item's grams of which a leak shares at least one: the rarest, up to all but ``need`` - 1
+    occurrences in the item.  Grams that no document has are among them and need no row."""
+    item = SparkWindow.partitionBy("item_id", "th")
+    before = F.sum("times").over(item.orderBy("n", "gram").rowsBetween(SparkWindow.unboundedPreceding, -1))
+    ranked = (marks.join(counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+              .withColumn("before", F.coalesce(before, F.lit(0))).withColumn("total", F.sum("times").over(item)))
+    return ranked.where("before < total - need + 1 AND n > 0").select("item_id", "th", "gram", "size")
 
-def _passages(docs: DataFrame, bloom: Bloom, shapes: tuple, around: int, only: Bloom | None = None) -> DataFrame:
-    """(doc_id, th, first, grams) of the words around seed hits, hits closer than
-    twice ``around`` words together; with ``only``, a filter of texts by th,
+
+def sized(n: int, bits: int | None) -> Bloom:
+    """A filter for ``n`` keys."""
+    return Bloom(bits or min(1 << max(12, (16 * n - 1).bit_length() if n else 0), _MOST_BITS))
+
+
+def _passages(docs: DataFrame, filters: list[tuple[int, Bloom]], shapes: tuple, only: Bloom | None = None) -> DataFrame:
+    """(doc_id, th, first, grams) of the words around seed hits (as many on each side as the widest
+    filter says that has the seed; overlapping ones together); with ``only``, a filter of texts by th,
     (doc_id, th, first, words) of the same passages of these texts."""
-    shared = docs.sparkSession.sparkContext.broadcast((bloom, only))
+    shared = docs.sparkSession.sparkContext.broadcast((filters, only))
     n = max(shape[-1] for shape in shapes) + 1
 
     def job(batches):
-        bloom, only = shared.value
+        filters, only = shared.value
         for b in batches:
             if only is not None:
                 b = b.filter(pa.array(only.has(b["th"].to_numpy())))
             for lo, hi, raw, off in W.slices(b["text"]):
                 w = W.segment(raw, off, W.LETTERS)
                 h, start, g = _grams(w, shapes)
-                k = np.flatnonzero(bloom.has(g)) if len(g) else np.zeros(0, np.int64)
+                around = np.zeros(len(g), np.int64)
+                for width, bloom in filters if len(g) else []:     # narrow to wide
+                    around[bloom.has(g)] = width
+                k = np.flatnonzero(around)
                 if not len(k):
                     continue
-                k = k[np.argsort(start[k], kind="stable")]
-                at, doc = start[k], w.doc_of(start[k])
+                doc = w.doc_of(start[k])
+                first = np.maximum(start[k] - around[k], w.first[doc])
+                last = np.minimum(start[k] + n + around[k], w.first[doc + 1])
+                by = np.argsort(first, kind="stable")
+                k, doc, first, last = k[by], doc[by], first[by], np.maximum.accumulate(last[by])
                 new = np.ones(len(k), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (np.diff(at) > 2 * around)
+                new[1:] = (doc[1:] != doc[:-1]) | (first[1:] > last[:-1])
                 begin = np.flatnonzero(new)
                 end = np.append(begin[1:], len(k))
-                d = doc[begin]
-                first = np.maximum(at[begin] - around, w.first[d])
-                last = np.minimum(at[end - 1] + n + around, w.first[d + 1])
+                d, first, last = doc[begin], first[begin], last[end - 1]
                 hl = W.as_long(h)
                 values = ([np.unique(g[k[p:q]]) for p, q in zip(begin, end)] if only is None
                           else [hl[p:q] for p, q in zip(first, last)])
@@ -156,18 +207,29 @@ def smith_waterman(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray
     return best, end
 
 
-def _align(threshold: float, chunk: int = 128):
+def _has_needed(item: np.ndarray, words: np.ndarray, of_item: tuple, of_doc: tuple) -> bool:
+    """Whether a passage has as many of an item's grams as a leak must have."""
+    if of_item is _WORD:
+        return True
+    if len(item) < SHORT:
+        return bool(np.isin(_sequence_grams(item, _whole(len(item))), _sequence_grams(words, _whole(len(item)))).all())
+    return int(np.isin(_sequence_grams(item, of_item), _sequence_grams(words, of_doc)).sum()) >= _needed(len(item))
+
+
+def _align(threshold: float, of_item: tuple, of_doc: tuple, chunk: int = 128):
     def job(batches):
         for b in batches:
             items = [np.asarray(x.values, np.int64) for x in b["item"]]
             passages = [np.asarray(x.values, np.int64) for x in b["words"]]
             order = np.argsort([len(x) for x in passages], kind="stable")
+            order = order[[_has_needed(items[i], passages[i], of_item, of_doc) for i in order]]
             for at in range(0, len(order), chunk):
                 k = order[at:at + chunk]
                 a, p = [items[i] for i in k], [passages[i] for i in k]
                 score, end = smith_waterman(a, p)
                 full = np.array([MATCH * len(x) for x in a])
-                ok = np.flatnonzero(score >= threshold * full)
+                least = np.array([1.0 if len(x) < SHORT and of_item is not _WORD else threshold for x in a])
+                ok = np.flatnonzero(score >= least * full)
                 if not len(ok):
                     continue
                 # the beginning: the same alignment read from its end
@@ -194,26 +256,35 @@ def _sequences(items: DataFrame) -> DataFrame:
     return items.mapInArrow(job, "item_id long, th long, item array<long>")
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_words: int = 8,
-          bits: int = 1 << 23) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_words: int = 1,
+          bits: int | None = None) -> DataFrame:
     """(doc_id, th, item_id, score, start_word, end_word): the best alignment of
-    each leaked item in each document; th is the text's 64-bit hash."""
+    each leaked item in each document; th is the text's 64-bit hash.
+
+    ``bits`` sets the size of all filters (None: by their keys)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.xxhash64("text").alias("th"), "text").distinct()
-    of_item, of_doc = (_ITEM, _DOC) if threshold >= 0.5 and min_words >= 8 else (_WORD, _WORD)
-    marks = materialise(seeds(items, of_item, min_words), "seeds")
-    texts = materialise(_sequences(items), "item-words")
-    longest = texts.agg(F.max(F.size("item"))).first()[0] or 0
-    # the most words of a document that an alignment spans
-    around = math.ceil(max(3 - 2 * threshold, 1) * longest)
-    bloom, p = Bloom(bits).build(marks, "gram"), F.xxhash64("doc_id", "th", "first").alias("p")
-    pairs = (_passages(docs, bloom, of_doc, around).select("doc_id", "th", "first", p, F.explode("grams").alias("gram"))
-             .join(marks.select("item_id", F.col("th").alias("ith"), "gram", "times", "need"), "gram")
-             .groupBy("doc_id", "th", "first", "p", "item_id", "ith").agg(F.sum("times").alias("common"), F.max("need").alias("need"))
-             .where("common >= need").drop("common", "need"))
+    texts = materialise(_sequences(items).where(F.size("item") >= min_words), "item-words")
+    of_item, of_doc = (_ITEM, _DOC) if threshold >= 0.5 else (_WORD, _WORD)
+    if of_item is _ITEM:      # short items' whole sequences: at most seven lengths
+        short = texts.where(F.size("item").between(1, SHORT - 1)).select(F.size("item").alias("n")).distinct().collect()
+        lookup = of_doc + tuple(s for r in sorted(short) for s in _whole(r.n) if s not in of_doc)
+    else:
+        lookup = of_doc
+    marks = materialise(grams_of_items(texts, of_item), "grams")
+    counts = gram_counts(docs, sized(marks.count(), bits).build(marks, "gram"), lookup)
+    # the most words of a document that an alignment spans, up to a power of two
+    width = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("size") * max(3 - 2 * threshold, 1)))).cast("long")
+    rare = materialise(rarest(marks, counts).withColumn("width", width), "seeds")
+    filters = [(r.width, sized(r["count"], bits).build(rare.where(F.col("width") == r.width), "gram"))
+               for r in sorted(rare.groupBy("width").count().collect())]       # one a doubling of item length
+    p = F.xxhash64("doc_id", "th", "first").alias("p")
+    pairs = (_passages(docs, filters, lookup).select("doc_id", "th", "first", p, F.explode("grams").alias("gram"))
+             .join(rare.select("item_id", F.col("th").alias("ith"), "gram"), "gram")
+             .select("doc_id", "th", "first", "p", "item_id", "ith").distinct())
     pairs = materialise(pairs, "pairs")
     # words are written for the texts that have a pair, which a second pass over the documents reads again
-    passages = _passages(docs, bloom, of_doc, around, Bloom(bits).build(pairs, "th"))
+    passages = _passages(docs, filters, lookup, sized(pairs.select("th").distinct().count(), bits).build(pairs, "th"))
     keyed = materialise(passages.select("doc_id", "th", "first", "words", p), "passages")
     t = texts.select("item_id", F.col("th").alias("ith"), "item")
     with_item = pairs.alias("p").join(t.alias("t"), F.col("p.item_id").eqNullSafe(F.col("t.item_id"))
@@ -222,7 +293,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_words:
             F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))]
     both = with_item.alias("a").join(keyed.dropDuplicates(["p", "doc_id", "th", "first"]).alias("b"), same).select(
         "a.doc_id", "a.th", "a.first", "a.item_id", "a.item", "b.words")
-    found = both.mapInArrow(_align(threshold), "doc_id long, th long, item_id long, score double, start_word long, end_word long")
+    found = both.mapInArrow(_align(threshold, of_item, of_doc), "doc_id long, th long, item_id long, score double, start_word long, end_word long")
     best = F.max(F.struct("score", F.negative("start_word").alias("s"), "end_word")).alias("m")
     return found.groupBy("doc_id", "th", "item_id").agg(best).select(
         "doc_id", "th", "item_id", F.col("m.score").alias("score"), F.negative("m.s").alias("start_word"),

@@ -127,7 +127,7 @@ def learn_lexicons(counts: DataFrame, grid=GRID) -> list[list[Lexicon]]:
     strength, everywhere = F.col("strength"), F.col("t") / (F.col("t") + F.col("c"))
 
     def scored(rows: DataFrame, share) -> DataFrame:
-        rows = rows.join(totals, "view").withColumn("strength", F.explode(F.array(*[F.lit(x) for x in sorted({g[0] for g in grid})])))
+        rows = rows.join(F.broadcast(totals), "view").withColumn("strength", F.explode(F.array(*[F.lit(x) for x in sorted({g[0] for g in grid})])))
         a, b = F.col("toxic") + strength * share, F.col("clean") + strength * (1 - share)
         odds = F.log(a / b) - F.log(F.col("t") / F.col("c"))
         return rows.select("view", "strength", "key", "prefix", odds.alias("odds"), (b / F.col("c")).alias("rate"), "toxic", "t",
