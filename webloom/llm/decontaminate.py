@@ -6,8 +6,8 @@
    counted, and the G - need + 1 rarest are the item's seeds.
 2. A document's triples have up to two words between; the words around those
    that are seeds are its passages, and seeds join them to test items.
-3. Pairs of a passage and an item with ``need`` common n-grams are aligned word by
-   word (match +2, mismatch -1, gap -1).  The score is the best local alignment's, over
+3. A passage also lists all items' n-grams that it holds.  Pairs of a passage and an
+   item with ``need`` in common are aligned word by word (match +2, mismatch -1, gap -1).  The score is the best local alignment's, over
    that of the item with itself: 1 for a verbatim copy, less with each edit.  Pairs of
    ``threshold`` or more are leaks.
 
@@ -138,15 +138,16 @@ def sized(n: int, bits: int | None) -> Bloom:
     return Bloom(bits or min(1 << max(12, (16 * n - 1).bit_length() if n else 0), _MOST_BITS))
 
 
-def _passages(docs: DataFrame, filters: list[tuple[int, Bloom]], shapes: tuple, only: Bloom | None = None) -> DataFrame:
-    """(doc_id, th, first, grams) of the words around seed hits (as many on each side as the widest
-    filter says that has the seed; overlapping ones together); with ``only``, a filter of texts by th,
-    (doc_id, th, first, words) of the same passages of these texts."""
-    shared = docs.sparkSession.sparkContext.broadcast((filters, only))
+def _passages(docs: DataFrame, filters: list[tuple[int, Bloom]], shapes: tuple, known: Bloom,
+              only: Bloom | None = None) -> DataFrame:
+    """(doc_id, th, first, seeds, grams) of the words around seed hits (as many on each side as the widest
+    filter says that has the seed; overlapping ones together): the seeds, and all grams in ``known``;
+    with ``only``, a filter of texts by th, (doc_id, th, first, words) of the same passages of these texts."""
+    shared = docs.sparkSession.sparkContext.broadcast((filters, known, only))
     n = max(shape[-1] for shape in shapes) + 1
 
     def job(batches):
-        filters, only = shared.value
+        filters, known, only = shared.value
         for b in batches:
             if only is not None:
                 b = b.filter(pa.array(only.has(b["th"].to_numpy())))
@@ -169,15 +170,22 @@ def _passages(docs: DataFrame, filters: list[tuple[int, Bloom]], shapes: tuple,
                 begin = np.flatnonzero(new)
                 end = np.append(begin[1:], len(k))
                 d, first, last = doc[begin], first[begin], last[end - 1]
-                hl = W.as_long(h)
-                values = ([np.unique(g[k[p:q]]) for p, q in zip(begin, end)] if only is None
-                          else [hl[p:q] for p, q in zip(first, last)])
+                columns = [b["doc_id"].slice(lo, hi - lo).take(pa.array(d)), b["th"].slice(lo, hi - lo).take(pa.array(d)),
+                           pa.array((first - w.first[d]).astype(np.int32))]
+                longs = pa.list_(pa.int64())
+                if only is not None:
+                    hl = W.as_long(h)
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([hl[p:q] for p, q in zip(first, last)], longs)],
+                                                     ["doc_id", "th", "first", "words"])
+                    continue
+                some = np.flatnonzero(known.has(g))
+                some = some[np.argsort(start[some], kind="stable")]
+                at = np.searchsorted(start[some], np.stack([first, last]))     # grams that start in the passage
                 yield pa.RecordBatch.from_arrays(
-                    [b["doc_id"].slice(lo, hi - lo).take(pa.array(d)), b["th"].slice(lo, hi - lo).take(pa.array(d)),
-                     pa.array((first - w.first[d]).astype(np.int32)), pa.array(values, pa.list_(pa.int64()))],
-                    ["doc_id", "th", "first", out])
-    out = "grams" if only is None else "words"
-    return docs.mapInArrow(job, f"doc_id long, th long, first int, {out} array<long>")
+                    [*columns, pa.array([np.unique(g[k[p:q]]) for p, q in zip(begin, end)], longs),
+                     pa.array([np.unique(g[some[p:q]]) for p, q in at.T], longs)], ["doc_id", "th", "first", "seeds", "grams"])
+    out = "seeds array<long>, grams array<long>" if only is None else "words array<long>"
+    return docs.mapInArrow(job, f"doc_id long, th long, first int, {out}")
 
 
 def smith_waterman(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -272,19 +280,29 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_words:
     else:
         lookup = of_doc
     marks = materialise(grams_of_items(texts, of_item), "grams")
-    counts = gram_counts(docs, sized(marks.count(), bits).build(marks, "gram"), lookup)
+    known = sized(marks.count(), bits).build(marks, "gram")
+    counts = gram_counts(docs, known, lookup)
     # the most words of a document that an alignment spans, up to a power of two
     width = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("size") * max(3 - 2 * threshold, 1)))).cast("long")
     rare = materialise(rarest(marks, counts).withColumn("width", width), "seeds")
     filters = [(r.width, sized(r["count"], bits).build(rare.where(F.col("width") == r.width), "gram"))
                for r in sorted(rare.groupBy("width").count().collect())]       # one a doubling of item length
     p = F.xxhash64("doc_id", "th", "first").alias("p")
-    pairs = (_passages(docs, filters, lookup).select("doc_id", "th", "first", p, F.explode("grams").alias("gram"))
+    hits = materialise(_passages(docs, filters, lookup, known).withColumn("p", p), "hits")
+    pairs = (hits.select("doc_id", "th", "first", "p", F.explode("seeds").alias("gram"))
              .join(rare.select("item_id", F.col("th").alias("ith"), "gram"), "gram")
              .select("doc_id", "th", "first", "p", "item_id", "ith").distinct())
+    # occurrences of an item's gram beyond the first count as common here; the exact count precedes the alignment
+    of_items = marks.groupBy("item_id", F.col("th").alias("ith")).agg(
+        F.collect_list("gram").alias("all_grams"), F.max("need").alias("need"), F.sum(F.col("times") - 1).alias("more"))
+    same_passage = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("doc_id", "th", "first")]
+    same_item = F.col("x.item_id").eqNullSafe(F.col("z.item_id")) & (F.col("x.ith") == F.col("z.ith"))
+    pairs = (pairs.alias("x").join(hits.alias("y"), [F.col("x.p") == F.col("y.p"), *same_passage])
+             .select("x.*", "y.grams").alias("x").join(of_items.alias("z"), same_item)
+             .where(F.size(F.array_intersect("all_grams", "grams")) + F.col("more") >= F.col("need")).select("x.*").drop("grams"))
     pairs = materialise(pairs, "pairs")
     # words are written for the texts that have a pair, which a second pass over the documents reads again
-    passages = _passages(docs, filters, lookup, sized(pairs.select("th").distinct().count(), bits).build(pairs, "th"))
+    passages = _passages(docs, filters, lookup, known, sized(pairs.select("th").distinct().count(), bits).build(pairs, "th"))
     keyed = materialise(passages.select("doc_id", "th", "first", "words", p), "passages")
     t = texts.select("item_id", F.col("th").alias("ith"), "item")
     with_item = pairs.alias("p").join(t.alias("t"), F.col("p.item_id").eqNullSafe(F.col("t.item_id"))
