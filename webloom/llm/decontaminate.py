@@ -28,7 +28,7 @@ L <= 6), m = 4 (L <= 6), or m = 6 and L <= 8, whose one alignment of eight
 words has seeds (gaps of one word in the item and two in the document).  The
 alignment spans at most m + sum e <= (3 - 2 * threshold) L words of the
 document, which is what passages take in on each side of a seed (the seeds of
-longer items take in more: there is a filter for each doubling).  For thresholds
+longer items take in more: there is a filter for each quarter of a doubling).  For thresholds
 below 0.5 every single word is an n-gram, and one of them is needed.
 
 Test items and documents meet through shuffled joins; only Bloom filters of
@@ -154,6 +154,9 @@ def _passages(docs: DataFrame, filters: list[tuple[int, Bloom]], shapes: tuple,
             for lo, hi, raw, off in W.slices(b["text"]):
                 w = W.segment(raw, off, W.LETTERS)
                 h, start, g = _grams(w, shapes)
+                # seeds are known grams: their filters are asked about those only
+                some = np.flatnonzero(known.has(g)) if len(g) else np.zeros(0, np.int64)
+                start, g = start[some], g[some]
                 around = np.zeros(len(g), np.int64)
                 for width, bloom in filters if len(g) else []:     # narrow to wide
                     around[bloom.has(g)] = width
@@ -178,8 +181,7 @@ def _passages(docs: DataFrame, filters: list[tuple[int, Bloom]], shapes: tuple,
                     yield pa.RecordBatch.from_arrays([*columns, pa.array([hl[p:q] for p, q in zip(first, last)], longs)],
                                                      ["doc_id", "th", "first", "words"])
                     continue
-                some = np.flatnonzero(known.has(g))
-                some = some[np.argsort(start[some], kind="stable")]
+                some = np.argsort(start, kind="stable")
                 at = np.searchsorted(start[some], np.stack([first, last]))     # grams that start in the passage
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array([np.unique(g[k[p:q]]) for p, q in zip(begin, end)], longs),
@@ -215,28 +217,18 @@ def smith_waterman(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray
     return best, end
 
 
-def _has_needed(item: np.ndarray, words: np.ndarray, of_item: tuple, of_doc: tuple) -> bool:
-    """Whether a passage has as many of an item's grams as a leak must have."""
-    if of_item is _WORD:
-        return True
-    if len(item) < SHORT:
-        return bool(np.isin(_sequence_grams(item, _whole(len(item))), _sequence_grams(words, _whole(len(item)))).all())
-    return int(np.isin(_sequence_grams(item, of_item), _sequence_grams(words, of_doc)).sum()) >= _needed(len(item))
-
-
-def _align(threshold: float, of_item: tuple, of_doc: tuple, chunk: int = 128):
+def _align(threshold: float, whole_if_short: bool, chunk: int = 128):
     def job(batches):
         for b in batches:
             items = [np.asarray(x.values, np.int64) for x in b["item"]]
             passages = [np.asarray(x.values, np.int64) for x in b["words"]]
             order = np.argsort([len(x) for x in passages], kind="stable")
-            order = order[[_has_needed(items[i], passages[i], of_item, of_doc) for i in order]]
             for at in range(0, len(order), chunk):
                 k = order[at:at + chunk]
                 a, p = [items[i] for i in k], [passages[i] for i in k]
                 score, end = smith_waterman(a, p)
                 full = np.array([MATCH * len(x) for x in a])
-                least = np.array([1.0 if len(x) < SHORT and of_item is not _WORD else threshold for x in a])
+                least = np.array([1.0 if whole_if_short and len(x) < SHORT else threshold for x in a])
                 ok = np.flatnonzero(score >= least * full)
                 if not len(ok):
                     continue
@@ -282,17 +274,17 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_words:
     marks = materialise(grams_of_items(texts, of_item), "grams")
     known = sized(marks.count(), bits).build(marks, "gram")
     counts = gram_counts(docs, known, lookup)
-    # the most words of a document that an alignment spans, up to a power of two
-    width = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("size") * max(3 - 2 * threshold, 1)))).cast("long")
+    # the most words of a document that an alignment spans, up to the next quarter of a doubling
+    width = F.ceil(F.pow(F.lit(2.0), F.ceil(4 * F.log2(F.col("size") * max(3 - 2 * threshold, 1))) / 4)).cast("long")
     rare = materialise(rarest(marks, counts).withColumn("width", width), "seeds")
     filters = [(r.width, sized(r["count"], bits).build(rare.where(F.col("width") == r.width), "gram"))
-               for r in sorted(rare.groupBy("width").count().collect())]       # one a doubling of item length
+               for r in sorted(rare.groupBy("width").count().collect())]       # four a doubling of item length
     p = F.xxhash64("doc_id", "th", "first").alias("p")
     hits = materialise(_passages(docs, filters, lookup, known).withColumn("p", p), "hits")
     pairs = (hits.select("doc_id", "th", "first", "p", F.explode("seeds").alias("gram"))
              .join(rare.select("item_id", F.col("th").alias("ith"), "gram"), "gram")
              .select("doc_id", "th", "first", "p", "item_id", "ith").distinct())
-    # occurrences of an item's gram beyond the first count as common here; the exact count precedes the alignment
+    # occurrences of an item's gram beyond the first count as common, whether or not the passage has it
     of_items = marks.groupBy("item_id", F.col("th").alias("ith")).agg(
         F.collect_list("gram").alias("all_grams"), F.max("need").alias("need"), F.sum(F.col("times") - 1).alias("more"))
     same_passage = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in ("doc_id", "th", "first")]
@@ -311,7 +303,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_words:
             F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))]
     both = with_item.alias("a").join(keyed.dropDuplicates(["p", "doc_id", "th", "first"]).alias("b"), same).select(
         "a.doc_id", "a.th", "a.first", "a.item_id", "a.item", "b.words")
-    found = both.mapInArrow(_align(threshold, of_item, of_doc), "doc_id long, th long, item_id long, score double, start_word long, end_word long")
+    found = both.mapInArrow(_align(threshold, of_item is _ITEM), "doc_id long, th long, item_id long, score double, start_word long, end_word long")
     best = F.max(F.struct("score", F.negative("start_word").alias("s"), "end_word")).alias("m")
     return found.groupBy("doc_id", "th", "item_id").agg(best).select(
         "doc_id", "th", "item_id", F.col("m.score").alias("score"), F.negative("m.s").alias("start_word"),
