@@ -115,13 +115,16 @@ def page_text(spark, d):
 
 
 @register("extract_rejects", sql=f"""
-SELECT page_id, url, CASE WHEN html IS NULL THEN 'ValueError: no html' ELSE 'no text' END AS reason
+SELECT page_id, url, CASE WHEN url LIKE '%/fr/%' THEN 'ValueError: no html' ELSE 'no text' END AS reason
 FROM (SELECT p.page_id, p.url, p.html, t.content FROM pages p
       LEFT JOIN ({S.PAGE_TEXT}) t ON t.page_id = p.page_id)
-WHERE html IS NULL OR content IS NULL
+WHERE url LIKE '%/fr/%' OR url LIKE '%/de/%' OR content IS NULL
 """)
 def extract_rejects(spark, d):
-    return P.extract_rejects(_pages(spark, d))
+    """French pages come without html, German ones without text: both are rejects."""
+    html = (F.when(F.col("url").contains("/fr/"), F.lit(None).cast("string"))
+            .when(F.col("url").contains("/de/"), "<html><script>var p;</script><p> </p></html>").otherwise(F.col("html")))
+    return P.extract_rejects(_pages(spark, d).withColumn("html", html))
 
 
 @register("page_title_content", sql=f"""
@@ -235,6 +238,7 @@ from ..functions.urls import hostname, netloc as _netloc, root_domain, strip_fra
 
 NOW = "2024-02-05 00:00:00"   # evaluation clock of the freshness queries
 FRESH_DAYS = 10               # max age used by the freshness queries
+HOST_DAYS = 5                 # of the listing by user id, where every host has an event in the last ten days
 
 _SQL_PAIRS = """
 pairs AS (SELECT a.conv_id AS conv_id, a.turn AS turn, u.text AS question, a.text AS answer
@@ -372,12 +376,12 @@ def _urls(spark, d):
 
 
 @register("fresh_hosts", sql=f"""
-SELECT user_id AS host, bool_or(ts > TIMESTAMP '{NOW}' - INTERVAL {FRESH_DAYS + 1} DAY) AS fresh
+SELECT user_id AS host, bool_or(ts > TIMESTAMP '{NOW}' - INTERVAL {HOST_DAYS + 1} DAY) AS fresh
 FROM events WHERE ts IS NOT NULL GROUP BY user_id
 """)
 def fresh_hosts(spark, d):
     ev = table(spark, d, "events")
-    return FR.fresh_hosts(ev.select(F.col("user_id").alias("host"), "ts"), NOW, FRESH_DAYS)
+    return FR.fresh_hosts(ev.select(F.col("user_id").alias("host"), "ts"), NOW, HOST_DAYS)
 
 
 @register("urls_fresh", sql="WITH " + _SQL_LISTING + f"""
@@ -697,13 +701,14 @@ def chunk_scan(spark, d):
     return SF.scan_chunks(spark, path).select("host", "url", "content")
 
 
-@register("chunk_rejects", sql="""
-SELECT CAST(NULL AS VARCHAR) AS host, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS raw
-WHERE false
-""")
+@register("chunk_rejects", sql="SELECT DISTINCT source AS host FROM documents WHERE regexp_matches(source, '[02468]$')")
 def chunk_rejects(spark, d):
-    path = _written_doc_chunks(spark, d)
-    return SF.chunk_rejects(spark, path)
+    """Hosts with chunk lines that do not parse, where the lines of every other host are cut in half."""
+    path, broken = _written_doc_chunks(spark, d), scratch_path(spark, "broken-chunks")
+    half = F.when(F.col("host").rlike("[02468]$"), F.expr("substr(value, 1, length(value) div 2)")).otherwise(F.col("value"))
+    (spark.read.format("text").schema("value string, host string").load(path).select("host", half.alias("value"))
+     .write.partitionBy("host").text(broken))
+    return SF.chunk_rejects(spark, broken).select("host").distinct()
 
 
 @register("legacy_content", sql="SELECT text AS content FROM documents")
