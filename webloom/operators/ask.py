@@ -32,36 +32,80 @@ Generator = Callable[[DataFrame], DataFrame]
 Embedder = Callable[[DataFrame], DataFrame]
 
 
+#: Up to so many hosts are named to the passage scan, which then reads their folders only.
+MAX_NAMED_HOSTS = 10_000
+
+
 def dense_hits(questions: DataFrame, passages: DataFrame, k: int, embedder: Embedder) -> DataFrame:
     """``(qid, rank, did, sim)``: the k passages nearest to each question by the
     cosine of the embedder's vectors (exact, in blocks of vectors; ``pid`` is a bigint)."""
-    qs = embedder(questions.select(F.col("qid").alias("id"), F.col("question").alias("text")))
-    ps = embedder(passages.select(F.col("pid").alias("id"), F.col("chunk").alias("text")))
+    qs, ps = _embedded(questions, passages, embedder)
     return V.knn(qs, ps, k, q_id="id", d_id="id")
 
 
+def _embedded(questions: DataFrame, passages: DataFrame, embedder: Embedder) -> tuple[DataFrame, DataFrame]:
+    return (embedder(questions.select(F.col("qid").alias("id"), F.col("question").alias("text"))),
+            embedder(passages.select(F.col("pid").alias("id"), F.col("chunk").alias("text"))))
+
+
+def dense_host_hits(questions: DataFrame, passages: DataFrame, k: int, embedder: Embedder,
+                    hosts: DataFrame | None = None) -> DataFrame:
+    """``(host, qid, rank, did, sim)``: the k nearest of each host's own passages, of the
+    question's hosts where a list is given (its vectors then meet those hosts' blocks only)."""
+    qs, ps = _embedded(questions, passages, embedder)
+    ps = ps.join(passages.select(F.col("pid").alias("id"), "host"), "id")
+    if hosts is None:
+        return V.knn_within(qs, ps, k, "host")
+    asked = qs.join(hosts.select(F.col("qid").alias("id"), "host"), "id")
+    return V.knn(asked, ps, k, q_id="id", d_id="id", scope="host")
+
+
+def asked_hosts(hosts: DataFrame) -> DataFrame:
+    """``(qid, host)`` once each; rows with a null in either are no request."""
+    return hosts.select("qid", "host").where(F.col("qid").isNotNull() & F.col("host").isNotNull()).distinct()
+
+
+def passages_of(passages: DataFrame, hosts: DataFrame, max_named: int = MAX_NAMED_HOSTS) -> DataFrame:
+    """Passages of the hosts that some question names.  Few hosts are a literal filter, which
+    prunes the folders of a table partitioned by host; beyond ``max_named`` they are joined."""
+    names = hosts.select("host").distinct()
+    few = [r.host for r in names.limit(max_named + 1).collect()]
+    if len(few) > max_named:
+        return passages.join(names, "host", "left_semi")
+    return passages.where(F.col("host").isin(few))
+
+
 def host_answers(questions: DataFrame, passages: DataFrame, k: int = C.TOP_K, *,
                  scope: str = "global", generator: Generator | None = None,
-                 embedder: Embedder | None = None) -> DataFrame:
+                 embedder: Embedder | None = None, hosts: DataFrame | None = None) -> DataFrame:
     """``(qid, host, answer_id, answer, confidence, sources, status)`` per question and host.
 
     ``questions``: ``(qid, question)``; ``passages``: ``(pid, host, source, chunk)``.
     ``scope="global"`` ranks all passages for every host (so all hosts agree);
     ``scope="host"`` ranks each host's own passages.  With an ``embedder``
-    (global scope) passages are ranked by dense vectors instead of terms.
+    passages are ranked by dense vectors instead of terms.  ``hosts``, rows
+    ``(qid, host)``, is each question's list: only these hosts' passages are ranked
+    for it, and a question that names none gets no answer.
     """
-    if embedder is not None and scope != "global":
-        raise ValueError("an embedder ranks all passages: use the global scope")
-    scores = None if embedder else R.lexical_scores(questions, passages, q_id="qid", q_text="question",
-                              d_id="pid", d_text="chunk", carry=("host",) if scope == "host" else ())
-    # rank on ids and host only; passage text joins the k winners afterwards
-    if scope == "host":
-        hits = R.top_k(scores, k, by=["qid", "host"])
-    elif scope == "global":
-        best_k = dense_hits(questions, passages, k, embedder) if embedder else R.top_k(scores, k, by="qid")
-        hits = best_k.withColumn("host", F.lit("*"))
-    else:
+    if scope not in ("global", "host"):
         raise ValueError(f"unknown scope {scope!r}")
+    by_host = scope == "host"
+    if hosts is not None:
+        hosts = asked_hosts(hosts)
+        passages = passages_of(passages, hosts)
+    if embedder is not None and hosts is None:
+        hits = (dense_host_hits if by_host else dense_hits)(questions, passages, k, embedder)
+    elif embedder is not None:
+        hits = dense_host_hits(questions, passages, k, embedder, hosts)   # global: the k best are among the hosts' k best
+        hits = hits if by_host else R.top_k(hits.drop("rank"), k, by="qid")
+    else:
+        scores = R.lexical_scores(questions, passages, q_id="qid", q_text="question", d_id="pid", d_text="chunk",
+                                  carry=("host",) if by_host or hosts is not None else ())
+        if hosts is not None:
+            scores = scores.join(hosts, ["qid", "host"], "left_semi")
+        hits = R.top_k(scores, k, by=["qid", "host"] if by_host else "qid")
+    # rank on ids and host only; passage text joins the k winners afterwards
+    hits = hits if by_host else hits.withColumn("host", F.lit("*"))
     hits = hits.join(passages.select(F.col("pid").alias("did"), "source",
                                      F.col("chunk").alias("passage")), "did")
     keys = ["qid", "host"]
@@ -104,9 +148,10 @@ def lexical_neighbourhoods(answers: DataFrame, threshold: float = C.SIMILARITY_T
 def ask(questions: DataFrame, passages: DataFrame, cache: DataFrame | None = None, *,
         k: int = C.TOP_K, scope: str = "global", threshold: float = C.SIMILARITY_THRESHOLD,
         gate: float = C.CONFIDENCE_GATE, generator: Generator | None = None,
-        embedder: Embedder | None = None) -> DataFrame:
+        embedder: Embedder | None = None, hosts: DataFrame | None = None) -> DataFrame:
     """``(qid, question, answer, sources, confidence, cached, confident)``, one row
-    per question.  Cached questions are answered from the store and skip the rest."""
+    per question.  Cached questions are answered from the store and skip the rest.
+    ``hosts`` as in ``host_answers``."""
     qs = questions.select("qid", "question")
     if cache is not None:
         # one row for each question, however often the append-only store repeats an answer
@@ -123,7 +168,7 @@ def ask(questions: DataFrame, passages: DataFrame, cache: DataFrame | None = Non
         cached, todo = None, qs
     # candidates feed four consumers: materialise once (reliable checkpoint)
     cand = cut_lineage(A.valid_answers(host_answers(todo, passages, k, scope=scope,
-                                                    generator=generator, embedder=embedder)))
+                                                    generator=generator, embedder=embedder, hosts=hosts)))
     # ties between equally large neighbourhoods go to the lowest host name
     pairs = (lexical_neighbourhoods(cand.select("qid", "answer_id", "answer"), threshold)
              .join(cand.select("qid", F.col("answer_id").alias("i"),

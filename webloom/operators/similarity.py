@@ -43,6 +43,11 @@ def _key_col(value, n: int) -> pd.Series:
     return pd.Series([value] * n)
 
 
+def _nothing(*names: str) -> pd.DataFrame:
+    """No rows; of a type that becomes the declared one, strings included."""
+    return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+
+
 def _prep(df: DataFrame, id_col: str, vec_col: str, scope: str | None) -> DataFrame:
     sc = F.col(scope) if scope else F.lit(0)
     return df.select(sc.alias(_SCOPE), F.col(id_col).cast("bigint").alias("id"),
@@ -106,7 +111,7 @@ PAIR_SCHEMA = "_scope {t}, i long, j long, sim double"
 def _pairs_fn(threshold: float):
     def fn(key, lp, rp):
         if len(lp) == 0 or len(rp) == 0:
-            return pd.DataFrame({"_scope": [], "i": [], "j": [], "sim": []})
+            return _nothing("_scope", "i", "j", "sim")
         S = _cosine_block(lp, rp)
         keep = S >= threshold
         lids, rids = lp["id"].to_numpy(), rp["id"].to_numpy()
@@ -169,7 +174,7 @@ def matches(queries: DataFrame, corpus: DataFrame, threshold: float, *, q_id: st
 
     def fn(key, qp, cp):
         if len(qp) == 0 or len(cp) == 0:
-            return pd.DataFrame({"_scope": [], "i": [], "j": [], "sim": []})
+            return _nothing("_scope", "i", "j", "sim")
         S = _cosine_block(qp, cp)
         ii, jj = np.nonzero(S >= threshold)
         return pd.DataFrame({"_scope": _key_col(key[0], len(ii)), "i": qp["id"].to_numpy()[ii],
@@ -179,13 +184,45 @@ def matches(queries: DataFrame, corpus: DataFrame, threshold: float, *, q_id: st
     return out.withColumnRenamed(_SCOPE, scope)
 
 
+def knn_within(queries: DataFrame, corpus: DataFrame, k: int, within: str, *, q_id: str = "id", d_id: str = "id",
+               vec_col: str = "embedding", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+    """``(within, qid, rank, did, sim)``: for every query the k nearest rows of each value of
+    the corpus column ``within`` (rows where it is null take no part).  Blocks are by id, so a
+    value that holds most rows is spread; a block emits at most k rows a query and value."""
+    q = _prep(queries, q_id, vec_col, None)
+    c = corpus.where(F.col(within).isNotNull()).select(
+        F.lit(0).alias(_SCOPE), F.col(d_id).cast("bigint").alias("id"), F.col(vec_col).alias("vec"), F.col(within).alias("_in"))
+    attach = _counter([(q, "q"), (c, "c")], block_rows, False)
+    left = (attach(q).withColumn("qb", _block_of("q_nb"))
+            .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("c_nb") - 1))).select("qb", "cb", "id", "vec"))
+    right = (attach(c).withColumn("cb", _block_of("c_nb"))
+             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("q_nb") - 1))).select("qb", "cb", "id", "vec", "_in"))
+
+    def fn(key, qp, cp):
+        if len(qp) == 0 or len(cp) == 0:
+            return _nothing("_in", "qid", "did", "sim")
+        S = _cosine_block(qp, cp)
+        values, code = np.unique(cp["_in"].to_numpy(dtype=object), return_inverse=True)
+        dids = cp["id"].to_numpy()
+        order = np.lexsort((np.broadcast_to(dids, S.shape), -np.round(S, 6), np.broadcast_to(code, S.shape)), axis=1)
+        # a value's rows stand at the same places of every query's order
+        by_value = np.sort(code)
+        order = order[:, np.arange(len(code)) - np.searchsorted(by_value, by_value) < k]
+        rows, cols = np.repeat(np.arange(S.shape[0]), order.shape[1]), order.ravel()
+        return pd.DataFrame({"_in": pd.Series(values[code[cols]], dtype=object), "qid": qp["id"].to_numpy()[rows], "did": dids[cols], "sim": S[rows, cols]})
+    out = (left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb"))
+           .applyInPandas(fn, f"_in {_scope_type(corpus, within)}, qid long, did long, sim double")
+           .withColumn("sim", F.round("sim", 6)))
+    return top_k(out, k, by=["qid", "_in"]).select(F.col("_in").alias(within), "qid", "rank", "did", "sim")
+
+
 KNN_SCHEMA = "_scope {t}, qid long, did long, sim double"
 
 
 def _knn_fn(k: int):
     def fn(key, qp, cp):
         if len(qp) == 0 or len(cp) == 0:
-            return pd.DataFrame({"_scope": [], "qid": [], "did": [], "sim": []})
+            return _nothing("_scope", "qid", "did", "sim")
         S = _cosine_block(qp, cp)
         R6 = np.round(S, 6)
         dids = cp["id"].to_numpy()

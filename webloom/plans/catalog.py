@@ -1,6 +1,8 @@
 """Every registered query.  Each reads whole driver tables (no id subsets)."""
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -615,6 +617,7 @@ def answer_sources(spark, d):
 from ..operators import chunks as CH  # noqa: E402
 from ..sinks import chunkfiles as KF  # noqa: E402
 from ..sources import chunkfiles as SF  # noqa: E402
+from ..sources import listing as LS  # noqa: E402
 
 ASSIGN_LIMIT = 20_000  # flush size for the registered chunk queries (hosts here are small)
 
@@ -723,7 +726,27 @@ def index_idempotent(spark, d):
     path = scratch_path(spark, "index")
     ST.append_index(chunks, path)
     ST.append_index(chunks, path)   # a second load adds nothing
-    return spark.read.parquet(path)
+    return ST.read_index(spark, path)
+
+
+def _stored_files(spark, d):
+    """The chunk files of the hosts that ``events`` lists as fresh, as the file system lists them."""
+    recs = P.page_records(_pages(spark, d), RUN_TS)
+    recs = recs.join(FR.fresh_host_set(_listing(spark, d), NOW, FRESH_DAYS), "host", "left_semi").withColumn("chunk_no", F.lit(0))
+    path = scratch_path(spark, "listed-chunks")
+    KF.write_chunk_files(recs, path)
+    return LS.file_listing(spark, path)
+
+
+@register("urls_fresh_files", sql=ORACLE_SQL["urls_fresh"])
+def urls_fresh_files(spark, d):
+    """URLs whose host has a chunk file written in the last days, by the files' own times."""
+    return FR.split_urls(_urls(spark, d), _stored_files(spark, d), dt.datetime.now(dt.timezone.utc), FRESH_DAYS)[0]
+
+
+@register("urls_stale_files", sql=ORACLE_SQL["urls_stale"])
+def urls_stale_files(spark, d):
+    return FR.split_urls(_urls(spark, d), _stored_files(spark, d), dt.datetime.now(dt.timezone.utc), FRESH_DAYS)[1]
 
 
 # ---------------------------------------------------------------- M5: frontier
@@ -855,6 +878,7 @@ def crawl_fixpoint(spark, d):
 
 # ---------------------------------------------------------------- M6: ask
 from ..operators import ask as AK  # noqa: E402
+from ..operators import embed as EM  # noqa: E402
 
 
 def _passages(spark, d):
@@ -890,7 +914,7 @@ def stream_ingest(spark, d):
     q = SI.ingest_chunk_files(spark, src, index, scratch_path(spark, "stream-ingest-ckpt"),
                               files_per_batch=8)
     q.awaitTermination()
-    return spark.read.parquet(index)
+    return ST.read_index(spark, index)
 
 
 @register("stream_chunk_assign", sql=ORACLE_SQL["chunk_assign"])
@@ -934,9 +958,9 @@ def stream_feedback(spark, d):
                                            F.col("value").alias("rating")))
     out = scratch_path(spark, "stream-feedback")
     with state_partitions(spark):
-        q = SFB.write_snapshot(stats, out, scratch_path(spark, "stream-feedback-ckpt"))
+        q = SFB.write_changes(stats, out, scratch_path(spark, "stream-feedback-ckpt"))
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return SFB.latest_feedback(spark, out)
 
 
 from ..streaming import dedup as SD  # noqa: E402
@@ -965,9 +989,9 @@ def stream_distinct_pages(spark, d):
 
 
 # ---------------------------------------------------------------- ask over whole documents
-_SQL_ASK_DOCS = "WITH " + _SQL_TERMS + r""",
+_SQL_ASK_HOSTS = r""",
 sh AS (SELECT s.qid, s.did, s.sim, d.source AS host, d.text AS passage
-       FROM scored s JOIN documents d ON d.doc_id = s.did),
+       FROM scored s JOIN documents d ON d.doc_id = s.did{listed}),
 hr AS (SELECT *, row_number() OVER (PARTITION BY qid, host ORDER BY sim DESC, did) AS hrank FROM sh),
 cand AS (SELECT qid, host, passage AS answer, sim AS confidence FROM hr
          WHERE hrank = 1 AND passage IS NOT NULL AND passage <> ''),
@@ -1009,13 +1033,66 @@ LEFT JOIN srcs ON srcs.qid = b.item_id
 """
 
 
-@register("ask_documents", sql=_SQL_ASK_DOCS)
+def _sql_ask_hosts(terms, listed=""):
+    return "WITH " + terms + _SQL_ASK_HOSTS.replace("{listed}", listed)
+
+
+def _doc_passages(spark, d):
+    """Each document one passage, its source the host."""
+    return table(spark, d, "documents", spread=True).select(
+        F.col("doc_id").alias("pid"), F.col("source").alias("host"), "source", F.col("text").alias("chunk"))
+
+
+@register("ask_documents", sql=_sql_ask_hosts(_SQL_TERMS))
 def ask_documents(spark, d):
     """The whole ask pass with each document one passage and its source the host."""
-    docs = table(spark, d, "documents", spread=True)
-    passages = docs.select(F.col("doc_id").alias("pid"), F.col("source").alias("host"), "source",
-                           F.col("text").alias("chunk"))
-    return AK.ask(_bench_questions(spark, d), passages, None, scope="host")
+    return AK.ask(_bench_questions(spark, d), _doc_passages(spark, d), None, scope="host")
+
+
+#: Hosts that a question asks, by its number: lists of unequal length, some of one host, some with hosts that hold nothing.
+_SQL_LISTED = """
+ JOIN (SELECT item_id, 'src' || CAST((item_id * 7 + unnest(range(0, 1 + item_id % 6)) * 3) % 24 AS VARCHAR) AS host
+       FROM benchmark) l ON l.item_id = s.qid AND l.host = d.source"""
+
+
+def _listed_hosts(spark, d):
+    i = F.explode(F.sequence(F.lit(0), F.col("item_id") % 6)).alias("i")
+    return (table(spark, d, "benchmark").select("item_id", i)
+            .select(F.col("item_id").alias("qid"),
+                    F.concat(F.lit("src"), ((F.col("item_id") * 7 + F.col("i") * 3) % 24).cast("string")).alias("host")))
+
+
+@register("ask_listed_hosts", sql=_sql_ask_hosts(_SQL_TERMS, _SQL_LISTED))
+def ask_listed_hosts(spark, d):
+    """Each question asks the hosts of its own list."""
+    return AK.ask(_bench_questions(spark, d), _doc_passages(spark, d), None, scope="host", hosts=_listed_hosts(spark, d))
+
+
+_SQL_DENSE = f"""
+qv AS (SELECT id, h % {EM.WIDTH} AS k, sum(tf * (1 - 2 * ((h // {EM.WIDTH}) % 2))) AS v
+       FROM (SELECT *, CAST('0x' || md5(token)[1:8] AS BIGINT) AS h FROM qt) GROUP BY 1, 2),
+dv AS (SELECT id, h % {EM.WIDTH} AS k, sum(tf * (1 - 2 * ((h // {EM.WIDTH}) % 2))) AS v
+       FROM (SELECT *, CAST('0x' || md5(token)[1:8] AS BIGINT) AS h FROM dt) GROUP BY 1, 2),
+qn AS (SELECT id, sqrt(sum(v * v)) AS norm FROM qv GROUP BY id),
+dn AS (SELECT id, sqrt(sum(v * v)) AS norm FROM dv GROUP BY id),
+dots AS (SELECT qv.id AS qid, dv.id AS did, sum(qv.v * dv.v) AS dot FROM qv JOIN dv ON qv.k = dv.k GROUP BY 1, 2),
+scored AS (SELECT qn.id AS qid, dn.id AS did, CASE WHEN qn.norm * dn.norm > 0
+                  THEN round(coalesce(dot, 0) / (qn.norm * dn.norm), 6) ELSE 0.0 END AS sim
+           FROM qn CROSS JOIN dn LEFT JOIN dots ON dots.qid = qn.id AND dots.did = dn.id)
+"""
+
+
+@register("ask_dense_hosts", sql=_sql_ask_hosts(_SQL_TERMS[:_SQL_TERMS.index("qn AS")] + _SQL_DENSE))
+def ask_dense_hosts(spark, d):
+    """The nearest passages of every host by hashed vectors."""
+    return AK.ask(_bench_questions(spark, d), _doc_passages(spark, d), None, scope="host", embedder=EM.hashing_embedder())
+
+
+@register("ask_dense_listed", sql=_sql_ask_hosts(_SQL_TERMS[:_SQL_TERMS.index("qn AS")] + _SQL_DENSE, _SQL_LISTED))
+def ask_dense_listed(spark, d):
+    """As ``ask_dense_hosts``, where a question's vector meets the vectors of its listed hosts only."""
+    return AK.ask(_bench_questions(spark, d), _doc_passages(spark, d), None, scope="host",
+                  embedder=EM.hashing_embedder(), hosts=_listed_hosts(spark, d))
 
 
 @register("ask_global", sql="WITH " + _SQL_TERMS + """,
@@ -1034,10 +1111,7 @@ FROM benchmark b LEFT JOIN top1 ON top1.qid = b.item_id LEFT JOIN srcs ON srcs.q
 def ask_global(spark, d):
     """The ask pass with the reference's global retrieval: all hosts share the
     4 nearest documents, so the hosts' answers coincide."""
-    docs = table(spark, d, "documents", spread=True)
-    passages = docs.select(F.col("doc_id").alias("pid"), F.col("source").alias("host"), "source",
-                           F.col("text").alias("chunk"))
-    return AK.ask(_bench_questions(spark, d), passages, None, scope="global")
+    return AK.ask(_bench_questions(spark, d), _doc_passages(spark, d), None, scope="global")
 
 
 # ---------------------------------------------------------------- the whole question flow

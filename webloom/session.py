@@ -51,18 +51,30 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def refuse_local(master: str, uri: str) -> None:
+    """An error where scratch tables would go to each machine's own disk."""
+    if uri.startswith("file:") and not master.startswith("local"):
+        raise RuntimeError(f"the default file system of this cluster is {uri}, which machines do not share: "
+                           "set spark.checkpoint.dir to a shared folder")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only if unset."""
     sc = _context(spark)
     if sc is None:   # Connect: the server's configured folder
-        return spark.conf.get("spark.checkpoint.dir", None) or ""
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf_dir:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:     # the cluster's default file system, not this machine's temp folder
         fs = sc._jvm.org.apache.hadoop.fs.FileSystem.get(sc._jsc.hadoopConfiguration())
-        conf_dir = f"{fs.getUri().toString().rstrip('/')}/tmp/webloom-{sc.applicationId}"
+        base = fs.getUri().toString()
+        refuse_local(sc.master, base)
+        conf_dir = f"{base.rstrip('/')}/tmp/webloom-{sc.applicationId}"
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
@@ -97,6 +109,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     return df.repartition(int(n)) if n else df
 
 
+def remove_path(spark: SparkSession, path: str) -> bool:
+    """Delete a folder through the cluster's Hadoop file system; whether it was there."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (never machine-local
     on a cluster: the checkpoint folder is the cluster's shared one)."""
