@@ -63,3 +63,46 @@ def test_every_order_is_as_likely(spark):
         for r in shuffle(df, shards=3, seed=seed, block_rows=5).where("slot = 0").collect():
             first[r.id] += 1
     assert sum(first.values()) == 60 and max(first.values()) < 12
+
+
+def test_parts_change_neither_the_draws_nor_the_plan(spark, monkeypatch):
+    df = spark.range(3000).repartition(3)
+    drawn = []
+    kept = CommunicationMatrix.__init__
+    monkeypatch.setattr(CommunicationMatrix, "__init__", lambda self, b, columns, seed: (drawn.append(len(columns)), kept(self, b, columns, seed))[1])
+    plans = [shuffle(df, shards=4, block_rows=100, part_rows=n)._jdf.queryExecution().optimizedPlan().toString() for n in (100, 2)]
+    assert drawn == [4, 4]
+    assert abs(len(plans[0]) - len(plans[1])) < 200
+
+
+def test_parts_of_any_number_hold_the_same_shards(spark):
+    rows = [(i, "x" * (i % 5)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(3)
+    one, many = (shuffle(df, shards=5, block_rows=64, part_rows=n).collect() for n in (1 << 20, 3))
+    assert {(r.doc_id, r.shard) for r in one} == {(r.doc_id, r.shard) for r in many}
+    for s in range(5):
+        assert sorted(r.slot for r in many if r.shard == s) == list(range(400))
+
+
+def test_slots_do_not_follow_the_input_order(spark):
+    got = shuffle(spark.range(4000).coalesce(1), shards=2, block_rows=64, part_rows=50).collect()
+    for s in range(2):
+        ids = [r.id for r in sorted((r for r in got if r.shard == s), key=lambda r: r.slot)]
+        assert abs(np.corrcoef(ids, np.arange(len(ids)))[0, 1]) < 0.08
+
+
+def test_columns_of_the_added_names_are_replaced(spark):
+    df = spark.createDataFrame([(i, "old", -1, 5) for i in range(20)], "doc_id long, Shard string, slot int, row_part int")
+    out = shuffle(df, shards=4)
+    assert out.columns == ["doc_id", "row_part", "shard", "slot"]
+    assert {(r.shard, r.slot) for r in out.collect()} == {(s, i) for s in range(4) for i in range(5)}
+
+
+def test_sizes_and_digests_of_the_query(spark):
+    import duckdb
+    import zlib
+    import __spark_entry__ as E
+    d = "/root/testdata/sf0.001"
+    want = duckdb.sql(f"SELECT doc_id, strlen(coalesce(text, '')) + 16, coalesce(text, '') FROM '{d}/documents.parquet'").fetchall()
+    got = E.queries()["op7_sharding"](spark, d).collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == sorted((i, n, zlib.crc32(t.encode())) for i, n, t in want)

@@ -14,16 +14,19 @@ matrix with the blocks' row counts and the shards' sizes as margins.
 3. Each block permutes its rows and deals them out by its matrix row.
 4. Rows are exchanged, and permuted again inside each shard, which gives slots.
 
-Shards of more than ``part_rows`` rows are columns of several parts, so that
-no task sorts more than ``part_rows`` rows.
+The matrix has a column for each shard, so a block's draw does not grow with the
+data.  The second permutation orders a shard by a random key.  Ranges of that key
+are a shard's parts, each sorted by a task of its own and of about ``part_rows``
+rows; the rows of earlier parts, from a table of counts, are added to its slots.
 
 Defined results: shard sizes are at most one row apart; any rows, also equal
 ones and nulls, are dealt one by one; an empty table gives no rows; all columns
-are kept, the names of the added ones must be new.
+are kept, but columns named ``shard`` or ``slot`` are replaced by the new ones.
 """
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -96,43 +99,53 @@ def exact_sizes(total: int, parts: int) -> np.ndarray:
     return total // parts + (np.arange(parts) < total % parts)
 
 
+def _new(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def shuffle(docs: DataFrame, shards: int = 40, seed: int = 7, block_rows: int = 1 << 16,
             part_rows: int = 1 << 17) -> DataFrame:
     """All columns of ``docs`` with ``shard`` and ``slot`` (gapless from 0)."""
     spark = docs.sparkSession
-    at = "row_at"
-    while at in docs.columns:
-        at += "_"
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("shard", "slot")])
+    at, key, part = (_new(docs, name) for name in ("row_at", "row_key", "row_part"))
     staged = materialise(docs.withColumn(at, F.monotonically_increasing_id()), "staged")
-    # a coordinate: writing task above bit 33, row below
-    block = F.struct(F.shiftright(at, 33).alias("part"),
-                     F.floor(F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) / block_rows).cast("long").alias("block"))
-    counts = staged.groupBy(block.alias("b")).count().select("b.part", "b.block", "count").orderBy("part", "block").toArrow()
-    part, number, rows = (counts[c].to_numpy() for c in ("part", "block", "count"))   # one for each block
+    # a coordinate: writing task above bit 33, row below; a block's number is its task and its place there
+    block = (F.shiftright(at, 33) * (1 << 33) + F.floor(F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) / block_rows)).cast("long")
+    counts = staged.groupBy(block.alias("b")).count().orderBy("b").toArrow()      # one row for each block
+    blocks, rows = counts["b"].to_numpy(), counts["count"].to_numpy()
     sizes = exact_sizes(int(rows.sum()), shards)
     parts = max(1, -(-int(sizes.max(initial=0)) // part_rows))
-    columns = np.concatenate([exact_sizes(int(s), parts) for s in sizes]).astype(np.int64)
-    matrix = CommunicationMatrix(rows, columns, seed)
-    index = {(p, b): i for i, (p, b) in enumerate(zip(part.tolist(), number.tolist()))}
-    shared = spark.sparkContext.broadcast((matrix, index))
+    shared = spark.sparkContext.broadcast((CommunicationMatrix(rows, sizes, seed), blocks))
 
     @F.pandas_udf("int")
-    def column(places: pd.Series) -> pd.Series:
-        m, blocks = shared.value
-        p = places.to_numpy()
-        row = p & ((1 << 33) - 1)
-        key = (p >> 33 << 33) + row // block_rows
-        out = np.zeros(len(p), np.int32)
-        for k in np.unique(key):
-            mine = key == k
-            i = blocks[int(k) >> 33, int(k) & ((1 << 33) - 1)]
-            out[mine] = m.deal(i)[row[mine] % block_rows]
-        return pd.Series(out)
-
-    dealt = staged.withColumn("shard", column(at))
-    order = SparkWindow.partitionBy("shard").orderBy(F.xxhash64(at, F.lit(seed)), at)
-    slot = F.row_number().over(order).cast("long") - 1
-    first = np.concatenate([np.cumsum(c) - c for c in columns.reshape(shards, parts)])
-    offset = F.element_at(F.array(*[F.lit(int(x)) for x in first]), F.col("shard") + 1).cast("long")
-    return (dealt.withColumn("slot", slot).withColumn("slot", F.col("slot") + offset)
-            .withColumn("shard", F.floor(F.col("shard") / parts).cast("int")).drop(at))
+    def shard_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m, numbers = shared.value
+        i, dealt = -1, None          # the block that the last row was of
+        for places in batches:
+            p = places.to_numpy()
+            row = p & ((1 << 33) - 1)
+            mine = np.searchsorted(numbers, (p >> 33 << 33) + row // block_rows)
+            out = np.zeros(len(p), np.int32)
+            for k in np.unique(mine).tolist():
+                if k != i:
+                    i, dealt = k, m.deal(k)
+                here = mine == k
+                out[here] = dealt[row[here] % block_rows]
+            yield pd.Series(out)
+
+    h = F.xxhash64(at, F.lit(seed))
+    dealt = (staged.withColumn("shard", shard_of(at)).withColumn(key, h)
+             .withColumn(part, F.floor(F.shiftrightunsigned(h, 11) / float(1 << 53) * parts).cast("int")))
+    slot = F.row_number().over(SparkWindow.partitionBy("shard", part).orderBy(key, at)).cast("long") - 1
+    placed = dealt.withColumn("slot", slot)
+    if parts > 1:
+        first, before = _new(docs, "part_first"), SparkWindow.partitionBy("shard").orderBy(part).rowsBetween(SparkWindow.unboundedPreceding, -1)
+        # a row for each part: counted from coordinates alone, without the other columns
+        held = (dealt.select("shard", part).groupBy("shard", part).count()
+                .select("shard", part, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(first)))
+        placed = (placed.join(held, ["shard", part]).withColumn("slot", F.col("slot") + F.col(first)))
+    return placed.select(*docs.columns, "shard", "slot")
