@@ -49,7 +49,7 @@ def corpus():
 
 def run(spark, rows, **kw):
     df = spark.createDataFrame([(d, t, 1, "z") for d, t in rows], "doc_id long, text string, n int, node string")
-    return sorted((tuple(x) for x in jaccard_classes(df, buckets=1 << 14, bits=1 << 16, **kw).collect()), key=str)
+    return sorted((tuple(x) for x in jaccard_classes(df, buckets=1 << 14, **kw).collect()), key=str)
 
 
 def test_matches_brute_force(spark):
@@ -57,6 +57,11 @@ def test_matches_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_semi_joins_beyond_the_filters(spark):
+    rows = corpus()
+    assert run(spark, rows, bits=1 << 8) == brute(rows)
+
+
 def test_five_words_lower_threshold(spark):
     rows = corpus()
     assert run(spark, rows, n=5, num=80, fragments=3) == brute(rows, 5, 80)
@@ -69,10 +74,11 @@ def test_empty_table(spark):
 def test_components(spark):
     r = random.Random(5)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1040)]
-    got = {x.node: x.comp for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    table = spark.createDataFrame(links, "a long, b long").repartition(7)
     root = {v: v for e in links if e[0] != e[1] for v in e}
     for _ in range(len(root)):
         for a, b in links:
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
-    assert got == root
+    for block in (40, 1 << 17):     # many blocks, one
+        assert {x.node: x.comp for x in components(table, block).collect()} == root

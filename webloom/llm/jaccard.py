@@ -163,8 +163,19 @@ def _pivots(sets: DataFrame, fragments: int) -> np.ndarray:
     return np.array(found or [0] * (fragments - 1), np.int64)
 
 
-def _candidates(classes: DataFrame, shared_grams: Bloom) -> DataFrame:
+def _filter(keys: DataFrame, column: str, bits: int) -> Bloom | None:
+    """A filter of 16 bits for each of the stored keys; None where that is more
+    than ``bits``, as the keys are then too many to be sent to all tasks."""
+    need = 1 << max(12, (16 * keys.count()).bit_length())
+    return Bloom(need).build(keys, column) if need <= bits else None
+
+
+def _candidates(classes: DataFrame, several: DataFrame, bits: int) -> DataFrame:
     """(token, node, n, pos): prefix n-grams that may be in several classes."""
+    shared_grams = _filter(several, "token", bits)
+    if shared_grams is None:
+        rows = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+        return rows.select("token", "node", "n", F.col("pos").cast("long").alias("pos")).join(several, "token", "left_semi")
     shared = classes.sparkSession.sparkContext.broadcast(shared_grams)
 
     def job(batches):
@@ -181,14 +192,17 @@ def _candidates(classes: DataFrame, shared_grams: Bloom) -> DataFrame:
     return classes.select("prefix", "node", "n").mapInArrow(job, "token long, node binary, n long, pos long")
 
 
-def _segments(docs: DataFrame, n: int, order: Order, wanted: Bloom, pivots: np.ndarray) -> DataFrame:
+def _segments(docs: DataFrame, n: int, order: Order, codes: DataFrame, bits: int, pivots: np.ndarray) -> DataFrame:
     """(node, fragment, keys) of the wanted representatives, read from their texts."""
+    wanted = _filter(codes, "code", bits)
+    if wanted is None:
+        docs = docs.join(codes, "code", "left_semi")
     shared = docs.sparkSession.sparkContext.broadcast((order, wanted))
 
     def job(batches):
         ranks, bloom = shared.value
         for b in batches:
-            few = b.filter(pa.array(bloom.has(b["code"].to_numpy())))
+            few = b.filter(pa.array(bloom.has(b["code"].to_numpy()))) if bloom else b
             nodes, frags, keys = [], [], []
             for _row, k, h in _sets(few["text"], n, ranks):
                 cut = np.searchsorted(k, pivots)
@@ -241,8 +255,9 @@ def _components(docs: DataFrame, n: int, num: int, den: int, fragments: int, buc
         sets.where("n > 0").withColumn("key", key).groupBy("node").agg(
             F.min("key").alias("rep"), F.max("n").alias("n"), F.min_by("code", "key").alias("code"),
             F.min_by("prefix", "key").alias("prefix")), "classes")
-    several = classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
-    cand = materialise(_candidates(classes, Bloom(bits).build(several, "token")), "candidates")
+    several = materialise(classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c"))
+                          .where("c > 1").select("token"), "shared-grams")
+    cand = materialise(_candidates(classes, several, bits), "candidates")
     # n-grams with the same classes make the same pairs: the first of them is enough, as it is
     # the first one (of those) that any two of its classes share
     members = [F.expr(f"bit_xor(xxhash64(node, {seed}))").alias(f"m{seed}") for seed in (1, 2)]
@@ -262,8 +277,8 @@ def _components(docs: DataFrame, n: int, num: int, den: int, fragments: int, buc
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that are links, their texts read again."""
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = Bloom(bits).build(classes.join(nodes, "node", "left_semi").select("code"), "code")
-        segments = materialise(_segments(keyed, n, order, wanted, pivots), "segments")
+        codes = materialise(classes.join(nodes, "node", "left_semi").select("code"), "wanted")
+        segments = materialise(_segments(keyed, n, order, codes, bits, pivots), "segments")
         return materialise(_links(pairs, segments, fragments, num, den), "verified")
 
     links = verified(star)
@@ -284,8 +299,11 @@ def _components(docs: DataFrame, n: int, num: int, den: int, fragments: int, buc
 
 
 def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, fragments: int = 8,
-                    buckets: int = 1 << 22, bits: int = 1 << 26) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (see module docstring)."""
+                    buckets: int = 1 << 22, bits: int = 1 << 28) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (see module docstring).
+
+    Filters take 16 bits for each counted key, ``bits`` at most; beyond that
+    the same rows are found by a semi join."""
     sets, comps = _components(docs, n, num, den, fragments, buckets, bits)
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("component_id") < _NO_ID, F.col("component_id")))
     return sets.select("doc_id", "n", "node").join(comps, "node", "left").select(
@@ -293,7 +311,7 @@ def jaccard_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
 
 
 def one_of_each(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, fragments: int = 8,
-                buckets: int = 1 << 22, bits: int = 1 << 26) -> DataFrame:
+                buckets: int = 1 << 22, bits: int = 1 << 28) -> DataFrame:
     """The documents without their near copies, all columns kept: of each
     component the row of smallest doc_id stays, and every row without words;
     rows that repeat both doc_id and text are one."""
