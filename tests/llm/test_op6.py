@@ -27,6 +27,7 @@ def test_rates_solve_the_least_squares(spark, target):
         r = np.maximum(0, r - n * (p @ v))
     x = n[:, None] * p
     goal = np.array(target) * n.sum()
+    assert np.isclose(steps.residual, np.abs(r @ x - goal).max() / n.sum(), atol=1e-9)
     assert (r >= 0).all() and np.linalg.norm(r @ x - goal) <= nnls_residual(x, goal) + 0.02 * n.sum()
 
 
@@ -43,6 +44,7 @@ def test_totals_meet_targets(spark):
     assert np.allclose(p.sum(1), 1) and rows[0].domains == ["clean", "low", "toxic"]
     got = (r * n) @ p / n.sum()
     assert np.allclose(got, [0.8, 0.1, 0.1], atol=1e-4)
+    assert np.isclose(rows[0].residual, np.abs(got - [0.8, 0.1, 0.1]).max(), atol=1e-9)
     truth = {x.doc_id: x.domain for x in domains(labels).collect()}
     right = [rows[i].domains[int(p[i].argmax())] == truth[rows[i].doc_id] for i in range(len(rows)) if rows[i].doc_id in truth]
     assert np.mean(right) > 0.85

@@ -144,9 +144,16 @@ def _rate(steps: list[np.ndarray], n: str = "_n", p: str = "_p") -> Column:
     return r
 
 
-def fit_rates(table: DataFrame, target: np.ndarray, steps: int = 40, tolerance: float = 1e-6) -> list[np.ndarray]:
+class Steps(list):
+    """The steps taken, and the largest miss of a target they leave, as a share
+    of all tokens."""
+    residual = 0.0
+
+
+def fit_rates(table: DataFrame, target: np.ndarray, steps: int = 40, tolerance: float = 1e-6) -> Steps:
     """Projected-gradient steps over the stored table (_n, _p) until the
-    expected totals meet ``target`` (a share of all tokens for each domain)."""
+    expected totals meet ``target`` (a share of all tokens for each domain), or
+    ``steps`` are taken; their ``residual`` says what is missed."""
     k = len(target)
     x = [F.col("_n") * F.col("_p")[j] for j in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -161,7 +168,7 @@ def fit_rates(table: DataFrame, target: np.ndarray, steps: int = 40, tolerance:
             moments[i, j] = moments[j, i] = v
         return values[:k], moments, float(values[-1])
 
-    taken: list[np.ndarray] = []
+    taken = Steps()
     totals, moments, tokens = sums(taken)
     goal = np.asarray(target, float) * tokens
     # damping turns the scaled step into a short plain gradient step, which never fails
@@ -176,6 +183,7 @@ def fit_rates(table: DataFrame, target: np.ndarray, steps: int = 40, tolerance:
             (totals, moments, _), damping = after, damping / 10
         else:
             damping = max(10 * damping, least)
+    taken.residual = float(np.abs(totals - goal).max() / max(tokens, 1.0))
     return taken
 
 
@@ -185,11 +193,12 @@ def _goal(names: list[str], target: dict[str, float]) -> np.ndarray:
 
 
 def rates(docs: DataFrame, labels: DataFrame, target: dict[str, float], sample: int = 20_000) -> DataFrame:
-    """Per row: doc_id, n_tokens, domains (names), posterior, rate."""
+    """Per row: doc_id, n_tokens, domains (names), posterior, rate, and residual:
+    the largest miss of a target by all rates, as a share of all tokens."""
     table, model, steps = _fit(docs, labels, target, sample)
     names = F.array(*[F.lit(x) for x in (model.names if model else [])]).cast("array<string>")
     return table.select("doc_id", F.col("_n").alias("n_tokens"), names.alias("domains"), F.col("_p").alias("posterior"),
-                        _rate(steps).alias("rate"))
+                        _rate(steps).alias("rate"), F.lit(steps.residual).alias("residual"))
 
 
 def _fit(docs: DataFrame, labels: DataFrame, target: dict[str, float], sample: int):
@@ -197,7 +206,7 @@ def _fit(docs: DataFrame, labels: DataFrame, target: dict[str, float], sample: i
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if model is None:
         empty = _read(keyed, "text", ["doc_id"]).select("doc_id", "_n", F.array().cast("array<double>").alias("_p"))
-        return materialise(empty, "posteriors"), None, []
+        return materialise(empty, "posteriors"), None, Steps()
     rows = _read(keyed, "text", ["doc_id"]).select("doc_id", "_n", model.posterior().alias("_l"))
     table = materialise(_softmax(rows, len(model.names)), "posteriors")
     return table, model, fit_rates(table, _goal(model.names, target))
