@@ -26,7 +26,7 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
 
 
 def test_each_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and set(ORACLE_SQL) <= set(E.oracle_sql())
 
 
@@ -37,7 +37,7 @@ def test_whole_tables(spark, name):
     assert COLUMNS.get(name, set()) <= set(df.columns)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in FORBIDDEN)
-    if name not in ("op1_decontamination", "op2_warc_revisits", "op12_packing"):
+    if name not in ("op1_decontamination", "op2_warc_revisits", "op12_packing", "rules_ablation"):
         assert len(rows) == spark.read.parquet(f"{SF001}/documents.parquet").count()
     if name in ORACLE_SQL:
         con = duckdb.connect()

@@ -1,6 +1,9 @@
 """The registered queries of the operators, over whole tables."""
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import (decontaminate, fim, importance, jaccard, mixing, packing, quality, repeats, revisits, rules, shards,
@@ -144,7 +147,7 @@ def op2_warc_revisits(spark, d):
                       revisits.header_lines(F.col("headers")).alias("headers"), "payload")
 
 
-@_register("op3_quality_rules", sql=f"""
+_SQL_LEDGER = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_SQL_WORDS} AS w FROM documents),
 p AS (SELECT doc_id, i, w[i:i + 7] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM p),
@@ -164,6 +167,10 @@ f AS (
     + 64 * (n_upper * 100 > word_chars * 30)::INT + 128 * (n_marks * 100 > n_words * 25)::INT
     + 256 * (n_same * 100 > n_words * 25)::INT AS failed
   FROM m)
+"""
+
+
+@_register("op3_quality_rules", sql=_SQL_LEDGER + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        (failed & {rules.mask(rules.POLICIES["v2"])}) = 0 AS kept, failed::BIGINT AS failed
 FROM f
@@ -174,6 +181,22 @@ def op3_quality_rules(spark, d):
                           (~rules.passes("base")).alias("base_failed"), rules.passes("v2").alias("kept"), "failed")
 
 
+_SQL_POLICIES = ",\n".join(f"('{policy}', '{rule}', {rules.mask([rule])}, {rules.mask(names)})"
+                           for policy, names in rules.POLICIES.items() for rule in names)
+
+
+@_register("rules_ablation", sql=_SQL_LEDGER + f""",
+r(policy, rule, bit, mask) AS (VALUES {_SQL_POLICIES})
+SELECT policy, rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & mask = bit) AS n_only,
+       count(*) FILTER (failed & (mask - bit) = 0) AS n_kept_without
+FROM f CROSS JOIN r GROUP BY policy, rule
+""")
+def rules_ablation(spark, d):
+    entries = rules.ledger(read_table(spark, d, "documents"))
+    each = [rules.ablations(entries, p).select(F.lit(p).alias("policy"), "*") for p in rules.POLICIES]
+    return reduce(DataFrame.unionByName, each)
+
+
 #: Shares of the mixture's expected tokens.
 TARGET = {"clean": 0.93, "toxic": 0.05, "low": 0.02}
 
