@@ -1,6 +1,8 @@
 import datetime as dt
+import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from webloom import constants as C
@@ -66,6 +68,30 @@ def test_fresh_first_flow(spark):
     assert [r.question for r in stored.collect()] == ["blue whale"]
 
 
+@pytest.mark.parametrize("scope", ["global", "host"])
+def test_fresh_first_flow_scores_once_and_equals_two_passes(spark, monkeypatch, scope):
+    from webloom.operators import retrieval as R
+    from webloom.operators.ask import ask_fresh_first
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice("red fox blue whale green leaf sea sky tree".split()) for _ in range(n))
+    now = dt.datetime(2024, 2, 1)
+    passages = spark.createDataFrame([(i, f"h{r.randrange(6)}", f"s{i}", text(r.randint(1, 6))) for i in range(80)],
+                                     "pid long, host string, source string, chunk string")
+    listing = spark.createDataFrame([(f"h{i}", now - dt.timedelta(days=90 * (i % 2))) for i in range(5)], "host string, ts timestamp")
+    qs = spark.createDataFrame([(i, text(3)) for i in range(12)] + [(90, "zzz"), (91, "kept")], "qid long, question string")
+    store = A.answer_rows(spark.createDataFrame([("kept", "stored")], "question string, answer string"), ts="2024-01-01 00:00:00")
+    calls = []
+    scored = R.lexical_scores
+    monkeypatch.setattr(R, "lexical_scores", lambda *a, **kw: (calls.append(kw["d_text"]), scored(*a, **kw))[1])
+    got = {x.qid: x for x in ask_fresh_first(qs, passages, listing, now, store, scope=scope, gate=0.8).collect()}
+    assert calls.count("chunk") == 1
+    first = ask(qs, passages.where("host IN ('h0', 'h2', 'h4')"), store, scope=scope, gate=0.8)
+    want = {x.qid: (x.answer, x.sources, x.confidence) for x in ask(qs, passages, None, scope=scope, gate=0.8).collect()}
+    want |= {x.qid: (x.answer, x.sources, x.confidence) for x in first.collect() if x.cached or x.confident}
+    assert {q: (x.answer, x.sources, x.confidence) for q, x in got.items()} == want
+    assert {x.stage for x in got.values()} == {"cache", "fresh", "all"}
+
+
 def test_repeated_store_rows_answer_once(spark):
     qs = spark.createDataFrame([(1, "cached question")], "qid long, question string")
     row = A.answer_rows(spark.createDataFrame([("cached question", "stored answer")], "question string, answer string"),

@@ -77,7 +77,8 @@ def passages_of(passages: DataFrame, hosts: DataFrame, max_named: int = MAX_NAME
 
 def host_answers(questions: DataFrame, passages: DataFrame, k: int = C.TOP_K, *,
                  scope: str = "global", generator: Generator | None = None,
-                 embedder: Embedder | None = None, hosts: DataFrame | None = None) -> DataFrame:
+                 embedder: Embedder | None = None, hosts: DataFrame | None = None,
+                 hits: DataFrame | None = None) -> DataFrame:
     """``(qid, host, answer_id, answer, confidence, sources, status)`` per question and host.
 
     ``questions``: ``(qid, question)``; ``passages``: ``(pid, host, source, chunk)``.
@@ -85,7 +86,8 @@ def host_answers(questions: DataFrame, passages: DataFrame, k: int = C.TOP_K, *,
     ``scope="host"`` ranks each host's own passages.  With an ``embedder``
     passages are ranked by dense vectors instead of terms.  ``hosts``, rows
     ``(qid, host)``, is each question's list: only these hosts' passages are ranked
-    for it, and a question that names none gets no answer.
+    for it, and a question that names none gets no answer.  ``hits``, rows ``(qid, [host,]
+    rank, did, sim)``, are passages that were ranked before: nothing is scored then.
     """
     if scope not in ("global", "host"):
         raise ValueError(f"unknown scope {scope!r}")
@@ -93,7 +95,9 @@ def host_answers(questions: DataFrame, passages: DataFrame, k: int = C.TOP_K, *,
     if hosts is not None:
         hosts = asked_hosts(hosts)
         passages = passages_of(passages, hosts)
-    if embedder is not None and hosts is None:
+    if hits is not None:
+        pass
+    elif embedder is not None and hosts is None:
         hits = (dense_host_hits if by_host else dense_hits)(questions, passages, k, embedder)
     elif embedder is not None:
         hits = dense_host_hits(questions, passages, k, embedder, hosts)   # global: the k best are among the hosts' k best
@@ -105,7 +109,7 @@ def host_answers(questions: DataFrame, passages: DataFrame, k: int = C.TOP_K, *,
             scores = scores.join(hosts, ["qid", "host"], "left_semi")
         hits = R.top_k(scores, k, by=["qid", "host"] if by_host else "qid")
     # rank on ids and host only; passage text joins the k winners afterwards
-    hits = hits if by_host else hits.withColumn("host", F.lit("*"))
+    hits = hits.select("qid", "host" if by_host else F.lit("*").alias("host"), "rank", "did", "sim")
     hits = hits.join(passages.select(F.col("pid").alias("did"), "source",
                                      F.col("chunk").alias("passage")), "did")
     keys = ["qid", "host"]
@@ -145,30 +149,38 @@ def lexical_neighbourhoods(answers: DataFrame, threshold: float = C.SIMILARITY_T
     return pairs.unionByName(lone).distinct()
 
 
+def from_store(questions: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(qid, question, answer, sources, confidence)`` of the questions whose answer is
+    stored, and the other questions."""
+    # one row for each question, however often the append-only store repeats an answer
+    payload = ("answer", *[c for c in ("sources", "confidence") if c in cache.columns])
+    hit = A.cache_lookup(questions, cache, cols=payload).where(F.col("answer").isNotNull())
+    cached = questions.join(hit, "question").select(
+        "qid", "question", "answer",
+        (F.col("sources") if "sources" in cache.columns
+         else F.array().cast("array<string>")).alias("sources"),
+        (F.col("confidence") if "confidence" in cache.columns else F.lit(0.0)).alias("confidence"))
+    return cached, questions.join(cached.select("qid"), "qid", "left_anti")
+
+
 def ask(questions: DataFrame, passages: DataFrame, cache: DataFrame | None = None, *,
         k: int = C.TOP_K, scope: str = "global", threshold: float = C.SIMILARITY_THRESHOLD,
         gate: float = C.CONFIDENCE_GATE, generator: Generator | None = None,
-        embedder: Embedder | None = None, hosts: DataFrame | None = None) -> DataFrame:
+        embedder: Embedder | None = None, hosts: DataFrame | None = None,
+        hits: DataFrame | None = None) -> DataFrame:
     """``(qid, question, answer, sources, confidence, cached, confident)``, one row
     per question.  Cached questions are answered from the store and skip the rest.
-    ``hosts`` as in ``host_answers``."""
+    ``hosts`` and ``hits`` as in ``host_answers``."""
     qs = questions.select("qid", "question")
     if cache is not None:
-        # one row for each question, however often the append-only store repeats an answer
-        payload = ("answer", *[c for c in ("sources", "confidence") if c in cache.columns])
-        hit = A.cache_lookup(qs, cache, cols=payload).where(F.col("answer").isNotNull())
-        cached = qs.join(hit, "question").select(
-            "qid", "question", "answer",
-            (F.col("sources") if "sources" in cache.columns
-             else F.array().cast("array<string>")).alias("sources"),
-            (F.col("confidence") if "confidence" in cache.columns else F.lit(0.0)).alias("confidence"),
-            F.lit(True).alias("cached"))
-        todo = qs.join(cached.select("qid"), "qid", "left_anti")
+        cached, todo = from_store(qs, cache)
+        cached = cached.withColumn("cached", F.lit(True))
     else:
         cached, todo = None, qs
     # candidates feed four consumers: materialise once (reliable checkpoint)
     cand = cut_lineage(A.valid_answers(host_answers(todo, passages, k, scope=scope,
-                                                    generator=generator, embedder=embedder, hosts=hosts)))
+                                                    generator=generator, embedder=embedder, hosts=hosts,
+                                                    hits=hits)))
     # ties between equally large neighbourhoods go to the lowest host name
     pairs = (lexical_neighbourhoods(cand.select("qid", "answer_id", "answer"), threshold)
              .join(cand.select("qid", F.col("answer_id").alias("i"),
@@ -206,19 +218,33 @@ def ask_fresh_first(questions: DataFrame, passages: DataFrame, listing: DataFram
       the stale hosts would have been fetched again); these are the ones to store.
 
     ``listing`` is ``(host, ts)`` of stored objects; freshness as in
-    ``operators.freshness``.  Both passes are the same DataFrame operator over
-    different passage sets; nothing is looped per question.
+    ``operators.freshness``.  The corpus is scored once for both passes: the k
+    best passages of each (question, host), or in global scope of each question
+    among fresh and among other hosts, hold the k best of either pass.
     """
     from .freshness import fresh_host_set
+    if scope not in ("global", "host"):
+        raise ValueError(f"unknown scope {scope!r}")
     fresh = fresh_host_set(listing, now, max_age_days)
+    qs = questions.select("qid", "question")
+    todo = qs if cache is None else from_store(qs, cache)[1]
+    part = "host" if scope == "host" else "is_fresh"
+    flagged = passages.join(fresh.select("host", F.lit(True).alias("is_fresh")), "host", "left")
+    scores = R.lexical_scores(todo, flagged, q_id="qid", q_text="question", d_id="pid", d_text="chunk",
+                              carry=("host", "is_fresh") if scope == "host" else ("is_fresh",))
+    ranked = cut_lineage(R.top_k(scores, k, by=["qid", part]))
+
+    def hits(rows: DataFrame) -> DataFrame:
+        return rows if scope == "host" else R.top_k(rows.drop("rank"), k, by="qid")
+
+    same = dict(k=k, scope=scope, threshold=threshold, gate=gate, generator=generator)
     # read three times below: computed once
-    first = cut_lineage(ask(questions, passages.join(fresh, "host", "left_semi"), cache, k=k, scope=scope,
-                            threshold=threshold, gate=gate, generator=generator))
+    first = cut_lineage(ask(qs, passages, cache, hits=hits(ranked.where("is_fresh")), **same))
     early = first.where(F.col("cached") | F.col("confident")).withColumn(
         "stage", F.when(F.col("cached"), F.lit("cache")).otherwise(F.lit("fresh")))
-    rest = questions.join(early.select("qid"), "qid", "left_anti")
-    second = ask(rest, passages, None, k=k, scope=scope, threshold=threshold, gate=gate,
-                 generator=generator).withColumn("stage", F.lit("all"))
+    rest = qs.join(early.select("qid"), "qid", "left_anti")
+    second = ask(rest, passages, None, hits=hits(ranked.join(rest.select("qid"), "qid", "left_semi")),
+                 **same).withColumn("stage", F.lit("all"))
     return early.unionByName(second)
 
 
