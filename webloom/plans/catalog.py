@@ -5,7 +5,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import path_exists, table, table_stream
 from ..operators import retrieval as R
 from .registry import ORACLE_SQL, register
 
@@ -951,9 +951,7 @@ def stream_chunk_assign(spark, d):
 
 @register("stream_feedback", sql=ORACLE_SQL["feedback_stats"])
 def stream_feedback(spark, d):
-    schema = table(spark, d, "events").schema
-    ev = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-          .option("maxFilesPerTrigger", 1).parquet(d))
+    ev = table_stream(spark, d, "events")
     stats = SFB.running_feedback(ev.select(F.col("user_id").alias("question"),
                                            F.col("value").alias("rating")))
     out = scratch_path(spark, "stream-feedback")
@@ -973,9 +971,7 @@ FETCHED_AT = "2024-02-01 00:00:00"  # fetch time stamped on the page stream
 SELECT DISTINCT regexp_replace(url, '#.*$', '') AS url_key FROM pages
 """)
 def stream_distinct_pages(spark, d):
-    schema = table(spark, d, "pages").schema
-    pages = (spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet")
-             .parquet(d).withColumn("fetched_at", F.lit(FETCHED_AT).cast("timestamp")))
+    pages = table_stream(spark, d, "pages").withColumn("fetched_at", F.lit(FETCHED_AT).cast("timestamp"))
     out = scratch_path(spark, "stream-distinct-pages")
 
     def batch(df, epoch_id):     # a replayed epoch writes its own folder again
@@ -985,6 +981,8 @@ def stream_distinct_pages(spark, d):
              .option("checkpointLocation", scratch_path(spark, "stream-distinct-pages-ckpt"))
              .trigger(availableNow=True).start())
     q.awaitTermination()
+    if not path_exists(spark, out):      # no file held a row: no batch was written
+        return spark.createDataFrame([], "url_key string")
     return spark.read.parquet(out).select("url_key")
 
 

@@ -109,6 +109,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     return df.repartition(int(n)) if n else df
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 64) -> DataFrame:
+    """A driver table as a stream of its files, be it one file or a folder of part files."""
+    schema = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")).schema
+    # a stream refuses the path of a single file unless it is a pattern; this one matches that name only
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+            .parquet(os.path.join(sf_dir, f"{name}.parque[t]")))
+
+
 def remove_path(spark: SparkSession, path: str) -> bool:
     """Delete a folder through the cluster's Hadoop file system; whether it was there."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
