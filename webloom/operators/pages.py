@@ -1,13 +1,13 @@
 """Operators over fetched pages ``(page_id, url, html)``.
 
-Parsing is one ``mapInPandas`` job producing the direct text nodes of the
+Parsing is one ``mapInArrow`` job producing the direct text nodes of the
 selected tags and the hrefs; everything after it (stripping, joining, link
 resolution, host membership) is JVM-side.  A native regex form handles flat
 markup without Python and is checked against the parser on the test data.
 """
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,26 +22,33 @@ PARSED_SCHEMA = ("page_id bigint, url string, titles array<string>, paras array<
                  "heads array<string>, hrefs array<string>, error string")
 
 
+#: Pages whose markup and nodes a Python worker holds as objects at a time.
+PARSE_ROWS = 256
+_NODES = ("titles", "paras", "heads", "hrefs")
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), *[(c, pa.list_(pa.string())) for c in _NODES],
+                     ("error", pa.string())])
+
+
 def _parse_batches(batches):
-    for pdf in batches:
-        titles, paras, heads, hrefs, errors = [], [], [], [], []
-        for html in pdf["html"]:
-            try:
-                if html is None:
-                    raise ValueError("no html")
-                nodes, links = H.parse_html(html)
-                titles.append(nodes["title"])
-                paras.append(nodes["p"])
-                heads.append([t for h in H.SELECTED[2:] for t in nodes[h]])
-                hrefs.append(links)
-                errors.append(None)
-            except Exception as e:  # noqa: BLE001 - a bad page is a reject row
-                for col in (titles, paras, heads, hrefs):
-                    col.append(None)
-                errors.append(f"{type(e).__name__}: {e}")
-        yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"],
-                            "titles": titles, "paras": paras, "heads": heads,
-                            "hrefs": hrefs, "error": errors})
+    for batch in batches:
+        for at in range(0, batch.num_rows, PARSE_ROWS):
+            part = batch.slice(at, PARSE_ROWS)
+            cols, errors = {c: [] for c in _NODES}, []
+            for html in part.column("html").to_pylist():
+                try:
+                    if html is None:
+                        raise ValueError("no html")
+                    nodes, links = H.parse_html(html)
+                    got = (nodes["title"], nodes["p"], [t for h in H.SELECTED[2:] for t in nodes[h]], links)
+                    error = None
+                except Exception as e:  # noqa: BLE001 - a bad page is a reject row
+                    got, error = (None,) * len(_NODES), f"{type(e).__name__}: {e}"
+                for c, v in zip(_NODES, got):
+                    cols[c].append(v)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("page_id"), part.column("url"), *[pa.array(cols[c], pa.list_(pa.string())) for c in _NODES],
+                 pa.array(errors, pa.string())], schema=_PARSED)
 
 
 def parse_pages(pages: DataFrame, method: str = "parser") -> DataFrame:
@@ -52,7 +59,7 @@ def parse_pages(pages: DataFrame, method: str = "parser") -> DataFrame:
     """
     src = pages.select(F.col("page_id").cast("bigint"), "url", "html")
     if method == "parser":
-        return src.mapInPandas(_parse_batches, PARSED_SCHEMA)
+        return src.mapInArrow(_parse_batches, PARSED_SCHEMA)
     clean = H.strip_raw_blocks(F.col("html"))
     heads = F.concat(*[H.native_nodes(clean, f"h{i}") for i in range(1, 7)])
     nonempty = lambda a: F.filter(a, lambda t: F.length(t) > 0)
