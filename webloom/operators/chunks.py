@@ -130,17 +130,32 @@ def _compose(a, b, limit: int):
     return int(ta) + int(tb), np.asarray(prefix, dtype=np.int64), xs, ks
 
 
+#: Blocks go to Python in bins, several to a shuffle partition: a call for each would cost more
+#: than the work where buffers are many and small.
+BINS = 16
+
+
+def _binned(rows: DataFrame) -> DataFrame:
+    bins = BINS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("_bin", F.pmod(F.xxhash64("host", "node"), F.lit(bins))).groupBy("_bin")
+
+
+def _blocks(pdf):
+    """(host, node, rows in order) of each block of a bin."""
+    for (host, node), rows in pdf.sort_values("ord", kind="stable").groupby(["host", "node"], dropna=False, sort=False):
+        yield (None if pd.isna(host) else host), node, rows
+
+
 def _block_summary_fn(limit: int):
-    def fn(key, pdf):
-        pdf = pdf.sort_values("ord")
-        s = pdf["size"].to_numpy(dtype=np.int64)
-        cum = np.cumsum(s)
-        ex, fl = _tails(s, limit)
-        c = min(int(np.searchsorted(cum, limit, side="left")) + 1, len(s))
-        return pd.DataFrame({"host": [key[0]], "node": [key[1]], "total": [int(cum[-1])],
-                             "prefix": [cum[:c].tolist()],
-                             "exit_fill": [ex[1:c + 1].tolist()],
-                             "flushes": [(1 + fl[1:c + 1]).tolist()]})
+    def fn(pdf):
+        out = []
+        for host, node, rows in _blocks(pdf):
+            s = rows["size"].to_numpy(dtype=np.int64)
+            cum = np.cumsum(s)
+            ex, fl = _tails(s, limit)
+            c = min(int(np.searchsorted(cum, limit, side="left")) + 1, len(s))
+            out.append((host, node, int(cum[-1]), cum[:c].tolist(), ex[1:c + 1].tolist(), (1 + fl[1:c + 1]).tolist()))
+        return pd.DataFrame(out, columns=["host", "node", "total", "prefix", "exit_fill", "flushes"])
     return fn
 
 
@@ -182,18 +197,18 @@ def _spread_fn(limit: int):
 
 
 def _replay_fn(limit: int):
-    def fn(key, pdf):
-        pdf = pdf.sort_values("ord")
-        s = pdf["size"].to_numpy(dtype=np.int64)
-        fill = int(pdf["entry_fill"].iloc[0])
-        chunk = int(pdf["entry_chunk"].iloc[0])
-        out = np.empty(len(s), dtype=np.int64)
-        for k, size in enumerate(s):
-            out[k] = chunk
-            fill += int(size)
-            if fill >= limit:
-                fill, chunk = 0, chunk + 1
-        return pd.DataFrame({"host": key[0], "ord": pdf["ord"].to_numpy(), "chunk_no": out})
+    def fn(pdf):
+        hosts, ords, numbers = [], [], []
+        for host, _, rows in _blocks(pdf):
+            fill, chunk = int(rows["entry_fill"].iloc[0]), int(rows["entry_chunk"].iloc[0])
+            for size in rows["size"].tolist():
+                numbers.append(chunk)
+                fill += size
+                if fill >= limit:
+                    fill, chunk = 0, chunk + 1
+            hosts += [host] * len(rows)
+            ords.append(rows["ord"].to_numpy())
+        return pd.DataFrame({"host": pd.Series(hosts, dtype=object), "ord": np.concatenate(ords), "chunk_no": numbers})
     return fn
 
 
@@ -215,8 +230,7 @@ def assign_chunks(records: DataFrame, limit: int = C.FLUSH_CHARS, *, host: str =
                           F.col(ord_col).cast("bigint").alias("ord"),
                           F.col(size_col).cast("bigint").alias("size"),
                           F.floor(F.col(ord_col) / F.lit(block_width)).cast("bigint").alias("node"))
-    levels = [cut_lineage(slim.groupBy("host", "node")
-                          .applyInPandas(_block_summary_fn(limit), SUMMARY_SCHEMA))]
+    levels = [cut_lineage(_binned(slim).applyInPandas(_block_summary_fn(limit), SUMMARY_SCHEMA))]
     while True:   # up-sweep until every host has at most fan_out nodes
         top = levels[-1]
         widest = top.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
@@ -228,11 +242,14 @@ def assign_chunks(records: DataFrame, limit: int = C.FLUSH_CHARS, *, host: str =
             .groupBy("host", "node").applyInPandas(
                 _merge_fn_ordered(limit), SUMMARY_SCHEMA)))
     # down-sweep: hosts start empty; children get entries from their parent
-    entries = levels[-1].withColumn("entry_fill", F.lit(0).cast("bigint")) \
-                        .withColumn("entry_chunk", F.lit(0).cast("bigint")) \
-                        .withColumn("parent", F.lit(0).cast("bigint"))
-    entries = cut_lineage(entries.groupBy("host", "parent")
-                          .applyInPandas(_spread_fn(limit), ENTRY_SCHEMA))
+    zero = F.lit(0).cast("bigint")
+    held = levels[-1].groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node"))
+    lone = held.where("n = 1").select("host", "node", zero.alias("entry_fill"), zero.alias("entry_chunk"))
+    more = held.where("n > 1").select(F.col("host").alias("_h"))
+    many = (levels[-1].join(more, F.col("host").eqNullSafe(F.col("_h")), "left_semi")
+            .withColumn("entry_fill", zero).withColumn("entry_chunk", zero).withColumn("parent", zero))
+    entries = cut_lineage(many.groupBy("host", "parent").applyInPandas(_spread_fn(limit), ENTRY_SCHEMA)
+                          .unionByName(lone))
     for lower in reversed(levels[:-1]):
         parent = F.floor(F.col("node") / F.lit(fan_out)).cast("bigint")
         kids = lower.withColumn("parent", parent)
@@ -240,8 +257,7 @@ def assign_chunks(records: DataFrame, limit: int = C.FLUSH_CHARS, *, host: str =
         entries = cut_lineage(_same(kids, start, "host", "parent")
                               .groupBy("host", "parent").applyInPandas(_spread_fn(limit),
                                                                        ENTRY_SCHEMA))
-    return (_same(slim, entries, "host", "node")
-            .groupBy("host", "node").applyInPandas(_replay_fn(limit), ASSIGN_SCHEMA))
+    return _binned(_same(slim, entries, "host", "node")).applyInPandas(_replay_fn(limit), ASSIGN_SCHEMA)
 
 
 def _same(left: DataFrame, right: DataFrame, host: str, node: str) -> DataFrame:

@@ -68,14 +68,16 @@ class Crawl:
 
 
 def parsed_site(pages: DataFrame, buckets: int, method: str = "parser") -> DataFrame:
-    """One parsed page for each URL key, written in folders by bucket."""
+    """One parsed page for each URL key with its JSON characters (measured once, not at every visit),
+    written in folders by bucket."""
     key = strip_fragment(F.col("url"))
     first = pages.where(F.col("url").isNotNull()).groupBy(key.alias("key")).agg(F.min("page_id").alias("page_id"))
     only = pages.join(first.select("page_id"), "page_id", "left_semi")
     parsed = P._content(P.parse_pages(only, method)).where(F.col("error").isNull())
     return _write(parsed.select(key.alias("key"), "page_id", "url", "content",
                                 F.element_at("titles", 1).alias("title"), F.array_join("paras", " ").alias("paragraphs"),
-                                "hrefs", _bucket(key, buckets).alias("bucket")), scratch_path(pages.sparkSession, "crawl-pages"))
+                                "hrefs", (json_string_length(F.col("url")) + json_string_length(F.col("content"))).alias("json_chars"),
+                                _bucket(key, buckets).alias("bucket")), scratch_path(pages.sparkSession, "crawl-pages"))
 
 
 def site_edges(site: DataFrame, rule: str, follow: Follow | None) -> DataFrame:
@@ -149,12 +151,11 @@ def crawl_records(done: Crawl, run_ts: float) -> DataFrame:
     ``host`` is the seed's.  A buffer is one batch's records of one host, by depth, then URL;
     ``ord`` rises along it (range partitions, numbered inside)."""
     fixed = 41 + len(repr(float(run_ts)))
-    pages = done.pages.where(F.length("content") > 0).select("key", F.col("url").alias("page_url"), "content")
+    pages = done.pages.where(F.length("content") > 0).select(
+        "key", F.col("url").alias("page_url"), "content", (F.lit(fixed) + F.col("json_chars")).cast("bigint").alias("record_size"))
     rows = (done.visited.join(pages, done.visited["url"] == F.col("key"))
             .select("batch_id", F.col("seed_host").alias("host"), "depth", F.col("page_url").alias("url"), "content",
-                    F.lit(float(run_ts)).alias("timestamp"),
-                    (F.lit(fixed) + json_string_length(F.col("page_url")) + json_string_length(F.col("content")))
-                    .cast("bigint").alias("record_size")))
+                    F.lit(float(run_ts)).alias("timestamp"), "record_size"))
     order = ["batch_id", "host", "depth", "url"]
     path = scratch_path(rows.sparkSession, "crawl-records")
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id())
@@ -165,11 +166,14 @@ def crawl_records(done: Crawl, run_ts: float) -> DataFrame:
 
 def write_crawl(records: DataFrame, path: str, limit: int = C.FLUSH_CHARS,
                 layout: tuple[str, ...] = ("host", "batch_id", "chunk_no")) -> None:
-    """Chunk files of a crawl: each batch and host's buffer, flushed by the record that brings it to ``limit``."""
+    """Chunk files of a crawl: each batch and host's buffer, flushed by the record that brings it to ``limit``.
+
+    Numbers that ``layout`` leaves out of the path are fields of the records, so that a crawl of many
+    batches writes files by host, with a chunk a line, instead of a file a chunk."""
     buffer = F.concat_ws(" ", F.col("batch_id").cast("string"), F.col("host"))
     numbered = CH.assign_chunks(records.withColumn("buffer", buffer), limit, host="buffer", ord_col="ord")
     write_chunk_files(records.join(numbered.select("ord", "chunk_no"), "ord"), path, batch="batch_id", order="ord",
-                      layout=layout)
+                      layout=layout, carry=tuple(k for k in ("batch_id", "chunk_no") if k not in layout))
 
 
 def feed(done: Crawl) -> DataFrame:

@@ -850,10 +850,10 @@ walk AS (
 SELECT batch_id, host, chunk_no, url, content FROM walk JOIN rec USING (batch_id, host, rn)
 """)
 def crawl_chunks(spark, d):
-    """Records under their seed's host, in chunk files by host, batch and chunk number, read back."""
+    """Records under their seed's host, in chunk files by host with a line for each batch's chunk, read back."""
     path = scratch_path(spark, "crawl-chunks")
-    CW.write_crawl(CW.crawl_records(_crawled(spark, d), RUN_TS), path, ASSIGN_LIMIT)
-    rows = SF.scan_chunks(spark, path, keys=("batch_id", "chunk_no"))
+    CW.write_crawl(CW.crawl_records(_crawled(spark, d), RUN_TS), path, ASSIGN_LIMIT, layout=("host",))
+    rows = SF.scan_chunks(spark, path, fields=("batch_id", "chunk_no"))
     return rows.select("batch_id", "host", "chunk_no", "url", "content")
 
 

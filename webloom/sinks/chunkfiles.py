@@ -18,14 +18,15 @@ EMPTY_HOST = "(empty)"
 
 
 def chunk_payloads(records: DataFrame, *, host: str = "host", chunk: str = "chunk_no",
-                   batch: str | None = None, order: str = "page_id", doc: str | None = None) -> DataFrame:
+                   batch: str | None = None, order: str = "page_id", doc: str | None = None,
+                   carry: tuple[str, ...] = ()) -> DataFrame:
     """``(host, [batch_id,] chunk_no, payload)``: one JSON array per chunk,
     records in buffer order, with the ids of column ``doc`` as their
-    ``doc_id`` where one is named.  A chunk is bounded by the flush size plus one
+    ``doc_id`` where one is named and the columns of ``carry`` as further fields.  A chunk is bounded by the flush size plus one
     record, so collecting it is bounded by construction."""
     keys = [host] + ([batch] if batch else []) + [chunk]
     rec = F.struct(F.col(order).alias("_o"),
-                   F.struct("url", "content", "timestamp", *([F.col(doc).alias("doc_id")] if doc else [])).alias("r"))
+                   F.struct("url", "content", "timestamp", *([F.col(doc).alias("doc_id")] if doc else []), *carry).alias("r"))
     return (records.groupBy(*keys)
             .agg(F.array_sort(F.collect_list(rec)).alias("_rs"))
             .select(*keys, F.to_json(F.transform("_rs", lambda x: x["r"])).alias("payload")))
@@ -34,10 +35,11 @@ def chunk_payloads(records: DataFrame, *, host: str = "host", chunk: str = "chun
 def write_chunk_files(records: DataFrame, path: str, *, host: str = "host",
                       chunk: str = "chunk_no", batch: str | None = None,
                       order: str = "page_id", doc: str | None = None, mode: str = "overwrite",
-                      layout: tuple[str, ...] = ("host",)) -> None:
-    """``layout`` names the folders: by host (many chunks a file), or by host, batch and
-    chunk number (one chunk a file, its number in the path)."""
-    payloads = chunk_payloads(records, host=host, chunk=chunk, batch=batch, order=order, doc=doc)
+                      layout: tuple[str, ...] = ("host",), carry: tuple[str, ...] = ()) -> None:
+    """``layout`` names the folders: by host (many chunks a file, one a line), or by host, batch
+    and chunk number (one chunk a file, its number in the path).  ``carry`` names columns, such as
+    batch and chunk number, that each record of a chunk holds."""
+    payloads = chunk_payloads(records, host=host, chunk=chunk, batch=batch, order=order, doc=doc, carry=carry)
     # spread by (host, chunk): a host with a large share of the records is
     # written by many tasks, each file holding whole chunks in chunk order
     keys = {"host": F.when(F.col(host) == "", EMPTY_HOST).otherwise(F.col(host)), "chunk_no": F.col(chunk),
