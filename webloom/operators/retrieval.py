@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import tokens
+from ..session import cut_lineage, parallelism
 
 
 def well_formed_documents(records: DataFrame, content_col: str = "content",
@@ -77,6 +78,18 @@ def _scoped_scores(questions: DataFrame, corpus: DataFrame, q_id: str, q_text: s
             .select(scope, "qid", "did", (F.col("dot") / (F.col("qnorm") * F.col("dnorm"))).alias("sim")))
 
 
+#: At most about so many (question, passage) pairs and characters of text are scored by one task.
+TASK_PAIRS = 400_000
+TASK_CHARS = 12_000_000
+
+
+def _parts(passages: DataFrame, text: str, n_questions: int, blocks: int) -> int:
+    """Partitions in which to score, from the number and the length of the passages."""
+    rows, chars = passages.agg(F.count(F.lit(1)), F.sum(F.length(text).cast("bigint"))).first()
+    pairs = rows * -(-n_questions // blocks)
+    return max(parallelism(passages.sparkSession), -(-pairs // TASK_PAIRS), -(-(chars or 0) // TASK_CHARS))
+
+
 def lexical_scores(questions: DataFrame, corpus: DataFrame, *,
                    q_id: str, q_text: str, d_id: str, d_text: str,
                    scope: str | None = None, carry: tuple[str, ...] = (),
@@ -90,15 +103,20 @@ def lexical_scores(questions: DataFrame, corpus: DataFrame, *,
     further exchange, because the question terms come to it by broadcast.
     They are counted first and sent in blocks of questions of about
     ``block_terms`` term rows, so the broadcast is bounded whatever their number.
+    A partition holds a bounded number of passages, of characters, and of (question,
+    passage) pairs (``_parts``), so a task's memory does not grow with the corpus.
     """
     if scope:
         scores = _scoped_scores(questions, corpus, q_id, q_text, d_id, d_text, scope)
         return scores.withColumn("sim", F.round("sim", 6)) if rounded else scores
     qt = term_rows(questions, q_id, q_text)
-    asked = (qt.join(_norms(qt).withColumnRenamed("norm", "qnorm"), "id")
+    asked = cut_lineage(qt.join(_norms(qt).withColumnRenamed("norm", "qnorm"), "id")
              .select(F.col("id").alias("qid"), "token", F.col("tf").alias("qtf"), "qnorm"))
-    blocks = max(1, -(-asked.count() // block_terms))
-    dt = term_rows(corpus.select(d_id, d_text, *carry).repartition(d_id), d_id, d_text, carry=carry)
+    terms, n_questions = asked.agg(F.count(F.lit(1)), F.countDistinct("qid")).first()
+    blocks = max(1, -(-terms // block_terms))
+    passages = corpus.select(d_id, d_text, *carry).where(F.col(d_id).isNotNull())
+    parts = _parts(passages, d_text, n_questions, blocks)
+    dt = term_rows(passages.repartition(parts, F.col(d_id)), d_id, d_text, carry=carry)
     squares = F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(*carry, "id"))
     dt = dt.select(*carry, F.col("id").alias("did"), "token", F.col("tf").alias("dtf"), F.sqrt(squares).alias("dnorm"))
     out = None
