@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Folder name of the host of empty name (a page whose URL has no authority):
 #: a partition folder cannot tell an empty value from NULL.
 EMPTY_HOST = "(empty)"
+#: Consecutive chunks of a host that one task writes into one file.
+CHUNKS_A_FILE = 64
 
 
 def chunk_payloads(records: DataFrame, *, host: str = "host", chunk: str = "chunk_no",
@@ -44,6 +46,8 @@ def write_chunk_files(records: DataFrame, path: str, *, host: str = "host",
     # written by many tasks, each file holding whole chunks in chunk order
     keys = {"host": F.when(F.col(host) == "", EMPTY_HOST).otherwise(F.col(host)), "chunk_no": F.col(chunk),
             "batch_id": F.col(batch) if batch else None}
-    (payloads.repartition(host, *([batch] if batch else []), chunk).sortWithinPartitions(host, chunk)
+    # (with the chunk's number in the path), or by (host, run of chunks): files of many chunks, not of a few
+    runs = [F.col(chunk)] if "chunk_no" in layout else [F.floor(F.col(chunk) / F.lit(CHUNKS_A_FILE))]
+    (payloads.repartition(host, *([batch] if batch else []), *runs).sortWithinPartitions(host, chunk)
      .select(*[keys[k].alias(k) for k in layout], "payload")
      .write.mode(mode).partitionBy(*layout).text(path))

@@ -29,21 +29,22 @@ def read_index(spark: SparkSession, path: str, buckets: list[int] | None = None)
     return df.drop(BUCKET)
 
 
-def missing_from_index(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
+def missing_from_index(chunks: DataFrame, path: str, buckets: int = BUCKETS, docs: DataFrame | None = None) -> DataFrame:
     """Passages (with ``chunk_md5`` and ``bucket``) that the index does not hold yet, each
     once.  Only the buckets that ``chunks`` touches are read: their numbers, ``buckets`` at
-    most, are a literal filter on the folders."""
+    most, are a literal filter on the folders.  ``docs``, the documents the passages come
+    from, tells the buckets without splitting them a second time."""
     spark = chunks.sparkSession
     keyed = chunks.withColumn("chunk_md5", F.md5("chunk")).withColumn(BUCKET, bucket_of(buckets))
     if not path_exists(spark, path):
         return keyed.dropDuplicates(list(INDEX_KEY))
-    touched = sorted(r[0] for r in chunks.select(bucket_of(buckets)).distinct().collect())
+    touched = sorted(r[0] for r in (chunks if docs is None else docs).select(bucket_of(buckets)).distinct().collect())
     old = spark.read.parquet(path).where(F.col(BUCKET).isin(touched)).select(BUCKET, *INDEX_KEY).alias("o")
     same = [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in (BUCKET, *INDEX_KEY)]
     return keyed.dropDuplicates(list(INDEX_KEY)).alias("n").join(old, same, "left_anti")
 
 
-def append_index(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+def append_index(chunks: DataFrame, path: str, buckets: int = BUCKETS, docs: DataFrame | None = None) -> None:
     """Idempotent append of passages keyed by document, source, chunk number
     and md5(chunk), in folders by a hash bucket of the document.
 
@@ -53,7 +54,7 @@ def append_index(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     cannot be read is an error, not an empty index.  ``buckets`` belongs to the
     index: every append to one uses the same number.
     """
-    rows = missing_from_index(chunks, path, buckets)
+    rows = missing_from_index(chunks, path, buckets, docs)
     # one file a bucket and batch, of as many tasks as a large batch needs
     rows.repartition(BUCKET, F.pmod(F.xxhash64("doc_id", "chunk_index"), F.lit(4))).write.mode("append").partitionBy(BUCKET).parquet(path)
 

@@ -32,7 +32,7 @@ def ingest_chunk_files(spark: SparkSession, chunk_dir: str, index_path: str, che
     def batch(df: DataFrame, epoch_id: int) -> None:
         docs = df.select(F.coalesce("doc_id", F.xxhash64("url", "content")).alias("doc_id"),
                          F.col("url").alias("source"), F.col("content").alias("text"))
-        append_index(split_documents(docs, chunk_size, chunk_overlap), index_path)
+        append_index(split_documents(docs, chunk_size, chunk_overlap), index_path, docs=docs.select("doc_id"))
 
     w = records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
