@@ -83,11 +83,10 @@ TASK_PAIRS = 400_000
 TASK_CHARS = 12_000_000
 
 
-def _parts(passages: DataFrame, text: str, n_questions: int, blocks: int) -> int:
-    """Partitions in which to score, from the number and the length of the passages."""
+def bounded_parts(passages: DataFrame, text: str, n_questions: int = 0) -> int:
+    """Partitions in which a task's passages, and their pairs with ``n_questions`` questions, are bounded."""
     rows, chars = passages.agg(F.count(F.lit(1)), F.sum(F.length(text).cast("bigint"))).first()
-    pairs = rows * -(-n_questions // blocks)
-    return max(parallelism(passages.sparkSession), -(-pairs // TASK_PAIRS), -(-(chars or 0) // TASK_CHARS))
+    return max(parallelism(passages.sparkSession), -(-rows * n_questions // TASK_PAIRS), -(-(chars or 0) // TASK_CHARS))
 
 
 def lexical_scores(questions: DataFrame, corpus: DataFrame, *,
@@ -104,7 +103,7 @@ def lexical_scores(questions: DataFrame, corpus: DataFrame, *,
     They are counted first and sent in blocks of questions of about
     ``block_terms`` term rows, so the broadcast is bounded whatever their number.
     A partition holds a bounded number of passages, of characters, and of (question,
-    passage) pairs (``_parts``), so a task's memory does not grow with the corpus.
+    passage) pairs (``bounded_parts``), so a task's memory does not grow with the corpus.
     """
     if scope:
         scores = _scoped_scores(questions, corpus, q_id, q_text, d_id, d_text, scope)
@@ -115,7 +114,7 @@ def lexical_scores(questions: DataFrame, corpus: DataFrame, *,
     terms, n_questions = asked.agg(F.count(F.lit(1)), F.countDistinct("qid")).first()
     blocks = max(1, -(-terms // block_terms))
     passages = corpus.select(d_id, d_text, *carry).where(F.col(d_id).isNotNull())
-    parts = _parts(passages, d_text, n_questions, blocks)
+    parts = bounded_parts(passages, d_text, -(-n_questions // blocks))
     dt = term_rows(passages.repartition(parts, F.col(d_id)), d_id, d_text, carry=carry)
     squares = F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(*carry, "id"))
     dt = dt.select(*carry, F.col("id").alias("did"), "token", F.col("tf").alias("dtf"), F.sqrt(squares).alias("dnorm"))
