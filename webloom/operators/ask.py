@@ -44,8 +44,9 @@ def dense_hits(questions: DataFrame, passages: DataFrame, k: int, embedder: Embe
 
 
 def _embedded(questions: DataFrame, passages: DataFrame, embedder: Embedder) -> tuple[DataFrame, DataFrame]:
-    return (embedder(questions.select(F.col("qid").alias("id"), F.col("question").alias("text"))),
-            embedder(passages.select(F.col("pid").alias("id"), F.col("chunk").alias("text"))))
+    # counted, dealt into blocks and joined: embedded once
+    return (cut_lineage(embedder(questions.select(F.col("qid").alias("id"), F.col("question").alias("text")))),
+            cut_lineage(embedder(passages.select(F.col("pid").alias("id"), F.col("chunk").alias("text")))))
 
 
 def dense_host_hits(questions: DataFrame, passages: DataFrame, k: int, embedder: Embedder,
@@ -95,7 +96,8 @@ def host_answers(questions: DataFrame, passages: DataFrame, k: int = C.TOP_K, *,
     if hosts is not None:
         hosts = asked_hosts(hosts)
         passages = passages_of(passages, hosts)
-    if hits is not None:
+    ranked_before = hits is not None
+    if ranked_before:
         pass
     elif embedder is not None and hosts is None:
         hits = (dense_host_hits if by_host else dense_hits)(questions, passages, k, embedder)
@@ -110,6 +112,8 @@ def host_answers(questions: DataFrame, passages: DataFrame, k: int = C.TOP_K, *,
         hits = R.top_k(scores, k, by=["qid", "host"] if by_host else "qid")
     # rank on ids and host only; passage text joins the k winners afterwards
     hits = hits.select("qid", "host" if by_host else F.lit("*").alias("host"), "rank", "did", "sim")
+    if not ranked_before:      # read by the sources and by the answers: the corpus is scored once
+        hits = cut_lineage(hits)
     hits = hits.join(passages.select(F.col("pid").alias("did"), "source",
                                      F.col("chunk").alias("passage")), "did")
     keys = ["qid", "host"]
