@@ -53,6 +53,7 @@ from .tables import Bloom, materialise
 MATCH, MISMATCH, GAP = 2, -1, -1
 SHORT = 8                # items of fewer words are looked up whole
 _MOST_BITS = 1 << 27     # bound of a filter; beyond it, more rows pass
+_COUNTED = 1 << 17      # occurrences that a task counts at a time
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,13 +114,23 @@ def gram_counts(docs: DataFrame, bloom: Bloom, shapes: tuple) -> DataFrame:
     """(gram, n): how often the filter's grams (and a few others) occur in the documents."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
+    def counted(held):
+        u, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], ["gram", "n"])
+
     def job(batches):
-        bloom = shared.value
+        bloom, held, size = shared.value, [], 0
         for b in batches:
             for _lo, _hi, raw, off in W.slices(b["text"]):
                 g = _grams(W.segment(raw, off, W.LETTERS), shapes)[2]
-                u, n = np.unique(g[bloom.has(g)] if len(g) else g, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n)], ["gram", "n"])
+                if len(g):
+                    held.append(g[bloom.has(g)])
+                    size += len(held[-1])
+                if size >= _COUNTED:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
     return docs.select("text").mapInArrow(job, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 

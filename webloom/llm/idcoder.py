@@ -175,7 +175,7 @@ def encode(ids: np.ndarray, vocabulary: int = 49408) -> bytes:
         raise ValueError("id outside the vocabulary")
     lanes = lanes_for(n)
     steps = -(-n // lanes)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.uint32)       # a step's ids are widened when their turn comes
     grid[:n] = ids
     grid = grid.reshape(lanes, steps).T.copy()
     model = _Model(vocabulary)
@@ -193,7 +193,7 @@ def encode(ids: np.ndarray, vocabulary: int = 49408) -> bytes:
     p1 = p2 = np.zeros(lanes, np.int64)
     for t in range(steps):
         m = -(-(n - t) // steps)           # lanes that still have an id
-        x, p1, p2 = grid[t, :m], p1[:m], p2[:m]
+        x, p1, p2 = grid[t, :m].astype(np.int64), p1[:m], p2[:m]
         model.predict(p1, p2)
         hit2, hit1 = x == model.q2, x == model.q1
         one, missed = hit1 > hit2, ~(hit1 | hit2)
@@ -224,7 +224,7 @@ def encode(ids: np.ndarray, vocabulary: int = 49408) -> bytes:
         out[:-1] += carry[1:]
     body = out.astype("<u2").tobytes()
     sizes = zlib.compress(counts.astype("<u4").tobytes())
-    return _HEAD.pack(MAGIC, n, lanes, zlib.crc32(ids.tobytes()), vocabulary, len(sizes)) + sizes + body
+    return _HEAD.pack(MAGIC, n, lanes, zlib.crc32(ids), vocabulary, len(sizes)) + sizes + body
 
 
 def decode(block: bytes) -> np.ndarray:
@@ -256,7 +256,7 @@ def decode(block: bytes) -> np.ndarray:
         rng[which] = rng.take(which) << _U(16)
 
     model = _Model(vocabulary, slots=True)
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.uint32)
     p1 = p2 = np.zeros(lanes, np.int64)
     for t in range(steps):
         m = -(-(n - t) // steps)
@@ -285,7 +285,7 @@ def decode(block: bytes) -> np.ndarray:
         model.learn(x, x == model.q1, two, place)
         grid[t, :m] = x
         p1, p2 = x, p1
-    ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")
-    if zlib.crc32(ids.tobytes()) != crc:
+    ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4", copy=False)
+    if zlib.crc32(ids) != crc:
         raise ValueError("checksum of a token block differs")
     return ids

@@ -295,8 +295,7 @@ def _decode(batches):
         for base, data in zip(b["base"].to_pylist(), b["data"]):
             doc_ids, counts, ids = unpack(data.as_buffer().to_pybytes())
             ends = np.cumsum(counts)
-            raw = ids.tobytes()
-            crc = [zlib.crc32(raw[4 * (e - c):4 * e]) for e, c in zip(ends.tolist(), counts.tolist())]
+            crc = [zlib.crc32(ids[e - c:e]) for e, c in zip(ends.tolist(), counts.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc_ids, pa.int64()), pa.array(base + ends - counts), pa.array(counts),
                  pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])

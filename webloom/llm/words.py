@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18    # arrays of 8 bytes a byte follow from it, several at a time
 _U = np.uint64
 
 
