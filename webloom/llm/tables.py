@@ -1,14 +1,13 @@
 """Shared-folder tables and fixed-size Bloom filters used between jobs."""
 from __future__ import annotations
 
-import gc
 from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..session import ensure_checkpoint_dir, release, scratch_path
 
 __all__ = ["Bloom", "ensure_checkpoint_dir", "materialise", "release", "read_table"]
 
@@ -17,20 +16,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's ContextCleaner drop shuffle files of finished jobs now.
-
-    It does so when the driver's JVM has collected the plans that own them;
-    left alone that happens every 30 minutes (spark.cleaner.periodicGC.interval),
-    and a chain of jobs would keep every exchange on disk until then.
-    """
-    gc.collect()
-    try:
-        spark.sparkContext._jvm.System.gc()
-    except Exception:  # noqa: BLE001 - a Connect client has no JVM of its own
-        pass
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 2000):
     """Whole texts cross to Python in batches of ``rows`` (the default of 10,000

@@ -828,7 +828,7 @@ visited AS (""" + " UNION ALL ".join(f"SELECT batch_id, url, seed_host, {i} AS d
 def _crawled(spark, d):
     """Every page is a seed, four to a batch, as in ``internal_links``."""
     seeds = P.seed_batches(table(spark, d, "pages").select(F.col("page_id").alias("seq"), "url"), seq_col="seq")
-    return CW.crawl(_pages(spark, d), seeds, follow=_answered(spark, d))
+    return CW.crawl(_pages(spark, d), seeds, follow=_answered(spark, d), with_feed=False)
 
 
 @register("crawl_frontier", sql=_SQL_CRAWL + "SELECT batch_id, url, seed_host, depth FROM visited")
@@ -852,8 +852,9 @@ SELECT batch_id, host, chunk_no, url, content FROM walk JOIN rec USING (batch_id
 def crawl_chunks(spark, d):
     """Records under their seed's host, in chunk files by host with a line for each batch's chunk, read back."""
     path = scratch_path(spark, "crawl-chunks")
-    CW.write_crawl(CW.crawl_records(_crawled(spark, d), RUN_TS), path, ASSIGN_LIMIT, layout=("host",))
-    rows = SF.scan_chunks(spark, path, fields=("batch_id", "chunk_no"))
+    done = _crawled(spark, d)
+    CW.write_crawl(CW.crawl_records(done, RUN_TS, content=False), path, ASSIGN_LIMIT, layout=("host",), pages=done.pages, form="parquet")
+    rows = SF.scan_chunks(spark, path, fields=("batch_id", "chunk_no"), form="parquet")
     return rows.select("batch_id", "host", "chunk_no", "url", "content")
 
 

@@ -7,6 +7,7 @@ it takes a folder on the cluster's default file system.
 """
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -85,6 +86,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's ContextCleaner drop shuffle files of finished jobs now.
+
+    It does so when the driver's JVM has collected the plans that own them;
+    left alone that happens every 30 minutes (spark.cleaner.periodicGC.interval),
+    and a chain of jobs would keep every exchange on disk until then.
+    """
+    gc.collect()
+    try:
+        spark.sparkContext._jvm.System.gc()
+    except Exception:  # noqa: BLE001 - a Connect client has no JVM of its own
+        pass
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists, asked of the cluster's Hadoop file system."""
     sc = _context(spark)

@@ -17,8 +17,8 @@ _ARRAY = f"array<struct<{RECORD_DDL.replace(' string', ': string').replace(' dou
 
 
 def _lines(spark: SparkSession, path: str, hosts: list[str] | None, keys: tuple[str, ...] = (),
-           fields: tuple[str, ...] = ()) -> DataFrame:
-    df = spark.read.format("text").schema(", ".join(["value string, host string", *[f"{k} long" for k in keys]])).load(path)
+           fields: tuple[str, ...] = (), form: str = "text") -> DataFrame:
+    df = spark.read.format(form).schema(", ".join(["value string, host string", *[f"{k} long" for k in keys]])).load(path)
     if hosts is not None:    # partition pruning on host=
         df = df.where(F.col("host").isin([h or EMPTY_HOST for h in hosts]))
     df = df.withColumn("host", F.when(F.col("host") == EMPTY_HOST, "").otherwise(F.col("host")))
@@ -27,11 +27,11 @@ def _lines(spark: SparkSession, path: str, hosts: list[str] | None, keys: tuple[
 
 
 def scan_chunks(spark: SparkSession, path: str, hosts: list[str] | None = None,
-                keys: tuple[str, ...] = (), fields: tuple[str, ...] = ()) -> DataFrame:
+                keys: tuple[str, ...] = (), fields: tuple[str, ...] = (), form: str = "text") -> DataFrame:
     """``(host, *keys, url, content, timestamp, *fields, ts)``: every record of every readable chunk;
     ``keys`` are the further folder names of the files' layout (``batch_id``, ``chunk_no``),
-    ``fields`` the numbers that records carry themselves."""
-    df = _lines(spark, path, hosts, keys, fields).where(F.col("records").isNotNull())
+    ``fields`` the numbers that records carry themselves, ``form`` what the files were written as."""
+    df = _lines(spark, path, hosts, keys, fields, form).where(F.col("records").isNotNull())
     return (df.select("host", *keys, F.inline("records"))
             .withColumn("ts", F.timestamp_micros((F.col("timestamp") * 1e6).cast("bigint"))))
 
