@@ -201,3 +201,14 @@ def test_slices_of_a_crawl_without_records_are_empty_files(spark, tmp_path):
     path = str(tmp_path / "none")
     CW.write_crawl(CW.crawl_records(done, 1.0, content=False), path, layout=("host",), pages=done.pages, form="parquet")
     assert SF.scan_chunks(spark, path, fields=("batch_id", "chunk_no"), form="parquet").count() == 0
+
+
+def test_pages_that_come_twice_are_two_records_with_their_own_contents(spark, tmp_path):
+    web = [("http://a.org/1", ["/2"]), ("http://a.org/2", [])]
+    again = spark.createDataFrame([(1, "http://a.org/2", page([], "other text"))], "page_id long, url string, html string")
+    pages = table(spark, web).unionByName(table(spark, web[:1])).unionByName(again)
+    done = CW.crawl(pages, CW.seed_list(spark, ["http://a.org/1"]))
+    path = str(tmp_path / "twice")
+    CW.write_crawl(CW.crawl_records(done, 1.5, content=False), path, layout=("host",), pages=done.pages, form="parquet")
+    for rows in (CW.crawl_records(done, 1.5), SF.scan_chunks(spark, path, form="parquet")):
+        assert sorted(r.url[-1] + r.content.split()[1] for r in rows.collect()) == ["1page", "1page", "2other", "2page"]

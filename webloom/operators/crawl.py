@@ -74,13 +74,14 @@ class Crawl:
 
 def parsed_site(pages: DataFrame, buckets: int, method: str = "parser", with_feed: bool = True) -> DataFrame:
     """One parsed page for each URL key with its JSON characters (measured once, not at every visit),
-    written in folders by bucket; title and paragraphs where a feed is to be made."""
+    written in folders by bucket; title and paragraphs where a feed is to be made.  ``row`` tells
+    pages apart that come under one id."""
     key = strip_fragment(F.col("url"))
     first = pages.where(F.col("url").isNotNull()).groupBy(key.alias("key")).agg(F.min("page_id").alias("page_id"))
     only = pages.join(first.select("page_id"), "page_id", "left_semi")
     parsed = P._content(P.parse_pages(only, method)).where(F.col("error").isNull())
     feed = [F.element_at("titles", 1).alias("title"), F.array_join("paras", " ").alias("paragraphs")] if with_feed else []
-    return _write(parsed.select(key.alias("key"), "page_id", "url", "content", *feed,
+    return _write(parsed.select(key.alias("key"), F.monotonically_increasing_id().alias("row"), "page_id", "url", "content", *feed,
                                 "hrefs", (json_string_length(F.col("url")) + json_string_length(F.col("content"))).alias("json_chars"),
                                 _bucket(key, buckets).alias("bucket")), scratch_path(pages.sparkSession, "crawl-pages"))
 
@@ -156,14 +157,14 @@ def crawl_records(done: Crawl, run_ts: float, content: bool = True) -> DataFrame
     ``(batch_id, host, depth, url, content, timestamp, record_size, ord)``.
 
     ``host`` is the seed's.  A buffer is one batch's records of one host, by depth, then URL;
-    ``ord`` rises along it (range partitions, numbered inside).  What is written has the page's ``key``;
+    ``ord`` rises along it (range partitions, numbered inside).  What is written has the page's ``key`` and ``row``;
     the contents join it as they are read, or with ``content=False`` where ``write_crawl`` writes them."""
     fixed = 41 + len(repr(float(run_ts)))
     spark = done.pages.sparkSession
     pages = done.pages.where(F.length("content") > 0).select(
-        "key", F.col("url").alias("page_url"), (F.lit(fixed) + F.col("json_chars")).cast("bigint").alias("record_size"))
+        "key", "row", F.col("url").alias("page_url"), (F.lit(fixed) + F.col("json_chars")).cast("bigint").alias("record_size"))
     rows = (done.visited.join(pages, done.visited["url"] == F.col("key"))
-            .select("batch_id", F.col("seed_host").alias("host"), "depth", F.col("page_url").alias("url"), "key",
+            .select("batch_id", F.col("seed_host").alias("host"), "depth", F.col("page_url").alias("url"), "key", "row",
                     F.lit(float(run_ts)).alias("timestamp"), "record_size"))
     order = ["batch_id", "host", "depth", "url"]
     path = scratch_path(spark, "crawl-records")
@@ -173,7 +174,7 @@ def crawl_records(done: Crawl, run_ts: float, content: bool = True) -> DataFrame
     records = spark.read.schema(schema).parquet(path)
     if not content:
         return records
-    return (records.join(done.pages.select("key", "content"), "key")
+    return (records.join(done.pages.select("key", "row", "content"), ["key", "row"])
             .select("batch_id", "host", "depth", "url", "content", "timestamp", "record_size", "ord"))
 
 
@@ -214,8 +215,8 @@ def write_crawl(records: DataFrame, path: str, limit: int = C.FLUSH_CHARS,
     release(rows.sparkSession)
     refs = F.collect_list(F.struct("batch_id", "chunk_no", "ord", "url", "timestamp"))
     for k, i in enumerate(sorted(r[0] for r in rows.select("slice").distinct().collect()) or [0]):
-        held = rows.where(F.col("slice") == i).groupBy("host", "piece", "key").agg(refs.alias("refs"))
-        whole = (held.join(pages.select("key", "content"), "key").repartition("host", "piece")
+        held = rows.where(F.col("slice") == i).groupBy("host", "piece", "key", "row").agg(refs.alias("refs"))
+        whole = (held.join(pages.select("key", "row", "content"), ["key", "row"]).repartition("host", "piece")
                  .select("host", "piece", "content", F.inline("refs")))
         write_chunk_files(whole, path, mode="append" if k else "overwrite", dealt="piece", **how)
         del held, whole
